@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orgweave.llm import html_extract, language_id, license_scan, pii, quality_model, quality_rules
+from orgweave.llm import html_extract, language_id, license_scan, packing, pii, quality_model, quality_rules
 
 QUERIES = {
     "op1_quality_model": quality_model.op1,
@@ -11,5 +11,6 @@ QUERIES = {
     "op5_html_extract": html_extract.op5,
     "op7_license_scan": license_scan.op7,
     "op8_quality_rules": quality_rules.op8,
+    "op9_packing": packing.op9,
 }
 ORACLE_SQL: dict[str, str] = {}
