@@ -2,12 +2,13 @@
 
 from __future__ import annotations
 
-from orgweave.llm import html_extract, language_id, license_scan, packing, pii, quality_model, quality_rules
+from orgweave.llm import decontaminate, html_extract, language_id, license_scan, packing, pii, quality_model, quality_rules
 
 QUERIES = {
     "op1_quality_model": quality_model.op1,
     "op2_language_id": language_id.op2,
     "op3_pii": pii.op3,
+    "op4_decontaminate": decontaminate.op4,
     "op5_html_extract": html_extract.op5,
     "op7_license_scan": license_scan.op7,
     "op8_quality_rules": quality_rules.op8,
