@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orgweave.llm import decontaminate, html_extract, language_id, license_scan, packing, pii, quality_model, quality_rules
+from orgweave.llm import decontaminate, html_extract, language_id, license_scan, near_dedup, packing, pii, quality_model, quality_rules
 
 QUERIES = {
     "op1_quality_model": quality_model.op1,
@@ -10,6 +10,7 @@ QUERIES = {
     "op3_pii": pii.op3,
     "op4_decontaminate": decontaminate.op4,
     "op5_html_extract": html_extract.op5,
+    "op6_near_dedup": near_dedup.op6,
     "op7_license_scan": license_scan.op7,
     "op8_quality_rules": quality_rules.op8,
     "op9_packing": packing.op9,
