@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orgweave.llm import decontaminate, html_extract, language_id, license_scan, near_dedup, packing, pii, quality_model, quality_rules
+from orgweave.llm import decontaminate, html_extract, language_id, license_scan, lm_scoring, near_dedup, packing, pii, quality_model, quality_rules
 
 QUERIES = {
     "op1_quality_model": quality_model.op1,
@@ -14,5 +14,6 @@ QUERIES = {
     "op7_license_scan": license_scan.op7,
     "op8_quality_rules": quality_rules.op8,
     "op9_packing": packing.op9,
+    "op10_lm_scoring": lm_scoring.op10,
 }
 ORACLE_SQL: dict[str, str] = {}
