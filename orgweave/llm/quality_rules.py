@@ -136,7 +136,8 @@ def calibrate(metrics: DataFrame, labels: DataFrame, risk: float = RISK, confide
     good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("__q")).where("__q = 1").select("doc_id")
     held = metrics.where("not base_failed").join(good, "doc_id", "left_semi")
     sums = [F.count(F.when(F.col(rule) > c, 1)).alias(f"{rule}__{i}") for rule, grid in RULES.items() for i, c in enumerate(grid)]
-    counts = held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_good"), *sums)
+    counts = materialise(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_good"), *sums), "quality-counts")
+    comparisons = max(1, counts.count()) * len(RULES)
     tests = counts.select(
         "stratum",
         "n_good",
@@ -148,11 +149,8 @@ def calibrate(metrics: DataFrame, labels: DataFrame, risk: float = RISK, confide
             ])
         ).alias("t"),
     ).select("stratum", "n_good", "t.*")
-    # strata are few: their number is a scalar, taken from the counts already grouped
-    strata = counts.agg(F.count(F.lit(1)).alias("__strata"))
-    tests = tests.join(F.broadcast(strata), F.col("__strata") > 0)
     tail = binomial_tail(F.col("n_good"), F.col("k"), risk / len(RULES))
-    certified = tests.where(tail <= confidence / (F.col("__strata") * len(RULES)))
+    certified = tests.where(tail <= confidence / comparisons)
     best = [F.min(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"max_{rule}") for rule in RULES]
     return certified.groupBy(F.col("stratum").alias("__stratum")).agg(*best)
 
