@@ -13,11 +13,12 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgweave.functions import contact as C
-from orgweave.functions import fuzzy
+from orgweave.functions import fuzzy, html
 from orgweave.functions import text as T
 from orgweave.functions import url as U
 from orgweave.functions import words as W
-from orgweave.operators import calibration, candidates, graph, policy, records, state
+from orgweave.operators import calibration, candidates, graph, identity, policy, records, state
+from orgweave.sources import tables
 
 QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
 ORACLE_SQL: dict[str, str] = {}
@@ -419,9 +420,9 @@ def quality_audit(spark, d):
 @query("select event_type as name, count(*) as n, round(count(*) / (select count(distinct user_id) from events), 3) as per_user from events group by 1")
 def telemetry_per_key(spark, d):
     events = read(spark, d, "events")
-    users = events.agg(F.count_distinct("user_id").alias("users"))
+    users = events.agg(F.count_distinct("user_id")).first()[0]
     counted = events.groupBy(F.col("event_type").alias("name")).agg(F.count(F.lit(1)).alias("n"))
-    return counted.join(F.broadcast(users)).select("name", "n", F.round(F.try_divide("n", "users"), 3).alias("per_user"))
+    return counted.select("name", "n", F.round(F.try_divide("n", F.lit(users)), 3).alias("per_user"))
 
 
 _GOLDEN = """with g as (select l.doc_id, case quality when 1 then 'present' else 'absent' end as state, d.n_chars % 5 <> 0 as published, d.n_chars % 7 <> 0 as equal, d.source = 'src0' as unknown from labels l join documents d using (doc_id)),
@@ -548,3 +549,159 @@ def fuzzy_ratio(spark, d):
     supplier = read(spark, d, "supplier").select(F.col("s_name"), F.expr("right(s_name, 2)").alias("k"))
     both = supplier.join(customer, "k")
     return both.select("s_name", "c_name", fuzzy.ratio("s_name", "c_name").alias("ratio"), fuzzy.partial_ratio("s_name", "c_name").alias("partial"), fuzzy.token_set_ratio("s_name", "c_name").alias("token_set"))
+
+
+_STOP = {"legal": (*W.LEGAL_WORDS, *W.JOINING_WORDS), "narrow": (*W.LEGAL_WORDS, *W.SECTOR_WORDS, *W.BUSINESS_WORDS), "wide": W.LEGAL_WORDS}
+_KEEP = lambda xs: f"list_filter({_TOKENS.format('p_name')}, lambda t: not list_contains({_LIST(xs)}, t) and length(t) > 1)"
+
+
+@query(f"""with t as (select p_partkey, {_KEEP(_STOP['legal'])} as l, {_KEEP(_STOP['narrow'])} as n, {_KEEP(_STOP['wide'])} as w from part)
+select p_partkey, array_to_string(l, ' ') as legal, array_to_string(case when len(n) > 0 then n else w end, ' ') as distinctive from t""")
+def name_tokens(spark, d):
+    part = read(spark, d, "part")
+    return part.select("p_partkey", F.array_join(T.legal_tokens("p_name"), " ").alias("legal"), F.array_join(T.distinctive_tokens("p_name"), " ").alias("distinctive"))
+
+
+@query("select page_id, regexp_replace(regexp_replace(regexp_replace(coalesce(url, ''), '#.*$', ''), '(utm_[a-z]+|gclid|fbclid|ref)=[^&]*&?', '', 'g'), '[?&]$', '') as url from pages")
+def url_without_tracking(spark, d):
+    return read(spark, d, "pages").select("page_id", U.strip_tracking("url").alias("url"))
+
+
+_MARKERS = {"english": ("the", "of", "and"), "french": ("le", "la", "les"), "german": ("der", "die", "und"), "spanish": ("el", "los", "que")}
+_TYPES = f"""t as (select doc_id, lang, ' ' || array_to_string({_TOKENS.format('text')}, ' ') || ' ' as p from documents), m as (""" + " union all ".join(
+    f"select doc_id, lang, '{n}' as type, " + " + ".join(f"contains(p, ' {w} ')::int" for w in ws) + " as n_markers from t" for n, ws in _MARKERS.items()
+) + "), s as (select * from m where n_markers > 0)"
+
+
+@query(f"with {_TYPES} select doc_id, type, n_markers from s")
+def semantic_taxonomy(spark, d):
+    return identity.semantic_types(read(spark, d, "documents"), ["doc_id"], "text", _MARKERS)
+
+
+@query(f"""with {_TYPES}, a as (select doc_id, any_value(lang) as lang, list(type) as found from s where n_markers >= 2 group by doc_id),
+e as (select doc_id, found, [case lang when 'en' then 'english' when 'fr' then 'french' when 'de' then 'german' else 'spanish' end] as expected from a)
+select doc_id, case when list_has_any(expected, found) then 'match' when list_has_any(expected, ['english']) and list_has_any(found, ['french', 'german', 'spanish']) then 'conflict' else 'unknown' end as verdict from e""")
+def semantic_taxonomy_conflict(spark, d):
+    docs = read(spark, d, "documents")
+    types = identity.semantic_types(docs, ["doc_id"], "text", _MARKERS).where("n_markers >= 2").groupBy("doc_id").agg(F.collect_set("type").alias("found"))
+    expected = F.array(F.when(F.col("lang") == "en", "english").when(F.col("lang") == "fr", "french").when(F.col("lang") == "de", "german").otherwise("spanish"))
+    verdict = identity.semantic_conflict(expected, F.col("found"), {"english": ("french", "german", "spanish")})
+    return types.join(docs.select("doc_id", "lang"), "doc_id").select("doc_id", verdict.alias("verdict"))
+
+
+@query("""with s as (select user_id, case when event_type = 'error' then 'conflict' else 'support' end as polarity, event_type as independence_key, event_type as kind, props as value, value > 200 as strong from events),
+t as (select distinct user_id from (select user_id, kind from s where strong group by 1, 2 having count(distinct value) > 1)),
+c as (select user_id, count(distinct case when polarity = 'support' then independence_key end) as n_support, count(*) filter (where polarity = 'conflict') as n_conflicts, count(distinct case when polarity = 'support' and strong then kind end) as bundle from s group by 1)
+select c.user_id, n_support, n_conflicts + (t.user_id is not null)::int as n_conflicts, bundle, n_support >= 2 and n_conflicts + (t.user_id is not null)::int = 0 as publishable from c left join t using (user_id)""")
+def identity_assessment(spark, d):
+    polarity = F.when(F.col("event_type") == "error", "conflict").otherwise("support")
+    signals = read(spark, d, "events").select("user_id", polarity.alias("polarity"), F.col("event_type").alias("independence_key"), F.col("event_type").alias("kind"), F.col("props").alias("value"), (F.col("value") > 200).alias("strong"))
+    return identity.assess(signals, ["user_id"])
+
+
+@query("""with f as (select l_orderkey, l_linenumber, l_quantity / 50 as ratio, l_linenumber as pages, l_discount >= 0.05 as hit, l_returnflag = 'R' as own, l_returnflag = 'A' as phrase, l_linestatus = 'F' as local, l_tax > 0.04 as marker from lineitem),
+p as (select *, case when ratio >= 0.75 then 14 when ratio >= 0.5 then 8 when pages >= 5 then 14 when pages >= 4 then 8 when hit then 3 else -20 end as a, case when own then 20 when phrase then 16 else -8 end as b, case when local then 8 when marker then 5 else -10 end as c from f)
+select l_orderkey, l_linenumber, (case when hit then least(60, greatest(0, least(100, 40 + a + b + c))) else greatest(0, least(100, 40 + a + b + c)) end)::bigint as score from p""")
+def page_sub_scores(spark, d):
+    own, hit, pages = F.col("l_returnflag") == "R", F.col("l_discount") >= 0.05, F.col("l_linenumber")
+    points = [
+        identity.page_identity(F.col("l_quantity") / 50, pages - 3, pages - 2, hit),
+        identity.legal_name_points(own, F.lit(False), F.lit(0), F.col("l_returnflag") == "A"),
+        identity.country_points(F.col("l_linestatus") == "F", F.lit(False), F.col("l_tax") > 0.04),
+    ]
+    score = identity.final_score(F.lit(40), points, hit, F.lit(False))
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", score.cast("long").alias("score"))
+
+
+@query("""with c as (select l_orderkey, l_linenumber, l_linestatus = 'F' as ok, l_returnflag <> 'N' as clear, l_discount > 0.03 as contact, l_quantity > 25 as exact, (l_linenumber - 1)::int as page, (l_linenumber + 1)::int as query from lineitem)
+select l_orderkey, l_linenumber, array_to_string(list_filter([case when ok and clear and exact and contact then 'exact_domain' end, case when ok and clear and exact and contact and page >= 1 and query >= 1 then 'exact_website' end,
+case when ok and clear and page >= 3 and query >= 4 and contact then 'structured_uniqueness' end], lambda x: x is not null), ',') as routes from c""")
+def safe_routes(spark, d):
+    yes, no, ok = F.lit(True), F.lit(False), F.col("l_linestatus") == "F"
+    contact, page = F.col("l_discount") > 0.03, F.col("l_linenumber") - 1
+    evidence = {
+        "reachable": ok, "eligible": yes, "country": yes, "conflict_free": F.col("l_returnflag") != "N", "same_site_contact": contact, "canonical": contact, "has_contact": contact,
+        "exact_domain": F.col("l_quantity") > 25, "page": page, "structured": F.lit(2), "legal": F.lit(0), "query": page + 2, "first_party": no, "publishable": no, "business_name": yes,
+        "verified": no, "domain_identity": no,
+    }
+    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(policy.safe_routes(evidence), ",").alias("routes"))
+
+
+@query("""with r as (select o_custkey, o_orderkey, o_orderstatus, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders), s as (select c_custkey, c_acctbal > 0 as present from customer),
+m as (select c_custkey, present, max(case when rank = 1 and o_orderstatus = 'F' then 1 else 0 end) as at1, max(case when rank <= 3 and o_orderstatus = 'F' then 1 else 0 end) as at3, max(case when rank = 1 then 1 else 0 end) as selected from s left join r on c_custkey = o_custkey group by 1, 2)
+select count(*) filter (where present) as n_present, round(sum(at1) filter (where present) / count(*) filter (where present), 4) as recall_at_1, round(sum(at3) filter (where present) / count(*) filter (where present), 4) as recall_at_3,
+round(count(*) filter (where selected = 0) / count(*), 4) as abstention from m""")
+def golden_stage_metrics(spark, d):
+    ranked = candidates.rank_within(read(spark, d, "orders"), ["o_custkey"], [F.desc("o_totalprice"), F.asc("o_orderkey")])
+    good = F.col("o_orderstatus") == "F"
+    per = ranked.groupBy("o_custkey").agg(F.max((F.col("rank") == 1) & good).alias("at1"), F.max((F.col("rank") <= 3) & good).alias("at3"))
+    golden = read(spark, d, "customer").select("c_custkey", (F.col("c_acctbal") > 0).alias("present"))
+    both = golden.join(per, F.col("c_custkey") == F.col("o_custkey"), "left")
+    n = F.count_if("present")
+    share = lambda c: F.round(F.try_divide(F.count_if(c), n), 4)
+    return both.agg(
+        n.alias("n_present"), share(F.col("present") & F.col("at1")).alias("recall_at_1"), share(F.col("present") & F.col("at3")).alias("recall_at_3"),
+        F.round(F.count_if(F.col("o_custkey").isNull()) / F.count(F.lit(1)), 4).alias("abstention"),
+    )
+
+
+@query("""with p as (select user_id, min(case event_type when 'purchase' then 1 when 'click' then 2 when 'view' then 3 end) as best from events where event_type in ('purchase', 'click', 'view') group by 1)
+select event_id, user_id from events join p using (user_id) where best = case event_type when 'purchase' then 1 when 'click' then 2 when 'view' then 3 end""")
+def provider_fallback(spark, d):
+    results = read(spark, d, "events").withColumnRenamed("event_type", "provider")
+    return tables.by_provider(results, "user_id", ["purchase", "click", "view"]).select("event_id", "user_id")
+
+
+@query("select o_orderkey, case o_orderstatus when 'F' then 'published' when 'O' then 'review' else 'failed' end as part from orders")
+def output_artifacts(spark, d):
+    orders = read(spark, d, "orders").withColumn("status", F.when(F.col("o_orderstatus") == "F", "HIGH").when(F.col("o_orderstatus") == "O", "REVIEW"))
+    out = None
+    for name, df in tables.artifacts(orders, "status", ("HIGH", "MEDIUM")).items():
+        own = df.select("o_orderkey", F.lit(name).alias("part"))
+        out = own if out is None else out.unionByName(own)
+    return out
+
+
+@query("select c_custkey, array_to_string(list_filter([case when c_acctbal <= 0 then 'contact' end, case when c_nationkey >= 12 then 'country' end, case when c_mktsegment <> 'BUILDING' then 'structured' end], lambda x: x is not null), ',') as gaps from customer")
+def evidence_gaps(spark, d):
+    has = {"contact": F.col("c_acctbal") > 0, "country": F.col("c_nationkey") < 12, "structured": F.col("c_mktsegment") == "BUILDING"}
+    return read(spark, d, "customer").select("c_custkey", F.array_join(identity.evidence_gaps(has), ",").alias("gaps"))
+
+
+@query("""with r as (select o_custkey as company, o_orderpriority as query, o_orderkey as domain, o_totalprice as score from orders), a as (select company, max(score) as best from r where query = '1-URGENT' group by 1),
+f as (select r.*, 0 as round from r where query = '1-URGENT' union all select r.*, 1 from r left join a using (company) where query = '2-HIGH' and coalesce(a.best, 0) < 200000)
+select company, domain, max(score) as score, min(round) as round from f group by 1, 2""")
+def adaptive_discovery(spark, d):
+    """Two rounds of recorded queries; the second only for companies without a result of 200000."""
+    results = read(spark, d, "orders").select(F.col("o_custkey").alias("company"), F.col("o_orderpriority").alias("query"), F.col("o_orderkey").alias("domain"), F.col("o_totalprice").alias("score"))
+    companies = results.select("company").distinct()
+    return identity.discover(companies, lambda i: companies.withColumn("query", F.lit(("1-URGENT", "2-HIGH")[i])), results, 2, 200000)
+
+
+@query()
+def domain_score(spark, d):
+    """Each supplier's name against the hosts of pages that share its nation's number as a path part: a keyed comparison."""
+    pages = read(spark, d, "pages").select("page_id", U.host("url").alias("host"), F.regexp_extract("url", r"/(\d+)", 1).alias("k"), "html")
+    part = read(spark, d, "part").select("p_name", F.col("p_partkey").cast("string").alias("k"))
+    both = part.join(pages, "k").withColumn("ratio", fuzzy.partial_ratio(T.brand_compound("p_name"), U.compact_core(F.col("host"))))
+    return both.select("page_id", "p_name", "host", policy.domain_score(F.col("p_name"), F.col("host"), F.col("html"), F.col("ratio")).cast("long").alias("score"))
+
+
+@query()
+def html_claims(spark, d):
+    return html.dedupe_claims(html.organization_claims(read(spark, d, "pages")))
+
+
+@query()
+def html_contacts(spark, d):
+    return html.contact_records(read(spark, d, "pages"))
+
+
+@query()
+def html_site_map(spark, d):
+    return html.site_map(read(spark, d, "pages"))
+
+
+@query()
+def html_contact_links(spark, d):
+    return html.contact_links(read(spark, d, "pages"))
