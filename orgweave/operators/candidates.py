@@ -45,14 +45,14 @@ def score_gap(rows: DataFrame, group: list[str], score: str, tie: list[Column],
     return top_k(near, group, [F.desc(score), *tie], limit)
 
 
-def skyline(rows: DataFrame, group: list[str], node: str, dimensions: list[str], family: str | None = None) -> DataFrame:
+def skyline(rows: DataFrame, group: list[str], dimensions: list[str], family: str | None = None) -> DataFrame:
     """Rows that no rival of their group dominates: as good in every dimension and better in one.
 
-    Equal rows stay; rivals of one family never eliminate each other. One anti-join over the
-    rows as given. In a group, rows that share all dimensions are held as one, and only rows of
-    the least-beaten kind need more than one comparison.
+    Equal rows stay; rivals of one family never eliminate each other. One anti-join on the
+    group over the rows as given: a group is a company's candidates, tens at most, and rivals
+    that agree in family and all dimensions are held as one.
     """
-    rival = rows.select(*[F.col(c).alias(f"__r_{c}") for c in dict.fromkeys([*group, node, *dimensions, *([family] if family else [])])])
+    rival = rows.select(*[F.col(c).alias(f"__r_{c}") for c in dict.fromkeys([*group, *dimensions, *([family] if family else [])])]).distinct()
     same = [F.col(g) == F.col(f"__r_{g}") for g in group]
     no_worse = [F.col(f"__r_{d}") >= F.col(d) for d in dimensions]
     better = F.lit(False)

@@ -15,17 +15,22 @@ def filled(c: str) -> Column:
     return F.when(F.trim(F.col(c).cast("string")) != "", F.col(c))
 
 
-def ordered_distinct(value: Column, order: Column, separator: str = ";") -> Column:
-    """An aggregate: distinct values joined in the order of their first appearance."""
-    pairs = F.array_sort(F.collect_set(F.when(value.isNotNull(), F.struct(order.alias("o"), value.alias("v")))))
-    return F.array_join(F.array_distinct(F.transform(pairs, lambda p: p["v"].cast("string"))), separator)
+def joined_values(rows: DataFrame, key: str, value: str, order: str, separator: str = ";") -> DataFrame:
+    """(key, value): each key's distinct filled values in the order of their first appearance.
+
+    Rows are reduced to one for each distinct value before any list is made.
+    """
+    first = rows.where(filled(value).isNotNull()).groupBy(key, value).agg(F.min(order).alias("__o"))
+    listed = first.groupBy(key).agg(F.array_sort(F.collect_list(F.struct("__o", F.col(value).cast("string").alias("v")))).alias("__l"))
+    return listed.select(key, F.array_join(F.transform("__l", lambda p: p["v"]), separator).alias(value))
 
 
 def dedupe(records: DataFrame, key: Column, order: str, columns: list[str], joined: str | None = None) -> DataFrame:
     """One row for each key: the first filled value of each column, all values of `joined`, and the row count."""
+    keyed = records.withColumn("key", key)
     first = [F.min_by(F.col(c), F.when(filled(c).isNotNull(), F.col(order))).alias(c) for c in columns]
-    more = [ordered_distinct(filled(joined), F.col(order)).alias(joined)] if joined else []
-    return records.groupBy(key.alias("key")).agg(*first, *more, F.count(F.lit(1)).alias("n_rows"))
+    merged = keyed.groupBy("key").agg(*first, F.count(F.lit(1)).alias("n_rows"))
+    return merged.join(joined_values(keyed, "key", joined, order), "key", "left") if joined else merged
 
 
 def last_wins(rows: DataFrame, keys: list[str], order: list[Column]) -> DataFrame:

@@ -23,11 +23,18 @@ def prefix_lookup(requests: DataFrame, entries: DataFrame, prefix_length: int, r
     return requests.withColumn("prefix", F.substring("key", 1, prefix_length)).join(best, "prefix", "left")
 
 
-def manifest(rows: DataFrame, group: list[str], order: list[str], payload: Column) -> DataFrame:
-    """For each group a SHA-256 over the hashes of its rows in order: each row counts with its own 64 digits only."""
-    hashed = rows.select(*group, F.struct(*order, F.sha2(payload, 256).alias("__h")).alias("__o"))
-    ordered = F.transform(F.array_sort(F.collect_list("__o")), lambda o: o["__h"])
-    return hashed.groupBy(*group).agg(F.count(F.lit(1)).alias("n"), F.sha2(F.array_join(ordered, "\n"), 256).alias("sha256"))
+def manifest(rows: DataFrame, group: list[str], order: str, payload: Column, width: int = 1000, levels: int = 3) -> DataFrame:
+    """For each group a SHA-256 tree over its rows in the order of a whole number.
+
+    A row's hash is that of its payload. A level's hash is that of the hashes of up to `width`
+    neighbours in order, so no task holds more than that of a group below the top level.
+    """
+    level = rows.select(*group, F.col(order).alias("__o"), F.sha2(payload, 256).alias("__h"), F.lit(1).alias("__n"))
+    joined = F.sha2(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("__o", "__h"))), lambda x: x["__h"]), "\n"), 256)
+    for _ in range(levels - 1):
+        bucket = F.floor(F.col("__o") / width).alias("__b")
+        level = level.groupBy(*group, bucket).agg(joined.alias("__h"), F.sum("__n").alias("__n")).withColumnRenamed("__b", "__o")
+    return level.groupBy(*group).agg(F.sum("__n").alias("n"), joined.alias("sha256"))
 
 
 def contiguous_prefix(rows: DataFrame, run: str, index: str) -> DataFrame:

@@ -231,7 +231,7 @@ def union_sources_dedupe(spark, d):
     customer = read(spark, d, "customer").select(F.expr("right(c_name, 4)").alias("k"), F.col("c_nationkey").alias("nation"), F.col("c_custkey").alias("id"))
     supplier = read(spark, d, "supplier").select(F.expr("right(s_name, 4)").alias("k"), F.col("s_nationkey").alias("nation"), F.col("s_suppkey").alias("id"))
     both = records.union_sources(customer=customer, supplier=supplier).withColumn("o", F.col("source_priority").cast("long") * 1_000_000_000 + F.col("id"))
-    return both.groupBy(F.col("k").alias("key")).agg(F.min_by("nation", "o").alias("nation"), records.ordered_distinct(F.col("source"), F.col("source_priority")).alias("sources"), F.count(F.lit(1)).alias("n_rows"))
+    return records.dedupe(both, F.col("k"), "o", ["nation"], "source").withColumnRenamed("source", "sources")
 
 
 @query("""with m as (select c_custkey as k, 'holdout' as r from customer where c_acctbal > 5000 union all select c_custkey, 'validation' from customer where c_mktsegment = 'BUILDING'
@@ -361,7 +361,7 @@ def identity_resolution_status(spark, d):
 and (b.p_size > a.p_size or b.p_retailprice > a.p_retailprice) and a.p_type <> b.p_type)""")
 def skyline_tournament(spark, d):
     part = read(spark, d, "part")
-    return candidates.skyline(part, ["p_brand"], "p_partkey", ["p_size", "p_retailprice"], "p_type").select("p_partkey")
+    return candidates.skyline(part, ["p_brand"], ["p_size", "p_retailprice"], "p_type").select("p_partkey")
 
 
 @query("""with s as (select o_custkey, o_orderkey, o_totalprice / 1000 as score from orders), p as (select o_custkey, o_orderkey as first, lead(o_orderkey) over w as second, score - lead(score) over w as d from s window w as (partition by o_custkey order by score desc, o_orderkey))
@@ -495,9 +495,12 @@ def cache_prefix_richest(spark, d):
     return state.prefix_lookup(pages, pages, 14, F.col("n"), F.col("page_id")).select("page_id", "best_key", "richness")
 
 
-@query("with h as (select event_type, event_id, sha256(event_id::varchar || '|' || props) as h from events) select event_type, count(*) as n, sha256(string_agg(h, chr(10) order by event_id)) as sha256 from h group by 1")
+@query("""with h as (select event_type, event_id as o, sha256(event_id::varchar || '|' || props) as h from events),
+a as (select event_type, o // 1000 as o, sha256(string_agg(h, chr(10) order by h.o)) as h, count(*) as n from h group by event_type, h.o // 1000),
+b as (select event_type, o // 1000 as o, sha256(string_agg(h, chr(10) order by a.o)) as h, sum(n) as n from a group by event_type, a.o // 1000)
+select event_type, sum(n)::bigint as n, sha256(string_agg(h, chr(10) order by o)) as sha256 from b group by 1""")
 def snapshot_manifest_sha256(spark, d):
-    return state.manifest(read(spark, d, "events"), ["event_type"], ["event_id"], F.concat_ws("|", F.col("event_id").cast("string"), "props"))
+    return state.manifest(read(spark, d, "events"), ["event_type"], "event_id", F.concat_ws("|", F.col("event_id").cast("string"), "props"))
 
 
 @query("select user_id, event_type, event_id from (select *, row_number() over (partition by user_id, event_type order by ts desc, event_id desc) as rn from events) where rn = 1")
