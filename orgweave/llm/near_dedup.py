@@ -3,17 +3,18 @@
 A document's set is its distinct shingles of SHINGLE words (A-Z lower-cased). Documents with
 equal sets are one node. MinHash samples of a node's set make bands of ROWS samples; their
 number is chosen so that two sets at the threshold share no band with a chance of MISS at
-most. All samples are also folded into an odd sketch, a parity bitmap of SKETCH_BITS bits: the
-population count of two sketches' XOR tells the number of differing samples. Pairs whose
-count is more than the threshold allows, with a margin of MARGIN standard deviations of the
-samples, are dropped before the sets are compared.
-
-Links are found in two rounds. First every node of a bucket (a band's value) is held against
-the bucket's smallest and largest node only, so a bucket of n copies makes 2n pairs. Confirmed
-links give components. Then buckets that still hold several components are worked through
-completely, but for pairs that are in one component already: buckets of up to SMALL nodes by a
-join, larger ones in blocks of BLOCK nodes whose pairs go to tasks of their own, so that no
-task or row holds a bucket. Every pair that passes its sketch is confirmed on the full sets.
+most. Further samples, SAMPLES in all, are folded into an odd sketch, a parity bitmap of
+SKETCH_BITS bits: the population count of two sketches' XOR tells the number of differing
+samples. Pairs whose count is more than the threshold allows, with a margin of MARGIN standard
+deviations of the samples, are dropped before the sets are compared.
+
+Links are found in rounds. In each of STARS rounds the nodes of a bucket (a band's value) are
+held against one node of it, another one each time, so a bucket of n copies makes n pairs and
+no more than those of nodes not linked yet. Confirmed links give components. Then buckets that
+still hold several components are worked through completely, but for pairs that are in one
+component already: buckets of up to SMALL nodes by a join, larger ones in blocks of BLOCK nodes
+whose pairs go to tasks of their own, so that no task or row holds a bucket. Every pair that
+passes its sketch is confirmed on the full sets.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; fewer than
 SHINGLE words are one shingle; rows with a null doc_id are kept, with a null component; repeated
@@ -36,9 +37,13 @@ SHINGLE = 5
 PERCENT = 85
 ROWS = 8
 MISS = 1e-5
-SKETCH_BITS = 512
-MARGIN = 4.5
+SAMPLES = 1024
+SKETCH_BITS = 2048
+MARGIN = 4.0
+STARS = 3
 SMALL = 64
+#: Tables of up to so many narrow rows (ids or pairs of ids) are broadcast; larger ones are joined by a shuffle.
+MAX_BROADCAST_ROWS = 1 << 20
 BLOCK = 1024
 _WORDS = SKETCH_BITS // 64
 _RNG = np.random.default_rng(5)
@@ -49,11 +54,11 @@ def bands_for(percent: int) -> int:
     return math.ceil(math.log(MISS) / math.log(1 - (percent / 100) ** ROWS))
 
 
-def max_bits(percent: int, samples: int) -> int:
+def max_bits(percent: int) -> int:
     """The largest XOR population count that a pair at the threshold should have."""
     t = percent / 100
-    low = t - MARGIN * math.sqrt(t * (1 - t) / samples)
-    bits = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * samples * (1 - low)))
+    low = t - MARGIN * math.sqrt(t * (1 - t) / SAMPLES)
+    bits = SKETCH_BITS / 2 * (1 - (1 - 2 / SKETCH_BITS) ** (2 * SAMPLES * (1 - low)))
     return math.ceil(bits + math.sqrt(SKETCH_BITS) / 2)
 
 
@@ -91,7 +96,7 @@ def sketches(rows: np.ndarray, shingles: np.ndarray, bands: int) -> tuple[np.nda
     own, begin = np.unique(rows, return_index=True)
     keys = np.stack([np.add.reduceat(mix(shingles + np.uint64(s)), begin) for s in (1, 2)], 1)
     rng = np.random.default_rng(11)
-    samples = bands * ROWS
+    samples = max(SAMPLES, bands * ROWS)
     flip = rng.integers(0, 2**32, samples, dtype=np.uint32)
     times = rng.integers(0, 2**32, samples, dtype=np.uint32) | np.uint32(1)
     low = (shingles >> np.uint64(32)).astype(np.uint32)
@@ -107,7 +112,7 @@ def sketches(rows: np.ndarray, shingles: np.ndarray, bands: int) -> tuple[np.nda
         for j in range(b * ROWS, (b + 1) * ROWS):
             total = mix(total * np.uint64(0x9E3779B97F4A7C15) + least[j])
         values[:, b] = total
-    place = (mix((np.arange(samples, dtype=np.uint64) << np.uint64(32))[:, None] + least) % np.uint64(SKETCH_BITS)).astype(np.int64)
+    place = (mix((np.arange(SAMPLES, dtype=np.uint64) << np.uint64(32))[:, None] + least[:SAMPLES]) % np.uint64(SKETCH_BITS)).astype(np.int64)
     odd = np.bincount((place + np.arange(len(own)) * SKETCH_BITS).ravel(), minlength=len(own) * SKETCH_BITS) & 1
     bits = np.packbits(odd.reshape(len(own), SKETCH_BITS).astype(np.uint8), axis=1).view(np.uint64)
     return own, keys, values, bits
@@ -147,13 +152,18 @@ def _differing(a: str, b: str) -> Column:
     return total
 
 
-def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int, samples: int) -> DataFrame:
+def _bounded(df: DataFrame) -> DataFrame:
+    """df, a table already written, to be broadcast if it is small and joined by a shuffle if not."""
+    return F.broadcast(df) if df.count() <= MAX_BROADCAST_ROWS else df.hint("merge")
+
+
+def _plausible(pairs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Pairs (a, b) whose sizes and sketches allow the threshold."""
     a = nodes.select(F.col("node").alias("a"), F.col("n").alias("n_a"), F.col("sketch").alias("s_a"))
     b = nodes.select(F.col("node").alias("b"), F.col("n").alias("n_b"), F.col("sketch").alias("s_b"))
     both = pairs.join(a, "a").join(b, "b")
     sizes = 100 * F.least("n_a", "n_b") >= percent * F.greatest("n_a", "n_b")
-    return both.where(sizes & (_differing("s_a", "s_b") <= max_bits(percent, samples))).select("a", "b")
+    return both.where(sizes & (_differing("s_a", "s_b") <= max_bits(percent))).select("a", "b")
 
 
 def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
@@ -168,7 +178,7 @@ def _sets(docs: DataFrame, nodes: DataFrame) -> DataFrame:
                 sets = [shingles[cuts[i] : cuts[i + 1]].tobytes() for i in range(end - first)]
                 yield pa.RecordBatch.from_arrays([ids.slice(first, end - first), pa.array(sets, pa.binary())], names=["node", "set"])
 
-    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(nodes.select(F.col("node").alias("doc_id")), "doc_id", "left_semi")
+    own = docs.select(F.col("doc_id").cast("long").alias("doc_id"), "text").join(_bounded(nodes.select(F.col("node").alias("doc_id"))), "doc_id", "left_semi")
     return own.mapInArrow(run, "node long, set binary")
 
 
@@ -187,33 +197,39 @@ def _confirmed(pairs: DataFrame, sets: DataFrame, percent: int) -> DataFrame:
 
     x = sets.select(F.col("node").alias("a"), F.col("set").alias("x"))
     y = sets.select(F.col("node").alias("b"), F.col("set").alias("y"))
-    return pairs.join(x, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
+    pairs = _bounded(materialise(pairs, "pairs"))
+    return x.join(pairs, "a").join(y, "b").select("a", "b", "x", "y").mapInArrow(run, "a long, b long")
 
 
-def _large_bucket_pairs(rows: DataFrame, nodes: DataFrame, percent: int, samples: int) -> DataFrame:
+def _large_bucket_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     """Plausible pairs of different components within large buckets, from pairs of blocks.
 
     rows: bucket, node, component, size. Each block of a bucket meets each other in a task of its own.
+    A pair is given by the first band that it shares; if that one's bucket is small, the join there has it.
     """
-    limit = max_bits(percent, samples)
+    limit = max_bits(percent)
     blocks = F.ceil(F.col("size") / BLOCK).cast("int")
     dealt = (
-        rows.join(nodes.select("node", "n", "sketch"), "node")
+        rows.join(nodes.select("node", "n", "sketch", "bands"), "node")
         .withColumn("block", F.pmod(F.xxhash64("node"), blocks).cast("int"))
         .withColumn("other", F.explode(F.sequence(F.lit(0), blocks - 1)))
-        .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n", "sketch")
+        .select("bucket", F.least("block", "other").alias("i"), F.greatest("block", "other").alias("j"), "block", "node", "component", "n", "sketch", "bands")
     )
 
     def meet(table: pa.Table) -> pa.Table:
         node, component, n = (table[c].to_numpy() for c in ("node", "component", "n"))
         block, i, j = table["block"].to_numpy(), table["i"][0].as_py(), table["j"][0].as_py()
         bits = table["sketch"].combine_chunks().flatten().to_numpy().view(np.uint64).reshape(-1, _WORDS)
+        bands = table["bands"].combine_chunks().flatten().to_numpy().reshape(len(node), -1)
+        bucket = table["bucket"][0].as_py()
         left, right = np.flatnonzero(block == i), np.flatnonzero(block == j)
         a, b = [], []
         for k in left:
             against = right[right > k] if i == j else right
             against = against[(component[against] != component[k]) & (100 * np.minimum(n[against], n[k]) >= percent * np.maximum(n[against], n[k]))]
             close = against[np.bitwise_count(bits[against] ^ bits[k]).sum(1) <= limit]
+            same = bands[close] == bands[k]
+            close = close[bands[k][same.argmax(1)] == bucket] if len(close) else close
             a.append(np.full(len(close), node[k]))
             b.append(node[close])
         a, b = (np.concatenate(x) if x else np.zeros(0, np.int64) for x in (a, b))
@@ -222,9 +238,25 @@ def _large_bucket_pairs(rows: DataFrame, nodes: DataFrame, percent: int, samples
     return dealt.groupBy("bucket", "i", "j").applyInArrow(meet, "a long, b long")
 
 
+def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
+    """Each node of a bucket with the bucket's first node in an order of the turn, unless they are in one component."""
+    first = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")).alias("f"))
+    centred = rows.join(first.select("bucket", F.col("f.node").alias("end"), F.col("f.component").alias("end_component")), "bucket")
+    return centred.where("component <> end_component").select(F.greatest("node", "end").alias("a"), F.least("node", "end").alias("b")).distinct()
+
+
+def _rest_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
+    """All plausible pairs of different components in the buckets."""
+    few = rows.where(F.col("size") <= SMALL)
+    left = few.select("bucket", F.col("node").alias("a"), F.col("component").alias("c_a"))
+    right = few.select("bucket", F.col("node").alias("b"), F.col("component").alias("c_b"))
+    near = left.join(right, "bucket").where("a > b and c_a <> c_b").select("a", "b").distinct()
+    far = _large_bucket_pairs(rows.where(F.col("size") > SMALL), nodes, percent)
+    return _plausible(near, nodes, percent).unionByName(far).distinct()
+
+
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id and kept."""
-    samples = bands_for(percent) * ROWS
     signed = materialise(signatures(docs, percent), "signatures")
     with_set = signed.where("n > 0")
     # equal sets become one node; the copies are merged before the shuffle
@@ -232,29 +264,25 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         with_set.groupBy("hi", "lo", "n").agg(F.min("doc_id").alias("node"), F.first("bands").alias("bands"), F.first("sketch").alias("sketch")), "nodes"
     )
     buckets = nodes.select(F.explode("bands").alias("bucket"), "node")
-    ends = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size"))
-    shared = materialise(buckets.join(ends.where("low <> high"), "bucket"), "buckets")
-    sets = materialise(_sets(docs, shared.select("node").distinct()), "sets")
-
-    stars = shared.select("node", F.explode(F.array("low", "high")).alias("end")).where("node <> end")
-    pairs = stars.select(F.greatest("node", "end").alias("a"), F.least("node", "end").alias("b")).distinct()
-    links = materialise(_confirmed(_plausible(pairs, nodes, percent, samples), sets, percent), "links")
-    parts = connected_components(links)
-
-    # what is in no link is a component of its own
-    labelled = shared.select("bucket", "node", "size").join(parts, "node", "left").withColumn("component", F.coalesce("component", "node"))
-    labelled = materialise(labelled, "labelled")
-    mixed = labelled.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("bucket")
-    rest = labelled.join(mixed, "bucket", "left_semi")
-    few = rest.where(F.col("size") <= SMALL)
-    left = few.select("bucket", F.col("node").alias("a"), F.col("component").alias("c_a"))
-    right = few.select("bucket", F.col("node").alias("b"), F.col("component").alias("c_b"))
-    near = left.join(right, "bucket").where("a > b and c_a <> c_b").select("a", "b").distinct()
-    near = _plausible(near, nodes, percent, samples)
-    far = _large_bucket_pairs(rest.where(F.col("size") > SMALL), nodes, percent, samples)
-    late = _confirmed(near.unionByName(far).distinct(), sets, percent)
-    links = materialise(links.unionByName(late), "links")
-    parts = connected_components(links)
+    sizes = buckets.groupBy("bucket").agg(F.min("node").alias("low"), F.max("node").alias("high"), F.count(F.lit(1)).alias("size"))
+    # of a bucket with one node nothing is left; at first every node is a component
+    rows = materialise(buckets.join(sizes.where("low <> high").select("bucket", "size"), "bucket").withColumn("component", F.col("node")), "buckets")
+    sets = materialise(_sets(docs, materialise(rows.select("node").distinct(), "shared-nodes")), "sets")
+
+    links = materialise(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "links")
+    parts = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
+    for turn in range(STARS + 1):
+        if rows.isEmpty():
+            break
+        pairs = _plausible(_star_pairs(rows, turn), nodes, percent) if turn < STARS else _rest_pairs(rows, nodes, percent)
+        found = materialise(_confirmed(pairs, sets, percent), "found")
+        if found.isEmpty():
+            continue
+        links = materialise(links.unionByName(found), "links")
+        parts = connected_components(links)
+        named = rows.drop("component").join(parts, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
+        mixed = named.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("bucket")
+        rows = materialise(named.join(mixed, "bucket", "left_semi"), "buckets")
 
     # the smallest doc_id of a node is the node itself, so the smallest node is the smallest document
     member = with_set.select("doc_id", "hi", "lo", "n").join(nodes.select("hi", "lo", "n", "node"), ["hi", "lo", "n"])

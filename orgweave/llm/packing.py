@@ -40,7 +40,8 @@ SEGMENTS = 512
 POOL = 2048
 MIN_PIECE = 16
 END_ID = 2
-CACHE_WORDS = 200_000
+CACHE_WORDS = 300_000
+CACHE_RUNS = 800_000
 TEXTS = 128
 
 
@@ -180,7 +181,7 @@ class Encoder:
         return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
 
     def _learn_runs(self, runs: list[str]) -> None:
-        if len(self.runs) > CACHE_WORDS:
+        if len(self.runs) > CACHE_RUNS:
             self.runs = {"": b""}
         found = self.tokenizer.encode(" ".join(runs), add_special_tokens=False)
         ids, of_word = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)

@@ -16,4 +16,46 @@ QUERIES = {
     "op9_packing": packing.op9,
     "op10_lm_scoring": lm_scoring.op10,
 }
-ORACLE_SQL: dict[str, str] = {}
+_FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
+_NEAR_DEDUP = f"""
+with recursive w as (select doc_id, regexp_extract_all({_FOLDED}, '[^\\x20\\x09-\\x0D]+') as ws from documents),
+g as (select doc_id, unnest(list_distinct(case when len(ws) = 0 then [] when len(ws) < 5 then [array_to_string(ws, ' ')]
+  else [array_to_string(ws[i:i + 4], ' ') for i in range(1, len(ws) - 3)] end)) as s from w),
+n as (select doc_id, (select count(*) from g where g.doc_id = d.doc_id) as n from documents d),
+p as (select a.doc_id as a, b.doc_id as b, count(*) as c from g a join g b on a.s = b.s and a.doc_id < b.doc_id group by 1, 2),
+l as (select a, b from p join n x on x.doc_id = a join n y on y.doc_id = b where 100 * c >= {near_dedup.PERCENT} * (x.n + y.n - c)),
+e as (select a, b from l union all select b, a from l),
+r(d, m) as (select doc_id, doc_id from documents union select r.d, e.b from r join e on r.m = e.a)
+select d as doc_id, any_value(n.n)::bigint as n_shingles, min(m) as component_id, d = min(m) as kept from r join n on n.doc_id = r.d group by d"""
+
+_RATIOS = {
+    "symbol_ratio": "case when word_chars > 0 then n_symbols / word_chars else 0 end",
+    "dup_line_ratio": "case when n_lines > 0 then n_dup_lines / n_lines else 0 end",
+    "repeat_ratio": "case when n_words > 0 then n_repeat_words / n_words else 0 end",
+    "upper_ratio": "case when word_chars > 0 then n_upper / word_chars else 0 end",
+    "mean_word_chars": "case when n_words > 0 then word_chars / n_words else 0 end",
+}
+_Q = quality_rules
+_GRID = ", ".join(f"('{rule}', {c})" for rule, grid in _Q.RULES.items() for c in grid)
+_QUALITY_RULES = f"""
+with w as (select doc_id, coalesce(lang, 'unknown') as stratum, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
+g as (select doc_id, unnest([array_to_string(ws[i:i + 7], ' ') for i in range(1, len(ws) - 6)]) as g, unnest(range(1, len(ws) - 6)) as i from w),
+f as (select doc_id, i from (select doc_id, i, count(*) over (partition by doc_id, g) as c from g) where c > 1),
+r as (select doc_id, sum(least({_Q.WINDOW}, coalesce(following - i, {_Q.WINDOW})))::bigint as n from (select doc_id, i, lead(i) over (partition by doc_id order by i) as following from f) group by 1),
+l as (select doc_id, list_filter(string_split(t, chr(10)), lambda x: regexp_matches(x, '[^\\x20\\x09-\\x0D]')) as ls from w),
+c as (select w.doc_id, stratum, len(ws)::bigint as n_words, length(array_to_string(ws, ''))::bigint as word_chars, length(regexp_replace(t, '[^#*$%&|<>]+', '', 'g'))::bigint as n_symbols,
+  length(regexp_replace(t, '[^A-Z]+', '', 'g'))::bigint as n_upper, len(ls)::bigint as n_lines, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(r.n, 0) as n_repeat_words
+  from w join l using (doc_id) left join r using (doc_id)),
+m as (select *, {", ".join(f"({x})::double as {k}" for k, x in _RATIOS.items())}, n_words < {_Q.MIN_WORDS} or 100 * n_repeat_words > {_Q.MAX_REPEAT_PERCENT} * n_words as base_failed from c),
+good as (select m.* from m where not base_failed and doc_id in (select doc_id from labels group by doc_id having max(quality) = 1)),
+long as (unpivot (select stratum, {", ".join(_RATIOS)} from good) on {", ".join(_RATIOS)} into name rule value x),
+grid(rule, cutoff) as (values {_GRID}),
+k as (select stratum, rule, cutoff, count(*) as n, count(*) filter (where x > cutoff) as k from long join grid using (rule) group by 1, 2, 3),
+tail as (select stratum, rule, cutoff, n, k, case when k > n * {_Q.RISK / len(_Q.RULES)!r} then 1 else (select sum(exp(lgamma(n + 1) - lgamma(i + 1) - case when n = i then 0 else lgamma(n - i + 1) end
+  + i * ln({_Q.RISK / len(_Q.RULES)!r}) + (n - i) * ln({1 - _Q.RISK / len(_Q.RULES)!r}))) from (select unnest(range(0, k + 1)) as i)) end as p from k),
+best as (select stratum, rule, min(cutoff) as cutoff from tail where p <= {_Q.CONFIDENCE!r} / ((select count(distinct stratum) from good) * {len(_Q.RULES)}) group by 1, 2)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, stratum, {", ".join(_RATIOS)},
+  not base_failed and not exists (select 1 from best b where b.stratum = m.stratum and ({" or ".join(f"(b.rule = '{k}' and m.{k} > b.cutoff)" for k in _RATIOS)})) as kept from m"""
+
+#: The other operators are beyond SQL (learned models, alignment, Feistel networks, parsing, a tokenizer); tests/llm holds them against brute force.
+ORACLE_SQL: dict[str, str] = {"op6_near_dedup": _NEAR_DEDUP, "op8_quality_rules": _QUALITY_RULES}
