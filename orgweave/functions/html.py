@@ -169,17 +169,24 @@ def _contacts(url: str | None, html: str | None) -> list[tuple[str, str, str]]:
 WAYS = (("contact", 100), ("iletisim", 100), ("kontakt", 90), ("bize-ulasin", 90), ("about", 60), ("hakkimizda", 60), ("kurumsal", 55), ("imprint", 50), ("kvkk", 40))
 
 
+def site(url: str | None) -> str | None:
+    """The host of an address without www; None where the address cannot be read."""
+    try:
+        return urlsplit(url or "").netloc.lower().removeprefix("www.")
+    except ValueError:
+        return None
+
+
 def _links(url: str | None, html: str | None) -> list[tuple[str, str, int, bool, bool]]:
     """(target, label, score, same site, document)"""
-    own = urlsplit(url or "").netloc.lower().removeprefix("www.")
-    out = []
+    out, own = [], site(url)
     for href, label in parse(html).anchors:
         try:
             target = urljoin(url or "", href)
-            host = urlsplit(target).netloc.lower().removeprefix("www.")
         except ValueError:
             continue
-        if urlsplit(target).scheme not in ("http", "https"):
+        host = site(target)
+        if host is None or urlsplit(target).scheme not in ("http", "https"):
             continue
         seen = f"{target} {label}".lower()
         score = max((s for w, s in WAYS if w in seen), default=0)
