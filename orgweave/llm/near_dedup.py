@@ -8,10 +8,10 @@ SKETCH_BITS bits: the population count of two sketches' XOR tells the number of
 samples. Pairs whose count is more than the threshold allows, with a margin of MARGIN standard
 deviations of the samples, are dropped before the sets are compared.
 
-Links are found in rounds. In each of STARS rounds the nodes of a bucket (a band's value) are
-held against one node of it, another one each time, so a bucket of n copies makes n pairs and
-no more than those of nodes not linked yet. Confirmed links give components. Then buckets that
-still hold several components are worked through completely, but for pairs that are in one
+Links are found in rounds. In each of up to STARS rounds a node is held against CENTRES nodes of
+its buckets (a band's values), others each time, so n copies make CENTRES * n pairs and no more
+than those of nodes not linked yet. Confirmed links give components. Once no bucket of more than
+SMALL nodes, or no round, is left, buckets that still hold several components are worked through completely, but for pairs that are in one
 component already: buckets of up to SMALL nodes by a join, larger ones in blocks of BLOCK nodes
 whose pairs go to tasks of their own, so that no task or row holds a bucket. Every pair that
 passes its sketch is confirmed on the full sets.
@@ -41,6 +41,7 @@ SAMPLES = 1024
 SKETCH_BITS = 2048
 MARGIN = 4.0
 STARS = 3
+CENTRES = 2
 SMALL = 64
 #: Tables of up to so many narrow rows (ids or pairs of ids) are broadcast; larger ones are joined by a shuffle.
 MAX_BROADCAST_ROWS = 1 << 20
@@ -239,10 +240,17 @@ def _large_bucket_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> Data
 
 
 def _star_pairs(rows: DataFrame, turn: int) -> DataFrame:
-    """Each node of a bucket with the bucket's first node in an order of the turn, unless they are in one component."""
-    first = rows.groupBy("bucket").agg(F.min(F.struct(F.xxhash64("node", F.lit(turn)), "node", "component")).alias("f"))
-    centred = rows.join(first.select("bucket", F.col("f.node").alias("end"), F.col("f.component").alias("end_component")), "bucket")
-    return centred.where("component <> end_component").select(F.greatest("node", "end").alias("a"), F.least("node", "end").alias("b")).distinct()
+    """Each node with CENTRES others: of all nodes of its buckets the first in as many orders, unless they are in one component.
+
+    An order is the same in all buckets, so nodes of a group that share a bucket with the group's
+    first node meet that one, and a turn makes at most CENTRES pairs for each node.
+    """
+    order = lambda i: F.min(F.struct(F.xxhash64("node", F.lit(turn * CENTRES + i)), "node", "component")).alias(f"f{i}")
+    firsts = rows.groupBy("bucket").agg(*[order(i) for i in range(CENTRES)])
+    met = rows.join(firsts, "bucket").groupBy("node", "component").agg(*[F.min(f"f{i}").alias(f"f{i}") for i in range(CENTRES)])
+    centred = met.select("node", "component", F.explode(F.array_distinct(F.array(*[F.struct(F.col(f"f{i}.node").alias("end"), F.col(f"f{i}.component").alias("c")) for i in range(CENTRES)]))).alias("e"))
+    other = centred.where("component <> e.c").select(F.greatest("node", "e.end").alias("a"), F.least("node", "e.end").alias("b"))
+    return other.distinct()
 
 
 def _rest_pairs(rows: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
@@ -272,14 +280,20 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     links = materialise(nodes.select(F.col("node").alias("a"), F.col("node").alias("b")).limit(0), "links")
     parts = links.select(F.col("a").alias("node"), F.col("b").alias("component"))
     for turn in range(STARS + 1):
-        if rows.isEmpty():
+        largest = rows.agg(F.max("size")).first()[0]
+        if largest is None:
             break
-        pairs = _plausible(_star_pairs(rows, turn), nodes, percent) if turn < STARS else _rest_pairs(rows, nodes, percent)
+        last = turn == STARS or (turn > 0 and largest <= SMALL)
+        pairs = _rest_pairs(rows, nodes, percent) if last else _plausible(_star_pairs(rows, turn), nodes, percent)
         found = materialise(_confirmed(pairs, sets, percent), "found")
         if found.isEmpty():
+            if last:
+                break
             continue
         links = materialise(links.unionByName(found), "links")
         parts = connected_components(links)
+        if last:
+            break
         named = rows.drop("component").join(parts, "node", "left").select("bucket", "node", "size", F.coalesce("component", "node").alias("component"))
         mixed = named.groupBy("bucket").agg(F.min("component").alias("c1"), F.max("component").alias("c2")).where("c1 <> c2").select("bucket")
         rows = materialise(named.join(mixed, "bucket", "left_semi"), "buckets")
