@@ -11,9 +11,10 @@ deviations of the samples, are dropped before the sets are compared.
 Links are found in rounds. In each of up to STARS rounds a node is held against CENTRES nodes of
 its buckets (a band's values), others each time, so n copies make CENTRES * n pairs and no more
 than those of nodes not linked yet. Confirmed links give components. Once no bucket of more than
-SMALL nodes, or no round, is left, buckets that still hold several components are worked through completely, but for pairs that are in one
-component already: buckets of up to SMALL nodes by a join, larger ones in blocks of BLOCK nodes
-whose pairs go to tasks of their own, so that no task or row holds a bucket. Every pair that
+WIDE nodes, or no round, is left, buckets that still hold several components are worked through
+completely, but for pairs that are in one component already: buckets of up to SMALL nodes by a
+join, larger ones in blocks of BLOCK nodes whose pairs go to tasks of their own and leave them
+only if their sketches allow, so that no task or row holds a bucket. Every pair that
 passes its sketch is confirmed on the full sets.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; fewer than
@@ -42,7 +43,8 @@ SKETCH_BITS = 2048
 MARGIN = 4.0
 STARS = 3
 CENTRES = 2
-SMALL = 64
+SMALL = 8
+WIDE = 64
 #: Tables of up to so many narrow rows (ids or pairs of ids) are broadcast; larger ones are joined by a shuffle.
 MAX_BROADCAST_ROWS = 1 << 20
 BLOCK = 1024
@@ -283,7 +285,7 @@ def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
         largest = rows.agg(F.max("size")).first()[0]
         if largest is None:
             break
-        last = turn == STARS or (turn > 0 and largest <= SMALL)
+        last = turn == STARS or (turn > 0 and largest <= WIDE)
         pairs = _rest_pairs(rows, nodes, percent) if last else _plausible(_star_pairs(rows, turn), nodes, percent)
         found = materialise(_confirmed(pairs, sets, percent), "found")
         if found.isEmpty():
