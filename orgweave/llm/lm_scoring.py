@@ -1,16 +1,19 @@
-"""Language-model scores from a trigram model in an Elias-Fano trie.
-
-Tokens are hashed words and an end token. Their counts over all training documents give the
-add-one base score. The model's symbols are the words that make up at least 1/SYMBOLS of the
-training tokens (so SYMBOLS of them at most) and one class for all others; in that class a
-word has its share by add-one counts. Pairs and triples of symbols that make up at least
-1/NGRAMS of the tokens enter the trie (NGRAMS of each at most); the mass of the others goes to
-the backoff weights. The thresholds are shares of the corpus, so the model is made alike at
-every size and what is broadcast is bounded, while all counts are taken over all documents.
-
-The words with a share of at least 1/KNOWN are looked up in the task that reads a text. All
-other words are rare by definition: they meet their counts in a join on the word, which no
-word can skew, and are summed by document.
+"""Language-model scores from a trigram model of all words, pairs and triples, in shards.
+
+Tokens are hashed words and an end token. Every word, pair and triple of the training
+documents counts; there are no thresholds, so the model grows with the corpus. It is never in
+one place: words are dealt to shards by their hash, triples by the hash of their context (the
+pair before the third word), so a shard has all followers of its contexts. Triples are
+interpolated by absolute discounting over pairs, pairs by a Dirichlet prior over words, words
+by add-one shares; each distribution sums to one.
+
+A task that reads texts cuts them into slices and sends each shard, in one block, the slice's
+distinct words and triples with their training counts. The shard adds the counts up and
+answers each block in its order, with its totals. A second pass over the texts says where in a slice the
+distinct ones stand, and meets the answers. A slice sends a word or triple once, so frequent
+ones skew no task; the number of shards is that of the shuffle partitions, which a session
+sets in proportion to its input. Both passes have to cut the same slices: the sums of the keys
+are compared, and a difference is an error.
 
 Defined cases: null and empty texts are the end token alone; a null doc_id is scored, with
 held_out false, and not learned from; repeated rows are scored each; without training
@@ -19,24 +22,21 @@ documents all counts are 0; other columns are ignored.
 
 from __future__ import annotations
 
-import math
-
 import numpy as np
 import pyarrow as pa
-from pyspark import TaskContext
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orgweave.llm.common import LOWER, doc_crc, materialise, mix, read, span_hashes, text_slices, word_spans
-from orgweave.llm.elias_fano import Trie, build_trie
+from orgweave.llm.common import LOWER, doc_crc, mix, read, span_hashes, text_slices, word_spans
 
-SYMBOLS = 1 << 14
-KNOWN = 1 << 18
-NGRAMS = 1 << 20
 HELD_OUT = (7, 2)
-_END = np.uint64(0x5EED0E0D)
-_FLUSH = 1 << 20
-_SHIFT = 20
+DISCOUNT = 0.5
+#: Weight of the add-one shares among a word's followers, in tokens.
+PRIOR = 64.0
+_END, _BEGIN, _NONE, _PAD = (np.uint64(x) for x in (0x5EED0E0D, 0x5EED0B19, 0x5EED0909, 0x5EED0BAD))
+_SLICE = 6 << 20
+_BATCH = 1 << 23
+_BLOCKS = "slice long, shard int, wanted int, total long, body binary"
 
 
 def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
@@ -52,215 +52,327 @@ def tokens(data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarra
     return out_row, out
 
 
-class _Counter:
-    """Counts of numbers, handed over when many distinct ones are held."""
+class Model:
+    """The training texts. The shards are made while scoring."""
 
-    def __init__(self) -> None:
-        self.parts: list[tuple[np.ndarray, np.ndarray]] = []
-        self.held = 0
+    def __init__(self, texts: DataFrame) -> None:
+        self.texts = texts
+
+
+def _distinct(keys: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+    """(first, index): places of the distinct keys' first occurrences in order, and each key's number among them."""
+    _, first, place = np.unique(keys, return_index=True, return_inverse=True)
+    order = np.argsort(first)
+    number = np.empty(len(order), np.int64)
+    number[order] = np.arange(len(order))
+    return first[order], number[place]
+
+
+class _Slice:
+    """Words and triples of some rows; a closing triple of each row has the row's last pair as its context."""
+
+    def __init__(self, data: np.ndarray, offsets: np.ndarray, shards: int) -> None:
+        self.row, h = tokens(data, offsets)
+        rows, n = len(offsets) - 1, len(h)
+        self.at = np.arange(n) + self.row
+        self.long_row = np.empty(n + rows, np.int64)
+        c = np.full(n + rows, _PAD)
+        close = np.flatnonzero(h == _END) + np.arange(1, rows + 1)
+        c[self.at], self.long_row[self.at], self.long_row[close] = h, self.row, np.arange(rows)
+        first = np.ones(len(c), bool)
+        first[1:] = self.long_row[1:] != self.long_row[:-1]
+        b = np.where(first, _BEGIN, np.roll(c, 1))
+        a = np.where(first, _NONE, np.roll(b, 1))
+        pair = mix(mix(a + _PAD) + b)
+        self.words, self.word_index = _distinct(h)
+        self.triples, self.triple_index = _distinct(mix(pair + c * _END))
+        self.word, self.pair, self.third = h[self.words], pair[self.triples], c[self.triples]
+        self.word_shard = (self.word % np.uint64(shards)).astype(np.int64)
+        self.triple_shard = (self.pair % np.uint64(shards)).astype(np.int64)
+        self.total = int((self.word.sum() ^ self.pair.sum() ^ self.third.sum()).view(np.int64)) if n else 0
+
+    def by_shard(self, shards: int) -> list[tuple[np.ndarray, np.ndarray]]:
+        """(its words, its triples), each in order, of every shard."""
+        parts = []
+        for of in (self.word_shard, self.triple_shard):
+            order = np.argsort(of, kind="stable")
+            parts.append(np.split(order, np.cumsum(np.bincount(of, minlength=shards))[:-1]))
+        return list(zip(*parts, strict=True))
+
+
+def _pack(arrays: list[np.ndarray]) -> bytes:
+    """Arrays in one block, each compressed."""
+    out = []
+    for x in arrays:
+        body = pa.compress(np.ascontiguousarray(x).tobytes(), codec="zstd", asbytes=True) if len(x) else b""
+        out += [np.array([len(x), len(body)], np.int64).tobytes(), body]
+    return b"".join(out)
+
+
+def _unpack(block: bytes, kinds: list[str]) -> list[np.ndarray]:
+    out, at = [], 0
+    for kind in kinds:
+        n, size = np.frombuffer(block, np.int64, 2, at)
+        at += 16
+        size_of = int(n) * np.dtype(kind).itemsize
+        out.append(np.frombuffer(pa.decompress(block[at : at + size], size_of, codec="zstd", asbytes=True), kind) if n else np.zeros(0, kind))
+        at += size
+    return out
+
+
+def _narrow(x: np.ndarray) -> np.ndarray:
+    """Eight bytes a number, the lowest of all numbers first, which packs well."""
+    return x.astype("<u8").view(np.uint8).reshape(-1, 8).T.ravel()
+
+
+def _wide(x: np.ndarray) -> np.ndarray:
+    return np.ascontiguousarray(x.reshape(8, -1).T).view("<i8").ravel()
+
+
+def _index(index: np.ndarray) -> list[np.ndarray]:
+    """A numbering by first occurrence: a bit for each new number, and the numbers of the others."""
+    new = np.zeros(len(index), bool)
+    if len(index):
+        new[0], new[1:] = True, index[1:] > np.maximum.accumulate(index)[:-1]
+    return [np.packbits(new), _narrow(index[~new])]
+
+
+def _indexed(n: int, bits: np.ndarray, others: np.ndarray) -> np.ndarray:
+    new = np.unpackbits(bits, count=n).astype(bool)
+    out = np.cumsum(new) - 1
+    out[~new] = _wide(others)
+    return out
+
+
+def _top(keys: np.ndarray, size: int) -> np.ndarray:
+    """The highest `size` bytes of each key; the lowest bits say little beside the shard."""
+    return keys.astype("<u8").view(np.uint8).reshape(-1, 8)[:, 8 - size :].ravel()
+
+
+def _keys(tops: np.ndarray, size: int) -> np.ndarray:
+    out = np.zeros((len(tops) // size, 8), np.uint8)
+    out[:, :size] = tops.reshape(-1, size)
+    return out.view("<u8").ravel()
+
+
+def _joint(columns: list[np.ndarray]) -> list[np.ndarray]:
+    """Rows of numbers as the distinct rows, most frequent first, and each row's place among them."""
+    key = np.zeros(len(columns[0]), np.uint64)
+    for x in columns:
+        key = mix(key + x.astype(np.uint64) + np.uint64(1))
+    _, first, place, times = np.unique(key, return_index=True, return_inverse=True, return_counts=True)
+    order = np.argsort(-times, kind="stable")
+    rank = np.empty(len(order), np.int64)
+    rank[order] = np.arange(len(order))
+    return [*(_narrow(x[first[order]]) for x in columns), _narrow(rank[place])]
+
+
+#: Bytes kept of the hash of a word, of a context and of the word after it.
+_WORD, _CONTEXT, _THIRD = 6, 6, 5
+_QUERY = ["u1"] * 5
+_ANSWER = ["u1"] * 5 + ["<i8"]
+_WHERE = ["u1"] * 4 + ["<u2", "<u2", "<i8", "<i8", "u1"]
+
+
+def _sliced(batches, shards: int):
+    """(slice, its number in the task, Slice, doc_id, held_out, learn, ask) of the texts of a task."""
+    number = 0
+    for batch in batches:
+        learn, ask = (batch.column(x).to_numpy(zero_copy_only=False).astype(bool) for x in ("learn", "ask"))
+        for first, end, data, offsets in text_slices(batch.column("text"), _SLICE):
+            ids, held = batch.column("doc_id").slice(first, end - first), batch.column("held_out").slice(first, end - first)
+            yield batch.column("part")[0].as_py() << 32 | number, _Slice(data, offsets, shards), ids, held, learn[first:end], ask[first:end]
+            number += 1
 
-    def add(self, keys: np.ndarray) -> pa.RecordBatch | None:
-        key, count = np.unique(keys, return_counts=True)
-        self.parts.append((key, count))
-        self.held += len(key)
-        return self.take() if self.held > _FLUSH else None
 
-    def take(self) -> pa.RecordBatch:
-        keys, counts = (np.concatenate([p[i] for p in self.parts]) if self.parts else np.zeros(0, np.int64) for i in (0, 1))
-        key, place = np.unique(keys, return_inverse=True)
-        total = np.bincount(place, weights=counts, minlength=len(key)).astype(np.int64)
-        self.parts, self.held = [], 0
-        return pa.RecordBatch.from_arrays([pa.array(key.view(np.int64)), pa.array(total)], names=["k", "c"])
+class _Out:
+    """Rows of blocks, handed over in batches of bounded bytes."""
 
+    def __init__(self) -> None:
+        self.rows: list[tuple] = []
+        self.size = 0
 
-def _counts(texts: DataFrame, keys_of) -> DataFrame:
-    """(k, c): how often keys_of finds each number in all texts; summed in the tasks before the shuffle."""
+    def add(self, *row) -> bool:
+        self.rows.append(row)
+        self.size += len(row[-1])
+        return self.size > _BATCH
 
-    def run(batches):
-        counter = _Counter()
-        for batch in batches:
-            for _, _, data, offsets in text_slices(batch.column("text")):
-                full = counter.add(keys_of(*tokens(data, offsets)))
-                if full is not None:
-                    yield full
-        yield counter.take()
-
-    return texts.mapInArrow(run, "k long, c long").groupBy("k").agg(F.sum("c").alias("c"))
-
-
-class Lexicon:
-    """The known words: hashes in order, their counts, and their symbols (0: the class of the others)."""
-
-    def __init__(self, hashes: np.ndarray, counts: np.ndarray, total: int) -> None:
-        order = np.argsort(hashes)
-        self.hashes, self.counts = hashes[order], counts[order]
-        frequent = np.flatnonzero(self.counts * SYMBOLS >= total)
-        frequent = frequent[np.argsort(-self.counts[frequent], kind="stable")]
-        self.symbols = np.zeros(len(hashes), np.int64)
-        self.symbols[frequent] = np.arange(1, len(frequent) + 1)
-        #: symbols that can be predicted; the number itself is the beginning of a text, a context only
-        self.size = len(frequent) + 1
-        self.symbol_counts = np.append(0, self.counts[frequent])
-
-    def find(self, hashes: np.ndarray) -> np.ndarray:
-        """Places of the hashes among the known words, -1 for others."""
-        if not len(self.hashes):
-            return np.full(len(hashes), -1)
-        at = np.searchsorted(self.hashes, hashes)
-        at[at == len(self.hashes)] = 0
-        return np.where(self.hashes[at] == hashes, at, -1)
-
-    def contexts(self, row: np.ndarray, hashes: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-        """(place, a, b, c) for each token: its place in the lexicon and the symbols before it and its own; -1 for none."""
-        at = self.find(hashes)
-        c = np.where(at >= 0, self.symbols[at] if len(self.symbols) else 0, 0)
-        first = np.ones(len(row), bool)
-        first[1:] = row[1:] != row[:-1]
-        b = np.where(first, self.size, np.roll(c, 1))
-        a = np.where(first, -1, np.roll(b, 1))
-        return at, a, b, c
+    def take(self) -> pa.RecordBatch:
+        columns = list(zip(*self.rows, strict=True)) if self.rows else [()] * 5
+        kinds = [pa.int64(), pa.int32(), pa.int32(), pa.int64(), pa.binary()]
+        self.rows, self.size = [], 0
+        return pa.RecordBatch.from_arrays([pa.array(x, k) for x, k in zip(columns, kinds, strict=True)], names=["slice", "shard", "wanted", "total", "body"])
 
 
-def _collected(counts: DataFrame) -> tuple[np.ndarray, np.ndarray]:
-    table = counts.toArrow()
-    key, count = table["k"].to_numpy(), table["c"].to_numpy()
-    order = np.argsort(key)
-    return key[order], count[order]
+def _ask(shards: int):
+    """Texts to blocks for the shards: distinct words and triples with their training counts."""
 
+    def run(batches):
+        out = _Out()
+        for name, s, _, _, learn, ask in _sliced(batches, shards):
+            words = np.bincount(s.word_index, weights=learn[s.row], minlength=len(s.word)).astype(np.int64)
+            triples = np.bincount(s.triple_index, weights=learn[s.long_row], minlength=len(s.pair)).astype(np.int64)
+            for shard, (w, t) in enumerate(s.by_shard(shards)):
+                body = _pack([_top(s.word[w], _WORD), _narrow(words[w]), _top(s.pair[t], _CONTEXT), _top(s.third[t], _THIRD), _narrow(triples[t])])
+                if out.add(name, shard, int(ask.any()), s.total, body):
+                    yield out.take()
+        yield out.take()
+
+    return run
+
+
+def _answer(batches):
+    """All blocks of a shard to blocks of counts: of the words; of the triples, their contexts and the contexts' distinct followers; of all the shard's tokens and words."""
+    heads, parts = [], []
+    for batch in batches:
+        for name, shard, wanted, total, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+            heads.append((name, shard, wanted, total))
+            parts.append(_unpack(body, _QUERY))
+    if not heads:
+        return
+    word, key, third = (_keys(np.concatenate([p[i] for p in parts]), size) for i, size in ((0, _WORD), (2, _CONTEXT), (3, _THIRD)))
+    word_count, count = (np.concatenate([_wide(p[i]) for p in parts]) for i in (1, 4))
+    cuts = [np.cumsum([0] + [len(p[i]) // size for p in parts]) for i, size in ((0, _WORD), (2, _CONTEXT))]
+    del parts
+    _, place = np.unique(word, return_inverse=True)
+    sums = np.bincount(place, weights=word_count).astype(np.int64)
+    n1, totals = sums[place], np.array([sums.sum(), (sums > 0).sum()])
+    order = np.lexsort((third, key))
+    key, third = key[order], third[order]
+    new = np.ones(len(key), bool)
+    new[1:] = (key[1:] != key[:-1]) | (third[1:] != third[:-1])
+    context = np.ones(len(key), bool)
+    context[1:] = key[1:] != key[:-1]
+    triple, context = np.cumsum(new) - 1, np.cumsum(context) - 1
+    sums = np.bincount(triple, weights=count[order]).astype(np.int64)
+    of_triple = context[new]
+    pair_sums = np.bincount(of_triple, weights=sums).astype(np.int64)
+    followers = np.bincount(of_triple, weights=sums > 0).astype(np.int64)
+    n3, n2, d3 = (np.empty(len(order), np.int64) for _ in range(3))
+    n3[order], n2[order], d3[order] = sums[triple], pair_sums[context], followers[context]
+    out = _Out()
+    for k, (name, shard, wanted, total) in enumerate(heads):
+        if wanted:
+            w, t = slice(cuts[0][k], cuts[0][k + 1]), slice(cuts[1][k], cuts[1][k + 1])
+            if out.add(name, shard, wanted, total, _pack([_narrow(n1[w]), *_joint([n3[t], n2[t], d3[t]]), totals])):
+                yield out.take()
+    yield out.take()
+
+
+def _where(shards: int):
+    """Texts to one block a slice (shard -1): where its words and triples stand, and its rows."""
 
-class Model:
-    """What scoring needs: bounded arrays, the trie as one block, and the totals of the training tokens."""
+    def run(batches):
+        out = _Out()
+        for name, s, ids, held, _, ask in _sliced(batches, shards):
+            if not ask.any():
+                continue
+            known = np.flatnonzero(ask) if ids.null_count == 0 else np.flatnonzero(ask & ids.is_valid().to_numpy(zero_copy_only=False))
+            lengths = np.bincount(s.row, minlength=len(ask))
+            # a row's flags: 1 asked, 2 held out, 4 has an id
+            flags = ask + 2 * held.fill_null(False).to_numpy(zero_copy_only=False).astype(bool)
+            flags[known] += 4
+            body = _pack([
+                *_index(s.word_index), *_index(s.triple_index), s.word_shard.astype("<u2"), s.triple_shard.astype("<u2"),
+                lengths, ids.fill_null(0).to_numpy(), flags.astype(np.uint8),
+            ])
+            if out.add(name, -1, 1, s.total, body):
+                yield out.take()
+        yield out.take()
+
+    return run
+
+
+def _joined(shards: int):
+    """Blocks of the slices to a row for each document."""
+
+    def scores(where: bytes, answers: dict[int, bytes]) -> pa.RecordBatch:
+        *indexes, word_shard, triple_shard, lengths, ids, flags = _unpack(where, _WHERE)
+        counts = [np.zeros(len(word_shard), np.int64), *(np.zeros(len(triple_shard), np.int64) for _ in range(3))]
+        order = [np.argsort(x, kind="stable") for x in (word_shard, triple_shard)]
+        begin, train, distinct = [0, 0], 0, 0
+        for shard in range(shards):
+            *parts, totals = _unpack(answers[shard], _ANSWER)
+            of_word, *rows_of, place = map(_wide, parts)
+            of_triple = [x[place] for x in rows_of]
+            train, distinct = train + int(totals[0]), distinct + int(totals[1])
+            counts[0][order[0][begin[0] : begin[0] + len(of_word)]] = of_word
+            at = order[1][begin[1] : begin[1] + len(of_triple[0])]
+            for kept, x in zip(counts[1:], of_triple, strict=True):
+                kept[at] = x
+            begin = [begin[0] + len(of_word), begin[1] + len(at)]
+        rows, n = len(lengths), int(lengths.sum())
+        row = np.repeat(np.arange(rows), lengths)
+        n1 = counts[0][_indexed(n, *indexes[:2])]
+        long = _indexed(n + rows, *indexes[2:])
+        at = np.arange(n) + row
+        n3, n2, d3 = (x[long[at]] for x in counts[1:])
+        # the pair that ends here is the context of the next triple
+        pair = counts[2][long[at + 1]]
+        first = np.ones(n, bool)
+        first[1:] = row[1:] != row[:-1]
+        before = np.roll(n1, 1)
+        before[first] = n1[np.cumsum(lengths) - 1]  # as many texts begin as end
+        share = (n1 + 1) / (train + distinct + 1)
+        p = (pair + PRIOR * share) / (before + PRIOR)
+        context = np.maximum(n2, 1)
+        p = np.where(n2 > 0, np.maximum(n3 - DISCOUNT, 0) / context + DISCOUNT * d3 / context * p, p)
+        add = lambda x: np.bincount(row, weights=x, minlength=rows)
+        asked = np.flatnonzero(flags & 1)
+        columns = [
+            pa.array(ids, mask=flags & 4 == 0), pa.array(flags & 2 > 0), pa.array(lengths), pa.array(add(n1 > 0).astype(np.int64)),
+            pa.array(np.full(rows, train)), pa.array(add(np.log10(share))), pa.array(np.minimum(add(np.log10(p)), 0.0)),
+        ]
+        return pa.RecordBatch.from_arrays(columns, names=["doc_id", "held_out", "n_tokens", "n_known", "train_tokens", "base_score", "score"]).take(pa.array(asked))
 
-    def __init__(self, texts: DataFrame) -> None:
-        self.counts = materialise(_counts(texts, lambda row, h: h.view(np.int64)), "word-counts")
-        total = self.counts.agg(F.sum("c"), F.count(F.lit(1))).first()
-        self.tokens, self.distinct = total[0] or 0, total[1]
-        least = F.col("c") * KNOWN >= self.tokens
-        known, count = _collected(self.counts.where(least))
-        self.lexicon = Lexicon(known.view(np.uint64), count, self.tokens)
-        self.rare_counts = self.counts.where(~least)
-        self.block = self._trie(texts).dump()
-        in_class = self.lexicon.symbol_counts.sum()
-        self.class_tokens = self.tokens - int(in_class)
-        self.class_words = self.distinct - (self.lexicon.size - 1)
-
-    def _trie(self, texts: DataFrame) -> Trie:
-        sc = texts.sparkSession.sparkContext
-        lexicon = sc.broadcast(self.lexicon)
-        often = F.col("c") * NGRAMS >= self.tokens
-
-        def pair_keys(row, h):
-            _, _, b, c = lexicon.value.contexts(row, h)
-            return (b << _SHIFT) | c
-
-        pair, n2 = _collected(_counts(texts, pair_keys).where(often))
-        pairs = sc.broadcast(pair)
-
-        def triple_keys(row, h):
-            """Only triples whose pairs are both frequent: no other can be."""
-            _, a, b, c = lexicon.value.contexts(row, h)
-            kept = pairs.value
-            use = a >= 0
-            a, b, c = a[use], b[use], c[use]
-            if not len(kept):
-                return a[:0]
-
-            def frequent(key):
-                at = np.searchsorted(kept, key)
-                at[at == len(kept)] = 0
-                return kept[at] == key
-
-            use = frequent((a << _SHIFT) | b) & frequent((b << _SHIFT) | c)
-            return ((a[use] << _SHIFT) | b[use]) << _SHIFT | c[use]
-
-        triple, n3 = _collected(_counts(texts, triple_keys).where(often))
-        mask = (1 << _SHIFT) - 1
-        size = self.lexicon.size
-        unigrams = self.lexicon.symbol_counts.astype(float)
-        unigrams[0] = self.tokens - unigrams.sum()
-        end = self.lexicon.find(np.array([_END]))[0]
-        documents = self.counts.where(F.col("k") == int(_END)).agg(F.sum("c")).first()[0] or 0
-        # each token but the end stands before another; the beginning stands before each text's first
-        contexts = np.append(unigrams, documents)
-        contexts[self.lexicon.symbols[end] if end >= 0 else 0] -= documents
-        return build_trie(
-            unigrams, contexts, (pair >> _SHIFT, pair & mask, n2), (triple >> 2 * _SHIFT, (triple >> _SHIFT) & mask, triple & mask, n3)
-        ) if size else Trie([])
+    def run(batches):
+        held: dict[int, dict[int, bytes]] = {}
+        expected: dict[int, int] = {}
+        for batch in batches:
+            for name, shard, wanted, total, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
+                if expected.setdefault(name, total) != total:
+                    raise RuntimeError("the two passes over the texts cut different slices")
+                own = held.setdefault(name, {})
+                own[shard] = body
+                if len(own) == shards + 1:
+                    del held[name]
+                    yield scores(own.pop(-1), own)
+        if held:
+            raise RuntimeError("the two passes over the texts cut different slices")
+
+    return run
+
+
+def _scored(texts: DataFrame) -> DataFrame:
+    """texts: doc_id, held_out, text, learn (counts in the model) and ask (is returned)."""
+    # not the task's own number, which differs where one pass shares its stage with others
+    texts = texts.withColumn("part", F.spark_partition_id().cast("long"))
+    shards = min(max(1, int(texts.sparkSession.conf.get("spark.sql.shuffle.partitions"))), 1 << 16)
+    asked = texts.mapInArrow(_ask(shards), _BLOCKS).repartitionById(shards, F.col("shard"))
+    answers = asked.mapInArrow(_answer, _BLOCKS)
+    where = texts.mapInArrow(_where(shards), _BLOCKS)
+    # slices of one task go to tasks in turn
+    to = F.pmod(F.col("slice") % (1 << 32) + F.shiftright("slice", 32) * 7919, F.lit(shards)).cast("int")
+    met = answers.union(where).repartitionById(shards, to)
+    schema = "doc_id long, held_out boolean, n_tokens long, n_known long, train_tokens long, base_score double, score double"
+    return met.mapInArrow(_joined(shards), schema)
+
+
+def _texts(docs: DataFrame, held_out: Column, learn: Column, ask: bool) -> DataFrame:
+    return docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text", learn.alias("learn"), F.lit(ask).alias("ask"))
 
 
 def score(docs: DataFrame, model: Model, held_out: Column) -> DataFrame:
     """Per row of docs: doc_id, held_out, n_tokens, n_known, train_tokens, base_score and score."""
-    shared = docs.sparkSession.sparkContext.broadcast((model.lexicon, model.block))
-    schema = "row long, doc_id long, held_out boolean, n_tokens long, n_known long, base double, model double, w long, times long"
-    names = [x.split()[0] for x in schema.split(", ")]
-    kinds = [pa.int64(), pa.int64(), pa.bool_(), pa.int64(), pa.int64(), pa.float64(), pa.float64(), pa.int64(), pa.int64()]
-
-    def run(batches):
-        lexicon, block = shared.value
-        trie = Trie.map(block)
-        next_row = TaskContext.get().partitionId() << 33
-        log_counts = np.log10(lexicon.counts + 1.0)
-        # a word of the class has its share there; the share's divisor is the same for all and subtracted later
-        of_class = np.where(lexicon.symbols == 0, log_counts, 0.0)
-        for batch in batches:
-            ids, held = batch.column("doc_id"), batch.column("held_out")
-            for first, end, data, offsets in text_slices(batch.column("text")):
-                size = end - first
-                row, h = tokens(data, offsets)
-                at, a, b, c = lexicon.contexts(row, h)
-                known = at >= 0
-                key, place = np.unique(((a + 1) << 2 * _SHIFT) | (b << _SHIFT) | c, return_inverse=True)
-                mask = (1 << _SHIFT) - 1
-                logs = trie.score((key >> 2 * _SHIFT) - 1, (key >> _SHIFT) & mask, key & mask)[place]
-                add = lambda values, where=slice(None): np.bincount(row[where], weights=values, minlength=size)
-                base = add(log_counts[at[known]], known)
-                in_class = np.bincount(row[c == 0], minlength=size)
-                total = add(logs) + add(of_class[at[known]], known)
-                rows = next_row + np.arange(size)
-                next_row += size
-                # a key of its own for each head spreads them over the join
-                spread = pa.array(mix(rows.astype(np.uint64)).view(np.int64))
-                heads = [
-                    pa.array(rows), ids.slice(first, size), held.slice(first, size), pa.array(np.bincount(row, minlength=size)),
-                    pa.array(np.bincount(row[known], minlength=size)), pa.array(base), pa.array(total), spread, pa.array(in_class),
-                ]
-                yield pa.RecordBatch.from_arrays([x.cast(k) for x, k in zip(heads, kinds, strict=True)], names=names)
-                rare_row, rare = row[~known], h[~known]
-                order = np.lexsort((rare, rare_row))
-                rare_row, rare = rare_row[order], rare[order]
-                begin = np.flatnonzero(np.append(True, (rare[1:] != rare[:-1]) | (rare_row[1:] != rare_row[:-1]))) if len(rare) else np.zeros(0, np.int64)
-                times = np.diff(np.append(begin, len(rare)))
-                m = len(begin)
-                tails = [pa.array(rows[rare_row[begin]]), *[pa.nulls(m, k) for k in kinds[1:7]], pa.array(rare[begin].view(np.int64)), pa.array(times)]
-                yield pa.RecordBatch.from_arrays(tails, names=names)
-
-    texts = docs.select(F.col("doc_id").cast("long").alias("doc_id"), held_out.alias("held_out"), "text")
-    parts = texts.mapInArrow(run, schema)
-    counted = parts.join(model.rare_counts.select(F.col("k").alias("w"), "c"), "w", "left")
-    is_head = F.col("n_tokens").isNotNull()
-    rare_known = F.when(~is_head & F.col("c").isNotNull(), F.col("times"))
-    rare_logs = F.when(rare_known.isNotNull(), F.col("times") * F.log10(F.col("c") + 1.0))
-    summed = counted.groupBy("row").agg(
-        F.max("doc_id").alias("doc_id"),
-        F.max("held_out").alias("held_out"),
-        F.sum("n_tokens").alias("n_tokens"),
-        (F.sum("n_known") + F.coalesce(F.sum(rare_known), F.lit(0))).alias("n_known"),
-        F.sum(F.coalesce("base", rare_logs, F.lit(0.0))).alias("__base"),
-        F.sum(F.coalesce("model", rare_logs, F.lit(0.0))).alias("__model"),
-        F.sum(F.when(is_head, F.col("times"))).alias("__class"),
-    )
-    base_divisor = math.log10(model.tokens + model.distinct + 1)
-    class_divisor = math.log10(model.class_tokens + model.class_words + 1)
-    return summed.select(
-        "doc_id", "held_out", "n_tokens", "n_known", F.lit(model.tokens).cast("long").alias("train_tokens"),
-        (F.col("__base") - F.col("n_tokens") * base_divisor).alias("base_score"),
-        (F.col("__model") - F.col("__class") * class_divisor).alias("score"),
-    )
+    none = F.lit(None).cast("long").alias("doc_id")
+    learned = _texts(model.texts.select(none, "text"), F.lit(False), F.lit(True), False)
+    return _scored(learned.union(_texts(docs, held_out, F.lit(False), True)))
 
 
 def op10(spark, sf_dir: str) -> DataFrame:
     docs = read(spark, sf_dir, "documents")
     base, remainder = HELD_OUT
     held_out = F.coalesce(doc_crc("doc_id") % base == remainder, F.lit(False))
-    model = Model(docs.where(F.col("doc_id").isNotNull() & ~held_out).select("text"))
-    return score(docs, model, held_out)
+    training = F.col("doc_id").isNotNull() & ~held_out
+    # one pass serves both: a training document is counted and scored
+    return _scored(_texts(docs, held_out, training, True))

@@ -161,3 +161,44 @@ def test_lm_base_scores(spark, docs, texts, no_docs):
     assert lm_scoring.score(no_docs, model, F.lit(False)).count() == 0
     empty = lm_scoring.Model(no_docs.select("text"))
     assert all(r.n_known == 0 and r.train_tokens == 0 and r.score <= 0 for r in lm_scoring.score(docs, empty, F.lit(True)).collect())
+
+
+def brute_scores(learned, asked):
+    """log10 of the texts' probabilities by the trigram model of all words, pairs and triples, one token at a time."""
+    one, two, three = collections.Counter(), collections.Counter(), collections.Counter()
+    sequence = lambda t: ["<none>", "<begin>", *WORD.findall((t or "").translate(FOLD)), "<end>"]
+    for t in learned:
+        s = sequence(t)
+        one.update(s[2:])
+        two.update(zip(s[1:], s[2:]))
+        two["<none>", "<begin>"] += 1
+        three.update(zip(s, s[1:], s[2:]))
+    followers = collections.Counter(x[:2] for x in three)
+    n, prior, d = one.total(), lm_scoring.PRIOR, lm_scoring.DISCOUNT
+
+    def p(a, b, c):
+        share = (one[c] + 1) / (n + len(one) + 1)
+        out = (two[b, c] + prior * share) / (one["<end>" if b == "<begin>" else b] + prior)
+        of = two[a, b]
+        return max(three[a, b, c] - d, 0) / of + d * followers[a, b] / of * out if of else out
+
+    return [sum(math.log10(p(*x)) for x in zip(s, s[1:], s[2:])) for s in map(sequence, asked)]
+
+
+def test_lm_scores_use_every_ngram(spark, docs, texts):
+    """Words, pairs and triples that occur once or twice count, however long the corpus is."""
+    import random
+
+    r = random.Random(9)
+    rare = [" ".join(f"r{r.randrange(30000)}" for _ in range(300)) for _ in range(120)]
+    rows = [*texts, *((1000 + i, t) for i, t in enumerate(rare)), (2000, rare[0]), (2001, rare[0] + " " + rare[1][:90])]
+    df = spark.createDataFrame(rows, "doc_id long, text string").repartition(3)
+    held = lambda i: i is not None and zlib.crc32(str(i).encode()) % 7 == 2
+    held_out = F.coalesce(doc_crc("doc_id") % 7 == 2, F.lit(False))
+    expected = brute_scores([t for i, t in rows if i is not None and not held(i)], [t for _, t in rows])
+    expected = sorted((-1 if i is None else i, held(i), round(x, 5)) for (i, _), x in zip(rows, expected))
+    training = F.col("doc_id").isNotNull() & ~held_out
+    model = lm_scoring.Model(df.where(training).select("text"))
+    as_one = lm_scoring._scored(lm_scoring._texts(df, held_out, training, True))
+    for out in (lm_scoring.score(df, model, held_out), as_one):
+        assert sorted((-1 if x.doc_id is None else x.doc_id, x.held_out, round(x.score, 5)) for x in out.collect()) == expected
