@@ -1,12 +1,13 @@
 """Licence scans with a positional index of rare words (DataFrame functions only).
 
-Templates of licence notices are cut into words. A file's licence words are looked up in a
-fixed vocabulary, weighted by inverse document frequency over all documents; the KEYS
-rarest of them are taken with all their places. A place in the file minus a posting's place
-in a template is a relative position. Words of a template that agree on one relative
-position (up to SLACK words of drift, for inserted or dropped words) form a candidate, and
-a candidate becomes a label if its mandatory key phrases all stand in the file as
-consecutive words near it. The score is the share of the template's IDF that agrees.
+Templates of licence notices are cut into words, weighted by inverse document frequency over
+all documents; the KEYS rarest of each template are its postings. They are looked up around
+every place where the template's first key phrase stands, as a match is near one, so no
+other notice in the file displaces them. A place in the file minus a posting's place in the
+template is a relative position. Words of a template that agree on one relative position (up
+to SLACK words of drift, for inserted or dropped words) form a candidate, and a candidate
+becomes a label if its mandatory key phrases all stand in the file as consecutive words near
+it. The score is the share of the template's IDF that agrees.
 
 The base count is separate and exact: all places of three fixed phrases.
 
@@ -48,6 +49,7 @@ TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("cc-by", "this work is licensed under a creative commons attribution 4 0 international license", ("creative commons attribution 4 0",)),
     ("cc0", "released under the creative commons cc0 1 0 universal public domain dedication", ("cc0",)),
 )
+#: Words of a template, its rarest, that are looked up.
 KEYS = 12
 SLACK = 2
 #: Share of a template's IDF that has to agree on a relative position.
@@ -117,11 +119,6 @@ def license_scan(docs: DataFrame, *keep: Column | str, text_col: str = "text") -
     idf_map = F.create_map(*[x for w in _VOCABULARY for x in (F.lit(w), F.lit(idf[w]))])
 
     def scan(words: Column) -> Column:
-        def keyed(held: Column) -> Column:
-            """Words of the file's KEYS rarest licence words, with their places."""
-            ranked = F.sort_array(F.transform(held, lambda w: F.struct((-idf_map[w]).alias("x"), w.alias("w"))))
-            return F.transform(F.slice(ranked, 1, KEYS), lambda s: s["w"])
-
         def candidates(places: Column, label: str, notice: str, phrases: tuple[str, ...]) -> Column:
             """Places where one template's words agree on a relative position and its key phrases stand."""
             parts = notice.split()
@@ -129,11 +126,18 @@ def license_scan(docs: DataFrame, *keep: Column | str, text_col: str = "text") -
             postings = F.create_map(*[x for w in rarest for x in (F.lit(w), F.array(*[F.lit(i) for i, p in enumerate(parts) if p == w]))])
             weight = sum(idf[w] for w in rarest)
             none = F.array().cast("array<int>")
-            shifts = F.flatten(
-                F.transform(places, lambda s: F.transform(F.coalesce(postings[s["w"]], none), lambda t: F.struct((s["p"] - t).alias("d"), s["w"].alias("w"))))
-            )
-
-            def agree(found: Column) -> Column:
+            first, reach = phrases[0].split(), len(parts) + 2 * SLACK
+
+            def around(i: Column) -> Column:
+                """Candidates whose first key phrase stands at i: all their words lie in one window."""
+                low = F.greatest(i - reach, F.lit(0))
+                window = F.slice(words, low + 1, i - low + reach + 1)
+                shifts = F.flatten(
+                    F.transform(window, lambda w, k: F.transform(F.coalesce(postings[w], none), lambda t: F.struct((low + k - t).alias("d"), w.alias("w"))))
+                )
+                return let(shifts, lambda found: agree(found, i))
+
+            def agree(found: Column, i: Column) -> Column:
                 def score(d: Column) -> Column:
                     own = F.array_distinct(F.transform(F.filter(found, lambda s: F.abs(s["d"] - d) <= SLACK), lambda s: s["w"]))
                     return F.aggregate(own, F.lit(0.0), lambda x, w: x + idf_map[w]) / weight
@@ -141,23 +145,22 @@ def license_scan(docs: DataFrame, *keep: Column | str, text_col: str = "text") -
                 def verified(s: Column) -> Column:
                     every = s["score"] >= MIN_SHARE
                     for phrase in phrases:
-                        every = every & _near(words, s["place"], phrase.split(), len(parts) + 2 * SLACK)
+                        every = every & _near(words, s["place"], phrase.split(), reach)
                     return every
 
-                begins = F.array_distinct(F.transform(found, lambda s: s["d"]))
+                past = lambda d: i - F.greatest(d - SLACK, F.lit(0))
+                begins = F.filter(F.array_distinct(F.transform(found, lambda s: s["d"])), lambda d: past(d).between(0, reach))
                 return F.filter(F.transform(begins, lambda d: F.struct(F.lit(label).alias("label"), d.alias("place"), score(d).alias("score"))), verified)
 
-            return let(shifts, agree)
+            starts = _places(words, first, F.transform(F.filter(places, lambda s: s["w"] == first[0]), lambda s: s["p"]))
+            return F.array_distinct(F.flatten(F.transform(starts, around)))
 
         def matched(places: Column) -> Column:
             return F.concat(*[candidates(places, *template) for template in TEMPLATES])
 
-        def from_keys(keys: Column) -> Column:
-            at = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(keys, w), F.struct(w.alias("w"), i.alias("p")))), lambda s: s.isNotNull())
-            return let(at, matched)
-
-        vocabulary = F.array(*map(F.lit, _VOCABULARY))
-        return let(let(F.array_intersect(words, vocabulary), keyed), from_keys)
+        leading = F.array(*map(F.lit, sorted({phrases[0].split()[0] for _, _, phrases in TEMPLATES})))
+        at = F.filter(F.transform(words, lambda w, i: F.when(F.array_contains(leading, w), F.struct(w.alias("w"), i.alias("p")))), lambda s: s.isNotNull())
+        return let(at, matched)
 
     # every template's mandatory phrases hold one of these words; most files have none and stop here
     telling = F.array(*map(F.lit, sorted({max(p.split(), key=lambda w: (idf[w], w)) for _, _, ps in TEMPLATES for p in ps[:1]})))

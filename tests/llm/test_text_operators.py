@@ -196,6 +196,22 @@ def test_license_scan(spark):
     assert all(0 <= r[6] <= 1 for r in out)
 
 
+def test_license_scan_finds_every_notice_of_a_file(spark):
+    """A long notice of rare words displaces no other, before it or behind it."""
+    of = license_scan.TEMPLATES
+    bsd = next(notice for _, notice, _ in of if notice.startswith("redistribution and use"))
+    rows = [(i, f"{bsd} {'x ' * 40}{notice}") for i, (_, notice, _) in enumerate(of)]
+    rows += [(100 + i, f"{notice} {'x ' * 40}{bsd}") for i, (_, notice, _) in enumerate(of)]
+    rows.append((200, " ".join(f"{notice} {'x ' * 9}" for _, notice, _ in of)))
+    # the words of all the other notices are frequent
+    rows += [(1000 + i, notice.replace(" ", " x ")) for i, (_, notice, _) in enumerate(t for t in list(of) * 8 if t[0] != "bsd")]
+    out = {r.doc_id: r for r in license_scan.license_scan(spark.createDataFrame(rows, "doc_id long, text string"), "doc_id").collect()}
+    for i, (label, _, _) in enumerate(of):
+        assert {label, "bsd"} <= set(out[i].labels.split(",")) and {label, "bsd"} <= set(out[100 + i].labels.split(","))
+        assert (label, len(bsd.split()) + 40) in {(m.label, m.place) for m in out[i].matches}
+    assert set(out[200].labels.split(",")) == {label for label, _, _ in of}
+
+
 def test_license_scan_edges(docs, no_docs):
     assert license_scan.license_scan(docs, "doc_id", "label").count() == docs.count()
     assert license_scan.license_scan(no_docs, "doc_id").count() == 0
