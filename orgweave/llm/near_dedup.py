@@ -18,8 +18,8 @@ only if their sketches allow, so that no task or row holds a bucket. Every pair
 passes its sketch is confirmed on the full sets.
 
 Defined cases: null and empty texts have an empty set and are linked with nothing; fewer than
-SHINGLE words are one shingle; rows with a null doc_id are kept, with a null component; repeated
-rows are in one component, all with kept = (doc_id = component_id); extra columns are ignored.
+SHINGLE words are one shingle; rows with a null doc_id have no result row, as in the SQL, and
+`drop_near_duplicates` keeps them without a comparison; repeated rows are in one component, all with kept = (doc_id = component_id); extra columns are ignored.
 """
 
 from __future__ import annotations
