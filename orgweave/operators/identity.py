@@ -7,6 +7,7 @@ from collections.abc import Callable
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orgweave.sources.shared import written
 from orgweave.functions import text as T
 from orgweave.operators.policy import clamp
 
@@ -91,8 +92,6 @@ def rounds(state: DataFrame, step: Callable[[DataFrame, int], DataFrame], open_r
 
     Each round's result is written in the shared folder, so a round is not computed again.
     """
-    from orgweave.operators.graph import written
-
     left = open_rows(state).count()
     for i in range(limit):
         if not left:
@@ -108,11 +107,12 @@ def discover(companies: DataFrame, plan: Callable[[int], DataFrame], results: Da
     """Bounded discovery on recorded results: each round runs a query for each company still below stop_score.
 
     companies: company. plan(i): (company, query). results: (company, query, domain, score). The
-    round's queries that ran before are left out. Gives (company, domain, score, round).
+    round's queries that ran before are left out; what is found is written, so a round's plan does
+    not hold the ones before. Gives (company, domain, score, round).
     """
     found = results.select("company", "domain", "score", "query", F.lit(0).alias("round")).limit(0)
     for i in range(limit):
         done = found.groupBy("company").agg(F.max("score").alias("best")).where(F.col("best") >= stop_score).select("company")
         todo = plan(i).join(companies, "company", "left_semi").join(done, "company", "left_anti").join(found.select("company", "query").distinct(), ["company", "query"], "left_anti")
-        found = found.unionByName(todo.join(results, ["company", "query"]).select("company", "domain", "score", "query", F.lit(i).alias("round")))
+        found = written(found.unionByName(todo.join(results, ["company", "query"]).select("company", "domain", "score", "query", F.lit(i).alias("round"))), "discovered")
     return found.groupBy("company", "domain").agg(F.max("score").alias("score"), F.min("round").alias("round"))
