@@ -3,7 +3,7 @@ import re
 import numpy as np
 import pytest
 
-from orgweave.llm import components, decontaminate, html_extract, license_scan, near_dedup, packing, pii
+from orgweave.llm import decontaminate, html_extract, license_scan, near_dedup, packing, pii
 
 FOLD = str.maketrans("ABCDEFGHIJKLMNOPQRSTUVWXYZ", "abcdefghijklmnopqrstuvwxyz")
 
@@ -63,12 +63,6 @@ def test_near_duplicates_of_nothing(no_docs):
     assert near_dedup.drop_near_duplicates(no_docs).count() == 0
 
 
-def test_components_of_chains_and_stars(spark):
-    edges = [(i, i + 1) for i in range(40)] + [(100, 100 + i) for i in range(1, 30)] + [(7, 7), (None, 3), (500, 501)]
-    got = {r.node: r.component for r in components.connected_components(spark.createDataFrame(edges, "a long, b long")).collect()}
-    assert got == {i: 0 for i in range(41)} | {100 + i: 100 for i in range(30)} | {500: 500, 501: 500}
-
-
 # ---- decontamination
 def distance(a, b):
     """Edits between a and its best stretch of b."""
