@@ -3,13 +3,19 @@
 A page's markup is stripped to lines, one for each block element, in page order. Comments,
 scripts, styles and form controls go with their content; so do containers whose tag, role
 or class names say that they are menus, page headers, footers, sidebars, notices, adverts,
-forms or reader comments. Each line's weight is its text outside links. Weights are summed
-over sliding windows of WINDOW lines: the main text begins at a surge point, where the sum
-reaches SURGE after a line of none, and ends at a dive point, where the sum falls to nothing.
-The run between surge and dive with the most text is kept, and everything in it. Lines in
-an `article` or `main` element weigh WINDOW * SURGE at least and those outside weigh nothing,
-so that short paragraphs do not end the text of a page that marks it; if no run surges, the
-run with the most text is kept.
+forms or reader comments. A class name counts as a whole: `sidebar` and `cookie-bar` are
+noise, `no-sidebar`, `ad-free` and `search-result-article` are not, and neither is a container
+around the page's `article` or `main`.
+
+A line's weight is its text outside links. Weights are summed over sliding windows of WINDOW
+lines. A run goes from where the sum leaves nothing (after WINDOW lines without text) to the
+dive point where it is nothing again. A run surges if a sum of it reaches SURGE; all runs that
+surge are kept, and so are lines of links between two runs of one `article` or `main`. If no
+run surges, the heaviest run is kept. On a page that marks an `article` or `main`, lines
+outside weigh nothing. On other pages the kept text begins at the surge point, the first line
+of the run that by itself has a window line's share of SURGE (headings right before it
+included), and what lies before is a menu or a page header; lines that say nothing but a
+copyright are a footer.
 
 Defined cases: null and empty html and pages without text give an empty text; character
 references are decoded once; white space in a block becomes one space; `br` is white space;
@@ -21,6 +27,7 @@ from __future__ import annotations
 
 import html as html_lib
 import re
+from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
@@ -34,7 +41,7 @@ _TAG = re.compile(
     re.DOTALL,
 )
 _HINTS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
-_TOKEN = re.compile(r"[^a-z0-9]+")
+_PART = re.compile(r"[-_]+|(?<=[a-z0-9])(?=[A-Z])")
 # elements whose content is raw text or a control
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "svg", "iframe", "object", "canvas", "select", "button", "audio", "video", "math", "xmp"}
 _NOISE = {"nav", "footer", "aside", "form", "menu", "dialog", "head"}
@@ -53,35 +60,67 @@ _NOISE_HINTS = {
     "respond", "related", "recommended", "share", "sharing", "social", "widget", "toolbar", "login", "search", "form", "complementary",
     "contentinfo", "disclaimer", "copyright",
 }
-_HEADER_HINTS = {"header"}
+# words that turn a compound name's meaning round, and last parts of a compound that say nothing by themselves
+_NOT = {"no", "not", "has", "have", "with", "without", "free", "hide", "hidden", "is", "left", "right", "two", "one", "below", "after", "before"}
+_NEUTRAL = {
+    "list", "box", "bar", "wrap", "wrapper", "container", "section", "area", "block", "slot", "unit", "panel", "link", "links", "inner",
+    "outer", "item", "items", "row", "zone", "module", "holder", "top", "bottom", "main", "primary", "secondary", "thread", "form",
+}
+# noise that may itself hold article elements
+_REPLIES = {"comment", "comments", "commentlist", "disqus", "replies", "respond", "related", "recommended"}
+_HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
+_COPYRIGHT = re.compile(r"^(?:copyright\b)?\W*(?:(?:©|\(c\)).{0,80}|(?<=copyright )\d{4}.{0,80}|.{0,60}\ball rights reserved\b.{0,40})$", re.IGNORECASE)
+
+
+def _names_noise(name: str, in_main: bool) -> str:
+    """The noise word that a class name, id or role stands for; empty if it stands for none."""
+    hints = _NOISE_HINTS if in_main else _NOISE_HINTS | {"header"}
+    if name.lower() in hints:
+        return name.lower()
+    parts = [x.lower() for x in _PART.split(name) if x]
+    if len(parts) < 2 or _NOT & set(parts):
+        return ""
+    if parts[-1] in hints and parts[-1] != "form":
+        return parts[-1]
+    return parts[0] if parts[0] in hints and all(x in _NEUTRAL or x in hints or x.isdigit() for x in parts[1:]) else ""
 
 
-def _is_noise(tag: str, attributes: str, in_main: bool) -> bool:
+def _noise(tag: str, attributes: str, in_main: bool) -> str:
+    """Why a container's content is not main text: `tag`, a noise word, or nothing."""
     if tag in _NOISE or (tag == "header" and not in_main):
-        return True
-    if not attributes or tag in _MAIN:
-        return False
-    hints = set()
-    for values in _HINTS.findall(attributes):
-        hints.update(_TOKEN.split("".join(values).lower()))
-    return bool(hints & _NOISE_HINTS) or (not in_main and bool(hints & _HEADER_HINTS))
-
-
-def lines(page: str) -> list[tuple[str, int, bool]]:
-    """(text, characters outside links, inside an article or main) of each block."""
-    out: list[tuple[str, int, bool]] = []
+        return "tag"
+    if attributes and tag not in ("body", "html"):
+        for values in _HINTS.findall(attributes):
+            for name in "".join(values).split():
+                if found := _names_noise(name, in_main):
+                    return found
+    return ""
+
+
+class Line(NamedTuple):
+    text: str
+    weight: int  # characters outside links, without spaces
+    zone: int  # which outermost article or main it is in, from 1 on; 0 for none
+    heading: bool
+
+
+def lines(page: str) -> list[Line]:
+    """The blocks of text of a page that lie in no noise."""
+    out: list[Line] = []
     parts: list[str] = []
     linked = links = 0
-    open_tags: list[tuple[str, bool, bool]] = []  # tag, noise, main
-    noise = main = 0
-    at, lowered = 0, None
+    # tag, the noise word it adds, whether it is an article or main, noise words that it suspends
+    open_tags: list[tuple[str, str, bool, list[str]]] = []
+    noise: list[str] = []
+    zones = main = at = 0
+    heading, lowered = False, None
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                out.append((text, max(0, len(text) - text.count(" ") - linked), main > 0))
+                out.append(Line(text, max(0, len(text) - text.count(" ") - linked), zones if main else 0, heading))
             parts.clear()
         linked = 0
 
@@ -113,58 +152,92 @@ def lines(page: str) -> list[tuple[str, int, bool]]:
             add(" ")
         elif tag in _BLOCKS:
             flush()
+            heading = tag in _HEADINGS and not closing
         elif tag == "a":
             links = 0 if closing else 1
         if tag not in _CONTAINERS:
             continue
         if not closing:
-            is_noise, is_main = _is_noise(tag, attributes, main > 0), tag in _MAIN
-            if is_noise and not noise:
+            word, is_main = _noise(tag, attributes, main > 0), tag in _MAIN
+            if word and not noise:
                 flush()
             if not attributes.endswith("/"):
-                open_tags.append((tag, is_noise, is_main))
-                noise, main = noise + is_noise, main + is_main
+                # a layout's class around the first article says nothing about that
+                held = noise[:] if is_main and not word and not zones and "tag" not in noise and not _REPLIES & set(noise) else []
+                open_tags.append((tag, word, is_main, held))
+                if held:
+                    noise.clear()
+                if word:
+                    noise.append(word)
+                if is_main and not noise:
+                    zones += not main
+                    main += 1
+                elif is_main:
+                    open_tags[-1] = (tag, word, False, held)
         elif any(t[0] == tag for t in open_tags):
             while True:
-                popped, was_noise, was_main = open_tags.pop()
-                if was_noise:
+                popped, word, was_main, held = open_tags.pop()
+                if word:
                     parts.clear()
+                    noise.pop()
                 if was_main:
                     flush()
-                noise, main = noise - was_noise, main - was_main
+                    main -= 1
+                noise.extend(held)
                 if popped == tag:
                     break
     flush()
     return out
 
 
+def window_sums(weights: list[int]) -> list[int]:
+    """The weight of the WINDOW lines from each line on."""
+    return [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
+
+
+def runs(weights: list[int]) -> list[tuple[int, int, int]]:
+    """(first line, end, largest window sum) of each stretch between a rise from nothing and the dive to nothing."""
+    out, begin, peak = [], -1, 0
+    for i, total in enumerate([*window_sums(weights), 0]):
+        if total and begin < 0:
+            begin, peak = i, total
+        elif total:
+            peak = max(peak, total)
+        elif begin >= 0:
+            # windows reach back over lines without weight
+            while not weights[begin]:
+                begin += 1
+            out.append((begin, i, peak))
+            begin = -1
+    return out
+
+
 def extract(page: str | None) -> str:
     """The main text of one page, blocks joined by two line ends."""
     blocks = lines(page or "")
-    if not blocks:
-        return ""
-    marked = any(inside for _, _, inside in blocks)
+    marked = any(b.zone for b in blocks)
+    if not marked:
+        blocks = [b for b in blocks if not _COPYRIGHT.match(b.text)]
+    weights = [b.weight if b.zone or not marked else 0 for b in blocks]
+    found = runs(weights)
+    if not found:
+        return "\n\n".join(b.text for b in blocks if b.zone or not marked)
+    surged = [r for r in found if r[2] >= SURGE] or [max(found, key=lambda r: sum(weights[r[0] : r[1]]))]
+    kept: set[int] = set()
+    for first, end, peak in surged:
+        if not marked and peak >= SURGE:
+            own = [i for i in range(first, end) if weights[i] * WINDOW >= SURGE]
+            first = own[0] if own else first
+            while first > 0 and blocks[first - 1].heading:
+                first -= 1
+        kept.update(range(first, end))
     if marked:
-        weight = [max(n, WINDOW * SURGE) if inside else 0 for _, n, inside in blocks]
-    else:
-        weight = [n for _, n, _ in blocks]
-    sums = [sum(weight[i : i + WINDOW]) for i in range(len(weight))]
-    runs, begin = [], None
-    for i, total in enumerate([*sums, 0]):
-        if total and begin is None:
-            begin = i
-        elif not total and begin is not None:
-            runs.append((begin, i))
-            begin = None
-    if not runs:
-        runs = [(0, len(blocks))]
-    surged = [r for r in runs if max(sums[r[0] : r[1]]) >= SURGE] or runs
-    size = lambda r: sum(len(b[0]) for b, w in zip(blocks[r[0] : r[1]], weight[r[0] : r[1]], strict=True) if w or not marked)
-    first, end = max(surged, key=size)
-    # a window reaches back over lines without weight: the surge is its first line that has some
-    while first < end - 1 and not weight[first]:
-        first += 1
-    return "\n\n".join(b[0] for b, w in zip(blocks[first:end], weight[first:end], strict=True) if w or not marked)
+        ends: dict[int, tuple[int, int]] = {}
+        for i in sorted(kept):
+            if zone := blocks[i].zone:
+                ends[zone] = (ends.get(zone, (i, i))[0], i)
+        kept = {i for zone, (a, b) in ends.items() for i in range(a, b + 1) if blocks[i].zone == zone}
+    return "\n\n".join(blocks[i].text for i in sorted(kept))
 
 
 def extract_pages(pages: DataFrame, *keep) -> DataFrame:
