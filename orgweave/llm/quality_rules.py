@@ -1,14 +1,19 @@
 """Quality rules whose cutoffs are certified on labelled holdouts (DataFrame functions only).
 
-Five text statistics are computed for every document. For each stratum (a language) and
-each rule, the cutoffs of a fixed grid are tried from the loosest to the strictest. A
-cutoff is certified if the exact binomial tail P(Bin(n, risk) <= k) is at most
-confidence / (strata * rules), where n good labelled documents of the stratum were seen
-and k of them would be rejected: the Clopper-Pearson upper bound of its false-rejection
-rate then lies below the risk. The sequence of one grid is tested in fixed order, so only
-strata and rules need the Bonferroni correction. The strictest certified cutoff of each
-rule is applied; a rule with none rejects nothing in that stratum, and a stratum without
-labels keeps everything but the base failures.
+Five text statistics are computed for every document. PATH is a fixed sequence of cutoff
+vectors, each at least as strict as the one before; a document's level is the first vector one
+of whose cutoffs it exceeds, so what a vector rejects, all later ones do. For each stratum (a
+language) the vectors are tried in order. One is certified if the exact binomial tail
+P(Bin(n, RISK) <= k) is at most CONFIDENCE / strata, where n good labelled documents of the
+stratum were seen and k of them would be rejected: the Clopper-Pearson upper bound of the
+false-rejection rate of all rules together then lies below RISK. A sequence that is tested in
+fixed order up to its first failure needs no correction, so the whole risk is one test's, and
+only the strata need the Bonferroni correction. The strictest certified vector is applied; a
+stratum with none (under ln(CONFIDENCE / strata) / ln(1 - RISK) good labels, 217 for four
+strata) rejects nothing but the base failures, as nothing can be guaranteed there.
+
+The base rule is given by contract and outside the guarantee, which holds for good documents
+that pass it.
 
 Defined cases: null or empty text has no words (base failure); null language is the
 stratum "unknown"; repeated rows are judged each by itself; a document with several label
@@ -26,17 +31,33 @@ from orgweave.llm.common import let, materialise, read
 WINDOW = 8
 MIN_WORDS = 20
 MAX_REPEAT_PERCENT = 30
-#: Limit of false rejections in a stratum, shared by the rules, and the chance that any limit fails.
+#: Limit of good documents that the method rejects in a stratum, and the chance that any stratum's limit fails.
 RISK = 0.02
 CONFIDENCE = 0.05
-#: Rule: its cutoffs from loosest to strictest. A document is rejected above the cutoff.
-RULES: dict[str, tuple[float, ...]] = {
-    "symbol_ratio": (0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.12, 0.1, 0.08, 0.06, 0.05, 0.04, 0.03, 0.02),
-    "dup_line_ratio": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1),
-    "repeat_ratio": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15, 0.1),
-    "upper_ratio": (0.9, 0.8, 0.7, 0.6, 0.5, 0.4, 0.3, 0.25, 0.2, 0.15),
-    "mean_word_chars": (60.0, 40.0, 30.0, 25.0, 20.0, 18.0, 16.0, 14.0, 12.0),
-}
+RULES = ("symbol_ratio", "dup_line_ratio", "repeat_ratio", "upper_ratio", "mean_word_chars")
+#: Cutoffs of the rules, from loosest to strictest. A document is rejected above a cutoff. All rules are
+#: tightened together to where prose seldom lies, then one after the other.
+PATH: tuple[tuple[float, ...], ...] = (
+    (0.5, 0.9, 0.9, 0.9, 60.0),
+    (0.4, 0.8, 0.8, 0.8, 40.0),
+    (0.3, 0.7, 0.7, 0.7, 30.0),
+    (0.25, 0.6, 0.6, 0.6, 25.0),
+    (0.2, 0.5, 0.5, 0.5, 20.0),
+    (0.15, 0.45, 0.45, 0.4, 18.0),
+    (0.12, 0.4, 0.4, 0.35, 16.0),
+    (0.1, 0.35, 0.35, 0.3, 15.0),
+    (0.08, 0.3, 0.3, 0.25, 14.0),
+    (0.06, 0.3, 0.3, 0.25, 14.0),
+    (0.05, 0.3, 0.3, 0.25, 14.0),
+    (0.04, 0.3, 0.3, 0.25, 14.0),
+    (0.03, 0.3, 0.3, 0.25, 14.0),
+    (0.03, 0.25, 0.25, 0.25, 14.0),
+    (0.03, 0.2, 0.25, 0.25, 14.0),
+    (0.03, 0.2, 0.2, 0.2, 13.0),
+    (0.02, 0.2, 0.2, 0.2, 13.0),
+    (0.02, 0.15, 0.15, 0.2, 12.0),
+    (0.02, 0.1, 0.1, 0.15, 12.0),
+)
 MAX_BROADCAST_STRATA = 10_000
 
 
@@ -75,35 +96,49 @@ def _repeated(words: Column) -> Column:
     return let(hashes, all_windows)
 
 
-def text_metrics(docs: DataFrame, *keep: Column | str, text_col: str = "text") -> DataFrame:
-    """The columns `keep` and the statistics of every whole text."""
-    text = F.coalesce(F.col(text_col), F.lit(""))
+def _metrics(text: Column) -> Column:
+    """The statistics of a whole text, as one struct that is computed once however often it is used."""
+    text = F.coalesce(text, F.lit(""))
+    words = F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != "")
     lines = F.filter(F.split(text, "\n"), lambda x: x.rlike(r"[^\x20\x09-\x0D]"))
-    of_words = let(
-        F.filter(F.split(text, r"[\x20\x09-\x0D]+"), lambda w: w != ""),
-        lambda w: F.struct(F.size(w).alias("n"), F.length(F.array_join(w, "")).alias("c"), _repeated(w).alias("r")),
+    counts = F.struct(
+        let(words, lambda w: F.struct(F.size(w).cast("long").alias("n"), F.length(F.array_join(w, "")).cast("long").alias("c"), _repeated(w).cast("long").alias("r"))).alias("w"),
+        let(lines, lambda x: F.struct(F.size(x).cast("long").alias("n"), (F.size(x) - F.size(F.array_distinct(x))).cast("long").alias("d"))).alias("l"),
+        _only(text, "#*$%&|<>").alias("s"),
+        _only(text, "A-Z").alias("u"),
     )
-    of_lines = let(lines, lambda x: F.struct(F.size(x).alias("n"), (F.size(x) - F.size(F.array_distinct(x))).alias("d")))
-    counted = docs.select(
-        *keep,
-        of_words.alias("__w"),
-        of_lines.alias("__l"),
-        _only(text, "#*$%&|<>").alias("n_symbols"),
-        _only(text, "A-Z").alias("n_upper"),
-    ).withColumn("word_chars", F.col("__w.c").cast("long"))
     share = lambda a, b: F.when(b > 0, a / b).otherwise(F.lit(0.0))
-    names = [c for c in counted.columns if c not in ("__w", "__l")]
-    return counted.select(
-        *names,
-        F.col("__w.n").cast("long").alias("n_words"),
-        F.col("__w.r").cast("long").alias("n_repeat_words"),
-        F.col("__l.d").cast("long").alias("n_dup_lines"),
-        share(F.col("n_symbols"), F.col("word_chars")).alias("symbol_ratio"),
-        share(F.col("__l.d"), F.col("__l.n")).alias("dup_line_ratio"),
-        share(F.col("__w.r"), F.col("__w.n")).alias("repeat_ratio"),
-        share(F.col("n_upper"), F.col("word_chars")).alias("upper_ratio"),
-        share(F.col("word_chars"), F.col("__w.n")).alias("mean_word_chars"),
-    ).withColumn("base_failed", (F.col("n_words") < MIN_WORDS) | (100 * F.col("n_repeat_words") > MAX_REPEAT_PERCENT * F.col("n_words")))
+
+    def named(x: Column) -> Column:
+        n, c, r = x["w"]["n"], x["w"]["c"], x["w"]["r"]
+        failed = (n < MIN_WORDS) | (100 * r > MAX_REPEAT_PERCENT * n)
+        ratios = (share(x["s"], c), share(x["l"]["d"], x["l"]["n"]), share(r, n), share(x["u"], c), share(c, n))
+        return F.struct(
+            n.alias("n_words"), c.alias("word_chars"), x["s"].alias("n_symbols"), x["l"]["d"].alias("n_dup_lines"), r.alias("n_repeat_words"),
+            *[v.alias(k) for k, v in zip(RULES, ratios, strict=True)], failed.alias("base_failed"),
+        )
+
+    return let(counts, lambda x: let(named(x), lambda m: F.struct(*[m[k].alias(k) for k in _NAMES], _level(m).alias("level"))))
+
+
+_NAMES = ("n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", *RULES, "base_failed")
+
+
+def _level(m: Column) -> Column:
+    """The first vector of PATH that rejects; their number if none does."""
+    out = F.lit(len(PATH))
+    for i, cutoffs in reversed(list(enumerate(PATH))):
+        beyond = F.lit(False)
+        for rule, cutoff in zip(RULES, cutoffs, strict=True):
+            beyond = beyond | (m[rule] > cutoff)
+        out = F.when(beyond, F.lit(i)).otherwise(out)
+    return out
+
+
+def text_metrics(docs: DataFrame, *keep: Column | str, text_col: str = "text") -> DataFrame:
+    """The columns `keep` and the statistics of every whole text."""
+    counted = docs.select(*keep, _metrics(F.col(text_col)).alias("__m"))
+    return counted.select(*[c for c in counted.columns if c != "__m"], "__m.*")
 
 
 def binomial_tail(n: Column, k: Column, p: float) -> Column:
@@ -128,42 +163,32 @@ def binomial_tail(n: Column, k: Column, p: float) -> Column:
     return F.when(k > n * p, F.lit(1.0)).otherwise(F.least(F.lit(1.0), F.exp(log_at_k) * ratios))
 
 
-def calibrate(metrics: DataFrame, labels: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
-    """One row for each stratum: stratum, n_good and for each rule its certified cutoff (null: none).
+def _good(labels: DataFrame) -> DataFrame:
+    """doc_id of the documents whose highest label is 1."""
+    return labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("__q")).where("__q = 1").select("doc_id")
+
+
+def calibrate(good: DataFrame, risk: float = RISK, confidence: float = CONFIDENCE) -> DataFrame:
+    """One row for each stratum: __stratum, n_good and applied, the place of its strictest certified vector (null: none).
 
-    metrics: doc_id, stratum, base_failed and the rules' columns. The counts cover every labelled document.
+    good: stratum, base_failed and level of every good labelled document.
     """
-    good = labels.where("doc_id is not null").groupBy("doc_id").agg(F.max("quality").alias("__q")).where("__q = 1").select("doc_id")
-    held = metrics.where("not base_failed").join(good, "doc_id", "left_semi")
-    sums = [F.count(F.when(F.col(rule) > c, 1)).alias(f"{rule}__{i}") for rule, grid in RULES.items() for i, c in enumerate(grid)]
-    counts = materialise(held.groupBy("stratum").agg(F.count(F.lit(1)).alias("n_good"), *sums), "quality-counts")
-    comparisons = max(1, counts.count()) * len(RULES)
-    tests = counts.select(
-        "stratum",
-        "n_good",
-        F.explode(
-            F.array(*[
-                F.struct(F.lit(rule).alias("rule"), F.lit(float(c)).alias("cutoff"), F.col(f"{rule}__{i}").alias("k"))
-                for rule, grid in RULES.items()
-                for i, c in enumerate(grid)
-            ])
-        ).alias("t"),
-    ).select("stratum", "n_good", "t.*")
-    tail = binomial_tail(F.col("n_good"), F.col("k"), risk / len(RULES))
-    certified = tests.where(tail <= confidence / comparisons)
-    best = [F.min(F.when(F.col("rule") == rule, F.col("cutoff"))).alias(f"max_{rule}") for rule in RULES]
-    return certified.groupBy(F.col("stratum").alias("__stratum")).agg(*best)
-
-
-def judge(metrics: DataFrame, cutoffs: DataFrame) -> DataFrame:
-    """metrics with kept: false for base failures and for what a certified rule of its stratum rejects."""
+    hit = [F.count(F.when(F.col("level") <= i, 1)).alias(f"k{i}") for i in range(len(PATH))]
+    counts = materialise(good.where("not base_failed").groupBy("stratum").agg(F.count(F.lit(1)).alias("n_good"), *hit), "quality-counts")
+    limit = confidence / max(1, counts.count())
+    tests = counts.select("stratum", "n_good", F.explode(F.array(*[F.struct(F.lit(i).alias("i"), F.col(f"k{i}").alias("k")) for i in range(len(PATH))])).alias("t"))
+    # the tail grows along the path, so the certified vectors are the first ones
+    passed = F.when(binomial_tail(F.col("n_good"), F.col("t.k"), risk) <= limit, F.col("t.i"))
+    return tests.select(F.col("stratum").alias("__stratum"), "n_good", passed.alias("i")).groupBy("__stratum", "n_good").agg(F.max("i").alias("applied"))
+
+
+def _judged(rows: DataFrame, cutoffs: DataFrame) -> DataFrame:
+    """rows with __applied, the place of their stratum's vector; -1 for none."""
+    cutoffs = cutoffs.select("__stratum", "applied")
     if cutoffs.count() <= MAX_BROADCAST_STRATA:
         cutoffs = F.broadcast(cutoffs)
-    joined = metrics.join(cutoffs, F.col("stratum") == F.col("__stratum"), "left")
-    rejected = F.lit(False)
-    for rule in RULES:
-        rejected = rejected | F.coalesce(F.col(rule) > F.col(f"max_{rule}"), F.lit(False))
-    return joined.withColumn("kept", ~F.col("base_failed") & ~rejected)
+    joined = rows.join(cutoffs, F.col("stratum") == F.col("__stratum"), "left")
+    return joined.withColumn("__applied", F.coalesce("applied", F.lit(-1)))
 
 
 def _stratum(docs: DataFrame) -> Column:
@@ -173,22 +198,22 @@ def _stratum(docs: DataFrame) -> Column:
 def quality_rules(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """Per document: doc_id, the counts, base_failed and kept. The statistics are computed once and kept as a narrow table."""
     metrics = materialise(text_metrics(docs, "doc_id", _stratum(docs)), "quality-metrics")
-    cutoffs = materialise(calibrate(metrics, labels), "quality-cutoffs")
-    return judge(metrics, cutoffs).select(
-        "doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept",
-        "stratum", *RULES,
-    )
+    cutoffs = materialise(calibrate(metrics.join(_good(labels), "doc_id", "left_semi")), "quality-cutoffs")
+    judged = _judged(metrics, cutoffs).withColumn("kept", ~F.col("base_failed") & (F.col("level") > F.col("__applied")))
+    return judged.select("doc_id", "n_words", "word_chars", "n_symbols", "n_dup_lines", "n_repeat_words", "base_failed", "kept", "stratum", *RULES)
 
 
 def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
     """The rows of docs that the rules keep, with all their columns.
 
-    The cutoffs come from one pass that leaves narrow rows to join; a second pass judges each row in place.
+    The cutoffs come from the good labelled documents alone; then each row is judged in place, in one pass.
     """
-    cutoffs = materialise(calibrate(text_metrics(docs, "doc_id", _stratum(docs)), labels), "quality-cutoffs")
+    labelled = docs.select("doc_id", "text", _stratum(docs)).join(_good(labels), "doc_id", "left_semi")
+    cutoffs = materialise(calibrate(text_metrics(labelled, "stratum")), "quality-cutoffs")
     row = F.struct(*[docs[c] for c in docs.columns]).alias("__row")
-    judged = judge(text_metrics(docs, row, _stratum(docs)), cutoffs)
-    return judged.where("kept").select("__row.*")
+    judged = _judged(docs.select(row, _stratum(docs)), cutoffs)
+    passes = let(_metrics(F.col("__row")["text"]), lambda m: ~m["base_failed"] & (m["level"] > F.col("__applied")))
+    return judged.where(passes).select("__row.*")
 
 
 def op8(spark, sf_dir: str) -> DataFrame:

@@ -36,7 +36,7 @@ _RATIOS = {
     "mean_word_chars": "case when n_words > 0 then word_chars / n_words else 0 end",
 }
 _Q = quality_rules
-_GRID = ", ".join(f"('{rule}', {c})" for rule, grid in _Q.RULES.items() for c in grid)
+_PATH = ", ".join(f"({i}, {', '.join(map(repr, c))})" for i, c in enumerate(_Q.PATH))
 _QUALITY_RULES = f"""
 with w as (select doc_id, coalesce(lang, 'unknown') as stratum, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\\x20\\x09-\\x0D]+') as ws from documents),
 g as (select doc_id, unnest([array_to_string(ws[i:i + 7], ' ') for i in range(1, len(ws) - 6)]) as g, unnest(range(1, len(ws) - 6)) as i from w),
@@ -47,15 +47,15 @@ c as (select w.doc_id, stratum, len(ws)::bigint as n_words, length(array_to_stri
   length(regexp_replace(t, '[^A-Z]+', '', 'g'))::bigint as n_upper, len(ls)::bigint as n_lines, (len(ls) - len(list_distinct(ls)))::bigint as n_dup_lines, coalesce(r.n, 0) as n_repeat_words
   from w join l using (doc_id) left join r using (doc_id)),
 m as (select *, {", ".join(f"({x})::double as {k}" for k, x in _RATIOS.items())}, n_words < {_Q.MIN_WORDS} or 100 * n_repeat_words > {_Q.MAX_REPEAT_PERCENT} * n_words as base_failed from c),
-good as (select m.* from m where not base_failed and doc_id in (select doc_id from labels group by doc_id having max(quality) = 1)),
-long as (unpivot (select stratum, {", ".join(_RATIOS)} from good) on {", ".join(_RATIOS)} into name rule value x),
-grid(rule, cutoff) as (values {_GRID}),
-k as (select stratum, rule, cutoff, count(*) as n, count(*) filter (where x > cutoff) as k from long join grid using (rule) group by 1, 2, 3),
-tail as (select stratum, rule, cutoff, n, k, case when k > n * {_Q.RISK / len(_Q.RULES)!r} then 1 else (select sum(exp(lgamma(n + 1) - lgamma(i + 1) - case when n = i then 0 else lgamma(n - i + 1) end
-  + i * ln({_Q.RISK / len(_Q.RULES)!r}) + (n - i) * ln({1 - _Q.RISK / len(_Q.RULES)!r}))) from (select unnest(range(0, k + 1)) as i)) end as p from k),
-best as (select stratum, rule, min(cutoff) as cutoff from tail where p <= {_Q.CONFIDENCE!r} / ((select count(distinct stratum) from good) * {len(_Q.RULES)}) group by 1, 2)
-select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, stratum, {", ".join(_RATIOS)},
-  not base_failed and not exists (select 1 from best b where b.stratum = m.stratum and ({" or ".join(f"(b.rule = '{k}' and m.{k} > b.cutoff)" for k in _RATIOS)})) as kept from m"""
+path(i, {", ".join("c_" + k for k in _RATIOS)}) as (values {_PATH}),
+x as (select m.*, (select coalesce(min(i), {len(_Q.PATH)}) from path where {" or ".join(f"m.{k} > c_{k}" for k in _RATIOS)}) as level from m),
+good as (select * from x where not base_failed and doc_id in (select doc_id from labels group by doc_id having max(quality) = 1)),
+k as (select stratum, i, count(*) as n, count(*) filter (where level <= i) as k from good cross join path group by 1, 2),
+tail as (select stratum, i, case when k > n * {_Q.RISK!r} then 1 else (select sum(exp(lgamma(n + 1) - lgamma(j + 1) - case when n = j then 0 else lgamma(n - j + 1) end
+  + j * ln({_Q.RISK!r}) + (n - j) * ln({1 - _Q.RISK!r}))) from (select unnest(range(0, k + 1)) as j)) end as p from k),
+best as (select stratum, max(i) as i from tail where p <= {_Q.CONFIDENCE!r} / (select count(distinct stratum) from good) group by 1)
+select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, x.stratum, {", ".join(_RATIOS)},
+  not base_failed and level > coalesce(best.i, -1) as kept from x left join best using (stratum)"""
 
 #: The other operators are beyond SQL (learned models, alignment, Feistel networks, parsing, a tokenizer); tests/llm holds them against brute force.
 ORACLE_SQL: dict[str, str] = {"op6_near_dedup": _NEAR_DEDUP, "op8_quality_rules": _QUALITY_RULES}

@@ -8,6 +8,7 @@ import pytest
 from pyspark.sql import functions as F
 
 from orgweave.llm import elias_fano, language_id, lm_scoring, quality_model, quality_rules
+from orgweave.llm import queries as llm_queries
 from orgweave.llm.common import doc_crc, span_hashes, text_slices, word_spans
 
 WORD = re.compile(r"[^\x20\x09-\x0D]+")
@@ -67,6 +68,42 @@ def test_quality_rules_certify_only_safe_cutoffs(spark):
     assert all(r.kept for r in quality_rules.quality_rules(docs, none).collect())
 
 
+def test_quality_rules_certify_by_stratum(spark):
+    """A language with labels enough certifies, one without doesn't; the limit holds for all rules together."""
+    rows, labels = [], []
+    for lang, n, first in (("en", 400, 0), ("de", 150, 1000)):
+        for i in range(n):
+            bad = i % 5 == 0
+            junk = ("#### " * 30, "SHOUT " * 30, "a line\n" * 20)[i // 5 % 3]
+            rows.append((first + i, (junk if bad else "") + " ".join(f"w{i}x{j}" for j in range(60)), lang))
+            labels.append((first + i, 0 if bad else 1))
+    docs = spark.createDataFrame(rows, "doc_id long, text string, lang string")
+    labels = spark.createDataFrame(labels, "doc_id long, quality int")
+    out = {r.doc_id: r for r in quality_rules.quality_rules(docs, labels).collect()}
+    english = [i for i in range(400)]
+    assert not any(out[i].kept for i in english if i % 5 == 0)
+    assert all(out[i].kept for i in english if i % 5)
+    assert all(r.kept or r.base_failed for i, r in out.items() if i >= 1000)
+    kept = {r.doc_id for r in quality_rules.filter_documents(docs, labels).collect()}
+    assert kept == {i for i, r in out.items() if r.kept}
+
+
+@pytest.mark.parametrize("name", sorted(llm_queries.ORACLE_SQL))
+def test_sql(spark, small, name):
+    import duckdb
+
+    con = duckdb.connect()
+    for t in ("documents", "labels"):
+        con.execute(f"create view {t} as select * from read_parquet('{small}/{t}.parquet')")
+    found = con.execute(llm_queries.ORACLE_SQL[name])
+    names = sorted(d[0] for d in found.description)
+    plain = lambda v: round(v, 9) if isinstance(v, float) else v
+    expected = sorted(repr([plain(r[n]) for n in names]) for r in found.fetchdf()[names].astype(object).to_dict("records"))
+    df = llm_queries.QUERIES[name](spark, small)
+    assert sorted(df.columns) == names
+    assert sorted(repr([plain(r[n]) for n in names]) for r in df.collect()) == expected
+
+
 def test_quality_rules_edges(spark, docs, no_docs):
     labels = spark.createDataFrame([(1, 1)], "doc_id long, quality int")
     out = quality_rules.quality_rules(docs, labels)
