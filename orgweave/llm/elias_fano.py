@@ -1,14 +1,15 @@
-"""Elias-Fano sequences and an n-gram trie made of them, in one memory-mapped block.
+"""Elias-Fano sequences and a shard of an n-gram trie made of them, in one memory-mapped block.
 
 All queries are vectorised over numpy arrays. A sequence keeps each value's low bits packed
-and its high bits in unary; the trie keeps, for each level, node ids made monotone by adding
-the last value of the range before, monotone pointers to the children's ranges, and smoothed
-probabilities and backoff weights as codes into small tables.
+and its high bits in unary. A shard of the trie has the contexts (pairs of words) whose hashes
+fall to it, all their followers, monotone pointers from a context to its followers' range, and
+for each node smoothed probabilities as 16-bit codes. A follower's id is its place in the
+shard's vocabulary plus the last id of the range before, which makes the ids of the whole level
+monotone; it is found by a successor search within its context's range, relative to that id.
 """
 
 from __future__ import annotations
 
-import json
 import tempfile
 
 import numpy as np
@@ -18,6 +19,24 @@ _SELECT8 = np.zeros((256, 8), np.uint8)
 for _byte in range(256):
     for _nth, _bit in enumerate([b for b in range(8) if _byte >> b & 1]):
         _SELECT8[_byte, _nth] = _bit
+#: Codes for a factor of 2, so a value is off by less than 0.04 %; the code of no value.
+STEPS = 1024
+NONE = 0xFFFF
+
+
+def quantise(values: np.ndarray) -> np.ndarray:
+    """16-bit codes of positive numbers: their logarithm's distance from 0, so all are at most 1 or all at least 1."""
+    return np.minimum(np.rint(np.abs(np.log2(np.maximum(values, 1e-300))) * STEPS), NONE - 1).astype(np.uint16)
+
+
+def shares(codes: np.ndarray) -> np.ndarray:
+    """The numbers up to 1 that codes stand for; 0 for none."""
+    return np.where(codes == NONE, 0.0, np.exp2(codes / -STEPS))
+
+
+def masses(codes: np.ndarray) -> np.ndarray:
+    """The numbers from 1 on that codes stand for; 0 for none."""
+    return np.where(codes == NONE, 0.0, np.exp2(codes / STEPS))
 
 
 class EliasFano:
@@ -39,27 +58,33 @@ class EliasFano:
             packed = np.packbits(each.ravel(), bitorder="little")
             low[: len(packed)] = packed
         ones = (values >> np.uint64(bits)).astype(np.int64) + np.arange(n)
-        size = (int(ones[-1]) + 1 if n else 0) // 64 + 1
+        # a zero behind the last one, for searches up to the end
+        size = (int(ones[-1]) + 2 if n else 1) // 64 + 1
         marks = np.zeros(size * 64, np.uint8)
         marks[ones] = 1
         high = np.packbits(marks, bitorder="little")
         ranks = np.cumsum(_POP8[high].reshape(-1, 8).sum(1)).astype(np.uint32)
         return EliasFano(n, bits, low, high, ranks)
 
-    def __getitem__(self, i: np.ndarray) -> np.ndarray:
-        """The values at the places i."""
-        i = np.asarray(i, np.int64)
-        word = np.searchsorted(self.ranks, i, side="right")
-        left = i - np.where(word > 0, self.ranks[np.maximum(word - 1, 0)].astype(np.int64), 0)
+    def _select(self, i: np.ndarray, flip: int) -> np.ndarray:
+        """Where in the unary part the i-th one stands, or the i-th zero if flip is 255."""
+        ranks = self.ranks if not flip else (np.arange(1, len(self.ranks) + 1) * 64 - self.ranks)
+        word = np.searchsorted(ranks, i, side="right")
+        left = i - np.where(word > 0, ranks[np.maximum(word - 1, 0)].astype(np.int64), 0)
         at = word * 8
         for _ in range(7):
-            here = _POP8[self.high[at]]
+            here = _POP8[self.high[at] ^ flip]
             skip = left >= here
             left -= np.where(skip, here, 0)
             at += skip
             if not skip.any():
                 break
-        out = (at * 8 + _SELECT8[self.high[at], left] - i).astype(np.uint64)
+        return at * 8 + _SELECT8[self.high[at] ^ flip, left]
+
+    def __getitem__(self, i: np.ndarray) -> np.ndarray:
+        """The values at the places i."""
+        i = np.asarray(i, np.int64)
+        out = (self._select(i, 0) - i).astype(np.uint64)
         if self.bits:
             start = i * self.bits
             view = np.ndarray((len(self.low) - 7,), "<u8", self.low, strides=(1,))
@@ -68,151 +93,103 @@ class EliasFano:
         return out.astype(np.int64)
 
 
-def quantise(values: np.ndarray, levels: int = 256) -> tuple[np.ndarray, np.ndarray]:
-    """(codes, table): each value's nearest of `levels` quantiles."""
-    if not len(values):
-        return np.zeros(0, np.uint8), np.zeros(1)
-    table = np.unique(np.quantile(values, np.linspace(0, 1, levels)))
-    between = (table[1:] + table[:-1]) / 2
-    return np.searchsorted(between, values).astype(np.uint8), table
-
-
-class Trie:
-    """Orders 1 to 3. A context symbol below 0 stands for none.
-
-    Each level is a dict with `ids` and `children` (EliasFano), `prob`, `prob_table`, `back`,
-    `back_table`; the first level has no ids, the last no children.
-    """
-
-    def __init__(self, levels: list[dict]) -> None:
-        self.levels = levels
-
-    def _child(self, level: int, parent: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-        """Places in `level` of the children `symbol` of the nodes `parent` above; -1 if there is none.
-
-        A successor search among the parent's range, relative to the value before the range.
-        """
-        ids: EliasFano = self.levels[level]["ids"]
-        found = np.full(len(parent), -1, np.int64)
-        if not ids.n:
-            return found
-        known = np.flatnonzero(parent >= 0)
-        pointers = self.levels[level - 1]["children"]
-        begin, end = pointers[parent[known]], pointers[parent[known] + 1]
-        known, begin, end = (x[end > begin] for x in (known, begin, end))
-        if not len(known):
+    def find(self, values: np.ndarray) -> np.ndarray:
+        """The place of each value; -1 where the sequence, without repeats, has none."""
+        values = np.asarray(values, np.int64)
+        found = np.full(len(values), -1, np.int64)
+        if not self.n:
             return found
-        target = np.where(begin > 0, ids[np.maximum(begin - 1, 0)], 0) + symbol[known]
+        high = values >> self.bits
+        inside = np.flatnonzero(high <= int(self[np.array([self.n - 1])][0]) >> self.bits)
+        high = high[inside]
+        # as many values have a smaller high part as there are ones before the zero that opens it
+        begin = np.where(high > 0, self._select(np.maximum(high - 1, 0), 255) - np.maximum(high - 1, 0), 0)
+        end = self._select(high, 255) - high
+        place = self.successor(begin, end, values[inside])
+        hit = np.flatnonzero(place < end)
+        hit = hit[self[place[hit]] == values[inside[hit]]]
+        found[inside[hit]] = place[hit]
+        return found
+
+    def successor(self, begin: np.ndarray, end: np.ndarray, targets: np.ndarray) -> np.ndarray:
+        """The first place from begin on, below end, whose value is the target or more; end if there is none."""
         low, high = begin.copy(), end.copy()
         while True:
             open_ = np.flatnonzero(low < high)
             if not len(open_):
-                break
+                return low
             middle = (low[open_] + high[open_]) >> 1
-            less = ids[middle] < target[open_]
+            less = self[middle] < targets[open_]
             low[open_[less]] = middle[less] + 1
             high[open_[~less]] = middle[~less]
-        inside = np.flatnonzero(low < end)
-        hit = inside[ids[low[inside]] == target[inside]]
-        found[known[hit]] = low[hit]
-        return found
-
-    def score(self, a: np.ndarray, b: np.ndarray, c: np.ndarray) -> np.ndarray:
-        """log10 probability of symbol c after a, b: the longest context found, with backoff weights."""
-        one, two, three = self.levels
-        prob = lambda level, at: level["prob_table"][level["prob"][at]]
-        back = lambda level, at: level["back_table"][level["back"][at]]
-        out = prob(one, c).astype(float)
-        has = b >= 0
-        out[has] += back(one, b[has])
-        pair = self._child(1, b, c)
-        out[pair >= 0] = prob(two, pair[pair >= 0])
-        context = self._child(1, a, b)
-        has = context >= 0
-        out[has] += back(two, context[has])
-        triple = self._child(2, context, c)
-        out[triple >= 0] = prob(three, triple[triple >= 0])
-        return out
-
-    def dump(self) -> bytes:
-        """Everything in one block: a header, then the arrays."""
-        arrays, levels = [], []
-
-        def put(x: np.ndarray) -> list:
-            x = np.ascontiguousarray(x)
-            at = sum((len(y) + 7) // 8 * 8 for y in arrays)
-            arrays.append(x.tobytes())
-            return [str(x.dtype), at, len(x)]
-
-        for level in self.levels:
-            head = {}
-            for k, v in level.items():
-                head[k] = [v.n, v.bits, put(v.low), put(v.high), put(v.ranks)] if isinstance(v, EliasFano) else put(v)
-            levels.append(head)
-        header = json.dumps(levels).encode()
-        header += b" " * (-len(header) % 8)
-        return len(header).to_bytes(8, "little") + header + b"".join(x + b"\0" * (-len(x) % 8) for x in arrays)
 
-    @staticmethod
-    def map(block: bytes) -> Trie:
-        """A trie over a memory-mapped copy of the block; its file has no name and goes with the process."""
-        with tempfile.TemporaryFile() as file:
-            file.write(block)
-            file.flush()
-            data = np.memmap(file, np.uint8, "r")
-        size = int.from_bytes(data[:8].tobytes(), "little")
-        body = data[8 + size :]
 
-        def get(x: list) -> np.ndarray:
-            kind, at, n = x
-            return np.frombuffer(body, kind, n, at)
+def _arrays(x) -> list[np.ndarray]:
+    return [x.low, x.high, x.ranks] if isinstance(x, EliasFano) else [x]
 
-        levels = []
-        for head in json.loads(data[8 : 8 + size].tobytes()):
-            levels.append({k: EliasFano(v[0], v[1], *map(get, v[2:])) if len(v) == 5 else get(v) for k, v in head.items()})
-        return Trie(levels)
 
+class Trie:
+    """A shard: contexts, words and ids and pointers as Elias-Fano sequences, and codes of probabilities.
 
-def _monotone(parent: np.ndarray, symbol: np.ndarray) -> np.ndarray:
-    """Node ids with the last value of the range before added."""
-    if not len(parent):
-        return symbol
-    last = np.flatnonzero(np.append(parent[1:] != parent[:-1], True))
-    add = np.concatenate([[0], np.cumsum(symbol[last])[:-1]])
-    group = np.concatenate([[0], np.cumsum(parent[1:] != parent[:-1])])
-    return symbol + add[group]
+    share: a follower's discounted share of its context; back: what the context leaves to
+    shorter ones; mass: how often the context occurs.
+    """
 
+    FIELDS = ("contexts", "words", "pointers", "ids", "share", "back", "mass")
 
-def build_trie(unigrams: np.ndarray, contexts: np.ndarray, pairs: tuple[np.ndarray, ...], triples: tuple[np.ndarray, ...], discount: float = 0.5) -> Trie:
-    """An interpolated, absolutely discounted model.
+    def __init__(self, **parts) -> None:
+        self.parts = parts
 
-    unigrams: count of each symbol; contexts: how often each stands before another symbol
-    (longer: further symbols that are contexts only). pairs: (a, b, count) ordered by a, b;
-    triples: (a, b, c, count) ordered, their pairs (a, b) and (b, c) among the pairs. What was
-    pruned from pairs or triples goes to the backoff weight, so each distribution sums to one.
-    """
-    symbols = len(contexts)
-    p1 = np.zeros(symbols)
-    p1[: len(unigrams)] = (unigrams + 1) / (unigrams.sum() + len(unigrams))
-    a, b, n2 = pairs
-    held = np.bincount(a, weights=n2 - discount, minlength=symbols)
-    back1 = np.where(contexts > 0, 1 - held / np.maximum(contexts, 1), 1.0)
-    p2 = (n2 - discount) / np.maximum(contexts[a], 1) + back1[a] * p1[b]
-    code2 = a * symbols + b
-    ta, tb, tc, n3 = triples
-    parent = np.searchsorted(code2, ta * symbols + tb)
-    lower = np.searchsorted(code2, tb * symbols + tc)
-    held = np.bincount(parent, weights=n3 - discount, minlength=len(a))
-    back2 = 1 - held / np.maximum(n2, 1) if len(a) else np.zeros(0)
-    p3 = (n3 - discount) / np.maximum(n2[parent], 1) + back2[parent] * p2[lower] if len(ta) else np.zeros(0)
-    log = lambda x: np.log10(np.maximum(x, 1e-30))
-
-    def level(p: np.ndarray, back: np.ndarray | None) -> dict:
-        out = dict(zip(("prob", "prob_table"), quantise(log(p)), strict=True))
-        return out if back is None else out | dict(zip(("back", "back_table"), quantise(log(back)), strict=True))
-
-    one, two, three = level(p1, back1), level(p2, back2), level(p3, None)
-    one["children"] = EliasFano.build(np.searchsorted(a, np.arange(symbols + 1)))
-    two["ids"], three["ids"] = EliasFano.build(_monotone(a, b)), EliasFano.build(_monotone(parent, tc))
-    two["children"] = EliasFano.build(np.searchsorted(parent, np.arange(len(a) + 1)))
-    return Trie([one, two, three])
+    @staticmethod
+    def build(contexts: np.ndarray, parent: np.ndarray, words: np.ndarray, counts: np.ndarray, discount: float) -> Trie:
+        """contexts: sorted and distinct; parent (place of the context), word and count of each follower, ordered by parent and word."""
+        vocabulary, symbol = np.unique(words, return_inverse=True)
+        last = np.flatnonzero(np.append(parent[1:] != parent[:-1], True)) if len(parent) else np.zeros(0, np.int64)
+        before = np.concatenate([[0], np.cumsum(symbol[last])])
+        mass = np.bincount(parent, weights=counts, minlength=len(contexts))
+        followers = np.bincount(parent, minlength=len(contexts))
+        return Trie(
+            contexts=EliasFano.build(contexts),
+            words=EliasFano.build(vocabulary),
+            pointers=EliasFano.build(np.concatenate([[0], np.cumsum(followers)])),
+            ids=EliasFano.build(symbol + before[parent]),
+            share=quantise((counts - discount) / mass[parent]),
+            back=quantise(discount * followers / mass),
+            mass=quantise(mass),
+        )
+
+    def look_up(self, contexts: np.ndarray, words: np.ndarray) -> tuple[np.ndarray, np.ndarray, np.ndarray]:
+        """Codes (share, back, mass) of words after contexts; NONE where the trie has no node."""
+        p, n = self.parts, len(contexts)
+        share, back, mass = (np.full(n, NONE, np.uint16) for _ in range(3))
+        parent = p["contexts"].find(contexts)
+        known = np.flatnonzero(parent >= 0)
+        back[known], mass[known] = p["back"][parent[known]], p["mass"][parent[known]]
+        symbol = p["words"].find(words[known])
+        known, symbol = known[symbol >= 0], symbol[symbol >= 0]
+        begin, end = p["pointers"][parent[known]], p["pointers"][parent[known] + 1]
+        relative = np.where(begin > 0, p["ids"][np.maximum(begin - 1, 0)], 0) if len(known) else begin
+        place = p["ids"].successor(begin, end, relative + symbol)
+        hit = np.flatnonzero(place < end)
+        hit = hit[p["ids"][place[hit]] == relative[hit] + symbol[hit]]
+        share[known[hit]] = p["share"][place[hit]]
+        return share, back, mass
+
+    def mapped(self) -> Trie:
+        """The same over one memory-mapped block. Its file has no name, lies in the task's own temporary folder and goes with it."""
+        arrays = [x for f in self.FIELDS for x in _arrays(self.parts[f])]
+        with tempfile.TemporaryFile() as file:
+            for x in arrays:
+                file.write(np.ascontiguousarray(x).tobytes() + b"\0" * (-x.nbytes % 8))
+            file.write(b"\0" * 8)
+            file.flush()
+            data = np.memmap(file, np.uint8, "r")
+        views, at = [], 0
+        for x in arrays:
+            views.append(np.frombuffer(data, x.dtype, len(x), at))
+            at += x.nbytes + -x.nbytes % 8
+        parts, views = {}, iter(views)
+        for f in self.FIELDS:
+            x = self.parts[f]
+            parts[f] = EliasFano(x.n, x.bits, next(views), next(views), next(views)) if isinstance(x, EliasFano) else next(views)
+        return Trie(**parts)

@@ -1,19 +1,21 @@
-"""Language-model scores from a trigram model of all words, pairs and triples, in shards.
+"""Language-model scores from a trigram model of all words, pairs and triples, as an Elias-Fano trie in shards.
 
 Tokens are hashed words and an end token. Every word, pair and triple of the training
 documents counts; there are no thresholds, so the model grows with the corpus. It is never in
 one place: words are dealt to shards by their hash, triples by the hash of their context (the
 pair before the third word), so a shard has all followers of its contexts. Triples are
 interpolated by absolute discounting over pairs, pairs by a Dirichlet prior over words, words
-by add-one shares; each distribution sums to one.
+by add-one shares; each distribution sums to one but for the codes' rounding.
 
 A task that reads texts cuts them into slices and sends each shard, in one block, the slice's
-distinct words and triples with their training counts. The shard adds the counts up and
-answers each block in its order, with its totals. A second pass over the texts says where in a slice the
-distinct ones stand, and meets the answers. A slice sends a word or triple once, so frequent
-ones skew no task; the number of shards is that of the shuffle partitions, which a session
-sets in proportion to its input. Both passes have to cut the same slices: the sums of the keys
-are compared, and a difference is an error.
+distinct words and triples with their training counts. The shard adds the counts up, makes its
+part of the trie (`elias_fano.Trie`: monotone pointers and quantised smoothed probabilities in
+memory-mapped levels) and answers each block from it, in the block's order, by context-relative
+successor search; words are answered with their exact counts, which the base score needs. A
+second pass over the texts says where in a slice the distinct ones stand, and meets the answers.
+A slice sends a word or triple once, so frequent ones skew no task; the number of shards is that
+of the shuffle partitions, which a session sets in proportion to its input. Both passes have to
+cut the same slices: the sums of the keys are compared, and a difference is an error.
 
 Defined cases: null and empty texts are the end token alone; a null doc_id is scored, with
 held_out false, and not learned from; repeated rows are scored each; without training
@@ -27,6 +29,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from orgweave.llm.elias_fano import NONE, Trie, masses, shares
 from orgweave.llm.common import LOWER, doc_crc, mix, read, span_hashes, text_slices, word_spans
 
 HELD_OUT = (7, 2)
@@ -222,7 +225,7 @@ def _ask(shards: int):
 
 
 def _answer(batches):
-    """All blocks of a shard to blocks of counts: of the words; of the triples, their contexts and the contexts' distinct followers; of all the shard's tokens and words."""
+    """All blocks of a shard to blocks of answers: counts of the words; codes of the triples and their contexts; counts of all the shard's tokens and words."""
     heads, parts = [], []
     for batch in batches:
         for name, shard, wanted, total, body in zip(*(c.to_pylist() for c in batch.columns), strict=True):
@@ -238,23 +241,19 @@ def _answer(batches):
     sums = np.bincount(place, weights=word_count).astype(np.int64)
     n1, totals = sums[place], np.array([sums.sum(), (sums > 0).sum()])
     order = np.lexsort((third, key))
-    key, third = key[order], third[order]
-    new = np.ones(len(key), bool)
-    new[1:] = (key[1:] != key[:-1]) | (third[1:] != third[:-1])
-    context = np.ones(len(key), bool)
-    context[1:] = key[1:] != key[:-1]
-    triple, context = np.cumsum(new) - 1, np.cumsum(context) - 1
-    sums = np.bincount(triple, weights=count[order]).astype(np.int64)
-    of_triple = context[new]
-    pair_sums = np.bincount(of_triple, weights=sums).astype(np.int64)
-    followers = np.bincount(of_triple, weights=sums > 0).astype(np.int64)
-    n3, n2, d3 = (np.empty(len(order), np.int64) for _ in range(3))
-    n3[order], n2[order], d3[order] = sums[triple], pair_sums[context], followers[context]
+    sorted_key, sorted_third = key[order], third[order]
+    new = np.ones(len(order), bool)
+    new[1:] = (sorted_key[1:] != sorted_key[:-1]) | (sorted_third[1:] != sorted_third[:-1])
+    sums = np.add.reduceat(count[order], np.flatnonzero(new)) if len(order) else count
+    learned = sums > 0
+    contexts, parent = np.unique(sorted_key[new][learned], return_inverse=True)
+    trie = Trie.build(contexts, parent, sorted_third[new][learned], sums[learned], DISCOUNT).mapped()
+    del order, sorted_key, sorted_third, new, sums, learned, contexts, parent, count
     out = _Out()
     for k, (name, shard, wanted, total) in enumerate(heads):
         if wanted:
             w, t = slice(cuts[0][k], cuts[0][k + 1]), slice(cuts[1][k], cuts[1][k + 1])
-            if out.add(name, shard, wanted, total, _pack([_narrow(n1[w]), *_joint([n3[t], n2[t], d3[t]]), totals])):
+            if out.add(name, shard, wanted, total, _pack([_narrow(n1[w]), *_joint(list(trie.look_up(key[t], third[t]))), totals])):
                 yield out.take()
     yield out.take()
 
@@ -306,17 +305,16 @@ def _joined(shards: int):
         n1 = counts[0][_indexed(n, *indexes[:2])]
         long = _indexed(n + rows, *indexes[2:])
         at = np.arange(n) + row
-        n3, n2, d3 = (x[long[at]] for x in counts[1:])
+        share3, back, mass = (x[long[at]] for x in counts[1:])
         # the pair that ends here is the context of the next triple
-        pair = counts[2][long[at + 1]]
+        pair = masses(counts[3][long[at + 1]])
         first = np.ones(n, bool)
         first[1:] = row[1:] != row[:-1]
         before = np.roll(n1, 1)
         before[first] = n1[np.cumsum(lengths) - 1]  # as many texts begin as end
         share = (n1 + 1) / (train + distinct + 1)
         p = (pair + PRIOR * share) / (before + PRIOR)
-        context = np.maximum(n2, 1)
-        p = np.where(n2 > 0, np.maximum(n3 - DISCOUNT, 0) / context + DISCOUNT * d3 / context * p, p)
+        p = np.where(mass != NONE, shares(share3) + shares(back) * p, p)
         add = lambda x: np.bincount(row, weights=x, minlength=rows)
         asked = np.flatnonzero(flags & 1)
         columns = [
