@@ -206,6 +206,32 @@ def test_license_scan_finds_every_notice_of_a_file(spark):
     assert set(out[200].labels.split(",")) == {label for label, _, _ in of}
 
 
+def test_license_scan_against_brute_force(spark):
+    """Base columns, and every template of random concatenations with random filling."""
+    import random
+
+    r, of = random.Random(3), license_scan.TEMPLATES
+    filling = ["the", "license", "MIT", "public", "general", "software", "é", "x1", "free", "apache"]
+    rows = []
+    for i in range(60):
+        chosen = [r.randrange(len(of)) for _ in range(r.randrange(4))]
+        parts = []
+        for c in chosen:
+            parts += [*(r.choice(filling) for _ in range(r.randrange(12))), of[c][1].upper() if r.random() < 0.3 else of[c][1]]
+        rows.append((i, r.choice([" ", ", ", "\n"]).join([*parts, *(r.choice(filling) for _ in range(9))]), {of[c][0] for c in chosen}))
+    df = spark.createDataFrame([(i, t) for i, t, _ in rows], "doc_id long, text string")
+    out = {x.doc_id: x for x in license_scan.license_scan(df, "doc_id").collect()}
+    for i, text, labels in rows:
+        words = re.findall(r"[^\x00-\x2F\x3A-\x60\x7B-\x7F]+", text.translate(FOLD))
+        places = {label: [k for k in range(len(words)) if words[k : k + len(p.split())] == p.split()] for p, label in license_scan.PHRASES.items()}
+        every = sorted(k for x in places.values() for k in x)
+        got = out[i]
+        assert (got.n_words, got.n_base, got.first_word, got.last_word) == (len(words), len(every), min(every, default=None), max(every, default=None))
+        base = sorted(k for k, x in places.items() if x)
+        assert got.base_labels == ",".join(base)
+        assert labels | set(base) <= set(got.labels.split(","))
+
+
 def test_license_scan_edges(docs, no_docs):
     assert license_scan.license_scan(docs, "doc_id", "label").count() == docs.count()
     assert license_scan.license_scan(no_docs, "doc_id").count() == 0
