@@ -87,32 +87,47 @@ def contexts(c: Column | str) -> Column:
     return F.array_compact(F.array(*tagged))
 
 
-# What a contact's label says, first match wins; likewise a query's intent and its priority.
-LABELS = (("fax", "fax|faks"), ("export", "export|ihracat"), ("sales", "sales|satis"), ("support", "support|destek|service"), ("general", "info|office|contact|iletisim"))
-INTENTS = (
-    ("relationship", "group|grup|holding|parent|subsidiary|istirak"),
-    ("legal_identity", "legal|kvkk|mersis|ticaret sicil|unvan"),
-    ("contact", "contact|iletisim|phone|telefon|e-?mail"),
-    ("country_official", "site:\\.?com\\.tr|turkey|turkiye"),
-    ("official", "official|resmi|website|web sitesi"),
-)
+# What a contact's label says and what a query is for, first match wins, and the intents' priorities.
+LABELS = (
+    ("fax", ("fax", "faks")), ("whatsapp", ("whatsapp", "whats app", "wa.me")),
+    ("headquarters", ("headquarters", "genel merkez", "merkez ofis", "merkez")), ("specialist", ("specialist", "uzman")),
+    ("owner", ("owner", "sahibi", "yetkili")), ("marketing", ("marketing", "pazarlama")), ("sales", ("sales", "satis", "satış")),
+    ("export", ("export", "ihracat")), ("istanbul", ("istanbul",)), ("izmir", ("izmir",)), ("ankara", ("ankara",)),
+    ("factory", ("factory", "fabrika")), ("branch", ("branch", "sube", "şube")),
+)
 INTENT_PRIORITY = {"relationship": 100, "legal_identity": 95, "contact": 90, "country_official": 80, "official": 70, "context": 60}
 
 
-def first_label(c: Column | str, rules: tuple[tuple[str, str], ...], default: str) -> Column:
-    """The first rule whose pattern the normalised text matches."""
-    text, out = normalize(c), F.lit(default)
-    for name, pattern in reversed(rules):
-        out = F.when(text.rlike(pattern), F.lit(name)).otherwise(out)
+def has_any(text: Column, markers: tuple[str, ...]) -> Column:
+    out = F.lit(False)
+    for m in markers:
+        out = out | F.contains(text, F.lit(m))
+    return out
+
+
+def first_of(text: Column, rules: tuple[tuple[str, tuple[str, ...]], ...], default: str) -> Column:
+    """The first rule one of whose markers stands in the text."""
+    out = F.lit(default)
+    for name, markers in reversed(rules):
+        out = F.when(has_any(text, markers), F.lit(name)).otherwise(out)
     return out
 
 
 def contact_label(c: Column | str) -> Column:
-    return first_label(c, LABELS, "other")
+    return first_of(F.lower(F.regexp_replace(text_or_empty(c), r"\s+", " ")), LABELS, "general")
 
 
 def query_intent(c: Column | str) -> Column:
-    return first_label(c, INTENTS, "context")
+    text = normalize(c)
+    official = F.contains(text, F.lit("official website"))
+    return (
+        F.when(has_any(text, ("distributor", "temsilci", "marka resmi")), "relationship")
+        .when(has_any(text, ("kvkk", "ticari unvan")), "legal_identity")
+        .when(has_any(text, ("contact", "iletisim")), "contact")
+        .when(official & F.contains(text, F.lit("turkiye")), "country_official")
+        .when(official | has_any(text, ("resmi sitesi", "web sitesi")), "official")
+        .otherwise("context")
+    )
 
 
 def intent_priority(intent: Column) -> Column:
@@ -127,18 +142,13 @@ def initials(names: Column) -> Column:
 
 
 def abbreviation_match(names: Column, compact: Column) -> Column:
-    """Initials (2 or more), first word with the others' initials (4 or more letters), or joined prefixes in a domain."""
-    first = F.get(names, F.lit(0))
-    rest = F.slice(names, 2, 20)
-    merged = lambda n: F.array_join(F.transform(names, lambda t: F.substring(t, 1, n)), "")
-    head = F.concat(first, initials(rest))
-    found = (
-        ((F.size(names) >= 2) & F.contains(compact, initials(names)))
-        | ((F.length(head) >= 4) & F.contains(compact, head))
-        | ((F.size(names) >= 2) & (F.length(merged(3)) >= 4) & F.contains(compact, merged(3)))
-        | ((F.size(names) >= 2) & (F.length(merged(4)) >= 4) & F.contains(compact, merged(4)))
-    )
-    return F.coalesce(found, F.lit(False))
+    """Of two words or more: their initials, the first word with the others' initials (4 letters or more), or joined prefixes of 3 or 4 letters."""
+    merged = lambda n: F.array_join(F.transform(F.filter(names, lambda t: F.length(t) >= n), lambda t: F.substring(t, 1, n)), "")
+    head = F.concat(F.get(names, F.lit(0)), initials(F.slice(names, 2, 1000)))
+    found = F.contains(compact, initials(names))
+    for part in (head, merged(3), merged(4)):
+        found = found | ((F.length(part) >= 4) & F.contains(compact, part))
+    return F.coalesce((F.size(names) >= 2) & found, F.lit(False))
 
 
 def split_hints(c: Column | str, limit: int = 3) -> Column:

@@ -6,7 +6,7 @@ from pyspark.sql import Column
 from pyspark.sql import functions as F
 
 from orgweave.functions import words as W
-from orgweave.functions.text import normalize, text_or_empty
+from orgweave.functions.text import first_of, normalize, text_or_empty
 
 
 def host(c: Column | str) -> Column:
@@ -73,19 +73,20 @@ def strip_tracking(c: Column | str) -> Column:
     return F.regexp_replace(less, r"[?&]$", "")
 
 
-# What a page is for by its path, first match wins.
+# What a page is for by the words of its path, first match wins.
 SCOPES = (
-    ("legal", "legal|imprint|terms|sozlesme"), ("privacy", "privacy|kvkk|gizlilik|cookie"), ("contact", "contact|iletisim|kontakt|bize-ulasin"),
-    ("locations", "location|sube|bayi|ofis|distribut"), ("about", "about|hakkimizda|kurumsal"), ("document", "\\.pdf$|\\.docx?$"),
+    ("legal", ("kvkk", "legal", "ticari bilgi", "sirket bilgi", "imprint")),
+    ("privacy", ("privacy", "gizlilik", "veri koruma", "data protection")),
+    ("contact", ("contact", "iletisim", "bize ulas")),
+    ("locations", ("location", "lokasyon", "sube", "branch", "factory", "fabrika")),
+    ("about", ("about", "hakkimizda", "kurumsal", "corporate")),
+    ("document", ("pdf", "catalog", "catalogue", "katalog", "brochure", "brosur")),
 )
 
 
 def page_scope(c: Column | str) -> Column:
-    p = path(c)
-    out = F.when(p.isin("", "/"), F.lit("homepage")).otherwise(F.lit("other"))
-    for name, pattern in reversed(SCOPES):
-        out = F.when(p.rlike(pattern), F.lit(name)).otherwise(out)
-    return out
+    p = normalize(path(c))
+    return F.when(F.regexp_replace(p, "[ /]+", "") == "", F.lit("homepage")).otherwise(first_of(p, SCOPES, "other"))
 
 
 def scope_priority(scope: Column) -> Column:

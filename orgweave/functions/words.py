@@ -61,15 +61,76 @@ SCORE_CAP, RANK_BONUS = 92, 8
 RATE_PER_SECOND, CIRCUIT_FAILURES, CIRCUIT_COOLDOWN_S = 3, 3, 300
 WILSON_Z = 1.959963984540054
 
-# Topic words by context (a reduced form of the longer alias lists), and incompatible pairs.
+# Topic words by context.
 CONTEXTS = {
-    "kozmetik": ("kozmetik", "cosmetic", "cosmetics", "beauty", "personal care", "skin care", "makeup"),
-    "temizlik": ("temizlik", "cleaning", "hijyen", "hygiene", "detergent", "disinfectant"),
-    "gida": ("gida", "food", "beverage", "chocolate", "bakery", "olive oil", "tomato paste", "seafood"),
-    "ambalaj": ("ambalaj", "packaging", "label", "carton", "etiket", "printing"),
-    "tekstil": ("tekstil", "fashion", "clothing", "apparel", "garment", "ready to wear"),
+    "kozmetik": (
+        "kozmetik", "cosmetic", "cosmetics", "beauty", "dermokozmetik", "dermocosmetic", "personal care", "kisisel bakim",
+        "skin care", "cilt bakim", "makeup", "makyaj",
+    ),
+    "temizlik": ("temizlik", "cleaning", "hijyen", "hygiene", "detergent", "disinfectant", "wet wipe", "wet wipes", "diaper"),
+    "gida": (
+        "gida", "food", "beverage", "drink", "chocolate", "biscuit", "cake", "bakery", "confectionery", "candy", "halva",
+        "turkish delight", "sauce", "olive", "olives", "olive oil", "pickle", "pickles", "pepper paste", "pulp", "puree",
+        "tomato paste", "hazelnut", "pistachio", "kadayif", "frozen food", "meat", "mineral water", "carbonated", "fruit",
+        "juice", "snack", "fmcg", "fish", "seafood", "balik", "su urunleri",
+    ),
+    "ambalaj": ("ambalaj", "packaging", "label", "shrink sleeve", "carton", "box", "etiket", "matbaa", "printing"),
+    "tekstil": ("tekstil", "giyim", "moda", "fashion", "clothing", "apparel", "garment", "ready to wear", "hazir giyim", "triko"),
+    "ev_mutfak": (
+        "ev ve mutfak esyalari", "ev mutfak", "zuccaciye", "home and kitchen", "homeware", "housewares", "kitchenware",
+        "cookware", "tableware", "dinnerware", "glassware", "porcelain", "ceramic", "cutlery", "flatware", "kitchen appliances",
+        "small domestic appliances", "sofra", "mutfak", "porselen", "seramik", "cam esya", "catal bicak", "tencere", "tava",
+        "pisirme gerecleri",
+    ),
     "makine": ("makine", "machine", "machinery", "equipment", "manufacturing line"),
     "kimya": ("kimya", "chemical", "chemicals"),
     "plastik": ("plastik", "plastic"),
-    "otomotiv": ("otomotiv", "automotive", "auto parts", "spare parts", "exhaust"),
+    "baski": ("baski", "printing", "print"),
+    "elektronik": ("elektronik", "electronic", "electronics"),
+    "laboratuvar": ("laboratuvar", "laboratory", "laboratory services"),
+    "otomotiv": (
+        "otomotiv", "automotive", "automotive aftermarket", "aftermarket", "auto parts", "vehicle parts", "yedek parca",
+        "spare parts", "driveshaft", "drive shaft", "suspension", "suspansiyon", "egzoz", "exhaust", "friction", "gasket",
+        "connecting rod", "motor oil", "lubricant",
+    ),
 }
+
+# Activity words that a site of the company should show, words of hosts that are no company's, words of directories.
+CONTEXT_WORDS = (
+    "kozmetik", "cosmetic", "cosmetics", "gida", "food", "temizlik", "cleaning", "kimya", "boya", "tekstil", "ambalaj", "barkod",
+    "baski", "elektronik", "mineraller", "plastik", "plastic", "otomotiv", "automotive",
+)
+NON_COMPANY_KEYWORDS = (
+    "spor", "sport", "kulubu", "belediye", "municipality", "universite", "university", "edu", "project", "github", "gitlab",
+    "sourceforge", "docs", "wiki", "blogspot", "wordpress",
+)
+GENERIC_KEYWORDS = (
+    "alibaba", "amazon", "marketplace", "directory", "firma", "firmalar", "metalmarket", "trade", "b2b", "exporters", "portal",
+    "haber", "news", "medya", "fair", "expo", "ihracat", "katalog", "rehber", "sanayirehber", "ticaretrehber", "sirketler",
+    "kobirehber", "ihracatci", "sektor",
+)
+
+# Words that translate each other in brands and in domains.
+BRAND_EQUIVALENTS = {
+    "ileri": ("advanced",), "advanced": ("ileri",), "malzeme": ("material", "materials"), "malzemeler": ("material", "materials"),
+    "material": ("malzeme", "malzemeler"), "materials": ("malzeme", "malzemeler"), "teknoloji": ("technology", "technologies"),
+    "teknolojileri": ("technology", "technologies"), "technology": ("teknoloji", "teknolojileri"),
+    "technologies": ("teknoloji", "teknolojileri"), "saglik": ("health", "healthcare"), "health": ("saglik",),
+    "healthcare": ("saglik",), "tibbi": ("medical",), "medikal": ("medical",), "medical": ("tibbi", "medikal"),
+    "tekstil": ("textile",), "textile": ("tekstil",), "makine": ("machine", "machinery"), "makina": ("machine", "machinery"),
+    "machine": ("makine", "makina"), "machinery": ("makine", "makina"),
+}
+DOMAIN_EQUIVALENTS = {"chocolate": ("cikolata",), "cikolata": ("chocolate",), "candy": ("seker", "sekerleme"), "seker": ("candy",), "sekerleme": ("candy",)}
+
+# Activities by word, words that are none, and what joins no two names.
+ACTIVITIES = {
+    "tarim": "agriculture", "agriculture": "agriculture", "agricultural": "agriculture", "agro": "agriculture", "tekstil": "textile",
+    "textile": "textile", "makine": "machinery", "makina": "machinery", "machine": "machinery", "machinery": "machinery",
+    "medikal": "medical", "tibbi": "medical", "medical": "medical", "saglik": "health", "health": "health", "healthcare": "health",
+}
+NO_ACTIVITIES = ("ve", "dahili", "hizmetleri", "servis", "satis", "sistemleri", "endustri", "endustriyel", "maddeler")
+BRIDGE_NOISE = ("ic", "dis", "paz", "pazarlama", "tic", "ticaret", "ith", "ihr", "ithalat", "ihracat", "san", "sanayi")
+OWNERSHIP_MARKERS = (
+    "ait bir marka", "markasidir", "markasi", "bunyesinde", "ticari unvani", "resmi unvani", "bir markadir", "brand of", "a brand of",
+    "owned by", "belongs to", "operated by", "trading name of", "part of",
+)

@@ -44,22 +44,6 @@ def confidence_status(score: Column, has_contact: Column, verified: Column) -> C
     )
 
 
-def domain_score(company: Column, host: Column, text: Column, partial_ratio: Column) -> Column:
-    """0 to 100 for a host as a company's own: its words in the host, likeness, words in the text, country."""
-    names, compact = T.brand_tokens(company), U.compact_core(host)
-    hits = F.size(F.filter(names, lambda t: F.contains(compact, t)))
-    in_text = F.size(F.array_intersect(names, T.tokens(text)))
-    total = F.greatest(F.size(names), F.lit(1))
-    abbreviated = (hits == 0) & T.abbreviation_match(names, compact)
-    first = F.coalesce(F.contains(compact, F.get(names, F.lit(0))), F.lit(False))
-    score = (
-        (hits * 32 / total).cast("int") + (partial_ratio * 0.24).cast("int") + F.least(2 * in_text, F.lit(8)) + U.tld_bonus(host)
-        + 14 * first.cast("int") + 24 * abbreviated.cast("int")
-    )
-    blocked = (F.size(names) == 0) | (host == "") | U.is_foreign(host) | ((hits == 0) & ~abbreviated)
-    return F.when(blocked, F.lit(0)).otherwise(clamp(score))
-
-
 def email_blockers(email: Column, first_party: Column, dns: Column, same_domain: Column) -> Column:
     """Why an address may not be published; none if the array is empty. dns: accepted, invalid or unknown."""
     syntax = F.coalesce(email.rlike(r"^[^@\s]+@[^@\s]+\.[a-z]{2,}$"), F.lit(False))

@@ -14,6 +14,7 @@ from pyspark.sql import functions as F
 
 from orgweave.functions import contact as C
 from orgweave.functions import fuzzy, html
+from orgweave.functions import names as N
 from orgweave.functions import text as T
 from orgweave.functions import url as U
 from orgweave.functions import words as W
@@ -47,7 +48,11 @@ _LAST3 = "array_to_string(string_split({0}, '.')[-3:], '.')"
 _IN = lambda xs: "(" + ", ".join(f"'{x}'" for x in xs) + ")"
 _LIST = lambda xs: "[" + ", ".join(f"'{x}'" for x in sorted(set(xs))) + "]"
 _PATH = "regexp_extract(lower(coalesce(url, '')), '^[a-z][a-z0-9+.-]*://[^/?#]*([^?#]*)', 1)"
-_SCOPE = "case " + " ".join(f"when regexp_matches({_PATH}, '{p}') then '{n}'" for n, p in U.SCOPES) + f" when {_PATH} in ('', '/') then 'homepage' else 'other' end"
+_SCOPE = (
+    f"case when regexp_replace({_PATH}, '[ /]+', '', 'g') = '' then 'homepage' when regexp_matches({_PATH}, 'kvkk|legal|ticari bilgi|sirket bilgi|imprint') then 'legal' when regexp_matches({_PATH}, 'privacy|gizlilik|veri koruma|data protection') then 'privacy'"
+    f" when regexp_matches({_PATH}, 'contact|iletisim|bize ulas') then 'contact' when regexp_matches({_PATH}, 'location|lokasyon|sube|branch|factory|fabrika') then 'locations' when regexp_matches({_PATH}, 'about|hakkimizda|kurumsal|corporate') then 'about'"
+    f" when regexp_matches({_PATH}, 'pdf|catalog|catalogue|katalog|brochure|brosur') then 'document' else 'other' end"
+)
 _EMAILS = "regexp_extract_all(regexp_replace(regexp_replace(regexp_replace(coalesce(text, ''), '\\\\u0040', '@', 'g'), '(?i)\\s*[\\[(]\\s*at\\s*[\\])]\\s*', '@', 'g'), '(?i)\\s*[\\[(]\\s*(dot|nokta)\\s*[\\])]\\s*', '.', 'g'), '" + C.EMAIL + "')"
 _EMAIL_ROWS = f"select doc_id, lower(e) as email, n from (select doc_id, unnest({_EMAILS}) as e, generate_subscripts({_EMAILS}, 1) as n from documents)"
 _WILSON = f"(c / a + {W.WILSON_Z} * {W.WILSON_Z} / (2 * a) - {W.WILSON_Z} * sqrt((c / a * (1 - c / a) + {W.WILSON_Z} * {W.WILSON_Z} / (4 * a)) / a)) / (1 + {W.WILSON_Z} * {W.WILSON_Z} / a)"
@@ -121,15 +126,20 @@ def token_document_frequency(spark, d):
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-@query(f"""with t as (select doc_id, unnest(list_distinct({_TOKENS.format('text')})) as token from documents), f as (select token, count(*) as n from t group by token),
-own as (select doc_id, unnest(list_distinct({_TOKENS.format('text')}[1:8])) as token from documents), total as (select count(*) as n from documents)
-select doc_id, least(4 * count(*), 8)::bigint as bonus from own join f using (token), total where length(token) >= 4 and f.n <= greatest(1, total.n // 10) group by doc_id""")
+@query(f"""with p as (select p_partkey, lower(p_name) as name, list_filter({_TOKENS.format('p_name')}, lambda t: length(t) > 1 and t not in ('ltd', 'sti', 'san', 'sanayi', 'tic', 'ticaret', 'anonim', 'limited', 'as', 'co', 'inc', 'gmbh', 've', 'and', 'sirket', 'sirketi')) as w from part),
+f as (select token, count(*) as n from (select p_partkey, unnest(list_distinct(w)) as token from p) group by 1), t as (select count(*) as n from part), d as (select doc_id, ' ' || lower(translate(coalesce(text, ''), '{W.FOLD_FROM}', '{W.FOLD_TO}')) || ' ' as e from documents),
+x as (select p_partkey, doc_id, count(distinct token) as n from (select p_partkey, unnest(list_distinct(w)) as token from p) join f using (token), t, d where d.doc_id = p_partkey and length(token) >= 4 and f.n <= greatest(1, t.n // 10) and (contains(e, ' ' || token || ' ') or contains(regexp_replace(e, '[^a-z0-9]', '', 'g'), token)) group by 1, 2)
+select p_partkey, least(8, 4 * n)::bigint as bonus from x""")
 def rare_token_bonus(spark, d):
-    docs = read(spark, d, "documents").select("doc_id", T.tokens("text").alias("w"))
-    limit = max(1, docs.count() // 10)
-    frequent = docs.select(F.explode(F.array_distinct("w")).alias("token")).groupBy("token").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") <= limit)
-    own = docs.select("doc_id", F.explode(F.array_distinct(F.slice("w", 1, 8))).alias("token")).where(F.length("token") >= 4)
-    return own.join(frequent, "token").groupBy("doc_id").agg(F.least(4 * F.count(F.lit(1)), F.lit(8)).cast("long").alias("bonus"))
+    """Parts' names against the text of the document of the same number: all meaningful words, whole texts."""
+    parts = read(spark, d, "part").select("p_partkey", F.array_distinct(T.legal_tokens("p_name")).alias("w"))
+    each = parts.select("p_partkey", F.explode("w").alias("token"))
+    total = parts.agg(F.count(F.lit(1)).alias("total"))
+    rare = each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).where((F.length("token") >= 4) & (F.col("n") <= F.greatest(F.lit(1), F.floor(F.col("total") / 10)))).select("token")
+    of_part = each.join(rare, "token").groupBy("p_partkey").agg(F.collect_set("token").alias("rare"))
+    docs = read(spark, d, "documents").select(F.col("doc_id").alias("p_partkey"), "text")
+    found = of_part.join(docs, "p_partkey").select("p_partkey", F.size(N.rare_words(F.array_join("rare", " "), "text", F.col("rare"))).alias("n"))
+    return found.where("n > 0").select("p_partkey", F.least(4 * F.col("n"), F.lit(8)).cast("long").alias("bonus"))
 
 
 @query(f"""with i as (select item_id, array_to_string({_TOKENS.format('text')}[1:4], ' ') as phrase from benchmark where len({_TOKENS.format('text')}) >= 4),
@@ -540,11 +550,6 @@ def context_occurrences(spark, d):
     return read(spark, d, "documents").select("doc_id", T.phrase_count(F.array_join(T.tokens("text"), " "), F.lit("the")).cast("long").alias("n"))
 
 
-@query("""select event_type, props, case when regexp_matches(lower(props), 'group|grup|holding|parent|subsidiary|istirak') then 'relationship' else 'context' end as intent, count(*) as n from events group by 1, 2, 3""")
-def query_intents(spark, d):
-    return read(spark, d, "events").groupBy("event_type", "props", T.query_intent("props").alias("intent")).agg(F.count(F.lit(1)).alias("n"))
-
-
 @query()
 def fuzzy_ratio(spark, d):
     """Ratios of each supplier's name with the customers of the same last two digits: a keyed comparison."""
@@ -681,15 +686,6 @@ def adaptive_discovery(spark, d):
     return identity.discover(companies, lambda i: companies.withColumn("query", F.lit(("1-URGENT", "2-HIGH")[i])), results, 2, 200000)
 
 
-@query()
-def domain_score(spark, d):
-    """Each supplier's name against the hosts of pages that share its nation's number as a path part: a keyed comparison."""
-    pages = read(spark, d, "pages").select("page_id", U.host("url").alias("host"), F.regexp_extract("url", r"/(\d+)", 1).alias("k"), "html")
-    part = read(spark, d, "part").select("p_name", F.col("p_partkey").cast("string").alias("k"))
-    both = part.join(pages, "k").withColumn("ratio", fuzzy.partial_ratio(T.brand_compound("p_name"), U.compact_core(F.col("host"))))
-    return both.select("page_id", "p_name", "host", policy.domain_score(F.col("p_name"), F.col("host"), F.col("html"), F.col("ratio")).cast("long").alias("score"))
-
-
 @query()
 def html_claims(spark, d):
     return html.dedupe_claims(html.organization_claims(read(spark, d, "pages")))
@@ -708,3 +704,7 @@ def html_site_map(spark, d):
 @query()
 def html_contact_links(spark, d):
     return html.contact_links(read(spark, d, "pages"))
+
+
+# the other parts of the catalogue add their queries
+from orgweave.plans import name_queries  # noqa: E402, F401
