@@ -59,6 +59,7 @@ PATH: tuple[tuple[float, ...], ...] = (
     (0.02, 0.1, 0.1, 0.15, 12.0),
 )
 MAX_BROADCAST_STRATA = 10_000
+MAX_BROADCAST_IDS = 1 << 20
 
 
 def _only(text: Column, characters: str) -> Column:
@@ -208,8 +209,13 @@ def filter_documents(docs: DataFrame, labels: DataFrame) -> DataFrame:
 
     The cutoffs come from the good labelled documents alone; then each row is judged in place, in one pass.
     """
-    labelled = docs.select("doc_id", "text", _stratum(docs)).join(_good(labels), "doc_id", "left_semi")
-    cutoffs = materialise(calibrate(text_metrics(labelled, "stratum")), "quality-cutoffs")
+    good = materialise(_good(labels), "quality-labelled")
+    texts = docs.select("doc_id", "text", _stratum(docs))
+    if good.count() <= MAX_BROADCAST_IDS:
+        labelled = text_metrics(texts.join(F.broadcast(good), "doc_id", "left_semi"), "stratum")
+    else:  # texts stay where they are: their statistics meet the ids
+        labelled = text_metrics(texts, "doc_id", "stratum").join(good, "doc_id", "left_semi")
+    cutoffs = materialise(calibrate(labelled), "quality-cutoffs")
     row = F.struct(*[docs[c] for c in docs.columns]).alias("__row")
     judged = _judged(docs.select(row, _stratum(docs)), cutoffs)
     passes = let(_metrics(F.col("__row")["text"]), lambda m: ~m["base_failed"] & (m["level"] > F.col("__applied")))
