@@ -52,21 +52,3 @@ def email_blockers(email: Column, first_party: Column, dns: Column, same_domain:
         ("cross_domain_unverified", ~same_domain & (dns != "accepted")),
     ]
     return F.array_compact(F.array(*[F.when(c, F.lit(n)) for n, c in rules]))
-
-
-# Names of the evidence columns that the safe routes read.
-def safe_routes(c: dict[str, Column]) -> Column:
-    """The routes by which a candidate may be published, as an array of names."""
-    gate = c["reachable"] & c["eligible"] & c["country"]
-    clear = gate & c["conflict_free"]
-    contact = c["same_site_contact"] & c["canonical"] & c["has_contact"]
-    page, structured, legal, query = c["page"], c["structured"], c["legal"], c["query"]
-    routes = [
-        ("exact_domain", clear & c["exact_domain"] & contact),
-        ("exact_website", clear & c["exact_domain"] & c["canonical"] & (page >= 1) & (query >= 1)),
-        ("legal_uniqueness", clear & c["first_party"] & (legal >= 3) & (page >= 3) & (query >= 4) & contact),
-        ("structured_brand", clear & c["publishable"] & c["business_name"] & (page >= 2) & (structured >= 2) & (query >= 2) & contact),
-        ("structured_uniqueness", clear & c["business_name"] & (page >= 3) & (structured >= 2) & (query >= 4) & contact),
-        ("verified_first_party", clear & c["verified"] & c["domain_identity"] & (page >= 2) & contact),
-    ]
-    return F.array_compact(F.array(*[F.when(F.coalesce(cond, F.lit(False)), F.lit(n)) for n, cond in routes]))

@@ -242,7 +242,7 @@ def query_intents(spark, d):
     return _events(spark, d, ASKED, "asked").select("event_id", "asked", intent.alias("intent"), T.intent_priority(intent).alias("priority"))
 
 
-@query(f"""with q(k, label) as (values {_TEXTS(LABELLED)}), n as (select k, label, lower(regexp_replace(coalesce(label, ''), '\s+', ' ', 'g')) as a from q),
+@query(f"""with q(k, label) as (values {_TEXTS(LABELLED)}), n as (select k, label, lower(regexp_replace(coalesce(label, ''), '\\s+', ' ', 'g')) as a from q),
 i as (select k, label, case when contains(a, 'fax') or contains(a, 'faks') then 'fax' when contains(a, 'whatsapp') or contains(a, 'whats app') or contains(a, 'wa.me') then 'whatsapp' when contains(a, 'headquarters') or contains(a, 'merkez') then 'headquarters'
 when contains(a, 'specialist') or contains(a, 'uzman') then 'specialist' when contains(a, 'owner') or contains(a, 'sahibi') or contains(a, 'yetkili') then 'owner' when contains(a, 'marketing') or contains(a, 'pazarlama') then 'marketing'
 when contains(a, 'sales') or contains(a, 'satis') or contains(a, 'satış') then 'sales' when contains(a, 'export') or contains(a, 'ihracat') then 'export' when contains(a, 'istanbul') then 'istanbul' when contains(a, 'izmir') then 'izmir' when contains(a, 'ankara') then 'ankara'

@@ -350,23 +350,6 @@ def score_gap_filter(spark, d):
     return candidates.score_gap(scored, ["o_custkey"], "score", [F.asc("o_orderkey")]).select("o_custkey", "o_orderkey", F.col("rank").cast("long").alias("rank"))
 
 
-@query("select l_orderkey, l_linenumber, row_number() over (partition by l_orderkey order by (l_returnflag = 'R')::int desc, (l_discount >= 0.05)::int desc, l_quantity desc, l_linenumber) as rank from lineitem")
-def rerank_lexicographic(spark, d):
-    order = [F.desc(F.col("l_returnflag") == "R"), F.desc(F.col("l_discount") >= 0.05), F.desc("l_quantity"), F.asc("l_linenumber")]
-    ranked = candidates.rank_within(read(spark, d, "lineitem"), ["l_orderkey"], order)
-    return ranked.select("l_orderkey", "l_linenumber", F.col("rank").cast("long").alias("rank"))
-
-
-@query("""with k as (select o_custkey, o_orderstatus as family, o_totalprice > 50000 as ready, (o_totalprice / 50000)::bigint as a, (o_orderpriority = '1-URGENT')::int as b from
-(select o_custkey, o_orderstatus, o_orderpriority, o_totalprice - o_totalprice % 50000 as o_totalprice from orders)),
-r as (select *, rank() over (partition by o_custkey order by ready desc, a desc, b desc) as rk from k), g as (select o_custkey, max(ready) as ready, count(distinct family) as n, min(family) as family from r where rk = 1 group by 1)
-select o_custkey, case when not ready then 'unresolved' when n > 1 then 'ambiguous' else 'resolved' end as status, case when ready and n = 1 then family end as family from g""")
-def identity_resolution_status(spark, d):
-    price = F.col("o_totalprice") - F.col("o_totalprice") % 50000
-    keyed = read(spark, d, "orders").select("o_custkey", F.col("o_orderstatus").alias("family"), (price > 50000).alias("ready"), F.round(price / 50000).cast("long").alias("a"), (F.col("o_orderpriority") == "1-URGENT").cast("int").alias("b"))
-    return candidates.resolve(keyed, ["o_custkey"], ["a", "b"], "family", "ready")
-
-
 @query("""select p_partkey from part a where not exists (select 1 from part b where a.p_brand = b.p_brand and b.p_size >= a.p_size and b.p_retailprice >= a.p_retailprice
 and (b.p_size > a.p_size or b.p_retailprice > a.p_retailprice) and a.p_type <> b.p_type)""")
 def skyline_tournament(spark, d):
@@ -621,20 +604,6 @@ def page_sub_scores(spark, d):
     return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", score.cast("long").alias("score"))
 
 
-@query("""with c as (select l_orderkey, l_linenumber, l_linestatus = 'F' as ok, l_returnflag <> 'N' as clear, l_discount > 0.03 as contact, l_quantity > 25 as exact, (l_linenumber - 1)::int as page, (l_linenumber + 1)::int as query from lineitem)
-select l_orderkey, l_linenumber, array_to_string(list_filter([case when ok and clear and exact and contact then 'exact_domain' end, case when ok and clear and exact and contact and page >= 1 and query >= 1 then 'exact_website' end,
-case when ok and clear and page >= 3 and query >= 4 and contact then 'structured_uniqueness' end], lambda x: x is not null), ',') as routes from c""")
-def safe_routes(spark, d):
-    yes, no, ok = F.lit(True), F.lit(False), F.col("l_linestatus") == "F"
-    contact, page = F.col("l_discount") > 0.03, F.col("l_linenumber") - 1
-    evidence = {
-        "reachable": ok, "eligible": yes, "country": yes, "conflict_free": F.col("l_returnflag") != "N", "same_site_contact": contact, "canonical": contact, "has_contact": contact,
-        "exact_domain": F.col("l_quantity") > 25, "page": page, "structured": F.lit(2), "legal": F.lit(0), "query": page + 2, "first_party": no, "publishable": no, "business_name": yes,
-        "verified": no, "domain_identity": no,
-    }
-    return read(spark, d, "lineitem").select("l_orderkey", "l_linenumber", F.array_join(policy.safe_routes(evidence), ",").alias("routes"))
-
-
 @query("""with r as (select o_custkey, o_orderkey, o_orderstatus, row_number() over (partition by o_custkey order by o_totalprice desc, o_orderkey) as rank from orders), s as (select c_custkey, c_acctbal > 0 as present from customer),
 m as (select c_custkey, present, max(case when rank = 1 and o_orderstatus = 'F' then 1 else 0 end) as at1, max(case when rank <= 3 and o_orderstatus = 'F' then 1 else 0 end) as at3, max(case when rank = 1 then 1 else 0 end) as selected from s left join r on c_custkey = o_custkey group by 1, 2)
 select count(*) filter (where present) as n_present, round(sum(at1) filter (where present) / count(*) filter (where present), 4) as recall_at_1, round(sum(at3) filter (where present) / count(*) filter (where present), 4) as recall_at_3,
@@ -707,4 +676,4 @@ def html_contact_links(spark, d):
 
 
 # the other parts of the catalogue add their queries
-from orgweave.plans import name_queries  # noqa: E402, F401
+from orgweave.plans import name_queries, resolution_queries  # noqa: E402, F401
