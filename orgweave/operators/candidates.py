@@ -66,13 +66,6 @@ def skyline(rows: DataFrame, group: list[str], dimensions: list[str], family: st
     return rows.join(rival, condition, "left_anti")
 
 
-def close_pairs(rows: DataFrame, group: list[str], node: str, score: str, margin: float = W.AMBIGUITY_MARGIN) -> DataFrame:
-    """Neighbours in the order of score whose scores differ by `margin` at most: the pairs that make a group's choice unsure."""
-    order = Win.partitionBy(*group).orderBy(F.desc(score), node)
-    both = rows.select(*group, F.col(node).alias("first"), F.col(score).alias("first_score"), F.lead(node).over(order).alias("second"), F.lead(score).over(order).alias("second_score"))
-    return both.where(F.col("second").isNotNull() & (F.col("first_score") - F.col("second_score") <= margin))
-
-
 def resolve(rows: DataFrame, group: list[str], key: list[str], family: str, ready: str) -> DataFrame:
     """resolved, ambiguous (the best key is shared by several families) or unresolved (none ready), for each group."""
     place = F.rank().over(Win.partitionBy(*group).orderBy(F.desc(ready), *[F.desc(k) for k in key]))
