@@ -170,8 +170,8 @@ def _joint(columns: list[np.ndarray]) -> list[np.ndarray]:
     return [*(_narrow(x[first[order]]) for x in columns), _narrow(rank[place])]
 
 
-#: Bytes kept of the hash of a word, of a context and of the word after it.
-_WORD, _CONTEXT, _THIRD = 6, 6, 5
+#: Bytes kept of the hash of a word, of a context (beside its shard) and of the word after it (beside its context).
+_WORD, _CONTEXT, _THIRD = 6, 5, 4
 _QUERY = ["u1"] * 5
 _ANSWER = ["u1"] * 5 + ["<i8"]
 _WHERE = ["u1"] * 4 + ["<u2", "<u2", "<i8", "<i8", "u1"]
@@ -241,19 +241,25 @@ def _answer(batches):
     sums = np.bincount(place, weights=word_count).astype(np.int64)
     n1, totals = sums[place], np.array([sums.sum(), (sums > 0).sum()])
     order = np.lexsort((third, key))
-    sorted_key, sorted_third = key[order], third[order]
+    key, third = key[order], third[order]
     new = np.ones(len(order), bool)
-    new[1:] = (sorted_key[1:] != sorted_key[:-1]) | (sorted_third[1:] != sorted_third[:-1])
+    new[1:] = (key[1:] != key[:-1]) | (third[1:] != third[:-1])
+    place = np.empty(len(order), np.int64)
+    place[order] = np.cumsum(new) - 1
     sums = np.add.reduceat(count[order], np.flatnonzero(new)) if len(order) else count
+    key, third = key[new], third[new]
     learned = sums > 0
-    contexts, parent = np.unique(sorted_key[new][learned], return_inverse=True)
-    trie = Trie.build(contexts, parent, sorted_third[new][learned], sums[learned], DISCOUNT).mapped()
-    del order, sorted_key, sorted_third, new, sums, learned, contexts, parent, count
+    trie = Trie.build(*np.unique(key[learned], return_inverse=True), third[learned], sums[learned], DISCOUNT).mapped()
+    # the shard's distinct triples are searched once; a block's answers are those of its own
+    first = np.ones(len(key), bool)
+    first[1:] = key[1:] != key[:-1]
+    codes = trie.look_up(key[first], np.cumsum(first) - 1, third)
+    del order, new, sums, learned, key, third, first, count
     out = _Out()
     for k, (name, shard, wanted, total) in enumerate(heads):
         if wanted:
             w, t = slice(cuts[0][k], cuts[0][k + 1]), slice(cuts[1][k], cuts[1][k + 1])
-            if out.add(name, shard, wanted, total, _pack([_narrow(n1[w]), *_joint(list(trie.look_up(key[t], third[t]))), totals])):
+            if out.add(name, shard, wanted, total, _pack([_narrow(n1[w]), *_joint([x[place[t]] for x in codes]), totals])):
                 yield out.take()
     yield out.take()
 

@@ -181,16 +181,16 @@ def test_trie_against_a_dictionary():
     contexts, parent = np.unique(a, return_inverse=True)
     trie = elias_fano.Trie.build(contexts.astype(np.uint64), parent, b.astype(np.uint64), n, 0.5).mapped()
     asked = [(x, y) for x, y, _ in rows] + [(int(x) << 40, int(y) << 30) for x, y in r.integers(0, 1200, (4000, 2))]
-    share, back, mass = trie.look_up(*(np.array(x, np.int64) for x in zip(*asked)))
+    keys, of_word = np.unique([x for x, _ in asked], return_inverse=True)
+    share, back, mass = trie.look_up(keys, of_word, np.array([y for _, y in asked], np.int64))
     of, followers = collections.Counter(), collections.Counter(x for x, _ in counts)
     for (x, _), k in counts.items():
         of[x] += k
     expected = [((counts[x, y] - 0.5) / of[x] if (x, y) in counts else 0, 0.5 * followers[x] / of[x] if of[x] else 0, of[x]) for x, y in asked]
     got = np.stack([elias_fano.shares(share), elias_fano.shares(back), elias_fano.masses(mass)], 1)
-    assert np.allclose(got, expected, rtol=5e-4, atol=0)
-    one = np.array([contexts[3]] * len(set(b)))
-    share, back, _ = trie.look_up(one, np.unique(b))
-    assert elias_fano.shares(share).sum() + elias_fano.shares(back)[0] == pytest.approx(1, abs=1e-3)
+    assert np.allclose(got, expected, rtol=2e-3, atol=0)
+    share, back, _ = trie.look_up(contexts[3:4], np.zeros(len(set(b)), np.int64), np.unique(b))
+    assert elias_fano.shares(share).sum() + elias_fano.shares(back)[0] == pytest.approx(1, abs=2e-3)
 
 
 def test_lm_base_scores(spark, docs, texts, no_docs):
