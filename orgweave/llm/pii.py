@@ -4,29 +4,40 @@ One pattern finds candidates: e-mail addresses, long hexadecimal secrets, IBANs,
 social security numbers, IPv4 addresses, card numbers and telephone numbers. A candidate that
 passes its check (mod 97, calendar, number ranges, Luhn, digit count) is replaced by a keyed
 permutation of itself within its format: a Feistel network of ROUNDS rounds whose round
-function is SHA-256 of the key, the kind and the other half. The permutation is a bijection
+function is HMAC-SHA-256, with the key, of the kind, the round and the other half. The permutation is a bijection
 of the valid values of a format, so equal values get equal pseudonyms in all documents, and
 different values different ones. Separators stay where they are and do not enter the
 permutation, so one number written in two ways stays linked. Cards keep their first digit and
 get a new check digit, IBANs keep the country and letters and get new check digits, NANP
 numbers keep the country, dates fall in 1800 to 2199, e-mail addresses keep the domain.
 
+A card number or IBAN that fails its check with the groups behind it is tried without its last
+one, two or three groups, which then stay as they are.
+
 Defined cases: a null text stays null; texts without candidates and candidates that fail
 their check stay as they are; repeated rows get equal results; only IPv4 addresses may
 change a text's length; other columns are passed through by `pseudonymise`.
 
-The key is the session's `spark.orgweave.pii.key`; without it a fixed one serves for tests.
+Not recognised: telephone numbers without `+` outside the North American plan, IPv6 addresses,
+and secrets that are not hexadecimal.
+
+The key is the session's `spark.orgweave.pii.key`. Where it is unset a random one is drawn and
+kept in the session's settings, so pseudonyms are linked within the session and nobody can undo
+them; to link several sessions, set the key.
 """
 
 from __future__ import annotations
 
+import hashlib
+import secrets
+
 from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from orgweave.llm.common import let, read
 
 ROUNDS = 8
-DEFAULT_KEY = "orgweave-test-key"
+KEY_SETTING = "spark.orgweave.pii.key"
 _A, _Z = r"(?<![0-9A-Za-z])", r"(?![0-9A-Za-z])"
 EMAIL = r"(?<![A-Za-z0-9._%+-])[A-Za-z0-9._%+-]{1,64}+@[A-Za-z0-9-]{1,63}(?:\.[A-Za-z0-9-]{1,63}){1,8}"
 SECRET = _A + r"(?:[0-9a-f]{32,128}|[0-9A-F]{32,128})" + _Z
@@ -42,10 +53,19 @@ _DATE_SIZES = (189, 773)
 _FIRST_DAY = "1800-01-01"
 
 
+def _hmac(key: str, *parts: Column) -> Column:
+    """HMAC-SHA-256 of the parts, as hexadecimal digits."""
+    block = key.encode()
+    if len(block) > 64:
+        block = hashlib.sha256(block).digest()
+    inner, outer = (bytearray(x ^ y for x in block.ljust(64, b"\0")) for y in (0x36, 0x5C))
+    message = F.concat_ws("|", *parts).cast("binary")
+    return F.sha2(F.concat(F.lit(outer), F.unhex(F.sha2(F.concat(F.lit(inner), message), 256))), 256)
+
+
 def _hash(key: str, kind: str, turn: Column, x: Column) -> Column:
     """52 keyed pseudo-random bits of x."""
-    digest = F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), turn.cast("string"), x.cast("string")), 256)
-    return F.conv(F.substring(digest, 1, 13), 16, 10).cast("long")
+    return F.conv(F.substring(_hmac(key, F.lit(kind), turn.cast("string"), x.cast("string")), 1, 13), 16, 10).cast("long")
 
 
 def feistel(key: str, kind: str, a: Column, b: Column, size_a: Column, size_b: Column) -> Column:
@@ -89,7 +109,7 @@ def permute_text(key: str, kind: str, value: Column, alphabets: tuple[str, ...])
         return F.array_join(F.transform(F.split(s, ""), one), "")
 
     half = F.floor(F.length(value) / 2).cast("int")
-    digest = lambda i, x: F.sha2(F.concat_ws("|", F.lit(key), F.lit(kind), i.cast("string"), x), 256)
+    digest = lambda i, x: _hmac(key, F.lit(kind), i.cast("string"), x)
 
     def turn(s: Column, i: Column) -> Column:
         even = i % 2 == 0
@@ -137,28 +157,45 @@ def _mod97(value: Column) -> Column:
     return F.aggregate(F.filter(F.split(turned, ""), lambda c: c != ""), F.lit(0), step)
 
 
+def _longest_valid(v: Column, group: str, valid) -> Column:
+    """v, or what is left of it without its last one to three groups: the longest form that is valid; null if none is."""
+    less = lambda x: F.regexp_replace(x, group, "")
+    forms = F.aggregate(F.sequence(F.lit(1), F.lit(3)), F.array(v), lambda made, _: F.array_append(made, less(F.element_at(made, -1))))
+    return F.get(F.filter(F.array_distinct(forms), valid), F.lit(0))
+
+
 def _card(key: str, v: Column) -> Column:
-    def new(d: Column) -> Column:
+    def valid(x: Column) -> Column:
+        return let(_digits(x), lambda d: F.length(d).between(13, 19) & (_luhn_sum(d) % 10 == 0) & ~d.rlike("^(.)\\1*$"))
+
+    def new(x: Column) -> Column:
+        d = _digits(x)
         n = F.length(d)
         body = F.concat(F.substr(d, F.lit(1), F.lit(1)), permute_digits(key, "card", F.substr(d, F.lit(2), n - 2)))
         checked = let(body, lambda b: F.concat(b, F.pmod(10 - _luhn_sum(F.concat(b, F.lit("0"))) % 10, F.lit(10)).cast("string")))
-        return F.when((_luhn_sum(d) % 10 == 0) & ~d.rlike("^(.)\\1*$"), _fill(v, checked))
+        return F.when(x.isNotNull(), F.concat(_fill(x, checked), F.substr(v, F.length(x) + 1)))
 
-    return let(_digits(v), new)
+    return let(_longest_valid(v, "[ -][0-9]+$", valid), new)
 
 
 def _iban(key: str, v: Column) -> Column:
-    def new(c: Column) -> Column:
+    compact = lambda x: F.replace(x, F.lit(" "), F.lit(""))
+
+    def valid(x: Column) -> Column:
+        return let(compact(x), lambda c: F.length(c).between(15, 34) & (_mod97(c) == 1) & F.substr(c, F.lit(5)).rlike("[0-9].*[0-9]"))
+
+    def new(x: Column) -> Column:
+        c = compact(x)
         account = F.substr(c, F.lit(5))
         moved = F.concat(F.substr(c, F.lit(1), F.lit(2)), F.lit("00"), _fill(account, permute_digits(key, "iban", _digits(account))))
-        valid = let(moved, lambda m: F.concat(F.substr(m, F.lit(1), F.lit(2)), F.lpad((98 - _mod97(m)).cast("string"), 2, "0"), F.substr(m, F.lit(5))))
-        return F.when((_mod97(c) == 1) & account.rlike("[0-9].*[0-9]"), let(valid, lambda x: _spread(v, x)))
+        made = let(moved, lambda m: F.concat(F.substr(m, F.lit(1), F.lit(2)), F.lpad((98 - _mod97(m)).cast("string"), 2, "0"), F.substr(m, F.lit(5))))
+        return F.when(x.isNotNull(), F.concat(let(made, lambda y: _spread(x, y)), F.substr(v, F.length(x) + 1)))
 
-    def _spread(old: Column, compact: Column) -> Column:
-        one = lambda c, k: F.when(c == " ", c).otherwise(F.substr(compact, F.length(F.replace(F.substr(old, F.lit(1), k + 1), F.lit(" "), F.lit(""))), F.lit(1)))
+    def _spread(old: Column, new_value: Column) -> Column:
+        one = lambda c, k: F.when(c == " ", c).otherwise(F.substr(new_value, F.length(compact(F.substr(old, F.lit(1), k + 1))), F.lit(1)))
         return F.array_join(F.transform(F.split(old, ""), one), "")
 
-    return let(F.replace(v, F.lit(" "), F.lit("")), new)
+    return let(_longest_valid(v, " [A-Z0-9]+$", valid), new)
 
 
 def _date(key: str, v: Column) -> Column:
@@ -269,7 +306,10 @@ def _rewritten(key: str, text: Column) -> Column:
 
 
 def session_key(spark: SparkSession) -> str:
-    return spark.conf.get("spark.orgweave.pii.key", DEFAULT_KEY)
+    """The session's key, drawn at random where none is set."""
+    if not spark.conf.get(KEY_SETTING, None):
+        spark.conf.set(KEY_SETTING, secrets.token_hex(32))
+    return spark.conf.get(KEY_SETTING)
 
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", kinds_col: str | None = None) -> DataFrame:
