@@ -109,6 +109,22 @@ def test_decontaminate_against_brute_force(spark):
     assert decontaminate.contaminated_passages(docs.limit(0), bench).count() == 0
 
 
+def test_decontaminate_in_parts(spark, monkeypatch):
+    """Grams that all items hold are taken in parts; short items are found."""
+    items = [(i, f"the same words in every item and then {i * 7919}") for i in range(30)] + [(90, "abcdefghi"), (91, " ".join(str(k * k) for k in range(400)))]
+    docs = spark.createDataFrame([(i, f"before {t} after") for i, t in items], "doc_id long, text string")
+    bench = spark.createDataFrame(items, "item_id long, text string")
+    whole = {tuple(x) for x in decontaminate.contaminated_passages(docs, bench).collect()}
+    assert {(i, i) for i, _ in items} <= {(x[0], x[1]) for x in whole}
+    monkeypatch.setattr(decontaminate, "AT_ONCE", 40)
+    index = next(decontaminate.indexes(bench.where("item_id < 90")))
+    import numpy
+
+    text = numpy.frombuffer(("before " + items[3][1] + " after").encode(), numpy.uint8)
+    found = index.matches(*decontaminate.fold(text, numpy.array([0, len(text)]))[:2])
+    assert {(3, x[1]) for x in whole if x[0] == 3} == {(3, index.ids[i]) for _, i, *_ in found}
+
+
 def test_decontaminate_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
     items = [(i, f"item number {i} has some words of its own {i * 7919}") for i in range(6)]
@@ -153,6 +169,27 @@ def test_pii_leaves_the_rest_alone(hide):
     assert [t for t, _ in hide(*values)] == values
 
 
+def test_pii_finds_numbers_before_other_groups(hide):
+    """A card before its code, an IBAN before another block: the groups behind stay."""
+    card, iban = "4111 1111 1111 1111", "ES91 2100 0418 4502 0005 1332"
+    out = hide(f"{card} 123", card, f"{iban} 2024", iban)
+    assert out[0][0] == out[1][0] + " 123" and out[0][1] == ["card"] and out[1][0] != card
+    assert out[2][0] == out[3][0] + " 2024" and out[2][1] == ["iban"] and out[3][0] != iban
+
+
+def test_pii_keys(spark):
+    import hashlib
+    import hmac
+
+    from pyspark.sql import functions as F
+
+    made = spark.range(1).select(pii._hmac("k" * 70, F.lit("a"), F.lit("b"))).first()[0]
+    assert made == hmac.new(b"k" * 70, b"a|b", hashlib.sha256).hexdigest()
+    spark.conf.unset(pii.KEY_SETTING)
+    key = pii.session_key(spark)
+    assert len(key) == 64 and pii.session_key(spark) == key
+
+
 def test_pii_is_a_bijection(hide):
     out = hide(*[f"{i}.{j}.7.9" for i in range(40) for j in range(40)])
     assert len({t for t, _ in out}) == 1600
