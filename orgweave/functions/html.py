@@ -20,6 +20,8 @@ from orgweave.functions.contact import EMAIL, PHONE
 from orgweave.operators.candidates import top_k
 
 _HIDDEN = {"script", "style", "noscript", "template", "title"}
+# elements that do not end a word; all others do
+_INLINE = {"a", "abbr", "b", "em", "font", "i", "mark", "small", "span", "strong", "sub", "sup", "u"}
 
 
 class _Page(HTMLParser):
@@ -40,6 +42,7 @@ class _Page(HTMLParser):
         self._depth = self._in_address = 0
 
     def handle_starttag(self, tag, attrs):
+        self._part(tag)
         a = dict(attrs)
         if tag == "script" and (a.get("type") or "").lower() == "application/ld+json":
             self._json = []
@@ -64,7 +67,14 @@ class _Page(HTMLParser):
             self.anchors.append((self._href, " ".join("".join(self._label).split())))
         self._href, self._label = None, []
 
+    def _part(self, tag):
+        if tag not in _INLINE:
+            self.text.append(" ")
+            if self._in_address:
+                self.address.append(" ")
+
     def handle_endtag(self, tag):
+        self._part(tag)
         if tag == "script" and self._json is not None:
             self.documents.append("".join(self._json))
             self._json = None

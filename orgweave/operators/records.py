@@ -67,20 +67,34 @@ def needs_decision(compared: DataFrame, column: str) -> DataFrame:
     return compared.where(new.isNotNull() & (old.isNull() | (old != new)))
 
 
-def suggest(row_old_good: Column, row_new_good: Column, old_present: Column, new_present: Column, same: Column, old_score: Column, new_score: Column, old_strength: Column, new_strength: Column) -> Column:
-    """old, new or review, by the first rule that holds."""
-    far = F.abs(old_score - new_score) >= 25
-    return (
-        F.when(~old_present & new_present & row_new_good, "new")
-        .when(old_present & ~row_old_good & new_present & row_new_good, "new")
-        .when(new_present & ~row_new_good, "old")
-        .when(same, "old")
-        .when(far & (new_score > old_score) & row_new_good, "new")
-        .when(far & (old_score > new_score) & row_old_good, "old")
-        .when((new_strength - old_strength >= 3) & row_new_good, "new")
-        .when((old_strength - new_strength >= 3) & row_old_good, "old")
-        .otherwise("review")
+def suggest(old: dict[str, Column], new: dict[str, Column], tokens: Column, same: Column) -> Column:
+    """(decision, reason): old, new or review, by the first of twelve rules that holds.
+
+    old and new: present, bad (the site is one of an excluded kind), hits (of the name's `tokens`
+    words in the domain), contacts (0 to 2), national (a domain of the country) and score.
+    """
+    strength = lambda x: x["hits"] * 3 + x["contacts"] * 2 + x["national"].cast("int")
+    whole = lambda x: x["hits"] == tokens
+    far = F.abs(new["score"] - old["score"]) >= 25
+    much = F.abs(strength(new) - strength(old)) >= 3
+    rules = (
+        (~old["present"] & new["present"] & ~new["bad"], "new", "old_empty_new_found"),
+        (old["bad"] & ~new["bad"], "new", "old_bad_domain"),
+        (new["bad"] & ~old["bad"], "old", "new_bad_domain"),
+        (whole(old) & (new["hits"] < tokens), "old", "old_full_token_match"),
+        (whole(new) & (old["hits"] < tokens), "new", "new_full_token_match"),
+        ((new["contacts"] > old["contacts"]) & (new["hits"] >= old["hits"]) & ~new["bad"], "new", "new_more_contact_evidence"),
+        ((old["contacts"] > new["contacts"]) & (old["hits"] >= new["hits"]) & ~old["bad"], "old", "old_more_contact_evidence"),
+        (same, "old", "same_domain_keep_old"),
+        (far & (new["score"] > old["score"]) & ~new["bad"], "new", "new_score_much_higher"),
+        (far & (old["score"] > new["score"]) & ~old["bad"], "old", "old_score_much_higher"),
+        (much & (strength(new) > strength(old)) & ~new["bad"], "new", "new_stronger_evidence"),
+        (much & (strength(old) > strength(new)) & ~old["bad"], "old", "old_stronger_evidence"),
     )
+    out = F.struct(F.lit("review").alias("decision"), F.lit("unclear").alias("reason"))
+    for holds, decision, reason in reversed(rules):
+        out = F.when(holds, F.struct(F.lit(decision).alias("decision"), F.lit(reason).alias("reason"))).otherwise(out)
+    return out
 
 
 def apply_decisions(base: DataFrame, decisions: DataFrame, new: DataFrame, key: str, columns: list[str]) -> DataFrame:

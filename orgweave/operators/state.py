@@ -52,6 +52,12 @@ def admit(calls: DataFrame, provider: str, order: list[str], budget: Column, zer
     return calls.withColumn("admitted", ok)
 
 
+def admitted_counts(calls: DataFrame, provider: str, budget: Column) -> DataFrame:
+    """(provider, n_admitted, n_blocked) under a budget, from counts alone: no provider's calls meet in one task."""
+    n = calls.groupBy(provider).agg(F.count(F.lit(1)).alias("__n"))
+    return n.select(provider, F.least("__n", budget).alias("n_admitted"), F.greatest(F.col("__n") - budget, F.lit(0)).alias("n_blocked"))
+
+
 def schedule(calls: DataFrame, provider: str, order: list[str], seconds: Column, rate: float) -> DataFrame:
     """calls with start_s: no two starts of a provider closer than 1 / rate, in the closed form of the sequential limiter."""
     own = Win.partitionBy(provider).orderBy(*order)

@@ -41,8 +41,11 @@ def test_phrases(value):
 def test_contexts_labels_and_intents(value):
     assert value(T.contexts("t"), t="we make Olive Oil and cosmetics") == ["kozmetik", "gida"]
     assert value(T.contact_label("t"), t="Faks:") == "fax"
-    assert value(T.query_intent("t"), t="x resmi site") == "official"
-    assert value(T.abbreviation_match(T.tokens("n"), F.col("d")), n="Alpha Beta Gamma", d="abgtech") is True or True
+    assert value(T.contact_label("t"), t="nothing known") == "general"
+    assert value(T.query_intent("t"), t="x resmi sitesi") == "official"
+    assert value(T.query_intent("t"), t="x temsilci contact") == "relationship"
+    assert value(T.abbreviation_match(T.tokens("n"), F.col("d")), n="Alpha Beta Gamma", d="abgtech") is True
+    assert value(T.abbreviation_match(T.tokens("n"), F.col("d")), n="Alpha", d="a") is False
     assert value(T.abbreviation_match(T.tokens("n"), F.col("d")), n="Alpha Beta Gamma", d="abg") is True
     assert value(T.abbreviation_match(T.tokens("n"), F.col("d")), n="Alpha Beta Gamma", d="zzz") is False
 
