@@ -6,7 +6,7 @@ from pyspark.sql import functions as F
 
 from orgweave.operators import discovery as D
 from orgweave.plans.name_queries import _ALL, _CASES, _FOLD, _L, _MARKERS, _PHRASE, _cases, _customers
-from orgweave.plans.queries import query, read
+from orgweave.plans.catalogue import query, read
 from orgweave.plans.registry_queries import _S
 
 _ROLES = ("company_candidate", "unknown", "directory", "news")

@@ -13,7 +13,7 @@ from orgweave.functions import names as N
 from orgweave.functions import text as T
 from orgweave.functions import url as U
 from orgweave.functions import words as W
-from orgweave.plans.queries import query, read
+from orgweave.plans.catalogue import query, read
 
 #: company, host, title, snippet, business name, text
 CASES = (

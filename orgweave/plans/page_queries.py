@@ -11,7 +11,7 @@ from pyspark.sql import functions as F
 from orgweave.functions import evidence as E
 from orgweave.functions import html
 from orgweave.operators import planning
-from orgweave.plans.queries import query, read
+from orgweave.plans.catalogue import query, read
 from orgweave.plans.registry_queries import _S
 
 

@@ -7,9 +7,7 @@ texts, labels for calibration labels and benchmark for names to look for.
 
 from __future__ import annotations
 
-from collections.abc import Callable
-
-from pyspark.sql import DataFrame, SparkSession
+from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orgweave.functions import contact as C
@@ -19,26 +17,9 @@ from orgweave.functions import text as T
 from orgweave.functions import url as U
 from orgweave.functions import words as W
 from orgweave.operators import calibration, candidates, graph, identity, policy, records, state
+from orgweave.plans.catalogue import ORACLE_SQL, QUERIES, query, read  # noqa: F401
 from orgweave.sources import tables
 
-QUERIES: dict[str, Callable[[SparkSession, str], DataFrame]] = {}
-ORACLE_SQL: dict[str, str] = {}
-
-
-def query(sql: str | None = None):
-    def add(f: Callable[[SparkSession, str], DataFrame]):
-        QUERIES[f.__name__] = f
-        if sql:
-            ORACLE_SQL[f.__name__] = sql
-        return f
-
-    return add
-
-
-def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
-    return spark.read.parquet(f"{sf_dir}/{table}.parquet")
-
-
 # ---- SQL parts that several queries share
 _FOLD = f"lower(translate(coalesce({{0}}, ''), '{W.FOLD_FROM}', '{W.FOLD_TO}'))"
 _TOKENS = f"regexp_extract_all({_FOLD}, '[a-z0-9]+')"

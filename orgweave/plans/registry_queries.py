@@ -11,7 +11,7 @@ from orgweave.operators import graph
 from orgweave.operators import registries as R
 from orgweave.operators import state
 from orgweave.plans.name_queries import _FOLD, _RAW, _TEXT
-from orgweave.plans.queries import query, read
+from orgweave.plans.catalogue import query, read
 
 _HOST_OF = lambda x: f"regexp_replace(regexp_extract(lower(trim(coalesce({x}, ''))), '^(?:[a-z][a-z0-9+.-]*://)?([^/?#:]+)', 1), '^www\\.', '')"
 _S = lambda *parts: F.concat(*[F.lit(p) if not hasattr(p, "cast") else p.cast("string") for p in parts])

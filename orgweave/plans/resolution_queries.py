@@ -9,7 +9,7 @@ from __future__ import annotations
 from pyspark.sql import functions as F
 
 from orgweave.operators import fingerprint as P
-from orgweave.plans.queries import query, read
+from orgweave.plans.catalogue import query, read
 
 #: evidence: (x * factor + offset) % modulus < below; strengths: (x // divisor + offset) % modulus
 FLAGS = {
