@@ -1,7 +1,7 @@
 """Company names against texts, other names and domains: Column in, Column out.
 
 Fuzzy ratios (functions.fuzzy) are Arrow functions; where a rule needs one, the caller gives it
-as a column, so that a plan computes it once.
+as a column of a table that is written, so that a plan computes it once and never within a lambda.
 """
 
 from __future__ import annotations
@@ -143,9 +143,8 @@ def near_prefix(words: Column, compact: Column, ratio: Column) -> Column:
     return F.coalesce((F.size(words) == 1) & (F.length(word) >= 5) & (F.length(compact) >= F.length(word)) & (word != start) & same & (ratio >= 83), F.lit(False))
 
 
-def anchored_abbreviation(c: Column | str, compact: Column) -> Column:
+def anchored_abbreviation(raw: Column, compact: Column) -> Column:
     """The domain starts with a first word of three or four letters and has another word of the name."""
-    raw = T.tokens(c)
     first = F.get(raw, F.lit(0))
     other = F.exists(F.slice(raw, 2, 1000), lambda t: (F.length(t) >= 4) & F.contains(compact, t))
     return F.coalesce(F.length(first).between(3, 4) & compact.startswith(first) & other, F.lit(False))
@@ -155,28 +154,41 @@ def domain_hits(words: Column, compact: Column) -> Column:
     return F.size(F.filter(words, lambda t: in_domain(t, compact)))
 
 
+def _parts(c: Column | str, host: Column, **ratios: Column) -> Column:
+    """What the rules read of a name and a host, once: brand words, words without legal form, all words, the domain's core, ratios."""
+    own = {"words": T.brand_tokens(c), "legal": company_tokens(c), "raw": T.tokens(c), "core": U.core(host), "compact": U.compact_core(host)}
+    return F.struct(*[x.alias(k) for k, x in (own | ratios).items()])
+
+
+def _identity(p: Column) -> Column:
+    words, compact = p["words"], p["compact"]
+    n, first = F.size(words), F.get(words, F.lit(0))
+
+    def judged(hits: Column) -> Column:
+        needed = F.when(n <= 2, n).otherwise(F.greatest(F.lit(1), F.ceil(n * 0.5)))
+        rules = (
+            (hits >= needed)
+            | clean_single_word(words, compact)
+            | short_prefix(words, compact)
+            | near_prefix(words, compact, p["prefix"])
+            | ((F.length(F.array_join(words, "")) >= 5) & (p["whole"] >= 88))
+            | T.abbreviation_match(words, compact)
+            | T.abbreviation_match(p["legal"], compact)
+            | ((n == 1) & (F.length(first) >= 4) & F.contains(compact, first))
+            | anchored_abbreviation(p["raw"], compact)
+        )
+        known = (n > 0) & (compact != "")
+        return F.struct((known & F.coalesce(rules, F.lit(False))).alias("ok"), F.when(known, hits).otherwise(0).alias("hits"), n.alias("tokens"))
+
+    return T.let(domain_hits(words, compact), judged)
+
+
 def domain_identity(c: Column | str, host: Column, prefix_ratio: Column, whole_ratio: Column) -> Column:
     """(ok, hits, tokens): whether a host names the company, by any of eight rules.
 
     prefix_ratio: as in near_prefix; whole_ratio: of the joined brand words with the domain.
     """
-    words, compact = T.brand_tokens(c), U.compact_core(host)
-    n, hits = F.size(words), domain_hits(words, compact)
-    needed = F.when(n <= 2, n).otherwise(F.greatest(F.lit(1), F.ceil(n * 0.5)))
-    first = F.get(words, F.lit(0))
-    rules = (
-        (hits >= needed)
-        | clean_single_word(words, compact)
-        | short_prefix(words, compact)
-        | near_prefix(words, compact, prefix_ratio)
-        | ((F.length(F.array_join(words, "")) >= 5) & (whole_ratio >= 88))
-        | T.abbreviation_match(words, compact)
-        | T.abbreviation_match(company_tokens(c), compact)
-        | ((n == 1) & (F.length(first) >= 4) & F.contains(compact, first))
-        | anchored_abbreviation(c, compact)
-    )
-    known = (n > 0) & (compact != "")
-    return F.struct((known & F.coalesce(rules, F.lit(False))).alias("ok"), F.when(known, hits).otherwise(0).alias("hits"), n.alias("tokens"))
+    return T.let(_parts(c, host, prefix=prefix_ratio, whole=whole_ratio), _identity)
 
 
 def public_brand_domain(c: Column | str, host: Column) -> Column:
@@ -226,33 +238,38 @@ def domain_score(c: Column | str, host: Column, title: Column | str, snippet: Co
 
     reason: why the score is 0, or `scored`. Ratios as in ratios_needed.
     """
-    words, compact, core = T.brand_tokens(c), U.compact_core(host), U.core(host)
-    identity = domain_identity(c, host, prefix_ratio, whole_ratio)
-    hits, n = identity["hits"], identity["tokens"]
-    legal = company_tokens(c)
-    searchable = T.normalize(F.concat_ws(" ", core, T.text_or_empty(title), T.text_or_empty(snippet)))
-    count = lambda xs: F.size(F.filter(xs, lambda t: F.contains(searchable, t)))
-    contexts = F.array_distinct(F.filter(T.tokens(c), lambda t: F.array_contains(_listed(W.CONTEXT_WORDS), t)))
     flag = lambda x: F.coalesce(x, F.lit(False)).cast("int")
-    first = in_domain(F.get(words, F.lit(0)), compact)
-    anchored = anchored_abbreviation(c, compact)
-    context = F.when(F.size(contexts) == 0, 0).when(count(contexts) > 0, F.least(F.lit(8), 4 * count(contexts))).otherwise(-30)
-    total = (
-        F.floor(hits / F.greatest(n, F.lit(1)) * 32).cast("int") + F.floor(part_ratio * 0.24).cast("int") + F.least(2 * count(legal), F.lit(8)) + U.tld_bonus(host)
-        + 14 * flag(first) + context + 24 * flag((hits == 0) & T.abbreviation_match(legal, compact)) + 24 * flag(short_prefix(words, compact))
-        + 24 * flag(near_prefix(words, compact, prefix_ratio)) + 24 * flag(anchored) - 30 * flag(T.has_any(host, W.GENERIC_KEYWORDS))
-    )
-    total = F.when(anchored, F.greatest(total, F.lit(72))).otherwise(total)
-    total = F.when(clean_single_word(words, compact), F.least(F.greatest(total, F.lit(68)), F.lit(84))).otherwise(total)
-    short = (n == 1) & (F.length(F.get(words, F.lit(0))) <= 3)
-    total = F.when(short, F.least(total, F.lit(79))).otherwise(total)
+    said = F.concat_ws(" ", T.text_or_empty(title), T.text_or_empty(snippet))
     excluded = F.exists(U.suffixes(host), lambda s: F.array_contains(_listed(W.EXCLUDED_DOMAINS), s))
-    reason = (
-        F.when((host == "") | excluded, "excluded_or_empty_domain")
-        .when(U.is_foreign(host), "foreign_country_domain")
-        .when(T.has_any(host, W.NON_COMPANY_KEYWORDS), "non_company_domain_keyword")
-        .when(~identity["ok"], "no_distinctive_domain_match")
-        .when(F.size(legal) == 0, "no_company_tokens")
-        .otherwise("scored")
-    )
-    return F.struct(F.when(reason == "scored", F.greatest(F.lit(0), F.least(F.lit(100), total))).otherwise(0).alias("score"), reason.alias("reason"))
+
+    def scored(p: Column, identity: Column, searchable: Column) -> Column:
+        words, legal, compact = p["words"], p["legal"], p["compact"]
+        hits, n, first = identity["hits"], identity["tokens"], F.get(words, F.lit(0))
+        count = lambda xs: F.size(F.filter(xs, lambda t: F.contains(searchable, t)))
+        contexts = F.array_distinct(F.filter(p["raw"], lambda t: F.array_contains(_listed(W.CONTEXT_WORDS), t)))
+        context = T.let(F.struct(F.size(contexts).alias("n"), count(contexts).alias("m")), lambda x: F.when(x["n"] == 0, 0).when(x["m"] > 0, F.least(F.lit(8), 4 * x["m"])).otherwise(-30))
+        anchored = anchored_abbreviation(p["raw"], compact)
+        total = (
+            F.floor(hits / F.greatest(n, F.lit(1)) * 32).cast("int") + F.floor(p["part"] * 0.24).cast("int") + F.least(2 * count(legal), F.lit(8)) + U.tld_bonus(host)
+            + 14 * flag(in_domain(first, compact)) + context + 24 * flag((hits == 0) & T.abbreviation_match(legal, compact)) + 24 * flag(short_prefix(words, compact))
+            + 24 * flag(near_prefix(words, compact, p["prefix"])) + 24 * flag(anchored) - 30 * flag(T.has_any(host, W.GENERIC_KEYWORDS))
+        )
+        floored = T.let(total, lambda t: F.when(anchored, F.greatest(t, F.lit(72))).otherwise(t))
+        cleared = T.let(floored, lambda t: F.when(clean_single_word(words, compact), F.least(F.greatest(t, F.lit(68)), F.lit(84))).otherwise(t))
+        short = (n == 1) & (F.length(first) <= 3)
+        return T.let(cleared, lambda t: F.when(short, F.least(t, F.lit(79))).otherwise(t))
+
+    def judged(p: Column, identity: Column) -> Column:
+        reason = (
+            F.when((host == "") | excluded, "excluded_or_empty_domain")
+            .when(U.is_foreign(host), "foreign_country_domain")
+            .when(T.has_any(host, W.NON_COMPANY_KEYWORDS), "non_company_domain_keyword")
+            .when(~identity["ok"], "no_distinctive_domain_match")
+            .when(F.size(p["legal"]) == 0, "no_company_tokens")
+            .otherwise("scored")
+        )
+        total = T.let(T.normalize(F.concat_ws(" ", p["core"], said)), lambda searchable: scored(p, identity, searchable))
+        bounded = lambda r: F.when(r == "scored", F.greatest(F.lit(0), F.least(F.lit(100), total))).otherwise(0)
+        return T.let(reason, lambda r: F.struct(bounded(r).alias("score"), r.alias("reason")))
+
+    return T.let(_parts(c, host, prefix=prefix_ratio, whole=whole_ratio, part=part_ratio), lambda p: T.let(_identity(p), lambda identity: judged(p, identity)))

@@ -12,6 +12,11 @@ def text_or_empty(c: Column | str) -> Column:
     return F.coalesce(F.col(c) if isinstance(c, str) else c, F.lit(""))
 
 
+def let(value: Column, body) -> Column:
+    """body(value), with value computed once for each row however often body uses it, and once in the plan."""
+    return F.element_at(F.transform(F.array(value), body), 1)
+
+
 def normalize(c: Column | str) -> Column:
     """Letters folded, then lower case; the dotted capital I is folded first, as lower() makes two characters of it."""
     return F.lower(F.translate(text_or_empty(c), W.FOLD_FROM, W.FOLD_TO))
@@ -39,14 +44,13 @@ def legal_tokens(c: Column | str) -> Column:
 
 def distinctive_tokens(c: Column | str) -> Column:
     """Words that are no form, sector or trade; all but the form if none is left."""
-    narrow = _without(tokens(c), W.LEGAL_WORDS + W.SECTOR_WORDS + W.BUSINESS_WORDS)
-    return F.when(F.size(narrow) > 0, narrow).otherwise(_without(tokens(c), W.LEGAL_WORDS))
+    stop = W.LEGAL_WORDS + W.SECTOR_WORDS + W.BUSINESS_WORDS
+    return let(tokens(c), lambda t: let(_without(t, stop), lambda n: F.when(F.size(n) > 0, n).otherwise(_without(t, W.LEGAL_WORDS))))
 
 
 def brand_tokens(c: Column | str, limit: int | None = None) -> Column:
-    kept = _without(distinctive_tokens(c), W.BRAND_GENERIC_WORDS)
-    kept = F.when(F.size(kept) > 0, kept).otherwise(distinctive_tokens(c))
-    return F.slice(kept, 1, limit) if limit else kept
+    own = let(distinctive_tokens(c), lambda t: let(_without(t, W.BRAND_GENERIC_WORDS), lambda n: F.when(F.size(n) > 0, n).otherwise(t)))
+    return F.slice(own, 1, limit) if limit else own
 
 
 def brand_compound(c: Column | str, limit: int = 2) -> Column:

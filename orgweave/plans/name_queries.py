@@ -14,6 +14,7 @@ from orgweave.functions import text as T
 from orgweave.functions import url as U
 from orgweave.functions import words as W
 from orgweave.plans.catalogue import query, read
+from orgweave.sources.shared import written
 
 #: company, host, title, snippet, business name, text
 CASES = (
@@ -182,10 +183,11 @@ a3 as (select *, n > 0 and cc <> '' as known, hits >= case when n <= 2 then n el
 
 
 def _with_ratios(cases):
-    host = T.text_or_empty("host")
-    needed = N.ratios_needed("company", host)
-    columns = [(fuzzy.partial_ratio if name == "part" else fuzzy.ratio)(*pair).alias(f"{name}_ratio") for name, pair in needed.items()]
-    return cases.select("*", *columns)
+    """cases with the ratios that the rules need. The pairs are written first: Arrow functions take plain columns then, and no plan moves them."""
+    needed = N.ratios_needed("company", T.text_or_empty("host"))
+    pairs = written(cases.select("*", *[x.alias(f"{name}_{side}") for name, pair in needed.items() for side, x in zip("ab", pair, strict=True)]), "pairs")
+    of = lambda name: (fuzzy.partial_ratio if name == "part" else fuzzy.ratio)(F.col(f"{name}_a"), F.col(f"{name}_b")).alias(f"{name}_ratio")
+    return written(pairs.select(*cases.columns, *[of(name) for name in needed]), "ratios")
 
 
 @query(f"""with recursive {_CASES}, {_IDENTITY}, r as (select k, known and rules as ok, case when known then hits else 0 end as hits, n as tokens from a3) select c_custkey, ok, hits, tokens from {_ALL}""")

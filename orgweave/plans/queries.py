@@ -107,19 +107,23 @@ def token_document_frequency(spark, d):
     return tokens.groupBy("token").agg(F.count(F.lit(1)).alias("n_docs"))
 
 
-@query(f"""with p as (select p_partkey, lower(p_name) as name, list_filter({_TOKENS.format('p_name')}, lambda t: length(t) > 1 and t not in ('ltd', 'sti', 'san', 'sanayi', 'tic', 'ticaret', 'anonim', 'limited', 'as', 'co', 'inc', 'gmbh', 've', 'and', 'sirket', 'sirketi')) as w from part),
-f as (select token, count(*) as n from (select p_partkey, unnest(list_distinct(w)) as token from p) group by 1), t as (select count(*) as n from part), d as (select doc_id, ' ' || lower(translate(coalesce(text, ''), '{W.FOLD_FROM}', '{W.FOLD_TO}')) || ' ' as e from documents),
-x as (select p_partkey, doc_id, count(distinct token) as n from (select p_partkey, unnest(list_distinct(w)) as token from p) join f using (token), t, d where d.doc_id = p_partkey and length(token) >= 4 and f.n <= greatest(1, t.n // 10) and (contains(e, ' ' || token || ' ') or contains(regexp_replace(e, '[^a-z0-9]', '', 'g'), token)) group by 1, 2)
+@query("""with s as (select s_suppkey, list_filter(regexp_extract_all(lower(s_name), '[a-z0-9]+'), lambda t: length(t) > 1 and t not in ('ltd', 'sti', 'san', 'sanayi', 'tic', 'ticaret', 'anonim', 'limited', 'as', 'co', 'inc', 'gmbh', 've', 'and', 'sirket', 'sirketi')) as w from supplier),
+f as (select token, count(*) as n from (select s_suppkey, unnest(list_distinct(w)) as token from s) group by 1), t as (select count(*) as n from supplier),
+e as (select p_partkey, p_partkey % t.n as k, ' ' || lower(p_name || ' sold by supplier ' || lpad((p_partkey % (2 * t.n))::varchar, 9, '0')) || ' ' as e from part, t),
+x as (select p_partkey, count(distinct token) as n from e join (select s_suppkey, unnest(list_distinct(w)) as token from s) on s_suppkey = k join f using (token), t where length(token) >= 4 and f.n <= greatest(1, t.n // 10) and (contains(e, ' ' || token || ' ') or contains(regexp_replace(e, '[^a-z0-9]', '', 'g'), token)) group by 1)
 select p_partkey, least(8, 4 * n)::bigint as bonus from x""")
 def rare_token_bonus(spark, d):
-    """Parts' names against the text of the document of the same number: all meaningful words, whole texts."""
-    parts = read(spark, d, "part").select("p_partkey", F.array_distinct(T.legal_tokens("p_name")).alias("w"))
-    each = parts.select("p_partkey", F.explode("w").alias("token"))
-    total = parts.agg(F.count(F.lit(1)).alias("total"))
-    rare = each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total)).where((F.length("token") >= 4) & (F.col("n") <= F.greatest(F.lit(1), F.floor(F.col("total") / 10)))).select("token")
-    of_part = each.join(rare, "token").groupBy("p_partkey").agg(F.collect_set("token").alias("rare"))
-    docs = read(spark, d, "documents").select(F.col("doc_id").alias("p_partkey"), "text")
-    found = of_part.join(docs, "p_partkey").select("p_partkey", F.size(N.rare_words(F.array_join("rare", " "), "text", F.col("rare"))).alias("n"))
+    """Suppliers' names against what parts say of their seller, half of which name another: all meaningful words, whole texts."""
+    suppliers = read(spark, d, "supplier").select("s_suppkey", "s_name", F.array_distinct(T.legal_tokens("s_name")).alias("w"))
+    each = suppliers.select("s_suppkey", F.explode("w").alias("token"))
+    total = suppliers.agg(F.count(F.lit(1)).alias("total"))
+    frequencies = each.groupBy("token").agg(F.count(F.lit(1)).alias("n")).join(F.broadcast(total))
+    rare = frequencies.where((F.length("token") >= 4) & (F.col("n") <= F.greatest(F.lit(1), F.floor(F.col("total") / 10)))).select("token")
+    of_name = each.join(rare, "token").groupBy("s_suppkey").agg(F.collect_set("token").alias("rare"))
+    parts = read(spark, d, "part").join(F.broadcast(total))
+    evidence = F.concat_ws(" ", "p_name", F.lit("sold by supplier"), F.lpad((F.col("p_partkey") % (2 * F.col("total"))).cast("string"), 9, "0"))
+    said = parts.select("p_partkey", (F.col("p_partkey") % F.col("total")).alias("s_suppkey"), evidence.alias("e"))
+    found = said.join(of_name, "s_suppkey").join(suppliers.select("s_suppkey", "s_name"), "s_suppkey").select("p_partkey", F.size(N.rare_words("s_name", "e", F.col("rare"))).alias("n"))
     return found.where("n > 0").select("p_partkey", F.least(4 * F.col("n"), F.lit(8)).cast("long").alias("bonus"))
 
 

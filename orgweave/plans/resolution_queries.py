@@ -10,6 +10,7 @@ from pyspark.sql import functions as F
 
 from orgweave.operators import fingerprint as P
 from orgweave.plans.catalogue import query, read
+from orgweave.sources.shared import written
 
 #: evidence: (x * factor + offset) % modulus < below; strengths: (x // divisor + offset) % modulus
 FLAGS = {
@@ -105,11 +106,10 @@ h as (select o_custkey, g.n, count(*) filter (where a.family <> g.family) as riv
 select o.o_custkey, case when h.n is null then 'unresolved' when rivals > 0 then 'ambiguous' else 'resolved' end as status, case when rivals = 0 then h.n end as selected from (select distinct o_custkey from q) o left join h using (o_custkey)""")
 def profile_anchor_resolution(spark, d):
     """Candidates that profiles name: the best key decides, other owners' equal keys make it ambiguous."""
-    from orgweave.operators import candidates
-
     e = P.columns()
     named = evidence(spark, d).where(F.col("direct") | F.col("relationship") | F.col("places_phone"))
     keyed = named.select("o_custkey", "o_orderkey", "family", P.anchor_ready(e).alias("ready"), P.identity_key(e).alias("key"))
+    keyed = written(keyed, "anchors")  # the rules are long, and what follows reads them twice
     best = keyed.where("ready").groupBy("o_custkey").agg(F.max("key").alias("key"))
     top = keyed.where("ready").join(best, ["o_custkey", "key"]).groupBy("o_custkey").agg(F.min("o_orderkey").alias("n"), F.count_distinct("family").alias("families"))
     status = F.when(F.col("n").isNull(), "unresolved").when(F.col("families") > 1, "ambiguous").otherwise("resolved")
