@@ -3,6 +3,11 @@
 Quality rules reject documents; of each group of near-duplicates the document with the
 smallest id stays; documents with a benchmark passage go; personal data get pseudonyms;
 what is left is packed into sequences. All but the last return the columns of `documents`.
+
+Defined cases: null and empty texts are base failures and go; rows with a null doc_id are judged by
+their text and never compared as copies; rows that repeat an id and a text stay once; a null
+language is a stratum of its own; further columns, also of names that the operators use, are passed
+through; empty tables give empty results. The pieces have the columns of `op9_packing`.
 """
 
 from __future__ import annotations
