@@ -157,10 +157,12 @@ class Encoder:
     White space separates tokens here, so ids are remembered by word, in two generations of
     bounded size. A new word of letters with punctuation after them is its letters' ids and its
     punctuation's; all new runs of letters of some texts are encoded in one call. Other words
-    are encoded as they are.
+    are encoded as they are. Whether a tokenizer allows this is tried on PROBE when it is loaded;
+    with one that does not, whole texts are encoded.
     """
 
     TAILS = ".,*#$%&!|;:?"
+    PROBE = "The quick  Brown fox, jumps! over 12 lazy dogs.\nÜber Straße;\tça va? naïve façade #tag $5 a.b x** \n\n end"
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
@@ -170,6 +172,8 @@ class Encoder:
         self.new: dict[str, bytes] = {"": b""}
         self.old: dict[str, bytes] = {}
         self.runs: dict[str, bytes] = {"": b""}
+        self.by_word = True
+        self.by_word = self.many([self.PROBE])[0].tobytes() == self._one(self.PROBE)
 
     @staticmethod
     @lru_cache(2)
@@ -213,6 +217,8 @@ class Encoder:
             self.new[w] = (self._one(letters) if own is None else own) + after
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
+        if not self.by_word:
+            return [np.frombuffer(self._one(t), "<u4") for t in texts]
         # these two are white space to the tokenizer; others stay within a word, which it splits itself
         each = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
         if len(self.new) > CACHE_WORDS:

@@ -424,3 +424,17 @@ def test_pipeline(spark, small):
     n = docs.count()
     pieces = corpus_pipeline.run(spark, small)
     assert pieces.select("doc_id").distinct().count() == n
+
+
+def test_encoder_tries_its_tokenizer():
+    """A tokenizer that does not split at white space is used on whole texts."""
+    import os
+
+    import numpy
+    from tokenizers import Tokenizer
+
+    for path in (packing._vocabulary(), os.path.join(os.path.dirname(packing._vocabulary()), "byte_bpe_50k.json")):
+        encoder, tokenizer = packing.Encoder(path), Tokenizer.from_file(path)
+        texts = ["Hello  World, 12!", "", "\n Über alles\t x", "a" * 50]
+        for text, ids in zip(texts, encoder.many(texts), strict=True):
+            assert ids.tolist() == numpy.array(tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tolist()
