@@ -59,6 +59,18 @@ def phones(c: Column | str) -> Column:
     return F.array_distinct(F.filter(F.transform(found, digits), lambda d: F.length(d).between(10, 15)))
 
 
+# Numbers with a country or trunk prefix, however they are separated, and service numbers.
+PREFIXED_PHONE = r"(?<!\d)(?:\+?90|0)(?:[\s().-]*\d){10}(?!\d)"
+SERVICE_PHONE = r"(?<!\d)(?:0[\s().-]*)?444(?:[\s().-]*\d){4}(?!\d)"
+
+
+def national_phones(c: Column | str) -> Column:
+    """Distinct national numbers by all three patterns: general ones, prefixed ones, service numbers, each in order of appearance."""
+    text = text_or_empty(c)
+    found = F.concat(*[F.regexp_extract_all(text, F.lit(p), F.lit(0)) for p in (PHONE, PREFIXED_PHONE, SERVICE_PHONE)])
+    return F.array_distinct(F.array_compact(F.transform(found, normalize_phone)))
+
+
 def normalize_phone(c: Column) -> Column:
     """National form of a Turkish number (0 and ten digits, or a 444 number), else null."""
     d = F.regexp_replace(digits(c), "^(00)?90(?=[2-58][0-9]{9}$)", "")

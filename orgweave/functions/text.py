@@ -2,8 +2,13 @@
 
 from __future__ import annotations
 
+import unicodedata
+
+import pandas as pd
 from pyspark.sql import Column
 from pyspark.sql import functions as F
+from pyspark.sql.functions import pandas_udf
+from pyspark.sql.types import StringType
 
 from orgweave.functions import words as W
 
@@ -22,6 +27,17 @@ def normalize(c: Column | str) -> Column:
     return F.lower(F.translate(text_or_empty(c), W.FOLD_FROM, W.FOLD_TO))
 
 
+@pandas_udf(StringType())
+def fold_unicode(values: pd.Series) -> pd.Series:
+    """Compatibility forms taken apart, case folded, marks dropped, the dotless i as i; null as empty text."""
+
+    def fold(x: str | None) -> str:
+        apart = unicodedata.normalize("NFKD", x or "").casefold()
+        return "".join(c for c in unicodedata.normalize("NFKD", apart) if not unicodedata.combining(c)).replace("ı", "i")
+
+    return values.map(fold)
+
+
 def clean(c: Column | str) -> Column:
     """Without control characters, white space runs as one space."""
     no_control = F.regexp_replace(text_or_empty(c), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")

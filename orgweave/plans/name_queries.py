@@ -252,3 +252,12 @@ when contains(a, 'factory') or contains(a, 'fabrika') then 'factory' when contai
 select event_id, label, kind from events join i on event_id % {len(LABELLED)} = k""")
 def contact_labels(spark, d):
     return _events(spark, d, LABELLED, "label").select("event_id", "label", T.contact_label("label").alias("kind"))
+
+
+#: Names with marks and other forms of letters.
+MARKED = ("Çelik İnşaat", "ILGIN ılık", "Café Ångström", "naïve Über", "ÖZGÜR ŞİRKET", "plain", "", None, "Łódź", "ñandú")
+
+
+@query(f"""with m(k, name) as (values {_TEXTS(MARKED)}) select event_id, replace(lower(strip_accents(coalesce(name, ''))), 'ı', 'i') as folded from events join m on event_id % {len(MARKED)} = k""")
+def unicode_fold(spark, d):
+    return _events(spark, d, MARKED, "name").select("event_id", T.fold_unicode("name").alias("folded"))

@@ -139,3 +139,15 @@ def test_listed_site_proofs(spark):
         if proof := proofs[k % len(Q.LISTED)]:
             expected[proof] = expected.get(proof, 0) + 1
     assert out == expected
+
+
+def test_national_phones(value):
+    found = lambda t: value(C.national_phones("t"), t=t)
+    assert found("Tel +90 (212) 555 10 12, 444 1 234 or 0532.555.10.12") == ["02125551012", "4441234", "05325551012"]
+    assert found("0 444 1 234") == ["4441234"]
+    assert found(None) == [] and found("order 123456") == []
+
+
+def test_fold_unicode(value):
+    fold = lambda t: value(T.fold_unicode("t"), t=t)
+    assert [fold(x) for x in ("ＡＢＣ ﬁx", "STRASSE Straße", "İI ı", None)] == ["abc fix", "strasse strasse", "ii i", ""]
