@@ -2,7 +2,7 @@
 
 from __future__ import annotations
 
-from orgweave.llm import decontaminate, html_extract, language_id, license_scan, lm_scoring, near_dedup, packing, pii, quality_model, quality_rules
+from orgweave.llm import decontaminate, fill_in_middle, html_extract, language_id, license_scan, lm_scoring, near_dedup, packing, pii, quality_model, quality_rules, url_filter, whitening
 
 QUERIES = {
     "op1_quality_model": quality_model.op1,
@@ -15,6 +15,9 @@ QUERIES = {
     "op8_quality_rules": quality_rules.op8,
     "op9_packing": packing.op9,
     "op10_lm_scoring": lm_scoring.op10,
+    "op11_fill_in_middle": fill_in_middle.op11,
+    "op12_whitening": whitening.op12,
+    "op13_url_filter": url_filter.op13,
 }
 _FOLDED = "translate(coalesce(text, ''), 'ABCDEFGHIJKLMNOPQRSTUVWXYZ', 'abcdefghijklmnopqrstuvwxyz')"
 _NEAR_DEDUP = f"""
@@ -57,5 +60,16 @@ best as (select stratum, max(i) as i from tail where p <= {_Q.CONFIDENCE!r} / (s
 select doc_id, n_words, word_chars, n_symbols, n_dup_lines, n_repeat_words, base_failed, x.stratum, {", ".join(_RATIOS)},
   not base_failed and level > coalesce(best.i, -1) as kept from x left join best using (stratum)"""
 
+_DRAWS = ", ".join(f"('0x' || substr(h, {8 * k + 1}, 8))::bigint as h{k + 1}" for k in range(4))
+_FILL_IN_MIDDLE = f"""
+with d as (select doc_id, coalesce(text, '') as t, regexp_extract_all(coalesce(text, ''), '[^\n]*\n|[^\n]+') as u, sha256('7:' || coalesce(doc_id::varchar, '')) as h from documents),
+x as (select doc_id, t, u, len(u)::bigint as n, {_DRAWS} from d),
+c as (select *, least(h1 % (n + 1), h2 % (n + 1)) as i, greatest(h1 % (n + 1), h2 % (n + 1)) as j,
+  case when t = '' or contains(t, '<P>') or contains(t, '<S>') or contains(t, '<M>') or h3 % 100 >= 100 then 'plain' when h4 % 100 < 50 then 'spm' else 'psm' end as form from x),
+p as (select *, array_to_string(u[1:i], '') as pre, array_to_string(u[i + 1:j], '') as mid, array_to_string(u[j + 1:n], '') as suf from c)
+select doc_id, n, form, case when form != 'plain' then length(pre)::bigint end as prefix_chars, case when form != 'plain' then length(mid)::bigint end as middle_chars,
+  sha256(case form when 'plain' then t when 'psm' then '<P>' || pre || '<S>' || suf || '<M>' || mid else '<S>' || suf || '<P>' || pre || '<M>' || mid end) as output_sha256,
+  sha256(t) as restored_sha256 from p"""
+
 #: The other operators are beyond SQL (learned models, alignment, Feistel networks, parsing, a tokenizer); tests/llm holds them against brute force.
-ORACLE_SQL: dict[str, str] = {"op6_near_dedup": _NEAR_DEDUP, "op8_quality_rules": _QUALITY_RULES}
+ORACLE_SQL: dict[str, str] = {"op6_near_dedup": _NEAR_DEDUP, "op8_quality_rules": _QUALITY_RULES, "op11_fill_in_middle": _FILL_IN_MIDDLE}
