@@ -29,6 +29,7 @@ them; to link several sessions, set the key.
 from __future__ import annotations
 
 import hashlib
+import hmac
 import secrets
 
 from pyspark.sql import Column, DataFrame, SparkSession
@@ -93,12 +94,26 @@ def permute_digits(key: str, kind: str, digits: Column) -> Column:
     return let(out, lambda s: F.concat(F.when(half > 0, F.lpad(s["a"].cast("string"), half, "0")).otherwise(F.lit("")), F.lpad(s["b"].cast("string"), n - half, "0")))
 
 
+def _one_letter(key: str, kind: str, letters: str) -> str:
+    """The letters in the order of their keyed hashes: a permutation of single characters."""
+    return "".join(sorted(letters, key=lambda c: hmac.digest(key.encode(), f"{kind}|one|{c}".encode(), "sha256")))
+
+
 def permute_text(key: str, kind: str, value: Column, alphabets: tuple[str, ...]) -> Column:
-    """A permutation of strings that keeps each character's alphabet, and those of no alphabet."""
+    """A permutation of strings that keeps each character's alphabet, and those of no alphabet.
+
+    Every place of a half is moved by digits of its own, from as many hash blocks as the half needs.
+    A single character, which has no other half, is permuted within its alphabet.
+    """
+
+    def stream(i: Column, x: Column, length: Column) -> Column:
+        """Three hexadecimal digits or more for each of `length` characters."""
+        blocks = F.sequence(F.lit(0), F.floor(length * 3 / 64).cast("int"))
+        return F.array_join(F.transform(blocks, lambda b: _hmac(key, F.lit(kind), i.cast("string"), b.cast("string"), x)), "")
 
-    def shifted(s: Column, digest: Column) -> Column:
+    def shifted(s: Column, digits: Column) -> Column:
         def one(c: Column, k: Column) -> Column:
-            by = F.conv(F.substr(digest, (k * 3) % 60 + 1, F.lit(3)), 16, 10).cast("int")
+            by = F.conv(F.substr(digits, k * 3 + 1, F.lit(3)), 16, 10).cast("int")
             out = c
             for letters in alphabets:
                 at = F.instr(F.lit(letters), c)
@@ -109,16 +124,18 @@ def permute_text(key: str, kind: str, value: Column, alphabets: tuple[str, ...])
         return F.array_join(F.transform(F.split(s, ""), one), "")
 
     half = F.floor(F.length(value) / 2).cast("int")
-    digest = lambda i, x: _hmac(key, F.lit(kind), i.cast("string"), x)
 
     def turn(s: Column, i: Column) -> Column:
         even = i % 2 == 0
-        a = F.when(even, let(digest(i, s["b"]), lambda d: shifted(s["a"], d))).otherwise(s["a"])
-        b = F.when(even, s["b"]).otherwise(let(digest(i, s["a"]), lambda d: shifted(s["b"], d)))
+        move = lambda x, by: let(stream(i, by, F.length(x)), lambda d: shifted(x, d))
+        a = F.when(even, move(s["a"], s["b"])).otherwise(s["a"])
+        b = F.when(even, s["b"]).otherwise(move(s["b"], s["a"]))
         return F.struct(a.alias("a"), b.alias("b"))
 
     start = F.struct(F.substr(value, F.lit(1), half).alias("a"), F.substr(value, half + 1).alias("b"))
-    return F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: F.concat(s["a"], s["b"]))
+    rounds = F.aggregate(F.sequence(F.lit(0), F.lit(ROUNDS - 1)), start, turn, lambda s: F.concat(s["a"], s["b"]))
+    letters = "".join(alphabets)
+    return F.when(F.length(value) > 1, rounds).otherwise(F.translate(value, letters, "".join(_one_letter(key, kind, x) for x in alphabets)))
 
 
 def _digits(value: Column) -> Column:
@@ -314,10 +331,10 @@ def session_key(spark: SparkSession) -> str:
 
 def pseudonymise(docs: DataFrame, key: str, text_col: str = "text", kinds_col: str | None = None) -> DataFrame:
     """docs with pseudonyms in its text column; kinds_col, if given, gets the kinds of the values replaced."""
-    done = docs.withColumn("__pii", _rewritten(key, F.col(text_col)))
-    columns = [F.col("__pii.text").alias(c) if c == text_col else docs[c] for c in docs.columns]
+    done = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), _rewritten(key, docs[text_col]).alias("pii"))
+    columns = [(F.col("pii")["text"] if c == text_col else F.col("row")[c]).alias(c) for c in docs.columns]
     if kinds_col:
-        columns.append(F.col("__pii.kinds").alias(kinds_col))
+        columns.append(F.col("pii")["kinds"].alias(kinds_col))
     return done.select(*columns)
 
 

@@ -1,3 +1,5 @@
+import hmac
+import random
 import re
 
 import numpy as np
@@ -190,6 +192,74 @@ def test_pii_keys(spark):
     assert len(key) == 64 and pii.session_key(spark) == key
 
 
+def plain_text_network(key, kind, value, alphabets):
+    """The text network in plain Python."""
+    if len(value) < 2:
+        for letters in alphabets:
+            order = sorted(letters, key=lambda c: hmac.new(key.encode(), f"{kind}|one|{c}".encode(), "sha256").hexdigest())
+            if value and value in letters:
+                return order[letters.index(value)]
+        return value
+
+    def moved(x, turn, other):
+        digits = "".join(hmac.new(key.encode(), f"{kind}|{turn}|{b}|{other}".encode(), "sha256").hexdigest() for b in range(len(x) * 3 // 64 + 1))
+        out = ""
+        for k, c in enumerate(x):
+            own = next((letters for letters in alphabets if c in letters), None)
+            out += own[(own.index(c) + int(digits[3 * k : 3 * k + 3], 16)) % len(own)] if own else c
+        return out
+
+    a, b = value[: len(value) // 2], value[len(value) // 2 :]
+    for i in range(pii.ROUNDS):
+        a, b = (moved(a, i, b), b) if i % 2 == 0 else (a, moved(b, i, a))
+    return a + b
+
+
+def plain_digit_network(key, kind, digits):
+    half = len(digits) // 2
+    a, b, size_a, size_b = int(digits[:half] or 0), int(digits[half:]), 10**half, 10 ** (len(digits) - half)
+    turn = lambda i, x: int(hmac.new(key.encode(), f"{kind}|{i}|{x}".encode(), "sha256").hexdigest()[:13], 16)
+    for i in range(pii.ROUNDS):
+        a, b = ((a + turn(i, b)) % size_a, b) if i % 2 == 0 else (a, (b + turn(i, a)) % size_b)
+    return (str(a).zfill(half) if half else "") + str(b).zfill(len(digits) - half)
+
+
+def test_pii_networks_against_plain_python(spark):
+    from pyspark.sql import functions as F
+
+    r = random.Random(6)
+    letters = ("abcdefghijklmnopqrstuvwxyz", "ABCDEFGHIJKLMNOPQRSTUVWXYZ", "0123456789")
+    texts = ["", "a", "Z", "7", ".", "a.b"] + ["".join(r.choice("abzABZ019._-") for _ in range(n)) for n in (2, 3, 21, 40, 41, 42, 64, 65, 85, 128, 129)]
+    digits = ["".join(r.choice("0123456789") for _ in range(n)) for n in (1, 2, 5, 11, 17, 30, 36)]
+    rows = spark.createDataFrame([(t, None) for t in texts] + [(None, d) for d in digits], "t string, d string")
+    got = rows.select("t", "d", pii.permute_text("k", "x", F.col("t"), letters).alias("a"), F.when(F.col("d").isNotNull(), pii.permute_digits("k", "x", F.col("d"))).alias("b")).collect()
+    assert {x.t: x.a for x in got if x.t is not None} == {t: plain_text_network("k", "x", t, letters) for t in texts}
+    assert {x.d: x.b for x in got if x.d} == {d: plain_digit_network("k", "x", d) for d in digits}
+
+
+@pytest.mark.parametrize("n", [41, 64, 100, 128])
+def test_pii_keeps_no_difference_of_long_secrets(hide, n):
+    """No distance at which the differences of characters survive: they agree as often as those of other texts would."""
+    r = random.Random(n)
+    secrets = ["".join(r.choice("0123456789abcdef") for _ in range(n)) for _ in range(30)]
+    made = [t for t, _ in hide(*secrets)]
+    assert all(re.fullmatch(f"[0-9a-f]{{{n}}}", t) and t != s for s, t in zip(secrets, made))
+    for step in range(1, n):
+        pairs = [(s, t, i) for s, t in zip(secrets, made) for i in range(n - step)]
+        same = sum((int(s[i], 16) - int(s[i + step], 16) - int(t[i], 16) + int(t[i + step], 16)) % 16 == 0 for s, t, i in pairs)
+        assert same < len(pairs) / 16 + 6 * (len(pairs) / 16) ** 0.5
+
+
+def test_pii_clashing_names(spark):
+    from pyspark.sql import functions as F
+
+    rows = spark.createDataFrame([(1, "call +1 (743) 555-3824", "a", "b", "c", "d")], "doc_id long, text string, __pii string, pii string, row string, odd_name string")
+    done = pii.pseudonymise(rows, "key", kinds_col="kinds").first()
+    assert done.asDict() | {"text": ""} == {"doc_id": 1, "text": "", "__pii": "a", "pii": "b", "row": "c", "odd_name": "d", "kinds": ["phone"]}
+    alone = {t: x for t, x in zip("abcxyz", rows.select(F.explode(F.array(*map(F.lit, "abcxyz"))).alias("t")).select(pii.permute_text("k", "x", F.col("t"), ("abcxyz",))).toPandas().iloc[:, 0])}
+    assert sorted(alone.values()) == sorted(alone) and alone != {t: t for t in alone}
+
+
 def test_pii_is_a_bijection(hide):
     out = hide(*[f"{i}.{j}.7.9" for i in range(40) for j in range(40)])
     assert len({t for t, _ in out}) == 1600
