@@ -81,8 +81,11 @@ def fill_in_middle(
     """Per row: row (the input's columns), n, form (plain, psm or spm), prefix_chars, middle_chars and output."""
     _checked(marks)
     text = F.coalesce(F.col(text_col), F.lit(""))
-    source = docs.select(_id_text(F.col(id_col)).alias("id"), F.xxhash64(text).alias("key"), text.alias("text"), F.struct(*[docs[c] for c in docs.columns]).alias("row"))
-    cut = source.join(offsets(source.select("id", "key", "text"), unit, seed), ["id", "key"], "left")
+    keys = _id_text(F.col(id_col)).alias("id"), F.xxhash64(text).alias("key")
+    known = offsets(docs.select(*keys, text.alias("text")), unit, seed)
+    # a text travels once, within its row
+    rows = docs.select(*keys, F.struct(*[docs[c] for c in docs.columns]).alias("row"))
+    cut = rows.join(known, ["id", "key"], "left").withColumn("text", F.coalesce(F.col("row")[text_col], F.lit("")))
     p, s, m = marks
     plain = (F.col("text") == "") | F.contains("text", F.lit(p)) | F.contains("text", F.lit(s)) | F.contains("text", F.lit(m)) | (_draw(F.col("id"), 3, seed) % 100 >= rate)
     form = F.when(plain, "plain").when(_draw(F.col("id"), 4, seed) % 100 < suffix_first, "spm").otherwise("psm")
