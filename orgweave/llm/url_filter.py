@@ -31,6 +31,7 @@ from pyspark.sql import functions as F
 
 from orgweave.functions.url import registrable
 from orgweave.llm.common import materialise, read
+from orgweave.sources.shared import Scratch
 
 RULES = (("com", "/", "allow"), ("example.com", "/en/", "block"), ("www.example.com", "/en/", "allow"), ("net", "/es/", "block"), ("net", "/fr/", "block"))
 #: Rate of bad pages that a host may have, and how sure it must be that it has more.
@@ -66,20 +67,18 @@ def join_weighted(left: DataFrame, right: DataFrame, key: str, weight: str = "we
     return met.where("is_heavy").drop("is_heavy").unionByName(rest)
 
 
-def _shrunk(counts: DataFrame, parents: DataFrame, key: str, rate: str) -> tuple[DataFrame, float]:
-    """counts (members with n, k and their parent's `key`) with the parent's shrunk rate, and the weight of the parent in pages.
+def _strength(members: DataFrame, key: str) -> float:
+    """How many pages the parents' rates weigh against their members' own.
 
-    parents: key, rate, their own n and k, and weight, the number of their members.
+    members: n and k, the parent's `key`, and own, the parent's rate.
     """
-    own = parents.withColumn("own", F.when(F.col("n") > 0, F.col("k") / F.col("n"))).select(key, rate, "own", "weight")
-    met = join_weighted(counts, own, key)
-    seen = met.where("n > 0").withColumn("p", F.col("k") / F.col("n"))
+    seen = members.where("n > 0").withColumn("p", F.col("k") / F.col("n"))
     each = seen.groupBy(key, "own").agg(
         F.sum("n").alias("total"), F.sum(F.col("n").cast("double") * F.col("n")).alias("squares"), F.count(F.lit(1)).alias("m"), F.sum(F.col("n") * (F.col("p") - F.col("own")) ** 2).alias("spread")
     )
     chance = F.col("own") * (1 - F.col("own"))
     sums = each.agg(F.sum(F.col("spread") - chance * (F.col("m") - 1)).alias("excess"), F.sum(chance * (F.col("total") - F.col("squares") / F.col("total") - F.col("m") + 1)).alias("room")).first()
-    return met.drop("own"), concentration(sums.excess, sums.room)
+    return concentration(sums.excess, sums.room)
 
 
 def concentration(excess: float | None, room: float | None) -> float:
@@ -137,16 +136,18 @@ def reputation(hosts: DataFrame, max_bad: float = MAX_BAD, confidence: float = C
     counts = [F.sum("n").alias("n"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("weight")]
     domains = written(hosts.groupBy("domain", "suffix").agg(*counts), "domains")
     suffixes = written(domains.groupBy("suffix").agg(*counts), "suffixes")
-    root = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k"), F.count(F.lit(1)).alias("weight")).first()
+    rate = lambda c: F.when(F.col("n") > 0, F.col("k") / F.col("n")).alias(c)
+    root = suffixes.agg(F.sum("n").alias("n"), F.sum("k").alias("k")).first()
     n, k = root.n or 0, root.k or 0
-    whole = hosts.sparkSession.createDataFrame([("", (k + 0.5) / (n + 1), n, k, root.weight)], "world string, prior double, n long, k long, weight long")
-    level, parents, key = suffixes.withColumn("world", F.lit("")), whole, "world"
-    for table, name in ((level, "suffix"), (domains, "domain"), (hosts, "host")):
-        members = table.withColumnRenamed("weight", "members")
-        met, strength = _shrunk(members, parents, key, "prior")
+    # the one parent of all suffixes is two numbers; every other level meets its parents in a join
+    met, key = suffixes.select("*", F.lit("").alias("world"), F.lit((k + 0.5) / (n + 1)).alias("prior"), F.lit(k / n if n else 0.0).alias("own")), "world"
+    for name, below in (("suffix", domains), ("domain", hosts), ("host", None)):
+        strength = _strength(met, key)
         a, b = F.col("k") + strength * F.col("prior"), F.col("n") - F.col("k") + strength * (1 - F.col("prior"))
-        done = written(met.drop("weight").withColumn("a", a).withColumn("b", b).withColumnRenamed("members", "weight"), f"reputation-{name}")
-        parents, key = done.select(name, (F.col("a") / (F.col("a") + F.col("b"))).alias("prior"), "n", "k", "weight"), name
+        done = written(met.withColumn("a", a).withColumn("b", b), f"reputation-{name}")
+        if below is not None:
+            parents = done.select(name, (F.col("a") / (F.col("a") + F.col("b"))).alias("prior"), rate("own"), F.col("weight").alias("members"))
+            met, key = join_weighted(below, parents, name, "members"), name
 
     @F.pandas_udf("double")
     def above(a: pd.Series, b: pd.Series) -> pd.Series:
@@ -177,9 +178,10 @@ def filter_urls(pages: DataFrame, labelled: DataFrame, rules: DataFrame, id_col:
     labelled: page_id and bad. rules: host, path and verdict (allow or block).
     """
     host = url_host(F.col(url_col))
-    hosts = materialise(count_hosts(pages.select(F.col(id_col).alias("page_id"), host.alias("host")), labelled), "hosts")
-    known = reputation(hosts, max_bad, confidence).join(rules_of_hosts(hosts, rules), "host", "left")
-    judged = materialise(known.select("host", "weight", F.col("n").alias("n_labelled"), "bad_rate", "bad_probability", "is_bad", "rules"), "judged-hosts")
+    with Scratch(pages.sparkSession) as scratch:
+        hosts = scratch.written(count_hosts(pages.select(F.col(id_col).alias("page_id"), host.alias("host")), labelled), "hosts")
+        known = reputation(hosts, max_bad, confidence, scratch.written).join(rules_of_hosts(hosts, rules), "host", "left")
+        judged = materialise(known.select("host", "weight", F.col("n").alias("n_labelled"), "bad_rate", "bad_probability", "is_bad", "rules"), "judged-hosts")
     source = pages.select(host.alias("host"), url_path(F.col(url_col)).alias("path"), F.struct(*[pages[c] for c in pages.columns]).alias("row"))
     met = join_weighted(source, judged, "host")
     longest = F.get(F.filter("rules", lambda r: F.col("path").startswith(r["path"])), F.lit(0))

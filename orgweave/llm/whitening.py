@@ -28,6 +28,7 @@ from pyspark.sql import functions as F
 from pyspark.sql.types import ArrayType, DoubleType, StringType, StructField, StructType
 
 from orgweave.llm.common import materialise, read
+from orgweave.sources.shared import Scratch
 
 SCALE = 1024
 SHIFT = 100_000
@@ -143,16 +144,17 @@ class Fit:
 def fit(table: DataFrame, vector_col: str = "embedding", components: int = COMPONENTS) -> Fit | None:
     """The fit over all sound vectors of the most frequent length; None if there is none."""
     partial = table.select(F.col(vector_col).alias("vector")).mapInArrow(_partial_sums, _SUMS)
-    sums = materialise(partial.groupBy("length", "i", "j").agg(*[F.sum(f"l{k}").alias(f"l{k}") for k in range(_LIMBS)]), "scatter")
-    # the number of rows is the first cell; a length's rows never exceed 2^62
-    count = sum((F.col(f"l{k}") * (1 << (_LIMB * k)) for k in (1, 2)), F.col("l0"))
-    commonest = sums.where("i = 0 and j = 0").orderBy(count.desc(), F.col("length").desc()).first()
-    if commonest is None:
-        return None
-    length = commonest.length
-    if length > MAX_DIMENSIONS:
-        raise ValueError(f"vectors of {length} entries; at most {MAX_DIMENSIONS} are decomposed")
-    cells = sums.where(F.col("length") == length).toArrow()
+    with Scratch(table.sparkSession) as scratch:
+        sums = scratch.written(partial.groupBy("length", "i", "j").agg(*[F.sum(f"l{k}").alias(f"l{k}") for k in range(_LIMBS)]), "scatter")
+        # the number of rows is the first cell; a length's rows never exceed 2^62
+        count = sum((F.col(f"l{k}") * (1 << (_LIMB * k)) for k in (1, 2)), F.col("l0"))
+        commonest = sums.where("i = 0 and j = 0").orderBy(count.desc(), F.col("length").desc()).first()
+        if commonest is None:
+            return None
+        length = commonest.length
+        if length > MAX_DIMENSIONS:
+            raise ValueError(f"vectors of {length} entries; at most {MAX_DIMENSIONS} are decomposed")
+        cells = sums.where(F.col("length") == length).toArrow()
     i, j = (cells.column(c).to_numpy() for c in "ij")
     total = sum(cells.column(f"l{k}").to_numpy().astype(object) * (1 << (_LIMB * k)) for k in range(_LIMBS))
     matrix = np.zeros((length + 1, length + 1), object)
