@@ -41,9 +41,8 @@ def brand_compounds(c: Column | str, limit: int = 2) -> Column:
     return F.filter(joined, lambda x: x != "")
 
 
-def brand_hits(company: Column | str, text: Column | str, limit: int = 2) -> Column:
-    """(matched, total, translated) brand words in a text; translations count only beside the first word, of 5 letters or more."""
-    words, found = primary_brand(company, limit), T.tokens(text)
+def brand_hits_in(words: Column, found: Column) -> Column:
+    """(matched, total, translated) of brand words among the words of a text; translations count only beside the first word, of 5 letters or more."""
     first = F.get(words, F.lit(0))
     anchored = F.coalesce((F.length(first) >= 5) & F.array_contains(found, first), F.lit(False))
     exact = F.filter(words, lambda t: F.array_contains(found, t))
@@ -51,6 +50,16 @@ def brand_hits(company: Column | str, text: Column | str, limit: int = 2) -> Col
     return F.struct((F.size(exact) + F.size(other)).alias("matched"), F.size(words).alias("total"), F.size(other).alias("translated"))
 
 
+def brand_hits(company: Column | str, text: Column | str, limit: int = 2) -> Column:
+    """brand_hits_in for a company's first brand words and a text."""
+    return brand_hits_in(primary_brand(company, limit), T.tokens(text))
+
+
+def brand_vocabulary(words: Column) -> Column:
+    """Brand words and the words that translate them: all that brand_hits_in looks for in a text."""
+    return F.array_distinct(F.concat(words, F.flatten(F.transform(words, lambda t: _lookup(W.BRAND_EQUIVALENTS, t)))))
+
+
 def legal_phrase(company: Column | str, text: Column | str, whole: bool = False) -> Column:
     """Whether the name's first four meaningful words (all if whole) stand together among the text's."""
     needle = T.legal_tokens(company)
@@ -72,9 +81,8 @@ def business_name_identity(company: Column | str, business: Column | str) -> Col
     return legal_phrase(company, business) | ((F.size(target) >= 2) & F.forall(target, compatible)) | one
 
 
-def ownership_statement(company: Column | str, text: Column | str, reach: int = 240) -> Column:
-    """Whether a text says, within `reach` characters of a marker of ownership, the name's first four meaningful words."""
-    words, legal = F.array_join(T.tokens(text), " "), T.legal_tokens(company)
+def ownership_in(legal: Column, words: Column, reach: int = 240) -> Column:
+    """ownership_statement of a name's meaningful words and a text's words, joined by spaces."""
     needle = F.array_join(F.slice(legal, 1, 4), " ")
 
     def near(marker: str) -> Column:
@@ -88,6 +96,11 @@ def ownership_statement(company: Column | str, text: Column | str, reach: int =
     return (F.size(legal) > 0) & said
 
 
+def ownership_statement(company: Column | str, text: Column | str, reach: int = 240) -> Column:
+    """Whether a text says, within `reach` characters of a marker of ownership, the name's first four meaningful words."""
+    return ownership_in(T.legal_tokens(company), F.array_join(T.tokens(text), " "), reach)
+
+
 def activity_qualifiers(c: Column | str) -> Column:
     """Activities that a name states, by family, in order."""
     families = W.ACTIVITIES | {a: name for name, aliases in W.CONTEXTS.items() for a in aliases if " " not in a}

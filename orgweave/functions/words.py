@@ -134,3 +134,31 @@ OWNERSHIP_MARKERS = (
     "ait bir marka", "markasidir", "markasi", "bunyesinde", "ticari unvani", "resmi unvani", "bir markadir", "brand of", "a brand of",
     "owned by", "belongs to", "operated by", "trading name of", "part of",
 )
+
+# Words that make a short name ambiguous, words that place a site in the country.
+AMBIGUOUS_WORDS = ("fashion", "white", "stone", "master", "cook", "royal", "global", "look", "keep", "euro", "la")
+COUNTRY_WORDS = ("turkiye", "turkey", "istanbul", "ankara", "izmir", "bursa", "kocaeli", "konya", "gaziantep")
+SAFE_OK_MIN_SCORE = 85
+
+# Kinds of business by their words, and kinds that exclude each other.
+TAXONOMY = {
+    "metal_industry": (
+        "celik", "steel", "metal", "demir", "dokum", "foundry", "hadde", "profil", "sac", "paslanmaz", "ferro", "metalurji", "metallurgy",
+    ),
+    "machinery": ("makine", "machinery", "machine", "otomasyon", "automation", "robotik", "robotics", "endustriyel ekipman"),
+    "finance": ("banka", "bank", "banking", "finans", "finance", "kredi", "yatirim hizmetleri", "investment services"),
+    "hospitality_travel": (
+        "otel", "hotel", "resort", "konaklama", "hospitality", "turizm", "travel agency", "seyahat acentesi",
+    ),
+    "education": ("universite", "university", "okul", "school", "akademi", "academy", "egitim kurumu"),
+    "government": ("belediye", "bakanlik", "ministry", "municipality", "kamu kurumu", "valilik"),
+    "media": ("gazete", "newspaper", "haber", "news media", "televizyon", "radio", "yayincilik"),
+    "retail_marketplace": ("marketplace", "pazaryeri", "online magaza", "e ticaret", "perakende", "retail store"),
+    "construction": ("insaat", "construction", "mimarlik", "architecture", "muteahhit", "yapi malzemeleri"),
+    "chemicals": ("kimya", "chemical", "chemicals", "boya", "paint", "polimer", "polymer"),
+    "logistics": ("lojistik", "logistics", "nakliye", "transportation", "freight", "depolama"),
+}
+INCOMPATIBLE = {
+    "metal_industry": ("finance", "hospitality_travel", "education", "government", "media"),
+    "machinery": ("finance", "hospitality_travel", "education", "government"),
+}

@@ -13,7 +13,7 @@ from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
-from orgweave.sources.shared import written
+from orgweave.sources.shared import Scratch, written
 
 FLAGS = (
     "reachable", "eligible", "conflict_free", "publishable", "first_party", "country", "country_phone_only", "exact_domain", "exact_brand",
@@ -24,7 +24,7 @@ FLAGS = (
 STRENGTHS = ("legal", "legal_count", "context_count", "page", "structured", "query")
 ROUTES = (
     "exact_domain", "exact_website", "public_contact", "legal_uniqueness", "places_contact", "structured_brand", "structured_uniqueness",
-    "exact_primary_structured", "short_brand_context", "verified_first_party", "network_corroborated", "arbiter_corroborated",
+    "exact_primary_structured", "short_brand_context", "verified_first_party", "linkedin_corroborated", "llm_arbiter_corroborated",
 )
 
 
@@ -91,27 +91,27 @@ def _intrinsic_bundle(e: Mapping[str, Column]) -> Column:
     return _all(e["public_brand"], e["page"] >= 2, _site(e))
 
 
-def anchor_ready(e: Mapping[str, Column]) -> Column:
-    """Whether a candidate that a profile names proves itself on its own site."""
-    r = routes(e)
+def anchor_ready(e: Mapping[str, Column], found: Mapping[str, Column] | None = None) -> Column:
+    """Whether a candidate that a profile names proves itself on its own site. found: its routes, where they are columns already."""
+    r = found or routes(e)
     legal = (e["legal"] >= 3) | ((e["legal"] == 2) & (e["legal_count"] >= 2))
     proved = _all(verified_identity(e), e["has_contact"], legal | _intrinsic_bundle(e))
     return _any(r["exact_domain"], r["exact_website"], r["verified_first_party"], proved)
 
 
-def candidate_ready(e: Mapping[str, Column]) -> Column:
-    """Whether a candidate of the search has identity enough; a national telephone number alone is not."""
-    r = routes(e)
-    saved = _any(e["exact_domain"], *[r[k] for k in ("places_contact", "verified_first_party", "network_corroborated", "arbiter_corroborated")])
+def candidate_ready(e: Mapping[str, Column], found: Mapping[str, Column] | None = None) -> Column:
+    """Whether a candidate of the search has identity enough; a national telephone number alone is not. found: as in anchor_ready."""
+    r = found or routes(e)
+    saved = _any(e["exact_domain"], *[r[k] for k in ("places_contact", "verified_first_party", "linkedin_corroborated", "llm_arbiter_corroborated")])
     homonym = _all(e["country_phone_only"], e["legal"] == 0, e["query"] < 2, ~saved)
     return ~homonym & _any(*r.values(), verified_identity(e) & ((e["legal"] >= 2) | _intrinsic_bundle(e)))
 
 
-def identity_key(e: Mapping[str, Column]) -> Column:
-    """29 numbers, the greater the better: the routes, then identity, then the strengths of the evidence."""
+def identity_key(e: Mapping[str, Column], found: Mapping[str, Column] | None = None) -> Column:
+    """29 numbers, the greater the better: the routes, then identity, then the strengths of the evidence. found: as in anchor_ready."""
     number = lambda c: c.cast("int")
     return F.array(
-        *[number(r) for r in routes(e).values()], domain_specificity(e), number(verified_identity(e)), number(e["direct"]), -number(e["relationship"]),
+        *[number(r) for r in (found or routes(e)).values()], domain_specificity(e), number(verified_identity(e)), number(e["direct"]), -number(e["relationship"]),
         e["legal"], e["legal_count"], e["context_count"], e["structured"], e["page"], number(e["public_brand"]), number(e["exact_brand"]), number(e["intrinsic"]),
         number(e["linkedin"]), number(e["has_contact"]), number(e["semantic_match"]), -number(e["semantic_conflict"]), e["query"],
     )
@@ -140,34 +140,56 @@ def dominates(a: Mapping[str, Column], b: Mapping[str, Column]) -> Column:
     )
 
 
+# Why a company has a site, by the first of these routes that holds, and why it has none.
+RESOLVED = {
+    "exact_domain": "candidate_resolved_by_exact_full_name_domain", "exact_website": "candidate_resolved_by_exact_full_name_domain",
+    "linkedin_corroborated": "candidate_resolved_by_linkedin_website_match", "llm_arbiter_corroborated": "candidate_resolved_by_llm_arbiter_match",
+}
+RESOLVED_OTHERWISE = "candidate_resolved_by_target_fingerprint"
+UNRESOLVED, AMBIGUOUS = "no_candidate_proved_target_fingerprint", "multiple_candidates_proved_equal_target_fingerprint"
+
+
+def proved(candidates: DataFrame, company: str, node: str, family: str) -> DataFrame:
+    """candidates with their evidence and what it proves: ready, verified, specificity, safe_exact, key and resolved_by."""
+    e = columns()
+    found = F.struct(*[r.alias(k) for k, r in routes(e).items()])
+    # the routes are one struct first: all that follows reads it
+    known = candidates.select(company, node, family, *e, found.alias("route"))
+    route = {k: F.col(f"route.{k}") for k in ROUTES}
+    by = F.lit(RESOLVED_OTHERWISE)
+    for k, reason in reversed(RESOLVED.items()):
+        by = F.when(route[k], reason).otherwise(by)
+    return known.select(
+        company, node, family, *e, candidate_ready(e, route).alias("ready"), verified_identity(e).alias("verified"), domain_specificity(e).alias("specificity"),
+        route["exact_domain"].alias("safe_exact"), identity_key(e, route).alias("key"), by.alias("resolved_by"),
+    )
+
+
 def resolve_candidates(candidates: DataFrame, company: str, node: str, family: str) -> DataFrame:
-    """(company, status, selected, reason) of every company: resolved, ambiguous or unresolved.
+    """(company, status, selected, resolved_by) of every company: resolved, ambiguous or unresolved; resolved_by is the reason of any of them.
 
-    candidates: the evidence, `node` (also the order on ties) and `family` (sites of one owner do
-    not eliminate each other). A company's own candidates, tens at most, meet each other once.
+    candidates: the evidence, `node` (also the order on ties), `family` (sites of one owner do
+    not eliminate each other) and, if it is there, `rejected`, which an arbitration sets. A company's own
+    candidates, tens at most, meet each other once.
     """
     e = columns()
-    route = routes(e)
-    # written once: the rules are long, and the comparison of pairs would repeat them
-    proved = candidates.select(
-        company, node, family, *e, candidate_ready(e).alias("ready"), verified_identity(e).alias("verified"), domain_specificity(e).alias("specificity"),
-        route["exact_domain"].alias("safe_exact"), identity_key(e).alias("key"),
-        F.when(route["exact_domain"] | route["exact_website"], "exact_full_name_domain").when(route["network_corroborated"], "network_website_match")
-        .when(route["arbiter_corroborated"], "arbiter_match").otherwise("target_fingerprint").alias("by"),
-    )
-    ready = written(proved, "fingerprints").where("ready")
-    rival = ready.select(*[F.col(c).alias(f"r_{c}") for c in ready.columns])
-    side = lambda prefix: {c: F.col(prefix + c) for c in (*e, "verified", "specificity", "safe_exact")}
-    beaten = (F.col(company) == F.col(f"r_{company}")) & (F.col(node) != F.col(f"r_{node}")) & (F.col(family) != F.col(f"r_{family}")) & dominates(side("r_"), side(""))
-    left = ready.join(rival, beaten, "left_anti")
-    best = Win.partitionBy(company).orderBy(F.desc("key"), F.asc(node))
-    chosen = left.withColumn("first", F.row_number().over(best) == 1)
-    top = Win.partitionBy(company)
-    head = lambda c: F.max(F.when(F.col("first"), F.col(c))).over(top)
-    against = chosen.withColumn("rivals", F.count_if((F.col("key") == head("key")) & (F.col(family) != head(family))).over(top)).where("first")
-    found = candidates.select(company).distinct().join(against.select(company, F.col(node).alias("n"), "rivals", "by"), company, "left")
-    status = F.when(F.col("n").isNull(), "unresolved").when(F.col("rivals") > 0, "ambiguous").otherwise("resolved")
-    return found.select(company, status.alias("status"), F.when(status == "resolved", F.col("n")).alias("selected"), F.when(status == "resolved", F.col("by")).alias("resolved_by"))
+    with Scratch(candidates.sparkSession) as scratch:
+        open_ = candidates.where(~F.coalesce("rejected", F.lit(False))) if "rejected" in candidates.columns else candidates
+        # written once: the rules are long, and the comparison of pairs would repeat them
+        ready = scratch.written(proved(open_, company, node, family), "fingerprints").where("ready")
+        rival = ready.select(*[F.col(c).alias(f"r_{c}") for c in ready.columns])
+        side = lambda prefix: {c: F.col(prefix + c) for c in (*e, "verified", "specificity", "safe_exact")}
+        beaten = (F.col(company) == F.col(f"r_{company}")) & (F.col(node) != F.col(f"r_{node}")) & (F.col(family) != F.col(f"r_{family}")) & dominates(side("r_"), side(""))
+        left = ready.join(rival, beaten, "left_anti")
+        best = Win.partitionBy(company).orderBy(F.desc("key"), F.asc(node))
+        chosen = left.withColumn("first", F.row_number().over(best) == 1)
+        top = Win.partitionBy(company)
+        head = lambda c: F.max(F.when(F.col("first"), F.col(c))).over(top)
+        against = chosen.withColumn("rivals", F.count_if((F.col("key") == head("key")) & (F.col(family) != head(family))).over(top)).where("first")
+        found = candidates.select(company).distinct().join(against.select(company, F.col(node).alias("n"), "rivals", "resolved_by"), company, "left")
+        status = F.when(F.col("n").isNull(), "unresolved").when(F.col("rivals") > 0, "ambiguous").otherwise("resolved")
+        why = F.when(status == "resolved", F.col("resolved_by")).when(status == "ambiguous", AMBIGUOUS).otherwise(UNRESOLVED)
+        return written(found.select(company, status.alias("status"), F.when(status == "resolved", F.col("n")).alias("selected"), why.alias("resolved_by")), "resolutions")
 
 
 # Roles that only lead to a company, and roles that are never one.

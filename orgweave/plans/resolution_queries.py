@@ -93,8 +93,9 @@ _BEATS = (
 k as (select * from y b where not exists (select 1 from y a where a.o_custkey = b.o_custkey and a.o_orderkey <> b.o_orderkey and a.family <> b.family and {_BEATS})),
 f as (select o_custkey, arg_max(family, [key, [-o_orderkey]]) as family, max(key) as best from k group by 1),
 g as (select k.o_custkey, count(*) filter (where key = best and k.family <> f.family) as rivals, min(case when key = best and k.family = f.family then o_orderkey end) as n from k join f using (o_custkey) group by 1),
-h as (select g.*, case when r1 or r2 then 'exact_full_name_domain' when r11 then 'network_website_match' when r12 then 'arbiter_match' else 'target_fingerprint' end as why from g join s on g.o_custkey = s.o_custkey and g.n = s.o_orderkey)
-select o.o_custkey, case when h.n is null then 'unresolved' when rivals > 0 then 'ambiguous' else 'resolved' end as status, case when rivals = 0 then h.n end as selected, case when rivals = 0 then why end as resolved_by
+h as (select g.*, case when r1 or r2 then 'candidate_resolved_by_exact_full_name_domain' when r11 then 'candidate_resolved_by_linkedin_website_match' when r12 then 'candidate_resolved_by_llm_arbiter_match' else 'candidate_resolved_by_target_fingerprint' end as why from g join s on g.o_custkey = s.o_custkey and g.n = s.o_orderkey)
+select o.o_custkey, case when h.n is null then 'unresolved' when rivals > 0 then 'ambiguous' else 'resolved' end as status, case when rivals = 0 then h.n end as selected,
+ case when h.n is null then 'no_candidate_proved_target_fingerprint' when rivals > 0 then 'multiple_candidates_proved_equal_target_fingerprint' else why end as resolved_by
 from (select distinct o_custkey from orders) o left join h using (o_custkey)""")
 def candidate_resolution(spark, d):
     return P.resolve_candidates(evidence(spark, d), "o_custkey", "o_orderkey", "family")
