@@ -152,18 +152,24 @@ def unreachable_homonyms(selected: DataFrame, evaluated: DataFrame, company: str
     return open_.join(rival, [company, "core"]).where("domain <> other").groupBy(company, "domain").agg(F.min("other").alias("other"))
 
 
-def close_pairs(rows: DataFrame, group: list[str], node: str, score: str, support: str, domain: str, first: int = 4, margin: int = W.AMBIGUITY_MARGIN) -> DataFrame:
-    """All pairs among the first four plausible candidates of a group that leave the choice open.
+def close_pairs(
+    rows: DataFrame, group: list[str], node: str, score: str, support: str, domain: str, order: str | None = None, family: str | None = None, settled: str | None = None, first: int = 4, margin: int = W.AMBIGUITY_MARGIN
+) -> DataFrame:
+    """All pairs among the first four plausible candidates of a group, by `order` (else the node), that leave the choice open.
 
-    Equal support, other registrable domains, scores within the margin. Given in the order of the rows.
+    Equal support, other registrable domains, scores within the margin. No pair is close within one `family` of sites, or
+    with a candidate that is `settled`: from an authoritative query, or with conflicts of its own.
     """
-    placed = rows.withColumn("__n", F.row_number().over(Win.partitionBy(*group).orderBy(node))).where(F.col("__n") <= first)
-    listed = placed.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("__n", F.col(node).alias("node"), F.col(score).alias("score"), F.col(support).alias("support"), F.col(domain).alias("domain")))).alias("c"))
+    placed = rows.withColumn("__n", F.row_number().over(Win.partitionBy(*group).orderBy(order or node, node))).where(F.col("__n") <= first)
+    kept = {"score": F.col(score), "support": F.col(support), "domain": F.col(domain), "family": F.col(family or domain), "settled": F.coalesce(F.col(settled), F.lit(False)) if settled else F.lit(False)}
+    listed = placed.groupBy(*group).agg(F.array_sort(F.collect_list(F.struct("__n", F.col(node).alias("node"), *[c.alias(k) for k, c in kept.items()]))).alias("c"))
     at = lambda i: F.get("c", F.lit(i))
-    pair = lambda i, j: F.struct(
-        at(i)["node"].alias("first"), at(j)["node"].alias("second"),
-        ((at(i)["support"] == at(j)["support"]) & (at(i)["domain"] != at(j)["domain"]) & (F.abs(at(i)["score"] - at(j)["score"]) <= margin)).alias("close"),
-    )
+
+    def pair(i: int, j: int) -> Column:
+        apart = (at(i)["domain"] != at(j)["domain"]) & (at(i)["family"] != at(j)["family"]) & ~at(i)["settled"] & ~at(j)["settled"]
+        close = (at(i)["support"] == at(j)["support"]) & apart & (F.abs(at(i)["score"] - at(j)["score"]) <= margin)
+        return F.struct(at(i)["node"].alias("first"), at(j)["node"].alias("second"), close.alias("close"))
+
     pairs = F.filter(F.array(*[pair(i, j) for i in range(first) for j in range(i + 1, first)]), lambda p: F.coalesce(p["close"], F.lit(False)))
     return listed.select(*group, F.explode(pairs).alias("p")).select(*group, "p.first", "p.second")
 

@@ -9,12 +9,13 @@ tests/test_evaluation.py holds all of it against plain Python, page by page.
 
 from __future__ import annotations
 
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, Window
 from pyspark.sql import functions as F
 
 from orgweave.functions import html as H
 from orgweave.functions import text as T
 from orgweave.functions import url as U
+from orgweave.operators import arbitration as A
 from orgweave.operators import evaluation as V
 from orgweave.operators import fingerprint as P
 from orgweave.plans.catalogue import query, read
@@ -75,11 +76,13 @@ def site_html(spark, d: str) -> DataFrame:
     return sites(spark, d).select("node", "place", "page_id", F.concat(F.lit("https://"), F.col("host"), F.lit("/")).alias("url"), F.when(k % 4 == 0, front).otherwise(F.col("html")).alias("html"))
 
 
-def evaluations(spark, d: str) -> DataFrame:
-    pages = site_html(spark, d)
+def evaluations(spark, d: str, arbitrated: bool = True) -> DataFrame:
+    """arbitrated: with the verdicts that the candidates carry."""
+    pages, known = site_html(spark, d), candidates(spark, d)
+    known = known if arbitrated else known.withColumn("verdict", F.lit(None).cast("string"))
     found = H.organization_claims(pages.select("page_id", "url", "html"))
     claims = found.select((F.col("page_id") - F.col("page_id") % PAGES_A_SITE).alias("node"), F.col("page_id").alias("page"), "field", "value")
-    return V.evaluate(candidates(spark, d), pages, claims)
+    return V.evaluate(known, pages, claims)
 
 
 @query()
@@ -108,3 +111,35 @@ def page_resolution(spark, d):
     """The site of every company, or why there is none; sites of one registrable domain are one owner's."""
     judged = evaluations(spark, d).withColumn("family", U.registrable(F.col("host")))
     return P.resolve_candidates(judged, "company", "node", "family")
+
+
+def placed(spark, d: str) -> DataFrame:
+    """Evaluations before any arbitration, with the places of a company's candidates by score."""
+    judged = evaluations(spark, d, arbitrated=False)
+    order = Window.partitionBy("company").orderBy(F.desc("final_score"), F.asc("node"))
+    return judged.withColumn("place", F.row_number().over(order))
+
+
+def verdicts(spark, d: str) -> DataFrame:
+    """Recorded verdicts by the candidate's number; some were never recorded."""
+    k = F.floor(F.col("node") / PAGES_A_SITE)
+    turn = (k + F.col("company")) % 3
+    return candidates(spark, d).select("company", "node", F.when(turn == 0, "match").when(turn == 1, "no_match").otherwise("uncertain").alias("verdict")).where(k % 7 != 5)
+
+
+@query()
+def arbiter_triggers(spark, d):
+    """Candidates that an arbitration is asked for, and why."""
+    return A.triggers(placed(spark, d)).select("company", "node", F.array_join("triggers", ",").alias("triggers"))
+
+
+@query()
+def arbiter_rounds(spark, d):
+    """Candidates after all rounds: which round asked, the verdict, who is in the pool and who is out."""
+    found, _ = A.arbitrate(placed(spark, d), verdicts(spark, d), 2)
+    return found.select("company", "node", "place", "round", F.array_join("triggers", ",").alias("triggers"), "decision", "active", "rejected")
+
+
+@query()
+def arbitrated_resolution(spark, d):
+    return A.arbitrate(placed(spark, d), verdicts(spark, d), 2)[1]

@@ -166,13 +166,15 @@ def unreachable_homonyms(spark, d):
     return R.unreachable_homonyms(selected, e, "o_custkey")
 
 
-@query("""with s as (select o_custkey, o_orderkey, floor(o_totalprice / 20000)::bigint as score, o_orderkey % 2 as support, o_orderkey % 3 as domain from orders), p as (select *, row_number() over (partition by o_custkey order by o_orderkey) as n from s), q as (select * from p where n <= 4)
-select a.o_custkey, a.o_orderkey as first, b.o_orderkey as second from q a join q b on a.o_custkey = b.o_custkey and a.n < b.n and a.support = b.support and a.domain <> b.domain and abs(a.score - b.score) <= 5""")
+@query("""with s as (select o_custkey, o_orderkey, floor(o_totalprice / 20000)::bigint as score, o_orderkey % 2 as support, o_orderkey % 3 as domain, o_orderkey % 5 as family, o_orderkey % 7 = 0 or o_orderkey % 11 = 0 as settled from orders),
+p as (select *, row_number() over (partition by o_custkey order by o_orderkey) as n from s), q as (select * from p where n <= 4)
+select a.o_custkey, a.o_orderkey as first, b.o_orderkey as second from q a join q b on a.o_custkey = b.o_custkey and a.n < b.n and a.support = b.support and a.domain <> b.domain and abs(a.score - b.score) <= 5
+where a.family <> b.family and not a.settled and not b.settled""")
 def close_margin_pairs(spark, d):
-    """All pairs of a customer's first four orders whose scores leave the choice open."""
+    """All pairs of a customer's first four orders whose scores leave the choice open: of two families, neither by an authoritative query nor in conflict."""
     k = F.col("o_orderkey")
-    s = read(spark, d, "orders").select("o_custkey", "o_orderkey", F.floor(F.col("o_totalprice") / 20000).alias("score"), (k % 2).alias("support"), (k % 3).alias("domain"))
-    return R.close_pairs(s, ["o_custkey"], "o_orderkey", "score", "support", "domain")
+    s = read(spark, d, "orders").select("o_custkey", "o_orderkey", F.floor(F.col("o_totalprice") / 20000).alias("score"), (k % 2).alias("support"), (k % 3).alias("domain"), (k % 5).alias("family"), ((k % 7 == 0) | (k % 11 == 0)).alias("settled"))
+    return R.close_pairs(s, ["o_custkey"], "o_orderkey", "score", "support", "domain", family="family", settled="settled")
 
 
 @query("""with e as (select o_custkey, o_orderkey, case when o_orderkey % 4 = 0 then null when o_orderkey % 9 = 0 then '' else 'sales@c' || (o_orderkey % 6) || '.com' end as v from orders), s as (select * from e where v <> ''), b as (select o_custkey, arg_min(v, o_orderkey) as "primary" from s group by 1),
