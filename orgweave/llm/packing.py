@@ -40,8 +40,8 @@ SEGMENTS = 512
 POOL = 2048
 MIN_PIECE = 16
 END_ID = 2
-CACHE_WORDS = 300_000
-CACHE_RUNS = 800_000
+CACHE_WORDS = 200_000
+CACHE_RUNS = 400_000
 TEXTS = 128
 
 
