@@ -6,7 +6,7 @@ slice of rows at a time, so that their memory does not depend on the batch size.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
+from collections.abc import Callable, Iterator
 
 import numpy as np
 import pyarrow as pa
@@ -33,6 +33,20 @@ def read(spark: SparkSession, sf_dir: str, table: str) -> DataFrame:
 materialise = written
 
 
+#: What empties the caches that an operator keeps in a Python worker from task to task.
+_CACHES: list[Callable[[], None]] = []
+
+
+def empties_cache(clear: Callable[[], None]) -> None:
+    """Workers outlive a stage; operators that need memory of their own empty what others left in theirs."""
+    _CACHES.append(clear)
+
+
+def empty_caches() -> None:
+    for clear in _CACHES:
+        clear()
+
+
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row, however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -25,7 +25,7 @@ import pyarrow as pa
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orgweave.llm.common import LOWER, read, text_slices
+from orgweave.llm.common import LOWER, empty_caches, read, text_slices
 
 Q = 8
 RATE = 0.1
@@ -201,6 +201,7 @@ def find_passages(docs: DataFrame, index: Index, column: str, *keep, text_col: s
     kind = pa.list_(pa.struct([("item_id", pa.int64()), ("start", pa.int64()), ("length", pa.int64()), ("edits", pa.int32())]))
 
     def run(batches):
+        empty_caches()
         own = shared.value
         for batch in batches:
             found: list[list[dict]] = [[] for _ in range(batch.num_rows)]

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orgweave.llm.common import LOWER, mix, read, span_hashes, text_slices, word_spans
+from orgweave.llm.common import empty_caches, LOWER, mix, read, span_hashes, text_slices, word_spans
 from orgweave.operators.graph import components
 from orgweave.sources.shared import Scratch, written
 
@@ -160,6 +160,7 @@ def signatures(docs: DataFrame, percent: int) -> DataFrame:
     bands = bands_for(percent)
 
     def run(batches):
+        empty_caches()
         for batch in batches:
             for ids, rows, shingles, size in _sets(batch):
                 hi, lo = _set_keys(rows, shingles, size)
@@ -186,6 +187,7 @@ def _details(docs: DataFrame, nodes: DataFrame, percent: int) -> DataFrame:
     bands = bands_for(percent)
 
     def run(batches):
+        empty_caches()
         for batch in batches:
             for ids, rows, shingles, size in _sets(batch):
                 cuts = np.searchsorted(rows, np.arange(size + 1))

@@ -33,7 +33,7 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orgweave.llm.common import read
+from orgweave.llm.common import empties_cache, read
 
 LIMIT = 4096
 SEGMENTS = 512
@@ -229,6 +229,9 @@ class Encoder:
         return [np.frombuffer(b"".join(map(self.new.__getitem__, words)), "<u4") for words in each]
 
 
+empties_cache(Encoder.of.cache_clear)
+
+
 def _vocabulary() -> str:
     import public_tokenizers
 
