@@ -17,7 +17,7 @@ from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from orgweave.functions import url as U
-from orgweave.operators import registries
+from orgweave.operators import discovery, registries
 from orgweave.operators.evaluation import _starts
 from orgweave.operators.fingerprint import resolve_candidates
 from orgweave.sources.shared import Scratch, written
@@ -35,11 +35,13 @@ def _reason(*prefixes: str) -> Column:
 
 
 def hard_context_failure() -> Column:
-    """Whether a failed context gate stands: no match by an arbitration, no exact compound name, no strong bundle, no mere lack."""
-    conflict = _reason("context_conflict:", "metadata_context_conflict:")
-    exact = F.col("exact_compound") & _reason(*PROOFS[:5])
-    lack = _reason("metadata_context_missing:", "metadata_context_not_observed:")
-    return F.col("context_failed") & ~F.col("arbiter") & F.when(conflict, ~exact).otherwise(~F.col("strong_bundle") & ~lack)
+    """discovery.hard_context_failure of an evaluation."""
+    return discovery.hard_context_failure(
+        {
+            "failed": F.col("context_failed"), "arbiter_match": F.col("arbiter"), "conflict": _reason("context_conflict:", "metadata_context_conflict:"), "compound": F.col("exact_compound"),
+            "exact_brand": F.col("exact_compound"), "legal_proof": _reason(*PROOFS[:5]), "strong_bundle": F.col("strong_bundle"), "discovery_only": _reason("metadata_context_missing:", "metadata_context_not_observed:"),
+        }
+    )
 
 
 def context_conflict() -> Column:

@@ -102,3 +102,46 @@ def query_plan(spark, d):
     planned = planning.queries(_S("Acme Zeta Ltd ", k), gaps, related=F.array(_S("Hint ", k)), brands=one("Brand"), representations=one("Rep"), city=F.lit("izmir"), context=F.lit("gida"), sector=F.col("c_mktsegment"))
     fresh = planning.without(planned, one('"ACME  Zeta" kvkk'), 8)
     return read(spark, d, "customer").select("c_custkey", F.posexplode(fresh).alias("n", "query")).select("c_custkey", "query", (F.col("n") + 1).cast("long").alias("place"))
+
+
+AGENT = "orgweave-reader"
+
+
+def recorded_sites(spark, d):
+    """(roots, documents): forty pages in a row are a site; its sitemaps list their own urls by language, some wrongly.
+
+    A site's robots file names one sitemap, which is an index of one for each language; every third site has further ones in
+    a circle, every fifth a broken one, every seventh one elsewhere.
+    """
+    from orgweave.functions import url as U
+
+    k = F.floor(F.col("page_id") / 40)
+    pages = read(spark, d, "pages").where("url like '%://%'").select("page_id", k.alias("k"), F.regexp_extract("url", r"://[^/]*(/.*)$", 1).alias("path"), F.coalesce(F.nullif(F.regexp_extract("url", r"://[^/]*/([a-z]{2})/", 1), F.lit("")), F.lit("xx")).alias("lang"), U.host("url").alias("host"))
+    hosts = pages.groupBy("k").agg(F.min_by("host", "page_id").alias("host")).select("k", _S("https://s", F.col("k"), ".", F.col("host")).alias("root"))
+    named = pages.join(hosts, "k")
+    word = F.element_at(F.array(*map(F.lit, ("urun", "iletisim", "blog", "About-us", "galeri", "kvkk", "x.vcf", "hakk%C4%B1m%C4%B1zda"))), (F.col("page_id") % 8 + 1).cast("int"))
+    site = F.when(F.col("page_id") % 11 == 5, "https://elsewhere.example").when(F.col("page_id") % 13 == 6, "https://[broken").otherwise(F.col("root"))
+    address = F.concat(site, F.lit("/"), F.col("lang"), F.lit("/"), word, F.when(F.col("page_id") % 8 == 6, "").otherwise(F.concat(F.lit("/"), F.col("page_id").cast("string"))))
+    entry = F.concat(F.lit("<url><loc> "), address, F.lit(" </loc></url>"))
+    listed = lambda e: F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("page_id", e.alias("e")))), lambda x: x["e"]), "\n")
+    by_lang = named.groupBy("k", "root", "lang").agg(listed(entry).alias("e"), F.min("page_id").alias("first"))
+    broken = F.when(F.col("k") % 5 == 1, "<urlset>").otherwise('<urlset xmlns="http://www.sitemaps.org/schemas/sitemap/0.9">')
+    circle = F.when(F.col("k") % 3 == 0, _S("<sitemap><loc>", F.col("root"), "/index.xml</loc></sitemap><sitemap><loc>", F.col("root"), "/more-", F.col("lang"), ".xml</loc></sitemap>")).otherwise("")
+    maps = by_lang.select(_S(F.col("root"), "/map-", F.col("lang"), ".xml").alias("url"), F.concat(broken, F.col("e"), circle, F.when(F.col("k") % 5 == 1, "").otherwise("</urlset>")).alias("content"))
+    more = by_lang.where("k % 3 = 0").select(_S(F.col("root"), "/more-", F.col("lang"), ".xml").alias("url"), _S("<urlset><url><loc>", F.col("root"), "/more/contact-", F.col("lang"), "</loc></url></urlset>").alias("content"))
+    index = by_lang.groupBy("k", "root").agg(F.array_join(F.transform(F.array_sort(F.collect_list(F.struct("first", "lang"))), lambda x: F.concat(F.lit("<sitemap><loc>"), F.lit("{root}/map-"), x["lang"], F.lit(".xml</loc></sitemap>"))), "").alias("e"))
+    index = index.select(_S(F.col("root"), "/index.xml").alias("url"), F.concat(F.lit('<?xml version="1.0"?><sitemapindex>'), F.replace("e", F.lit("{root}"), F.col("root")), F.lit("</sitemapindex>")).alias("content"))
+    robots = hosts.select(
+        _S(F.col("root"), "/robots.txt").alias("url"),
+        F.concat(F.lit("User-agent: other\nDisallow: /\n\nUser-agent: *\nDisallow: /en/iletisim\nAllow: /\n"), F.when(F.col("k") % 7 == 2, "Sitemap: https://elsewhere.example/sitemap.xml\n").otherwise(""), _S("SITEMAP: ", F.col("root"), "/index.xml")).alias("content"),
+    )
+    return hosts.select("root"), maps.unionByName(more).unionByName(index).unionByName(robots)
+
+
+@query()
+def sitemap_contact_urls(spark, d):
+    """Contact pages that the sites' sitemaps list, within a site's budget, and whether its robots file lets them be read. tests/test_sitemaps.py holds them against a queue in plain Python."""
+    from orgweave.operators import sitemaps
+
+    roots, documents = recorded_sites(spark, d)
+    return sitemaps.contact_pages(roots, documents, AGENT)
