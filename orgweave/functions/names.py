@@ -286,3 +286,19 @@ def domain_score(c: Column | str, host: Column, title: Column | str, snippet: Co
         return T.let(reason, lambda r: F.struct(bounded(r).alias("score"), r.alias("reason")))
 
     return T.let(_parts(c, host, prefix=prefix_ratio, whole=whole_ratio, part=part_ratio), lambda p: T.let(_identity(p), lambda identity: judged(p, identity)))
+
+
+# Words in capitals before an estate's name, and words of places that are no names.
+ESTATE = r"((?:[A-ZÇĞİÖŞÜ][A-ZÇĞİÖŞÜ0-9-]{1,}[ \t]+){1,4}[A-ZÇĞİÖŞÜ][A-ZÇĞİÖŞÜ0-9-]{1,})[ \t]+S[İI]T(?:ES[İI])?\.?"
+PLACE_WORDS = ("mahalle", "mahallesi", "cadde", "caddesi", "sokak", "bulvar", "organize", "sanayi", "sitesi", "site")
+
+
+def related_names(company: Column | str, title: Column | str, snippet: Column | str, limit: int = 2) -> Column:
+    """Names of two to four words, some of the company's own and some new, that a result with its legal name gives to an industrial estate."""
+    text = F.concat_ws(" ", T.text_or_empty(title), T.text_or_empty(snippet))
+    own = T.tokens(company)
+    words = lambda raw: F.filter(T.tokens(F.replace(raw, F.lit("-"), F.lit(""))), lambda t: ~F.array_contains(_listed({*W.LEGAL_WORDS, *PLACE_WORDS}), t) & (F.length(t) > 2))
+    long = lambda ts, known: F.exists(ts, lambda t: (F.length(t) >= 4) & (F.array_contains(own, t) == known))
+    named = F.transform(F.regexp_extract_all(text, F.lit(ESTATE), F.lit(1)), words)
+    hints = F.transform(F.filter(named, lambda ts: F.size(ts).between(2, 4) & long(ts, True) & long(ts, False)), lambda ts: F.array_join(ts, " "))
+    return F.when(legal_phrase(company, text), F.slice(F.array_distinct(hints), 1, limit)).otherwise(F.array().cast("array<string>"))

@@ -646,4 +646,4 @@ def adaptive_discovery(spark, d):
 
 
 # the other parts of the catalogue add their queries
-from orgweave.plans import discovery_queries, evaluation_queries, listing_queries, name_queries, page_queries, registry_queries, resolution_queries  # noqa: E402, F401
+from orgweave.plans import discovery_queries, evaluation_queries, listing_queries, name_queries, page_queries, registry_queries, report_queries, resolution_queries  # noqa: E402, F401

@@ -24,10 +24,10 @@ def shared_dir(spark: SparkSession) -> str:
     return named
 
 
-def written(df: DataFrame, name: str = "table", folder: str | None = None) -> DataFrame:
-    """df as a Parquet table in the shared folder, read back."""
+def written(df: DataFrame, name: str = "table", folder: str | None = None, by: tuple[str, ...] = ()) -> DataFrame:
+    """df as a Parquet table in the shared folder, read back. by: columns that divide it, so that readers of few values read few files."""
     path = f"{folder or shared_dir(df.sparkSession) + '/orgweave'}/{name}-{uuid.uuid4().hex}"
-    df.write.parquet(path)
+    df.write.partitionBy(*by).parquet(path)
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
