@@ -1,7 +1,7 @@
 """Names against texts, other names and domains as queries, each with SQL of its own.
 
-Customers get invented company names, hosts and texts by their key, chosen so that every rule
-decides some of them.
+A customer's company name, host and texts are made of a word of its own, by one of several patterns,
+chosen so that every rule decides some of them; the functions run on every customer.
 """
 
 from __future__ import annotations
@@ -16,7 +16,7 @@ from orgweave.functions import words as W
 from orgweave.plans.catalogue import query, read
 from orgweave.sources.shared import written
 
-#: company, host, title, snippet, business name, text
+#: company, host, title, snippet, business name, text; a customer's own word takes the place of a pattern's STEM
 CASES = (
     ("Zümrüt Örgü A.Ş.", "zumrutorgu.com.tr", "Zümrüt Örgü", "resmi", "ZUMRUT ORGU", "Zümrüt Örgü Sanayi ve Ticaret A.Ş. hakkinda"),
     ("ATÇ Kimya Sanayi", "atckimya.com", "ATÇ", "kimya", "Atc Kimya Ltd", "atc kimya urunleri"),
@@ -52,9 +52,32 @@ CASES = (
     ("Cok Kelimeli Uzun Adli Firma", "cokkelime.com", "cok", "", "Cok Kelimeli", "cok kelimeli uzun adli firma"),
 )
 
+#: the word of a pattern that a customer's own one replaces, in all its spellings; patterns without one stand as they are, with the word behind their title
+STEMS = {
+    0: "Zümrüt", 2: "Atabay", 3: "Kardel", 4: "Mavi", 5: "Anadolu", 8: "Star", 9: "Acme", 10: "Acme", 11: "Acme", 12: "Acme", 13: "Acme", 14: "Acme", 15: "Vega", 16: "Palmiye", 17: "Boreas", 18: "Boreas", 19: "Kuzey",
+    20: "Brands", 26: "Marmara", 28: "Zeta", 30: "Pamukkale",
+}
 _FIELDS = ("company", "host", "title", "snippet", "business", "body")
+
+
+def _pattern(i: int, values: tuple[str | None, ...]) -> list[str | None]:
+    if i not in STEMS:
+        return [v if k != 2 or v is None else v + " {w}" for k, v in enumerate(values)]
+    plain = STEMS[i].translate(str.maketrans(W.FOLD_FROM, W.FOLD_TO)).lower()
+    spelt = ((STEMS[i], "{W}"), (plain.capitalize(), "{W}"), (plain, "{w}"), (plain.upper(), "{U}"))
+    out = []
+    for v in values:
+        for old, new in spelt:
+            v = v and v.replace(old, new)
+        out.append(v)
+    return out
+
+
+PATTERNS = [_pattern(i, values) for i, values in enumerate(CASES)]
 _TEXT = lambda x: "null" if x is None else "'" + x.replace("'", "''") + "'"
-_VALUES = ", ".join(f"({k}, {', '.join(map(_TEXT, row))})" for k, row in enumerate(CASES))
+_VALUES = ", ".join(f"({k}, {', '.join(map(_TEXT, row))})" for k, row in enumerate(PATTERNS))
+_LETTERS = lambda key: f"'zor' || translate(lpad({key}::varchar, 6, '0'), '0123456789', 'abcdefghij')"
+_SPELT = lambda x, word: f"replace(replace(replace({x}, '{{W}}', upper(left({word}, 1)) || substr({word}, 2)), '{{w}}', {word}), '{{U}}', upper({word}))"
 _FOLD = lambda x: f"lower(translate(coalesce({x}, ''), 'çğıöşüÇĞİIÖŞÜ', 'cgiosucgiiosu'))"
 _RAW = lambda x: f"regexp_extract_all({_FOLD(x)}, '[a-z0-9]+')"
 _WITHOUT = lambda x, words: f"list_filter({x}, lambda t: not list_contains([{', '.join(repr(w) for w in words)}], t) and length(t) > 1)"
@@ -69,23 +92,36 @@ _BRIDGE = "ic dis paz pazarlama tic ticaret ith ihr ithalat ihracat san sanayi".
 _L = lambda words: "[" + ", ".join(f"'{w}'" for w in words) + "]"
 _EQUAL = _L(f"{k}={e}" for k, v in W.BRAND_EQUIVALENTS.items() for e in v)
 _EQUAL_DOMAIN = _L("chocolate=cikolata cikolata=chocolate candy=seker candy=sekerleme seker=candy sekerleme=candy".split())
-_CASES = f"""v(k, {', '.join(_FIELDS)}) as (values {_VALUES}),
+_CASES = f"""c0(i, {', '.join(_FIELDS)}) as (values {_VALUES}), c1 as (select c_custkey as k, {_LETTERS('c_custkey')} as word from customer),
+v as (select k, {', '.join(f"{_SPELT(f, 'word')} as {f}" for f in _FIELDS)} from c1 join c0 on k % {len(CASES)} = i),
 t0 as (select *, {_RAW('company')} as raw, {_RAW('business')} as b_raw, {_RAW('body')} as t_raw from v),
 t1 as (select *, {_WITHOUT('raw', _LEGAL + _JOINING)} as legal, {_WITHOUT('raw', _LEGAL)} as comp, {_WITHOUT('b_raw', _LEGAL + _JOINING)} as b_legal, {_WITHOUT('t_raw', _LEGAL + _JOINING)} as t_legal, {_WITHOUT('raw', _LEGAL + _SECTOR + _BUSINESS)} as narrow from t0),
 t2 as (select *, case when len(narrow) > 0 then narrow else comp end as dist from t1),
 t3 as (select *, case when len({_WITHOUT('dist', _GENERIC)}) > 0 then {_WITHOUT('dist', _GENERIC)} else dist end as ident, dist[1:2] as prim, dist[1:4] as prim4 from t2)"""
-_ALL = f"customer join r on c_custkey % {len(CASES)} = k"
+_ALL = "(select k as c_custkey, r.* from r)"
 _PHRASE = lambda hay, needle: f"(len({needle}) > 0 and contains(' ' || array_to_string({hay}, ' ') || ' ', ' ' || array_to_string({needle}, ' ') || ' '))"
 
 
+def own_word(key):
+    """A word of letters for a row's number."""
+    return F.concat(F.lit("zor"), F.translate(F.lpad(key.cast("string"), 6, "0"), "0123456789", "abcdefghij"))
+
+
+def spelt(pattern, word):
+    """A pattern with a row's own word in its three spellings."""
+    capital = F.concat(F.upper(F.substring(word, 1, 1)), F.substring(word, 2, 100))
+    return F.replace(F.replace(F.replace(pattern, F.lit("{W}"), capital), F.lit("{w}"), word), F.lit("{U}"), F.upper(word))
+
+
 def _cases(spark, d):
-    rows = spark.createDataFrame([(k, *row) for k, row in enumerate(CASES)], "k long, " + ", ".join(f"{f} string" for f in _FIELDS))
-    return rows
+    """k and the fields of every customer."""
+    patterns = spark.createDataFrame([(i, *row) for i, row in enumerate(PATTERNS)], "i long, " + ", ".join(f"{f} string" for f in _FIELDS))
+    rows = read(spark, d, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % len(CASES)).alias("i"), own_word(F.col("c_custkey")).alias("word"))
+    return rows.join(F.broadcast(patterns), "i").select("k", *[spelt(F.col(f), F.col("word")).alias(f) for f in _FIELDS])
 
 
 def _customers(spark, d, answers):
-    """Every customer with the answers of its case; cases are few and given by the query, so they may be broadcast."""
-    return read(spark, d, "customer").select("c_custkey", (F.col("c_custkey") % len(CASES)).alias("k")).join(F.broadcast(answers), "k").drop("k")
+    return answers.withColumnRenamed("k", "c_custkey")
 
 
 @query(f"""with {_CASES}, e as (select *, list_filter(prim, lambda t: list_contains(t_raw, t)) as exact, length(prim[1]) >= 5 and list_contains(t_raw, prim[1]) as anchored from t3),
@@ -218,46 +254,54 @@ def domain_score(spark, d):
     return _customers(spark, d, scored.select("k", F.col("s.score").cast("long").alias("score"), "s.reason"))
 
 
-#: Queries and labels as they are written, given to events by their number.
+#: Queries and labels as they are written, given to events by their number, with a word of the event's user.
 ASKED = (
-    '"Acme" Türkiye distribütör temsilci', '"Acme" DISTRIBUTOR', '"Acme" marka resmi sitesi', '"Acme" KVKK', '"Acme" ticari unvan', '"Acme" contact', '"Acme" İletişim Türkiye',
-    '"Acme" official website Turkiye', '"Acme" Türkiye official website', '"Acme" official website', '"Acme" resmi sitesi', '"Acme" web sitesi', '"Acme" plastik', "", None, '"Acme" contact kvkk',
+    '"{W}" Türkiye distribütör temsilci', '"{W}" DISTRIBUTOR', '"{W}" marka resmi sitesi', '"{W}" KVKK', '"{W}" ticari unvan', '"{W}" contact', '"{W}" İletişim Türkiye',
+    '"{W}" official website Turkiye', '"{W}" Türkiye official website', '"{W}" official website', '"{W}" resmi sitesi', '"{W}" web sitesi', '"{W}" plastik', "", None, '"{W}" contact kvkk',
 )
 LABELLED = (
-    "Fax: ", "FAKS no", "WhatsApp", "whats  app", "Genel Merkez", "Head  office", "Uzman", "Company owner", "Pazarlama", "Sales team", "Satış", "satis", "Export dept", "ihracat", "Istanbul", "izmir ofis", "Izmir", "Ankara",
-    "Factory", "Fabrika", "Branch", "Şube", "sube", "General", "", None, "merkez fax",
+    "Fax: {w}", "FAKS no {U}", "WhatsApp", "whats  app", "{W} Genel Merkez", "{W}  office", "Uzman {W}", "Company owner", "Pazarlama", "Sales team", "Satış", "satis", "Export {w} dept", "ihracat", "Istanbul", "izmir ofis", "Izmir", "{w} Ankara",
+    "{U} Factory", "Fabrika", "Branch {w}", "Şube", "sube", "General {w}", "", None, "merkez fax",
 )
 _TEXTS = lambda rows: ", ".join(f"({i}, {_TEXT(x)})" for i, x in enumerate(rows))
 
 
+_WRITTEN = {"ASKED": ASKED, "LABELLED": LABELLED}
+_EVERY = lambda rows, column: f"select event_id as k, {_SPELT('pattern', 'word')} as {column} from (select event_id, {_LETTERS('user_id')} as word from events) join q on event_id % {len(_WRITTEN[rows])} = q.k"
+
+
 def _events(spark, d, rows, column):
+    """event_id and a text for every event, by a pattern and with the word of its user."""
     own = spark.createDataFrame(list(enumerate(rows)), f"k long, {column} string")
-    return read(spark, d, "events").select("event_id", (F.col("event_id") % len(rows)).alias("k")).join(F.broadcast(own), "k").drop("k")
+    each = read(spark, d, "events").select("event_id", (F.col("event_id") % len(rows)).alias("k"), own_word(F.col("user_id")).alias("word")).join(F.broadcast(own), "k")
+    return each.select("event_id", spelt(F.col(column), F.col("word")).alias(column))
 
 
-@query(f"""with q(k, asked) as (values {_TEXTS(ASKED)}), n as (select k, asked, {_FOLD('asked')} as a from q),
+@query(f"""with q(k, pattern) as (values {_TEXTS(ASKED)}), n0 as ({_EVERY('ASKED', 'asked')}), n as (select k, asked, {_FOLD('asked')} as a from n0),
 i as (select *, case when contains(a, 'distributor') or contains(a, 'temsilci') or contains(a, 'marka resmi') then 'relationship' when contains(a, 'kvkk') or contains(a, 'ticari unvan') then 'legal_identity' when contains(a, 'contact') or contains(a, 'iletisim') then 'contact'
 when contains(a, 'official website') and contains(a, 'turkiye') then 'country_official' when contains(a, 'official website') or contains(a, 'resmi sitesi') or contains(a, 'web sitesi') then 'official' else 'context' end as intent from n)
-select event_id, asked, intent, case intent when 'relationship' then 100 when 'legal_identity' then 95 when 'contact' then 90 when 'country_official' then 80 when 'official' then 70 else 60 end as priority from events join i on event_id % {len(ASKED)} = k""")
+select k as event_id, asked, intent, case intent when 'relationship' then 100 when 'legal_identity' then 95 when 'contact' then 90 when 'country_official' then 80 when 'official' then 70 else 60 end as priority from i""")
 def query_intents(spark, d):
     intent = T.query_intent("asked")
     return _events(spark, d, ASKED, "asked").select("event_id", "asked", intent.alias("intent"), T.intent_priority(intent).alias("priority"))
 
 
-@query(f"""with q(k, label) as (values {_TEXTS(LABELLED)}), n as (select k, label, lower(regexp_replace(coalesce(label, ''), '\\s+', ' ', 'g')) as a from q),
+@query(f"""with q(k, pattern) as (values {_TEXTS(LABELLED)}), n0 as ({_EVERY('LABELLED', 'label')}), n as (select k, label, lower(regexp_replace(coalesce(label, ''), '\\s+', ' ', 'g')) as a from n0),
 i as (select k, label, case when contains(a, 'fax') or contains(a, 'faks') then 'fax' when contains(a, 'whatsapp') or contains(a, 'whats app') or contains(a, 'wa.me') then 'whatsapp' when contains(a, 'headquarters') or contains(a, 'merkez') then 'headquarters'
 when contains(a, 'specialist') or contains(a, 'uzman') then 'specialist' when contains(a, 'owner') or contains(a, 'sahibi') or contains(a, 'yetkili') then 'owner' when contains(a, 'marketing') or contains(a, 'pazarlama') then 'marketing'
 when contains(a, 'sales') or contains(a, 'satis') or contains(a, 'satış') then 'sales' when contains(a, 'export') or contains(a, 'ihracat') then 'export' when contains(a, 'istanbul') then 'istanbul' when contains(a, 'izmir') then 'izmir' when contains(a, 'ankara') then 'ankara'
 when contains(a, 'factory') or contains(a, 'fabrika') then 'factory' when contains(a, 'branch') or contains(a, 'sube') or contains(a, 'şube') then 'branch' else 'general' end as kind from n)
-select event_id, label, kind from events join i on event_id % {len(LABELLED)} = k""")
+select k as event_id, label, kind from i""")
 def contact_labels(spark, d):
     return _events(spark, d, LABELLED, "label").select("event_id", "label", T.contact_label("label").alias("kind"))
 
 
-#: Names with marks and other forms of letters.
-MARKED = ("Çelik İnşaat", "ILGIN ılık", "Café Ångström", "naïve Über", "ÖZGÜR ŞİRKET", "plain", "", None, "Łódź", "ñandú")
+#: Names with marks and other forms of letters, some with a word of the event's user.
+MARKED = ("Çelik {W} İnşaat", "ILGIN ılık {U}", "Café {w} Ångström", "naïve Über {W}", "{U} ÖZGÜR ŞİRKET", "plain {w}", "", None, "Łódź", "ñandú")
+
+_WRITTEN["MARKED"] = MARKED
 
 
-@query(f"""with m(k, name) as (values {_TEXTS(MARKED)}) select event_id, replace(lower(strip_accents(coalesce(name, ''))), 'ı', 'i') as folded from events join m on event_id % {len(MARKED)} = k""")
+@query(f"""with q(k, pattern) as (values {_TEXTS(MARKED)}), m as ({_EVERY('MARKED', 'name')}) select k as event_id, replace(lower(strip_accents(coalesce(name, ''))), 'ı', 'i') as folded from m""")
 def unicode_fold(spark, d):
     return _events(spark, d, MARKED, "name").select("event_id", T.fold_unicode("name").alias("folded"))
