@@ -11,6 +11,7 @@ from pyspark.sql import functions as F
 from orgweave.functions import evidence as E
 from orgweave.functions import html
 from orgweave.operators import planning
+from orgweave.operators.evaluation import visible_text
 from orgweave.plans.catalogue import query, read
 from orgweave.plans.registry_queries import _S
 
@@ -22,7 +23,8 @@ def organisations(spark, d):
     again = F.when(k % 3 == 0, _S('<script type="application/ld+json">{"@type":["Thing","Corporation"],"name":"ACME  ', k, '"}</script>')).otherwise("")
     head = F.when(k % 5 == 0, "").otherwise(F.concat(F.lit('<script type="application/ld+json">'), data, F.lit("</script>"), again))
     links = _S('<a href="/iletisim">Contact</a> <a href="/hakkimizda?p=', k, '">Us</a> <a href="https://other.example/contact">x</a> <a href="/file', k, '.pdf">contact sheet</a> <a href="mailto:Sales', k, '@acme.example?subject=x">mail</a> <a href="tel:+90212555">call</a>')
-    body = F.concat(F.lit("<html><head>"), head, F.lit("</head><body><p>Vergi No: "), F.lpad((k * 7919 % 10000000000).cast("string"), 10, "0"), F.lit("</p>"), links, F.lit("</body></html>"))
+    own = F.regexp_replace(F.regexp_replace(F.coalesce("html", F.lit("")), "</?(?:html|head|body)[^>]*>", ""), "(?is)<title>.*?</title>", "")
+    body = F.concat(F.lit("<html><head>"), head, F.lit("</head><body>"), own, F.lit("<p>Vergi No: "), F.lpad((k * 7919 % 10000000000).cast("string"), 10, "0"), F.lit("</p>"), links, F.lit("</body></html>"))
     return read(spark, d, "pages").select("page_id", _S("https://www.site", k, ".example/start").alias("url"), body.alias("html"))
 
 
@@ -42,7 +44,12 @@ def html_contacts(spark, d):
 _SITE = "'https://www.site' || page_id || '.example'"
 
 
-@query(f"""select page_id, {_SITE} || unnest(['/iletisim', '/hakkimizda?p=' || page_id, '/file' || page_id || '.pdf']) as target, unnest([100, 60, 100]) as score, unnest([false, false, true]) as is_document from pages""")
+_WAY = "case when contains(t, 'contact') or contains(t, 'iletisim') then 100 when contains(t, 'kontakt') or contains(t, 'bize-ulasin') then 90 when contains(t, 'about') or contains(t, 'hakkimizda') then 60 when contains(t, 'kurumsal') then 55 when contains(t, 'imprint') then 50 when contains(t, 'kvkk') then 40 else 0 end"
+
+
+@query(f"""with o as (select distinct page_id, {_SITE} || unnest(regexp_extract_all(coalesce(html, ''), '<a [^>]*href="([^"#]+)', 1)) as target from pages), s as (select page_id, target, lower(target) as t from o)
+select page_id, target, {_WAY} as score, regexp_matches(t, '\.(pdf|docx?|xlsx?)($|\?)') as is_document from s
+union all select page_id, {_SITE} || unnest(['/iletisim', '/hakkimizda?p=' || page_id, '/file' || page_id || '.pdf']) as target, unnest([100, 60, 100]) as score, unnest([false, false, true]) as is_document from pages""")
 def html_site_map(spark, d):
     return html.site_map(organisations(spark, d)).select("page_id", "target", "score", "is_document")
 
@@ -52,25 +59,30 @@ def html_contact_links(spark, d):
     return html.contact_links(organisations(spark, d)).select("page_id", "target", "score", "rank")
 
 
-#: pages by the number of the row, and their visible text
+#: what stands before a page's own title ({t}) or whole html ({h}), by the page's number
 STATES = (
-    ('<div id="root"></div>', ""), ("<p>Call 0212 555 10 12 now</p>", "Call 0212 555 10 12 now"), ("<app-root></app-root><p>Enable JavaScript</p>", "Enable JavaScript"), ("<p>Please  enable javascript</p>", "Please enable javascript"),
-    ("<title>Just a moment</title>", "Just a moment"), ("<p>Long</p>" * 100, "Long " * 100), ('<div id="app">' + "text " * 100 + "</div>", "text " * 100), (None, ""), ("<b>Cloudflare</b> Ray ID", "Cloudflare Ray ID"),
-    ('<div id="root">x@y.org</div>', "x@y.org"),
+    '<div id="root"></div>', "<p>Call 0212 555 10 12 now {t}</p>", "<app-root></app-root><p>Enable JavaScript</p>{t}", "<p>{t} Please  enable javascript</p>", "<title>x</title><h1>Just a moment</h1>{t}", "{h}",
+    '<div id="app">{h}</div>', None, "<b>Cloudflare</b> Ray ID {t}", '<div id="root">x@y.org {t}</div>', '<div id="__next">{t}</div>',
 )
-_STATES = ", ".join(f"({i}, {'null' if h is None else chr(39) + h + chr(39)}, '{t}')" for i, (h, t) in enumerate(STATES))
+_STATES = ", ".join(f"({i}, {'null' if h is None else chr(39) + h + chr(39)})" for i, h in enumerate(STATES))
 _MARKED = lambda x, marks: "(" + " or ".join(f"contains({x}, '{m}')" for m in marks) + ")"
+_TITLE = "regexp_replace(regexp_extract(coalesce(html, ''), '<title>([^<]*)', 1), '[^a-zA-Z .,]', '', 'g')"
 
 
-@query(f"""with s(k, html, visible) as (values {_STATES}), x as (select *, lower(coalesce(html, '')) as h, trim(regexp_replace(visible, '\\s+', ' ', 'g')) as v, regexp_replace(lower(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g')), '\\s+', ' ', 'g') as t from s),
-y as (select *, length(v) < 300 and {_MARKED('h', ('id="root"', 'id="app"', '__next', '<app-root', '<router-outlet', '<app-'))} as shell, regexp_matches(coalesce(html, ''), '@[a-z]+\\.[a-z]{{2,}}') or regexp_matches(coalesce(html, ''), '[0-9][0-9 ]{{8,}}[0-9]') as has_contact from x),
-r as (select k, shell, not has_contact and (shell or {_MARKED('lower(v)', ('javascript must be enabled', 'enable javascript', 'javascript is required'))}) as needs_render, {_MARKED('t', ('deceptive site ahead', 'privacy error', 'just a moment', 'cloudflare ray id', 'attention required'))} as interstitial from y)
-select event_id, shell, needs_render, interstitial from events join r on event_id % {len(STATES)} = k""")
+@query(f"""with s(i, pattern) as (values {_STATES}), x0 as (select page_id, replace(replace(pattern, '{{t}}', {_TITLE}), '{{h}}', coalesce(html, '')) as html from pages join s on page_id % {len(STATES)} = i),
+x as (select page_id, html, lower(coalesce(html, '')) as h, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as v,
+ regexp_replace(lower(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g')), '\s+', ' ', 'g') as t from x0),
+y as (select *, length(v) < 300 and {_MARKED('h', ('id="root"', 'id="app"', '__next', '<app-root', '<router-outlet', '<app-'))} as shell, regexp_matches(coalesce(html, ''), '@[a-z]+\.[a-z]{{2,}}') or regexp_matches(coalesce(html, ''), '[0-9][0-9 ]{{8,}}[0-9]') as has_contact from x)
+select page_id, shell, not has_contact and (shell or {_MARKED('lower(v)', ('javascript must be enabled', 'enable javascript', 'javascript is required'))}) as needs_render, {_MARKED('t', ('deceptive site ahead', 'privacy error', 'just a moment', 'cloudflare ray id', 'attention required'))} as interstitial from y""")
 def page_states(spark, d):
-    rows = spark.createDataFrame([(i, *r) for i, r in enumerate(STATES)], "k long, html string, visible string")
+    """Shells, pages to be rendered and interstitials among the pages, each set in one of several frames."""
+    title = F.regexp_replace(F.regexp_extract(F.coalesce("html", F.lit("")), "<title>([^<]*)", 1), "[^a-zA-Z .,]", "")
+    frames = spark.createDataFrame(list(enumerate(STATES)), "i long, pattern string")
+    rows = read(spark, d, "pages").withColumn("i", F.col("page_id") % len(STATES)).join(F.broadcast(frames), "i")
+    framed = rows.select("page_id", F.replace(F.replace("pattern", F.lit("{t}"), title), F.lit("{h}"), F.coalesce("html", F.lit(""))).alias("html"))
+    seen = framed.select("page_id", "html", visible_text("html").alias("visible"))
     h, v = F.col("html"), F.col("visible")
-    judged = rows.select("k", E.js_shell(h, v).alias("shell"), E.needs_render(h, v).alias("needs_render"), E.interstitial(h).alias("interstitial"))
-    return read(spark, d, "events").select("event_id", (F.col("event_id") % len(STATES)).alias("k")).join(F.broadcast(judged), "k").drop("k")
+    return seen.select("page_id", E.js_shell(h, v).alias("shell"), E.needs_render(h, v).alias("needs_render"), E.interstitial(h).alias("interstitial"))
 
 
 @query("""with s as (select s_suppkey, case s_suppkey % 4 when 0 then ['Acme Limited Şirket', 'acme A S '] when 1 then ['Beta Inc Group'] when 2 then ['Gama Anonim Ortaklık', 'Gama Corporation x'] else [''] end as names,
