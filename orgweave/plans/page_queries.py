@@ -48,7 +48,7 @@ _WAY = "case when contains(t, 'contact') or contains(t, 'iletisim') then 100 whe
 
 
 @query(f"""with o as (select distinct page_id, {_SITE} || unnest(regexp_extract_all(coalesce(html, ''), '<a [^>]*href="([^"#]+)', 1)) as target from pages), s as (select page_id, target, lower(target) as t from o)
-select page_id, target, {_WAY} as score, regexp_matches(t, '\.(pdf|docx?|xlsx?)($|\?)') as is_document from s
+select page_id, target, {_WAY} as score, regexp_matches(t, '\\.(pdf|docx?|xlsx?)($|\\?)') as is_document from s
 union all select page_id, {_SITE} || unnest(['/iletisim', '/hakkimizda?p=' || page_id, '/file' || page_id || '.pdf']) as target, unnest([100, 60, 100]) as score, unnest([false, false, true]) as is_document from pages""")
 def html_site_map(spark, d):
     return html.site_map(organisations(spark, d)).select("page_id", "target", "score", "is_document")
@@ -70,9 +70,9 @@ _TITLE = "regexp_replace(regexp_extract(coalesce(html, ''), '<title>([^<]*)', 1)
 
 
 @query(f"""with s(i, pattern) as (values {_STATES}), x0 as (select page_id, replace(replace(pattern, '{{t}}', {_TITLE}), '{{h}}', coalesce(html, '')) as html from pages join s on page_id % {len(STATES)} = i),
-x as (select page_id, html, lower(coalesce(html, '')) as h, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\s+', ' ', 'g')) as v,
- regexp_replace(lower(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g')), '\s+', ' ', 'g') as t from x0),
-y as (select *, length(v) < 300 and {_MARKED('h', ('id="root"', 'id="app"', '__next', '<app-root', '<router-outlet', '<app-'))} as shell, regexp_matches(coalesce(html, ''), '@[a-z]+\.[a-z]{{2,}}') or regexp_matches(coalesce(html, ''), '[0-9][0-9 ]{{8,}}[0-9]') as has_contact from x)
+x as (select page_id, html, lower(coalesce(html, '')) as h, trim(regexp_replace(regexp_replace(regexp_replace(coalesce(html, ''), '(?is)<(script|style|noscript)[^>]*>.*?</(script|style|noscript)>', ' ', 'g'), '<[^>]*>', ' ', 'g'), '\\s+', ' ', 'g')) as v,
+ regexp_replace(lower(regexp_replace(coalesce(html, ''), '<[^>]+>', ' ', 'g')), '\\s+', ' ', 'g') as t from x0),
+y as (select *, length(v) < 300 and {_MARKED('h', ('id="root"', 'id="app"', '__next', '<app-root', '<router-outlet', '<app-'))} as shell, regexp_matches(coalesce(html, ''), '@[a-z]+\\.[a-z]{{2,}}') or regexp_matches(coalesce(html, ''), '[0-9][0-9 ]{{8,}}[0-9]') as has_contact from x)
 select page_id, shell, not has_contact and (shell or {_MARKED('lower(v)', ('javascript must be enabled', 'enable javascript', 'javascript is required'))}) as needs_render, {_MARKED('t', ('deceptive site ahead', 'privacy error', 'just a moment', 'cloudflare ray id', 'attention required'))} as interstitial from y""")
 def page_states(spark, d):
     """Shells, pages to be rendered and interstitials among the pages, each set in one of several frames."""
