@@ -5,22 +5,26 @@ scripts, styles and form controls go with their content; so do containers whose
 or class names say that they are menus, page headers, footers, sidebars, notices, adverts,
 forms or reader comments. A class name counts as a whole: `sidebar` and `cookie-bar` are
 noise, `no-sidebar`, `ad-free` and `search-result-article` are not, and neither is a container
-around the page's `article` or `main`.
+around the page's `article` or `main`. Within an article a class name alone decides only about
+reader comments; any other container that it names goes if its weight agrees: less than half of
+the article's text lies in it, or most of its own text is links. Ids within an article are
+anchors and say nothing, but for reader comments.
 
-A line's weight is its text outside links. Weights are summed over sliding windows of WINDOW
+A line's weight is its text outside links; only an anchor with an address is a link, and the end
+of a block or the next anchor closes it. Weights are summed over sliding windows of WINDOW
 lines. A run goes from where the sum leaves nothing (after WINDOW lines without text) to the
-dive point where it is nothing again. A run surges if a sum of it reaches SURGE; all runs that
-surge are kept, and so are lines of links between two runs of one `article` or `main`. If no
-run surges, the heaviest run is kept. On a page that marks an `article` or `main`, lines
-outside weigh nothing. On other pages the kept text begins at the surge point, the first line
-of the run that by itself has a window line's share of SURGE (headings right before it
-included), and what lies before is a menu or a page header; lines that say nothing but a
-copyright are a footer.
+dive point where it is nothing again. A run surges if a sum of it reaches SURGE; if none does, the
+heaviest run counts. On a page that marks an `article` or `main`, lines outside weigh nothing, and
+each marked zone with a run that counts is kept from its first heading or text to its last text.
+On other pages a run that counts is kept from the surge point, its first sentence or its first line
+that by itself has a window line's share of SURGE (headings right before it included), to its dive;
+lines at its end that are no sentence and have less are a footer, and so are lines that say nothing
+but a copyright. Behind the first such run, short runs of paragraphs that are sentences stay too.
 
 Defined cases: null and empty html and pages without text give an empty text; character
 references are decoded once; white space in a block becomes one space; `br` is white space;
-unclosed elements end with their container; repeated rows are extracted each; other columns
-are ignored.
+unclosed elements end with their container; repeated rows are extracted each; of the other columns
+those named are kept, but for columns that are called like the results.
 """
 
 from __future__ import annotations
@@ -31,6 +35,8 @@ from typing import NamedTuple
 
 import pyarrow as pa
 from pyspark.sql import DataFrame
+from pyspark.sql import functions as F
+from pyspark.sql.types import StructType
 
 from orgweave.llm.common import read
 
@@ -40,7 +46,7 @@ _TAG = re.compile(
     r"""<!--.*?(?:-->|\Z)|<(/?)([a-zA-Z][^\s/>]*)((?:[^>"']++|"[^"]*+"|'[^']*+')*+)>|<(/?)([a-zA-Z][^\s/>]*)([^>]*+)>|<[!?][^>]*+>""",
     re.DOTALL,
 )
-_HINTS = re.compile(r"""\b(?:class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
+_HINTS = re.compile(r"""\b(class|id|role)\s*=\s*(?:"([^"]*)"|'([^']*)'|([^\s"'>]+))""", re.IGNORECASE)
 _PART = re.compile(r"[-_]+|(?<=[a-z0-9])(?=[A-Z])")
 # elements whose content is raw text or a control
 _RAW = {"script", "style", "textarea", "title", "noscript", "template", "svg", "iframe", "object", "canvas", "select", "button", "audio", "video", "math", "xmp"}
@@ -68,6 +74,11 @@ _NEUTRAL = {
 }
 # noise that may itself hold article elements
 _REPLIES = {"comment", "comments", "commentlist", "disqus", "replies", "respond", "related", "recommended"}
+# noise wherever it stands, whatever its weight
+_COMMENTS = {"comment", "comments", "commentlist", "disqus", "replies", "respond"}
+_HREF = re.compile(r"\bhref\s*=", re.IGNORECASE)
+_SENTENCE = re.compile(r"[.!?…:;。！？](?:[\"'”’»)\]]|\s)*$")
+_PARAGRAPHS = {"p", "blockquote", "pre", "dd", "li"}
 _HEADINGS = {"h1", "h2", "h3", "h4", "h5", "h6"}
 _COPYRIGHT = re.compile(r"^(?:copyright\b)?\W*(?:(?:©|\(c\)).{0,80}|(?<=copyright )\d{4}.{0,80}|.{0,60}\ball rights reserved\b.{0,40})$", re.IGNORECASE)
 
@@ -90,9 +101,11 @@ def _noise(tag: str, attributes: str, in_main: bool) -> str:
     if tag in _NOISE or (tag == "header" and not in_main):
         return "tag"
     if attributes and tag not in ("body", "html"):
-        for values in _HINTS.findall(attributes):
+        for kind, *values in _HINTS.findall(attributes):
             for name in "".join(values).split():
-                if found := _names_noise(name, in_main):
+                found = _names_noise(name, in_main)
+                anchor = in_main and kind.lower() == "id" and found not in _COMMENTS
+                if found and not anchor and (tag not in _MAIN or found in _REPLIES):
                     return found
     return ""
 
@@ -102,25 +115,28 @@ class Line(NamedTuple):
     weight: int  # characters outside links, without spaces
     zone: int  # which outermost article or main it is in, from 1 on; 0 for none
     heading: bool
+    paragraph: bool
+    doubtful: int  # which container within the zone it is in that a class name calls noise, from 1 on; 0 for none
 
 
 def lines(page: str) -> list[Line]:
-    """The blocks of text of a page that lie in no noise."""
+    """The blocks of text of a page that lie in no noise; those in doubtful containers are marked."""
     out: list[Line] = []
     parts: list[str] = []
     linked = links = 0
-    # tag, the noise word it adds, whether it is an article or main, noise words that it suspends
-    open_tags: list[tuple[str, str, bool, list[str]]] = []
+    # tag, the noise word it adds, whether it is an article or main, noise words that it suspends, whether it is doubtful
+    open_tags: list[tuple[str, str, bool, list[str], bool]] = []
     noise: list[str] = []
-    zones = main = at = 0
-    heading, lowered = False, None
+    zones = main = at = doubts = 0
+    doubtful: list[int] = []
+    heading, paragraph, lowered = False, False, None
 
     def flush() -> None:
         nonlocal linked
         if parts:
             text = " ".join(html_lib.unescape("".join(parts)).split())
             if text:
-                out.append(Line(text, max(0, len(text) - text.count(" ") - linked), zones if main else 0, heading))
+                out.append(Line(text, max(0, len(text) - text.count(" ") - linked), zones if main else 0, heading, paragraph, doubtful[0] if doubtful else 0))
             parts.clear()
         linked = 0
 
@@ -152,37 +168,48 @@ def lines(page: str) -> list[Line]:
             add(" ")
         elif tag in _BLOCKS:
             flush()
-            heading = tag in _HEADINGS and not closing
+            heading, paragraph = tag in _HEADINGS and not closing, tag in _PARAGRAPHS and not closing
+            if closing:
+                links = 0
         elif tag == "a":
-            links = 0 if closing else 1
+            links = int(not closing and bool(_HREF.search(attributes)))
         if tag not in _CONTAINERS:
             continue
         if not closing:
             word, is_main = _noise(tag, attributes, main > 0), tag in _MAIN
-            if word and not noise:
+            doubt = bool(word) and main > 0 and not noise and word != "tag" and word not in _COMMENTS
+            if doubt:
+                word = ""
+            if (word or doubt) and not noise:
                 flush()
             if not attributes.endswith("/"):
                 # a layout's class around the first article says nothing about that
                 held = noise[:] if is_main and not word and not zones and "tag" not in noise and not _REPLIES & set(noise) else []
-                open_tags.append((tag, word, is_main, held))
+                open_tags.append((tag, word, is_main, held, doubt))
                 if held:
                     noise.clear()
                 if word:
                     noise.append(word)
+                if doubt:
+                    doubts += 1
+                    doubtful.append(doubts)
                 if is_main and not noise:
                     zones += not main
                     main += 1
                 elif is_main:
-                    open_tags[-1] = (tag, word, False, held)
+                    open_tags[-1] = (tag, word, False, held, doubt)
         elif any(t[0] == tag for t in open_tags):
             while True:
-                popped, word, was_main, held = open_tags.pop()
+                popped, word, was_main, held, doubt = open_tags.pop()
                 if word:
                     parts.clear()
                     noise.pop()
-                if was_main:
+                if was_main or doubt:
                     flush()
+                if was_main:
                     main -= 1
+                if doubt:
+                    doubtful.pop()
                 noise.extend(held)
                 if popped == tag:
                     break
@@ -190,6 +217,22 @@ def lines(page: str) -> list[Line]:
     return out
 
 
+def without_doubtful(blocks: list[Line]) -> list[Line]:
+    """Without the containers that a class name calls noise and whose weight agrees: under half of their zone's, or mostly links."""
+    if not any(b.doubtful for b in blocks):
+        return blocks
+    zone_weight: dict[int, int] = {}
+    own: dict[int, list[int]] = {}
+    for b in blocks:
+        zone_weight[b.zone] = zone_weight.get(b.zone, 0) + b.weight
+        if b.doubtful:
+            sums = own.setdefault(b.doubtful, [0, 0, b.zone])
+            sums[0] += b.weight
+            sums[1] += len(b.text) - b.text.count(" ")
+    gone = {k for k, (weight, size, zone) in own.items() if 2 * weight < zone_weight[zone] or 2 * weight < size}
+    return [b for b in blocks if b.doubtful not in gone]
+
+
 def window_sums(weights: list[int]) -> list[int]:
     """The weight of the WINDOW lines from each line on."""
     return [sum(weights[i : i + WINDOW]) for i in range(len(weights))]
@@ -212,9 +255,22 @@ def runs(weights: list[int]) -> list[tuple[int, int, int]]:
     return out
 
 
+def _bounds(blocks: list[Line], weights: list[int], first: int, end: int) -> tuple[int, int]:
+    """The first line and the end of a run on an unmarked page, without the menu before it and the footer behind it."""
+    heavy = [weights[i] * WINDOW >= SURGE for i in range(len(blocks))]
+    said = lambda i: heavy[i] or (weights[i] > 0 and bool(_SENTENCE.search(blocks[i].text)))
+    inside = [i for i in range(first, end) if said(i)]
+    if not inside:
+        return first, end
+    begin, last = inside[0], inside[-1] + 1
+    while begin > 0 and blocks[begin - 1].heading:
+        begin -= 1
+    return begin, last
+
+
 def extract(page: str | None) -> str:
     """The main text of one page, blocks joined by two line ends."""
-    blocks = lines(page or "")
+    blocks = without_doubtful(lines(page or ""))
     marked = any(b.zone for b in blocks)
     if not marked:
         blocks = [b for b in blocks if not _COPYRIGHT.match(b.text)]
@@ -222,39 +278,38 @@ def extract(page: str | None) -> str:
     found = runs(weights)
     if not found:
         return "\n\n".join(b.text for b in blocks if b.zone or not marked)
-    surged = [r for r in found if r[2] >= SURGE] or [max(found, key=lambda r: sum(weights[r[0] : r[1]]))]
-    kept: set[int] = set()
-    for first, end, peak in surged:
-        if not marked and peak >= SURGE:
-            own = [i for i in range(first, end) if weights[i] * WINDOW >= SURGE]
-            first = own[0] if own else first
-            while first > 0 and blocks[first - 1].heading:
-                first -= 1
-        kept.update(range(first, end))
+    counted = [r for r in found if r[2] >= SURGE] or [max(found, key=lambda r: sum(weights[r[0] : r[1]]))]
     if marked:
-        ends: dict[int, tuple[int, int]] = {}
-        for i in sorted(kept):
-            if zone := blocks[i].zone:
-                ends[zone] = (ends.get(zone, (i, i))[0], i)
-        kept = {i for zone, (a, b) in ends.items() for i in range(a, b + 1) if blocks[i].zone == zone}
-    return "\n\n".join(blocks[i].text for i in sorted(kept))
+        zones = {blocks[i].zone for first, end, _ in counted for i in range(first, end)} - {0}
+        kept: list[int] = []
+        for zone in sorted(zones):
+            own = [i for i, b in enumerate(blocks) if b.zone == zone]
+            texts = [i for i in own if weights[i]]
+            begin = min([i for i in own if blocks[i].heading] + texts[:1])
+            kept += [i for i in own if begin <= i <= texts[-1]]
+        return "\n\n".join(blocks[i].text for i in kept)
+    chosen: set[int] = set()
+    for first, end, peak in counted:
+        chosen.update(range(*(_bounds(blocks, weights, first, end) if peak >= SURGE else (first, end))))
+    behind = counted[0][1]
+    for first, end, peak in found:
+        if first >= behind and peak < SURGE and counted[0][2] >= SURGE:
+            chosen.update(i for i in range(first, end) if weights[i] and blocks[i].paragraph and _SENTENCE.search(blocks[i].text))
+    return "\n\n".join(blocks[i].text for i in sorted(chosen))
 
 
-def extract_pages(pages: DataFrame, *keep) -> DataFrame:
+def extract_pages(pages: DataFrame, *keep: str) -> DataFrame:
     """The columns `keep`, text and n_chars of every row of pages, from its whole html."""
-    kept = pages.select(*keep, pages["html"].alias("__html"))
+    keep = tuple(c for c in keep if c not in ("text", "n_chars"))
+    kept = pages.select(F.struct(*[pages[c] for c in keep]).alias("row"), pages["html"].alias("html"))
+    schema = StructType([kept.schema["row"]]).add("text", "string").add("n_chars", "long")
 
     def run(batches):
         for batch in batches:
-            texts = [extract(x.as_py()) for x in batch.column("__html")]
-            own = batch.schema.names[:-1]
-            yield pa.RecordBatch.from_arrays(
-                [*[batch.column(n) for n in own], pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())],
-                names=[*own, "text", "n_chars"],
-            )
-
-    fields = ", ".join(f"`{f.name}` {f.dataType.simpleString()}" for f in kept.schema.fields[:-1])
-    return kept.mapInArrow(run, f"{fields}, text string, n_chars long")
+            texts = [extract(x.as_py()) for x in batch.column("html")]
+            yield pa.RecordBatch.from_arrays([batch.column("row"), pa.array(texts, pa.string()), pa.array([len(t) for t in texts], pa.int64())], names=["row", "text", "n_chars"])
+
+    return kept.mapInArrow(run, schema).select(*[F.col("row")[c].alias(c) for c in keep], "text", "n_chars")
 
 
 def op5(spark, sf_dir: str) -> DataFrame:

@@ -352,7 +352,7 @@ ARTICLE = "<article><h1>Title</h1><p>First &amp; long\n paragraph<br>here <b>bol
     (None, ""), ("", ""), ("<p>a < b &amp;amp; c</p>", "a < b &amp; c"), ("<script>x", ""), ("<!-- x", ""),
     (f"<nav><a>Menu</a></nav><div class=ad>Buy</div>{ARTICLE}<aside>side</aside><footer>&copy;</footer>", "Title\n\nFirst & long paragraph here bold.\n\nx"),
     ("<header>Site</header><div id='cookie-notice'>We use</div><article><h1>Title</h1><p>First &amp; lo", "Title\n\nFirst & lo"),
-    ("<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul><div>" + "long text " * 20 + "</div><div>short end</div><div><a>x</a></div><div><a>y</a></div><div><a>z</a></div>", ("long text " * 20).strip() + "\n\nshort end"),
+    ("<ul><li><a href=1>One</a></li><li><a href=2>Two</a></li></ul><div>" + "long text " * 20 + "</div><div>Short end.</div><div><a>x</a></div><div><a>y</a></div><div><a>z</a></div>", ("long text " * 20).strip() + "\n\nShort end."),
     ("<title>t</title><style>p{}</style><p>only</p><form><p>name</p></form>", "only"),
 ])
 def test_extract(html, text):
@@ -375,12 +375,63 @@ def test_extract_keeps_marked_articles_whole(before, after):
 def test_extract_finds_surge_and_dive_on_unmarked_pages():
     menu = "".join(f"<div>{x}</div>" for x in ("Home", "Products and services", "About us"))
     links = "".join(f"<div><a href={i}>A link of some length to another page</a></div>" for i in range(4))
-    first, second = f"<h2>Heading</h2><p>{LONG * 2}</p><p>Short.</p>", f"<div>{LONG * 3}</div><div>And so on</div>"
+    first, second = f"<h2>Heading</h2><p>Short first.</p><p>{LONG * 2}</p><p>Short.</p>", f"<div>{LONG * 3}</div><div>And so on.</div>"
     page = menu + first + links + second + "<div>All rights reserved 2024</div><div>Copyright 2024 Someone</div><div>&copy; Someone</div>"
-    assert html_extract.extract(page) == "\n\n".join(["Heading", LONG * 2, "Short.", LONG * 3, "And so on"])
+    assert html_extract.extract(page) == "\n\n".join(["Heading", "Short first.", LONG * 2, "Short.", LONG * 3, "And so on."])
     assert html_extract.extract("<p>Copyright law protects authors.</p>") == "Copyright law protects authors."
 
 
+@pytest.mark.parametrize("html,blocks", [
+    ("<ul><li>Home</li><li>News</li></ul><a name=x>" + f"<p>{LONG}</p>" * 4, [LONG] * 4),
+    (f"<article><h1>T</h1><p>{LONG * 2}</p><a name=x><p>{LONG}</p><p><a href=1>{LONG}</p><p>{LONG}</p></article>", ["T", LONG * 2, LONG, LONG, LONG]),
+    *[(f'<article><section {k}="{w}"><p>{LONG * 2}</p></section></article>', [LONG * 2]) for k in ("id", "class") for w in ("search", "social", "banner", "copyright")],
+    ("<article><h1>Title</h1>" + "<p><a href=1>x y</a></p>" * 3 + f"<p>{LONG * 2}</p>" + "<p><a href=1>x y</a></p>" * 3 + "<p>Closing line</p><p><a href=2>more</a></p></article>", ["Title", *["x y"] * 3, LONG * 2, *["x y"] * 3, "Closing line"]),
+    (f"<p>Short first sentence.</p><p>{LONG * 2}</p><p>Terms of use</p><p>Privacy policy</p><p>Contact us today</p>", ["Short first sentence.", LONG * 2]),
+    (f"<p>{LONG * 2}</p>" + "<div><a href=1>x</a></div>" * 3 + "<p>Short last one.</p><div>Imprint</div>", [LONG * 2, "Short last one."]),
+    (f"<article><p>{LONG * 3}</p><div class=ad>{LONG}</div><p>{LONG}</p><div id=comments><p>{LONG * 9}</p></div></article>", [LONG * 3, LONG]),
+])
+def test_extract_by_weight(html, blocks):
+    assert html_extract.extract(html) == "\n\n".join(blocks)
+
+
+def made_page(r, marked):
+    """A page and the blocks of its article: known, as the page is made of them."""
+    word = lambda: "".join(r.choice("abcdefghijklm") for _ in range(r.randint(2, 9)))
+    sentence = lambda n: " ".join(word() for _ in range(n)).capitalize() + r.choice(".!?")
+    link = lambda: f"<a href='/{word()}'>{word()}</a>"
+    blocks, body = [], []
+    title = " ".join(word() for _ in range(4))
+    blocks.append(title)
+    body.append(f"<h1>{title}</h1>")
+    for k in range(r.randint(1, 7)):
+        text = sentence(r.randint(20, 60) if k == 0 or r.random() < 0.7 else 5)
+        shown = text.replace(" ", "  \n" if r.random() < 0.2 else " ", 1).replace(text[3:6], f"<b>{text[3:6]}</b>", 1)
+        blocks.append(text)
+        body.append(r.choice((f"<p>{shown}</p>", f"<p class=x id=banner>{shown}", f"<div><p>{shown}</p></div>", f"<p>{shown}<!-- {word()} --><script>{word()}</script></p>")))
+        if marked and r.random() < 0.3:
+            body.append(r.choice((f"<div class='ad'>{sentence(9)}</div>", f"<aside>{sentence(30)}</aside>", f"<form>{sentence(5)}<button>{word()}</button></form>", f"<div class=share-links>{link()}{link()}</div>")))
+    if marked and r.random() < 0.4:
+        body.append(f"<section class='comments'><article class=comment><p>{sentence(40)}</p></article></section>")
+    menu = "<nav>" + link() * 3 + "</nav>" if r.random() < 0.5 else "<ul>" + "".join(f"<li>{link()}</li>" for _ in range(5)) + "</ul>"
+    foot = r.choice((f"<footer>&copy; {word()} {sentence(6)}</footer>", f"<div id=footer>{sentence(20)}</div>", "<div>" + "</div><div>".join(link() for _ in range(4)) + "</div>"))
+    notice = r.choice(("", f"<div class='cookie-banner'>{sentence(25)}</div>", f"<header><h2>{word()}</h2></header>"))
+    article = "".join(body)
+    if marked:
+        article = r.choice((f"<article>{article}</article>", f"<main><div class=content>{article}</div></main>", f"<div class=right-sidebar><article id=search>{article}</article></div>"))
+    else:
+        article = f"<div class=content>{article}</div>"
+    return f"<!DOCTYPE html><html><head><title>{word()}</title></head><body>{notice}{menu}{article}{foot}</body></html>", blocks
+
+
+@pytest.mark.parametrize("marked", [True, False])
+def test_extract_made_pages(marked):
+    """The whole extraction against pages whose article is known."""
+    r = random.Random(31)
+    for _ in range(400):
+        page, blocks = made_page(r, marked)
+        assert html_extract.extract(page) == "\n\n".join(blocks), page
+
+
 def test_runs_against_brute_force():
     r = np.random.default_rng(12)
     for _ in range(200):
@@ -418,6 +469,8 @@ def test_extract_pages(spark):
     rows = [(1, "u", None, "c"), (1, "u", f"<body>{ARTICLE}", "c"), (None, None, "<p>é" * 3, "c")]
     out = html_extract.extract_pages(spark.createDataFrame(rows, "page_id long, url string, html string, text string"), "page_id", "url").collect()
     assert [(r.page_id, r.n_chars) for r in out] == [(1, 0), (1, len(html_extract.extract(ARTICLE))), (None, 7)]
+    named = html_extract.extract_pages(spark.createDataFrame([(1, "<p>x</p>", "a", "b", "c")], "row long, html string, __html string, text string, n_chars string"), "row", "html", "__html", "text", "n_chars").first()
+    assert named.asDict() == {"row": 1, "html": "<p>x</p>", "__html": "a", "text": "x", "n_chars": 1}
 
 
 # ---- packing
