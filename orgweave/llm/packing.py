@@ -25,7 +25,7 @@ import zlib
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 from functools import lru_cache
-from itertools import chain
+from itertools import pairwise
 
 import numpy as np
 import pyarrow as pa
@@ -33,16 +33,13 @@ from pyspark import TaskContext
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from orgweave.llm.common import empties_cache, read
+from orgweave.llm.common import LOWER, empties_cache, read, span_hashes, spans, text_slices
 
 LIMIT = 4096
 SEGMENTS = 512
 POOL = 2048
 MIN_PIECE = 16
 END_ID = 2
-CACHE_WORDS = 300_000
-CACHE_RUNS = 800_000
-TEXTS = 128
 
 
 @dataclass
@@ -151,29 +148,71 @@ class Packer:
             yield part
 
 
+class Pieces:
+    """Ids of pieces of text by their 64-bit hashes: an open-addressing table in arrays, emptied when it is full."""
+
+    BITS, FULL = 22, 1_400_000
+
+    def __init__(self) -> None:
+        size = 1 << self.BITS
+        self.keys, self.begin, self.length = np.zeros(size, np.uint64), np.zeros(size, np.int32), np.zeros(size, np.int32)
+        self.ids, self.used, self.count = np.zeros(1 << 20, np.uint32), 0, 0
+
+    def _slots(self, h: np.ndarray) -> np.ndarray:
+        return (h >> np.uint64(64 - self.BITS)).astype(np.int64)
+
+    def find(self, h: np.ndarray) -> np.ndarray:
+        """The slot of each hash, -1 for unknown ones."""
+        slot, found = self._slots(h), np.full(len(h), -1, np.int64)
+        open_ = np.arange(len(h))
+        while len(open_):
+            at = slot[open_]
+            there = self.keys[at]
+            hit = there == h[open_]
+            found[open_[hit]] = at[hit]
+            open_ = open_[~hit & (there != 0)]
+            slot[open_] = (slot[open_] + 1) & ((1 << self.BITS) - 1)
+        return found
+
+    def add(self, h: np.ndarray, ids: np.ndarray, lengths: np.ndarray) -> None:
+        """New hashes, each once, with their ids one after another."""
+        if self.used + len(ids) > len(self.ids):
+            self.ids = np.concatenate([self.ids[: self.used], np.zeros(max(len(self.ids), 2 * len(ids)), np.uint32)])
+        begins = self.used + np.cumsum(lengths) - lengths
+        self.ids[self.used : self.used + len(ids)] = ids
+        self.used, self.count = self.used + len(ids), self.count + len(h)
+        slot, open_ = self._slots(h), np.arange(len(h))
+        while len(open_):
+            at = slot[open_]
+            free = self.keys[at] == 0
+            self.keys[at[free]] = h[open_[free]]
+            mine = self.keys[at] == h[open_]
+            self.begin[at[mine]], self.length[at[mine]] = begins[open_[mine]], lengths[open_[mine]]
+            open_ = open_[~mine]
+            slot[open_] = (slot[open_] + 1) & ((1 << self.BITS) - 1)
+
+
 class Encoder:
     """Token ids of texts.
 
-    White space separates tokens here, so ids are remembered by word, in two generations of
-    bounded size. A new word of letters with punctuation after them is its letters' ids and its
-    punctuation's; all new runs of letters of some texts are encoded in one call. Other words
-    are encoded as they are. Whether a tokenizer allows this is tried on PROBE when it is loaded;
-    with one that does not, whole texts are encoded.
+    White space separates tokens here, and so does the place between a Latin letter and the punctuation that ends a word,
+    so ids are remembered by piece, for ASCII letters in lower case, as the tokenizer puts them. All new runs of letters of a
+    slice of texts are encoded in one call, other new pieces one by one. Whether a tokenizer allows this is tried on
+    PROBE when it is loaded; with one that does not, whole texts are encoded.
     """
 
-    TAILS = ".,*#$%&!|;:?"
-    PROBE = "The quick  Brown fox, jumps! over 12 lazy dogs.\nÜber Straße;\tça va? naïve façade #tag $5 a.b x** \n\n end"
+    PROBE = "The quick  Brown fox, jumps! over 12 lazy dogs.\nÜber Straße;\tça va? naïve façade #tag $5 a.b x** don't. end... 'S. É,. \n\n a_b_, ŁÓDŹ! “x”. é– end"
+    _SPACE, _TAIL, _LETTER = np.zeros(256, bool), np.zeros(256, bool), np.zeros(256, bool)
+    _SPACE[[0x20, 0x09, 0x0A]] = True
+    _TAIL[[ord(c) for c in ".,*#$%&!|;:?"]] = True
+    _LETTER[ord("a") : ord("z") + 1] = True
 
     def __init__(self, path: str) -> None:
         os.environ.setdefault("TOKENIZERS_PARALLELISM", "false")
         from tokenizers import Tokenizer
 
-        self.tokenizer = Tokenizer.from_file(path)
-        self.new: dict[str, bytes] = {"": b""}
-        self.old: dict[str, bytes] = {}
-        self.runs: dict[str, bytes] = {"": b""}
-        self.by_word = True
-        self.by_word = self.many([self.PROBE])[0].tobytes() == self._one(self.PROBE)
+        self.tokenizer, self.known, self.by_piece = Tokenizer.from_file(path), Pieces(), True
+        self.by_piece = self.many([self.PROBE])[0].tobytes() == self._one(self.PROBE).tobytes()
 
     @staticmethod
     @lru_cache(2)
@@ -181,52 +220,71 @@ class Encoder:
         """The encoder of this process."""
         return Encoder(path)
 
-    def _one(self, text: str) -> bytes:
-        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, "<u4").tobytes()
+    def _one(self, text: str) -> np.ndarray:
+        return np.array(self.tokenizer.encode(text, add_special_tokens=False).ids, np.uint32)
 
-    def _learn_runs(self, runs: list[str]) -> None:
-        if len(self.runs) > CACHE_RUNS:
-            self.runs = {"": b""}
-        found = self.tokenizer.encode(" ".join(runs), add_special_tokens=False)
-        ids, of_word = np.array(found.ids, "<u4"), np.array(found.word_ids, np.int64)
-        if len(of_word) and of_word[-1] == len(runs) - 1 and len(np.unique(of_word)) == len(runs):
-            cuts = np.searchsorted(of_word, np.arange(len(runs) + 1))
-            self.runs.update((r, ids[cuts[i] : cuts[i + 1]].tobytes()) for i, r in enumerate(runs))
-        else:  # a letter that the tokenizer's normal form takes apart
-            self.runs.update((r, self._one(r)) for r in runs)
-
-    def _learn(self, words: list[str]) -> None:
-        cut = []
-        for w in words:
-            if w in self.old:
-                self.new[w] = self.old[w]
-                continue
-            letters = w.rstrip(self.TAILS)
-            if letters and not letters.isalpha():
-                self.new[w] = self._one(w)
-            else:
-                cut.append((w, letters.lower() if letters.isascii() else letters, w[len(letters) :]))
-        runs = [r for r in {letters for _, letters, _ in cut} if r not in self.runs]
+    def _learned(self, pieces: list[str]) -> tuple[list[int], np.ndarray, np.ndarray]:
+        """(an order of the pieces, their ids one after another, how many each has)."""
+        runs, others = [], []
+        for k, w in enumerate(pieces):
+            (runs if w.isalpha() else others).append(k)
+        parts, lengths = [np.zeros(0, np.uint32)], [np.zeros(0, np.int64)]
         if runs:
-            self._learn_runs(runs)
-        for w, letters, tail in cut:
-            own = self.runs.get(letters)
-            after = self.runs.get(tail)
-            if after is None:
-                after = self.runs[tail] = self._one(tail)
-            self.new[w] = (self._one(letters) if own is None else own) + after
+            found = self.tokenizer.encode(" ".join([pieces[k] for k in runs]), add_special_tokens=False)
+            ids, of_word = np.array(found.ids, np.uint32), np.array(found.word_ids, np.int64)
+            cuts = np.searchsorted(of_word, np.arange(len(runs) + 1))
+            if len(of_word) and of_word[-1] == len(runs) - 1 and (np.diff(cuts) > 0).all():
+                parts.append(ids)
+                lengths.append(np.diff(cuts))
+            else:  # a letter that the tokenizer's normal form takes apart
+                runs, others = [], [*runs, *others]
+        each = [self._one(pieces[k]) for k in others]
+        lengths.append(np.array([len(x) for x in each], np.int64))
+        return [*runs, *others], np.concatenate([*parts, *each]), np.concatenate(lengths)
+
+    def _pieces(self, data: np.ndarray, offsets: np.ndarray) -> tuple[np.ndarray, np.ndarray]:
+        """Starts and ends of the pieces: what lies between white space, the punctuation at its end by itself."""
+        starts, ends, _ = spans(~self._SPACE[data], offsets)
+        if not len(starts):
+            return starts, ends
+        last = np.maximum.accumulate(np.where(self._TAIL[data], -1, np.arange(len(data))))
+        tail = last[ends - 1] + 1  # behind the last byte that is no punctuation
+        before, two = data[np.maximum(tail - 1, 0)], data[np.maximum(tail - 2, 0)]
+        latin = (two == 0xC3) & (before >= 0x80) & (before != 0x97) & (before != 0xB7) & (tail - 2 >= starts)
+        cut = (tail > starts) & (tail < ends) & (self._LETTER[before] | latin)
+        at = np.flatnonzero(cut) + 1
+        return np.insert(starts, at, tail[cut]), np.insert(ends, at - 1, tail[cut])
+
+    def column(self, column: pa.Array) -> Iterator[np.ndarray]:
+        """The ids of every text of a column; null counts as empty."""
+        if not self.by_piece:
+            yield from (self._one(t or "") for t in column.to_pylist())
+            return
+        for _, _, data, offsets in text_slices(column):
+            data = LOWER[data]
+            starts, ends = self._pieces(data, offsets)
+            h = span_hashes(data, starts, ends)
+            h[h == 0] = 1
+            slots = self.known.find(h)
+            if (slots < 0).any():
+                if self.known.count > self.known.FULL:
+                    self.known = Pieces()
+                    slots[:] = -1
+                new, first = np.unique(h[slots < 0], return_index=True)
+                first = np.flatnonzero(slots < 0)[first]
+                raw = data.tobytes()
+                order, ids, lengths = self._learned([raw[s:e].decode() for s, e in zip(starts[first].tolist(), ends[first].tolist(), strict=True)])
+                self.known.add(new[order], ids, lengths)
+                slots = self.known.find(h)
+            begin, length = self.known.begin[slots].astype(np.int64), self.known.length[slots].astype(np.int64)
+            upto = np.concatenate([[0], np.cumsum(length)])
+            every = self.known.ids[np.repeat(begin - upto[:-1], length) + np.arange(upto[-1])]
+            cuts = upto[np.searchsorted(starts, offsets)]
+            for i, j in pairwise(cuts.tolist()):
+                yield every[i:j]
 
     def many(self, texts: list[str]) -> list[np.ndarray]:
-        if not self.by_word:
-            return [np.frombuffer(self._one(t), "<u4") for t in texts]
-        # these two are white space to the tokenizer; others stay within a word, which it splits itself
-        each = [t.replace("\n", " ").replace("\t", " ").split(" ") for t in texts]
-        if len(self.new) > CACHE_WORDS:
-            self.old, self.new = self.new, {"": b""}
-        missing = [w for w in set(chain.from_iterable(each)) if w not in self.new]
-        if missing:
-            self._learn(missing)
-        return [np.frombuffer(b"".join(map(self.new.__getitem__, words)), "<u4") for words in each]
+        return list(self.column(pa.array(texts, pa.large_string())))
 
 
 empties_cache(Encoder.of.cache_clear)
@@ -263,11 +321,9 @@ def pack_documents(docs: DataFrame, tokenizer_path: str | None = None, limit: in
             return out
 
         for batch in batches:
-            keys, texts = batch.column("doc_id"), batch.column("text").fill_null("")
-            for i in range(0, batch.num_rows, TEXTS):
-                for key, own in zip(keys.slice(i, TEXTS).to_pylist(), encode.many(texts.slice(i, TEXTS).to_pylist()), strict=True):
-                    ids = np.append(own, np.uint32(end_id))
-                    note(packer.add(Example(key, len(ids), ids)))
+            for key, own in zip(batch.column("doc_id").to_pylist(), encode.column(batch.column("text")), strict=True):
+                ids = np.append(own, np.uint32(end_id))
+                note(packer.add(Example(key, len(ids), ids)))
                 if len(rows) >= 10_000:
                     yield written()
         note(packer.finish())
@@ -288,7 +344,7 @@ def pack_conversations(
     def count(batches):
         encode = Encoder.of(path)
         for batch in batches:
-            n = [len(x) + 1 for x in encode.many(batch.column("text").fill_null("").to_pylist())]
+            n = [len(x) + 1 for x in encode.column(batch.column("text"))]
             own = [c for c in batch.schema.names if c != "text"]
             yield pa.RecordBatch.from_arrays([*[batch.column(c) for c in own], pa.array(n, pa.int64())], names=[*own, "n"])
 
