@@ -365,14 +365,15 @@ def drop_near_duplicates(docs: DataFrame, percent: int = 80) -> DataFrame:
     Rows that repeat an id and a text stay once; ids that occur once, all as a rule, need no shuffle for that.
     """
     found = near_duplicates(docs, percent).select("doc_id", "kept")
-    gone = written(found.where("not kept").select(F.col("doc_id").alias("__id")).distinct(), "duplicate-ids")
-    same_id = docs["doc_id"].cast("long") == F.col("__id")
-    kept = docs.join(_bounded(gone), same_id, "left_anti")
-    repeated = found.groupBy(F.col("doc_id").alias("__id")).agg(F.count(F.lit(1)).alias("__n")).where("__n > 1").select("__id")
-    if repeated.isEmpty():
-        return kept
-    once = kept.join(repeated, same_id, "left_semi").dropDuplicates(["doc_id", "text"])
-    return kept.join(repeated, same_id, "left_anti").unionByName(once)
+    gone = written(found.where("not kept").select(F.col("doc_id").alias("other")).distinct(), "duplicate-ids")
+    # rows travel as structs, so that no column's name can meet another
+    rows = docs.select(F.struct(*[docs[c] for c in docs.columns]).alias("row"), docs["doc_id"].cast("long").alias("id"), docs["text"].alias("text"))
+    kept = rows.join(_bounded(gone), F.col("id") == F.col("other"), "left_anti")
+    repeated = found.groupBy(F.col("doc_id").alias("other")).agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("other")
+    if not repeated.isEmpty():
+        once = kept.join(repeated, F.col("id") == F.col("other"), "left_semi").dropDuplicates(["id", "text"])
+        kept = kept.join(repeated, F.col("id") == F.col("other"), "left_anti").unionByName(once)
+    return kept.select(*[F.col("row")[c].alias(c) for c in docs.columns])
 
 
 def op6(spark, sf_dir: str) -> DataFrame:
