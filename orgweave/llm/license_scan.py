@@ -22,6 +22,7 @@ each by itself; empty tables give empty results; other columns are ignored.
 
 from __future__ import annotations
 
+import json
 import math
 
 from pyspark.sql import Column, DataFrame
@@ -72,7 +73,24 @@ TEMPLATES: tuple[tuple[str, str, tuple[str, ...]], ...] = (
     ("cc-by-sa", "this work is licensed under a creative commons attribution sharealike 4 0 international license", ("creative commons attribution sharealike",)),
     ("cc-by-nc", "this work is licensed under a creative commons attribution noncommercial 4 0 international license", ("creative commons attribution noncommercial",)),
     ("cc0", "released under the creative commons cc0 1 0 universal public domain dedication", ("cc0",)),
+    ("mit", "the software is provided as is without warranty of any kind express or implied including but not limited to the warranties of merchantability fitness for a particular purpose and noninfringement in no event shall the authors or copyright holders be liable for any claim damages or other liability", ("without warranty of any kind", "noninfringement", "authors or copyright holders")),
+    ("bsd", "this software is provided by the copyright holders and contributors as is and any express or implied warranties including but not limited to the implied warranties of merchantability and fitness for a particular purpose are disclaimed", ("copyright holders and contributors", "are disclaimed")),
+    ("apache", "apache license version 2 0 january 2004 http www apache org licenses terms and conditions for use reproduction and distribution", ("apache license", "terms and conditions for use reproduction and distribution")),
+    ("mpl", "mozilla public license version 2 0", ("mozilla public license",)),
+    ("epl", "eclipse public license v 2 0", ("eclipse public license",)),
+    ("eupl", "licensed under the european union public licence eupl version 1 2", ("european union public licence",)),
+    ("eupl", "licensed under the eupl", ("licensed under the eupl",)),
+    ("cddl", "the contents of this file are subject to the terms of the common development and distribution license", ("common development and distribution license",)),
+    ("cddl", "common development and distribution license cddl version 1 0", ("common development and distribution license",)),
+    ("artistic", "the artistic license 2 0", ("artistic license",)),
 )
+#: Identifiers of the software package data exchange, as words, and their labels.
+SPDX = {
+    "mit": "mit", "apache 2 0": "apache", "gpl 2 0": "gpl", "gpl 3 0": "gpl", "lgpl 2 1": "lgpl", "lgpl 3 0": "lgpl", "agpl 3 0": "agpl", "bsd 2 clause": "bsd", "bsd 3 clause": "bsd", "mpl 2 0": "mpl", "epl 2 0": "epl",
+    "isc": "isc", "zlib": "zlib", "bsl 1 0": "boost", "unlicense": "unlicense", "wtfpl": "wtfpl", "cc by 4 0": "cc-by", "cc by sa 4 0": "cc-by-sa", "cc by nc 4 0": "cc-by-nc", "cc by nd 4 0": "cc-by-nd", "cc0 1 0": "cc0", "eupl 1 2": "eupl",
+    "cddl 1 0": "cddl", "artistic 2 0": "artistic",
+}
+TEMPLATES += tuple((label, f"spdx license identifier {name}", (f"spdx license identifier {name}",)) for name, label in SPDX.items())
 SLACK = 2
 #: Share of a template's IDF that has to agree on a relative position.
 MIN_SHARE = 0.5
@@ -116,8 +134,9 @@ def _base(words: Column) -> Column:
     )
 
 
-def _listed(rows: list) -> Column:
-    return F.array(*rows)
+def _given(value, kind: str) -> Column:
+    """A value as data of the plan: one text, read once when the plan is made."""
+    return F.from_json(F.lit(json.dumps(value)), kind)
 
 
 def _templates(idf: dict[str, float]) -> Column:
@@ -125,17 +144,9 @@ def _templates(idf: dict[str, float]) -> Column:
     rows = []
     for label, notice, phrases in TEMPLATES:
         parts = notice.split()
-        places = lambda w: _listed([F.lit(i) for i, x in enumerate(parts) if x == w])  # noqa: E731, B023
-        rows.append(
-            F.struct(
-                F.lit(label).alias("label"),
-                F.lit(len(parts)).alias("n"),
-                _listed([_listed([F.lit(w) for w in p.split()]) for p in phrases]).alias("phrases"),
-                _listed([F.struct(F.lit(w).alias("w"), places(w).alias("at"), F.lit(idf[w]).alias("idf")) for w in sorted(set(parts))]).alias("words"),
-                F.lit(sum(idf[w] for w in set(parts))).alias("weight"),
-            )
-        )
-    return _listed(rows)
+        words = [{"w": w, "at": [i for i, x in enumerate(parts) if x == w], "idf": idf[w]} for w in sorted(set(parts))]
+        rows.append({"label": label, "n": len(parts), "phrases": [p.split() for p in phrases], "words": words, "weight": sum(idf[w] for w in set(parts))})
+    return _given(rows, "array<struct<label:string,n:int,phrases:array<array<string>>,words:array<struct<w:string,at:array<int>,idf:double>>,weight:double>>")
 
 
 def index(idf: dict[str, float]) -> dict[str, list[tuple[int, int]]]:
@@ -156,7 +167,7 @@ def _matches(words: Column, idf: dict[str, float]) -> Column:
     """(label, place, score) of every template that stands in the words."""
     entries = index(idf)
     keys = F.array(*map(F.lit, entries))
-    posted = F.map_from_arrays(keys, _listed([_listed([F.struct(F.lit(t).alias("t"), F.lit(i).alias("o")) for t, i in places]) for places in entries.values()]))
+    posted = _given({w: [{"t": t, "o": i} for t, i in places] for w, places in entries.items()}, "map<string,array<struct<t:int,o:int>>>")
     none = F.array().cast("array<struct<t:int,d:int>>")
     relative = lambda w, i: F.transform(posted[w], lambda p: F.struct(p["t"].alias("t"), (i - p["o"]).alias("d")))
     found = F.array_distinct(F.flatten(F.transform(words, lambda w, i: F.when(F.array_contains(keys, w), relative(w, i)).otherwise(none))))
@@ -193,27 +204,27 @@ def license_scan(docs: DataFrame, *keep: Column | str, text_col: str = "text") -
             F.when(F.arrays_overlap(w, telling), w).alias("words"),
         ),
     )
-    names = [c for c in docs.select(*keep).columns]
-    texts = materialise(docs.select(*keep, read_once.alias("__f")), "license-words")
+    names = docs.select(*keep).columns
+    texts = materialise(docs.select(F.struct(*keep).alias("row"), read_once.alias("found")), "license-words")
     # the null word counts the documents; the vocabulary is fixed and small
-    counts = {r.w: r["count"] for r in texts.select(F.explode(F.array_append("__f.known", F.lit(None).cast("string"))).alias("w")).groupBy("w").count().collect()}
+    counts = {r.w: r["count"] for r in texts.select(F.explode(F.array_append("found.known", F.lit(None).cast("string"))).alias("w")).groupBy("w").count().collect()}
     idf = {w: math.log((counts.get(None, 0) + 1) / (counts.get(w, 0) + 1)) + 1e-6 for w in _VOCABULARY}
     none = F.array().cast("array<struct<label:string,place:int,score:double>>")
-    words = F.col("__f.words")
-    scanned = texts.withColumn("__m", F.when(words.isNotNull(), _matches(words, idf)).otherwise(none))
+    words = F.col("found.words")
+    scanned = texts.withColumn("matches", F.when(words.isNotNull(), _matches(words, idf)).otherwise(none))
     joined = lambda labels: F.array_join(F.sort_array(F.array_distinct(labels)), ",")
-    best = F.array_max(F.transform("__m", lambda m: m["score"]))
-    places = F.col("__f.base.places")
+    best = F.array_max(F.transform("matches", lambda m: m["score"]))
+    places = F.col("found.base.places")
     return scanned.select(
-        *names,
-        F.col("__f.n_words").alias("n_words"),
+        *[F.col("row")[c].alias(c) for c in names],
+        F.col("found.n_words").alias("n_words"),
         F.size(places).cast("long").alias("n_base"),
         F.array_min(places).cast("long").alias("first_word"),
         F.array_max(places).cast("long").alias("last_word"),
-        joined(F.col("__f.base.labels")).alias("base_labels"),
-        joined(F.concat("__f.base.labels", F.transform("__m", lambda m: m["label"]))).alias("labels"),
+        joined(F.col("found.base.labels")).alias("base_labels"),
+        joined(F.concat("found.base.labels", F.transform("matches", lambda m: m["label"]))).alias("labels"),
         F.least(F.lit(1.0), F.greatest(F.coalesce(best, F.lit(0.0)), F.when(F.size(places) > 0, 1.0).otherwise(0.0))).alias("score"),
-        F.col("__m").alias("matches"),
+        "matches",
     )
 
 
