@@ -32,10 +32,10 @@ def is_placeholder(e: Column) -> Column:
 
 
 def prefix_rank(e: Column) -> Column:
-    """Place of the address in the order of preferred prefixes; after all for others."""
-    local, out = F.substring_index(F.lower(e), "@", 1), F.lit(len(W.EMAIL_PREFIXES))
+    """Place of the address's first part, up to a dot or dash, in the order of preferred ones; after all for others."""
+    first, out = F.regexp_extract(F.substring_index(F.lower(e), "@", 1), "^([^.-]*)", 1), F.lit(len(W.EMAIL_PREFIXES))
     for i, prefix in reversed(list(enumerate(W.EMAIL_PREFIXES))):
-        out = F.when(local.startswith(prefix), F.lit(i)).otherwise(out)
+        out = F.when(first == prefix, F.lit(i)).otherwise(out)
     return out
 
 

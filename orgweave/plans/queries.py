@@ -146,7 +146,7 @@ def email_extract(spark, d):
     return rows.groupBy("doc_id", "email").agg((F.min("n") + 1).cast("long").alias("place"))
 
 
-_PREFIX = "case " + " ".join(f"when starts_with(email, '{p}') then {i}" for i, p in enumerate(W.EMAIL_PREFIXES)) + f" else {len(W.EMAIL_PREFIXES)} end"
+_PREFIX = "case " + " ".join(f"when regexp_extract(email, '^([^.@-]*)', 1) = '{p}' then {i}" for i, p in enumerate(W.EMAIL_PREFIXES)) + f" else {len(W.EMAIL_PREFIXES)} end"
 
 
 @query(f"""with e as ({_EMAIL_ROWS}), o as (select email, count(*) as n_seen, count(distinct doc_id) as n_docs, min(doc_id) as first_doc, {_PREFIX} as prefix from e group by email),
@@ -646,4 +646,4 @@ def adaptive_discovery(spark, d):
 
 
 # the other parts of the catalogue add their queries
-from orgweave.plans import discovery_queries, evaluation_queries, listing_queries, name_queries, page_queries, registry_queries, report_queries, resolution_queries  # noqa: E402, F401
+from orgweave.plans import contact_queries, discovery_queries, evaluation_queries, listing_queries, name_queries, page_queries, registry_queries, report_queries, resolution_queries  # noqa: E402, F401
