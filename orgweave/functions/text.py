@@ -2,6 +2,7 @@
 
 from __future__ import annotations
 
+import html
 import unicodedata
 
 import pandas as pd
@@ -38,6 +39,12 @@ def fold_unicode(values: pd.Series) -> pd.Series:
     return values.map(fold)
 
 
+@pandas_udf(StringType())
+def unescape(values: pd.Series) -> pd.Series:
+    """Character references of HTML decoded; null as empty text."""
+    return values.map(lambda x: html.unescape(x or ""))
+
+
 def clean(c: Column | str) -> Column:
     """Without control characters, white space runs as one space."""
     no_control = F.regexp_replace(text_or_empty(c), r"[\x00-\x08\x0B\x0C\x0E-\x1F]", "")

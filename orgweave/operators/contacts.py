@@ -86,3 +86,55 @@ def rank_emails(records: DataFrame) -> DataFrame:
     keys = [c("family").cast("int"), c("affinity"), priority(c("scope"), PAGES), priority(c("label"), EMAIL_ROLES), local, c("observations"), -C.prefix_rank(c("value")), c("value")]
     own = F.concat(F.lit("domain_family="), c("family").cast("int").cast("string"), F.lit(";scope="), c("scope"), F.lit(";role="), c("label"), F.lit(";observations="), c("observations").cast("string"))
     return _ranked(rows, keys).withColumn("reason", own).select("company", "value", "source_url", "label", "observations", "affinity", "reason", "place")
+
+
+# States of a mail domain's DNS, and ways of reading a page that may be published from.
+DNS_ACCEPTED, DNS_REJECTED = ("verified", "valid"), ("invalid_domain",)
+SAFE_METHODS = ("http", "http_tls_unverified", "browser_render", "pdf_text", "pdf_ocr", "official_link_reference", "unknown")
+
+
+def _same_site(a: Column, b: Column) -> Column:
+    own = U.registrable(U.host(a))
+    return F.coalesce((U.host(a) != "") & (own == U.registrable(U.host(b))), F.lit(False))
+
+
+def source_decision(website: Column, source_url: Column, method: Column, family: Column) -> Column:
+    """(ok, reason): whether a contact's page is the verified site's own, or of its verified family, and was read in a safe way."""
+    url, how = T.text_or_empty(source_url), F.coalesce(F.nullif(method, F.lit("")), F.lit("unknown"))
+    same = _same_site(url, website)
+    reason = (
+        F.when(url == "", "missing_first_party_source_url").when(~F.lower(url).rlike("^https?://"), "non_http_first_party_source")
+        .when(~same & ~F.coalesce(family, F.lit(False)), "source_outside_verified_official_family").when(~how.isin(*SAFE_METHODS), F.concat(F.lit("unsupported_retrieval_method:"), how))
+        .when(same, "verified_first_party_source").otherwise("verified_official_family_source")
+    )
+    return T.let(reason, lambda r: F.struct(r.startswith("verified_").alias("ok"), r.alias("reason")))
+
+
+def _decision(blockers: Column, allowed: Column) -> Column:
+    return T.let(F.array_distinct(F.array_compact(blockers)), lambda b: F.struct((F.size(b) == 0).alias("eligible"), F.when(F.size(b) == 0, allowed).otherwise(F.array_join(b, ";")).alias("reason")))
+
+
+def gate_email(website: Column, value: Column, source_url: Column, method: Column, dns: Column, company_domain: Column, family: Column) -> Column:
+    """(eligible, reason) of an address: its source, its DNS, and for other domains a proof that they are the company's."""
+    v, state, own = F.lower(F.trim(T.text_or_empty(value))), F.coalesce(dns, F.lit("not_checked")), F.coalesce(company_domain, F.lit(False))
+
+    def judged(s: Column) -> Column:
+        same = F.contains(v, F.lit("@")) & _same_site(F.substring_index(v, "@", -1), website)
+        blockers = F.array(
+            F.when((v == "") | ~F.contains(v, F.lit("@")), "invalid_email_syntax"), F.when(~s["ok"], s["reason"]), F.when(state.isin(*DNS_REJECTED), "email_domain_invalid"),
+            F.when(~same & ~state.isin(*DNS_ACCEPTED) & ~(s["ok"] & own & ~state.isin(*DNS_REJECTED)), "cross_domain_email_dns_unverified"),
+        )
+        allowed = F.when(same, s["reason"]).when(own, "first_party_cross_domain_company_identity").otherwise("verified_cross_domain_email_from_first_party_source")
+        return _decision(blockers, allowed)
+
+    return T.let(source_decision(website, source_url, method, family), judged)
+
+
+def gate_phone(website: Column, value: Column, label: Column, source_url: Column, method: Column, family: Column) -> Column:
+    """(eligible, reason) of a number: valid, no fax, from the site itself or its family."""
+
+    def judged(s: Column) -> Column:
+        blockers = F.array(F.when(C.normalize_phone(T.text_or_empty(value)).isNull(), "invalid_phone"), F.when(F.lower(T.text_or_empty(label)) == "fax", "fax_not_company_phone"), F.when(~s["ok"], s["reason"]))
+        return _decision(blockers, s["reason"])
+
+    return T.let(source_decision(website, source_url, method, family), judged)

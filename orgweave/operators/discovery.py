@@ -3,6 +3,7 @@
 from __future__ import annotations
 
 from collections.abc import Mapping
+from functools import reduce
 
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import Window as Win
@@ -10,6 +11,7 @@ from pyspark.sql import functions as F
 
 from orgweave.functions import names as N
 from orgweave.functions import text as T
+from orgweave.functions import url as U
 from orgweave.functions import words as W
 from orgweave.operators.fingerprint import DISCOVERY_ONLY, EXCLUDED_ROLES
 
@@ -113,3 +115,43 @@ def cached_source(requests: DataFrame, entries: DataFrame, key: str, version: in
     near = entries.groupBy(F.substring("key", 1, prefix).alias("__p")).agg(F.max("entry_id").alias("__near"))
     joined = requests.join(best, key, "left").withColumn("__p", F.substring(key, 1, prefix)).join(near, "__p", "left").drop("__p")
     return joined.select(*requests.columns, F.coalesce("step", F.when(F.col("__near").isNotNull(), 3)).alias("step"), F.coalesce("entry_id", "__near").alias("entry_id"))
+
+
+# Queries whose candidates need no identity in the search text, and roles that never carry one.
+KNOWN_QUERIES = ("fair_listed_website", "verified_alias", "verified_entity")
+NO_IDENTITY_ROLES = ("directory", "fair_profile", "news")
+
+
+def _said(reasons: Column, *prefixes: str) -> Column:
+    return F.exists(reasons, lambda r: reduce(lambda a, b: a | b, [r.startswith(p) for p in prefixes]))
+
+
+def reviewable_authority(c: Mapping[str, Column]) -> Column:
+    """Whether a candidate that cannot be read may wait for review: a registry's, or the exact brand by several official searches. c: host, excluded, query, exact_brand, official_query and score."""
+    exact = c["exact_brand"] & (c["official_query"] >= 2) & (c["score"] >= W.MEDIUM_SCORE)
+    return (c["host"] != "") & ~c["excluded"] & (c["query"].isin("verified_alias", "verified_entity") | exact)
+
+
+def unsupported_search_text(c: Mapping[str, Column]) -> Column:
+    """Whether nothing but the search's text speaks for a candidate. c: as in reviewable_authority, and resolution, role, reasons and intrinsic."""
+    other_owner = _said(c["reasons"], "structured_identity_unmatched:") & ~_said(c["reasons"], "legal_name_ownership_match:")
+    bare = _said(c["reasons"], "page_identity_missing:") & _said(c["reasons"], "structured_identity_absent", "structured_identity_unmatched:")
+    return (
+        F.when(T.text_or_empty(c["resolution"]).startswith("candidate_resolved_by_"), False).when(T.text_or_empty(c["role"]).isin(*NO_IDENTITY_ROLES) | other_owner, True)
+        .when((T.text_or_empty(c["role"]) == "company_candidate") | reviewable_authority(c) | c["intrinsic"], False).otherwise(bare)
+    )
+
+
+def listed_conflict(name: Column, host: Column, listed: Column, reasons: Column) -> Column:
+    """Whether a candidate's domain contradicts the one that a listing gives, without a legal name that settles it."""
+    site, other = U.host(T.text_or_empty(listed)), (U.registrable(U.host(T.text_or_empty(listed))) != U.registrable(host))
+    settled = _said(reasons, "legal_name_full_match:", "legal_name_ownership_match:") | (_said(reasons, "legal_name_phrase_match:") & (F.size(T.legal_tokens(name)) >= 2))
+    return (site != "") & (host != "") & other & ~settled
+
+
+def weak_search_identity(c: Mapping[str, Column], name: Column) -> Column:
+    """Whether a name of several words is neither on the site nor its domain, and no context stands for it."""
+    legal = _said(c["reasons"], "legal_name_full_match:", "legal_name_phrase_match:", "legal_name_ownership_match:")
+    weak = (F.size(T.legal_tokens(name)) >= 2) & F.array_contains(c["reasons"], "no_context_tokens") & _said(c["reasons"], "legal_name_phrase_missing:") & ~c["exact_brand"]
+    known = T.text_or_empty(c["resolution"]).startswith("candidate_resolved_by_") | T.text_or_empty(c["query"]).isin(*KNOWN_QUERIES)
+    return F.when(known | legal, False).otherwise(weak)

@@ -461,7 +461,7 @@ def _fingerprint(assessed: DataFrame) -> DataFrame:
         "business_name": of_names("names") | of_names("brand_names") | of_names("legal_names"), "linkedin": F.coalesce("website_proof", F.lit(False)), "arbiter": F.coalesce(c("verdict") == "match", F.lit(False)),
         "sole_word": F.size(own) == 1, "exact": exact,
     }
-    kept = ("company", "node", "name", "about", "query_source", "host", "final_score", "reasons", "has_contact", "context_failed", "email_failed", "supports", "conflicts", "independent", "strong_bundle", "verdict", "reachable", "first_party", "public_brand", "intrinsic")
+    kept = ("company", "node", "name", "about", "role", "query_source", "host", "final_score", "reasons", "has_contact", "context_failed", "email_failed", "supports", "conflicts", "independent", "strong_bundle", "verdict", "reachable", "first_party", "public_brand", "intrinsic")
     flat = assessed.withColumn("query_source", c("query")).select(*kept, "exact_compound", "ambiguous", *[(F.coalesce(x, F.lit(False)) if k not in STRENGTHS else x).alias(k) for k, x in known.items()])
     exact_domain = c("exact") & (~c("sole_word") | (c("page") >= 2) | (c("structured") >= 2))
     flat = flat.withColumn("exact_domain", exact_domain)

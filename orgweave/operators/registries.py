@@ -31,6 +31,20 @@ def by_name(registry: DataFrame, names: Column, record: str) -> DataFrame:
     return each.select(name_key("__n").alias("key"), "record").distinct()
 
 
+def official_records(companies: DataFrame, records: DataFrame) -> DataFrame:
+    """(company, record, domain, identifiers) of the official registries' verified records with a company's exact name.
+
+    records: record, source_class, verification_status, legal_name, aliases, official_domain, identifiers. Contact values of
+    registries are never read.
+    """
+    official = records.where(F.col("source_class").isin(*OFFICIAL_CLASSES) & (F.col("verification_status") == "verified"))
+    names = F.concat(F.array("legal_name"), F.coalesce("aliases", F.array().cast("array<string>")))
+    keys = by_name(official, names, "record")
+    asked = companies.select("company").distinct().withColumn("key", name_key("company"))
+    sites = official.select("record", U.host("official_domain").alias("domain"), "identifiers")
+    return asked.join(keys, "key").join(sites, "record").select("company", "record", "domain", "identifiers")
+
+
 def verified_websites(companies: DataFrame, company: str, registries: list[DataFrame]) -> DataFrame:
     """(company, domain, source, relationship) of the verified sites of the companies' exact names.
 

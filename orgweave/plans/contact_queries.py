@@ -108,3 +108,27 @@ def evidence_acquisition(spark, d):
     found = acquisition.analyse(companies, judged)
     listed = lambda c: F.array_join(c, "; ").alias(c)
     return found.select("company", listed("gaps"), listed("scopes"), listed("searches"), "terminal")
+
+
+_SOURCE = """case when url is null then 'missing_first_party_source_url' when k % 13 = 1 then 'non_http_first_party_source' when k % 13 = 2 and k % 4 <> 0 then 'source_outside_verified_official_family'
+ when k % 11 = 3 then 'unsupported_retrieval_method:ftp' when k % 13 = 2 then 'verified_official_family_source' else 'verified_first_party_source' end"""
+_JOINED = lambda xs: f"array_to_string(list_filter([{', '.join(xs)}], lambda x: x is not null), ';')"
+
+
+@query(f"""with {_SIGHTINGS}, c as (select *, {_SOURCE} as source, coalesce(mail, '') as m, ['verified', 'valid', 'invalid_domain', 'not_checked'][(k % 5 + 1)::int] as dns, k % 6 = 0 as own, coalesce(lower(mail) like '%@' || word || 'gida.com.tr', false) as same_mail from q),
+d as (select *, source like 'verified%' as ok, coalesce(dns, 'not_checked') as state, regexp_replace(regexp_replace(regexp_replace(coalesce(number, ''), '[^0-9]', '', 'g'), '^90', ''), '^0', '') as nat from c),
+b as (select *, {_JOINED(["case when not contains(m, '@') then 'invalid_email_syntax' end", "case when not ok then source end", "case when state = 'invalid_domain' then 'email_domain_invalid' end",
+ "case when not same_mail and state not in ('verified', 'valid') and not (ok and own and state <> 'invalid_domain') then 'cross_domain_email_dns_unverified' end"])} as mail_blockers,
+ {_JOINED(["case when not (length(nat) = 10 or (length(nat) = 7 and nat like '444%')) then 'invalid_phone' end", "case when label = 'fax' then 'fax_not_company_phone' end", "case when not ok then source end"])} as phone_blockers from d)
+select k, mail_blockers = '' as email_eligible, case when mail_blockers <> '' then mail_blockers when same_mail then source when own then 'first_party_cross_domain_company_identity' else 'verified_cross_domain_email_from_first_party_source' end as email_reason,
+ phone_blockers = '' as phone_eligible, case when phone_blockers <> '' then phone_blockers else source end as phone_reason from b""")
+def contact_gates(spark, d):
+    """Which sightings may be published, by their source, their DNS and whose they are."""
+    k = F.col("k")
+    url = F.when(F.col("source_url").isNull(), F.lit(None)).when(k % 13 == 1, "ftp://x/y").when(k % 13 == 2, "https://other.example/contact").otherwise(F.col("source_url"))
+    dns = F.get(F.array(*map(F.lit, ("verified", "valid", "invalid_domain", "not_checked", None))), (k % 5).cast("int"))
+    method, family = F.when(k % 11 == 3, "ftp").otherwise(F.when(k % 2 == 0, "http")), k % 4 == 0
+    mail = contacts.gate_email(F.col("website"), F.col("mail"), url, method, dns, k % 6 == 0, family)
+    phone = contacts.gate_phone(F.col("website"), F.col("number"), F.col("label"), url, method, family)
+    gated = sightings(spark, d).select("k", mail.alias("m"), phone.alias("p"))
+    return gated.select("k", F.col("m.eligible").alias("email_eligible"), F.col("m.reason").alias("email_reason"), F.col("p.eligible").alias("phone_eligible"), F.col("p.reason").alias("phone_reason"))

@@ -16,6 +16,7 @@ from orgweave.functions import html as H
 from orgweave.functions import text as T
 from orgweave.functions import url as U
 from orgweave.operators import arbitration as A
+from orgweave.operators import discovery as D
 from orgweave.operators import evaluation as V
 from orgweave.operators import fingerprint as P
 from orgweave.plans.catalogue import query, read
@@ -143,3 +144,16 @@ def arbiter_rounds(spark, d):
 @query()
 def arbitrated_resolution(spark, d):
     return A.arbitrate(placed(spark, d), verdicts(spark, d), 2)[1]
+
+
+@query()
+def identity_guards(spark, d):
+    """Candidates that nothing but a search speaks for, that contradict a listed site, or whose name is only in the search; tests/test_arbitration.py holds them against plain Python."""
+    judged, k = evaluations(spark, d), F.floor(F.col("node") / PAGES_A_SITE)
+    known = page_resolution(spark, d).select("company", F.col("selected").alias("node"), F.col("resolved_by").alias("resolution")).where("node is not null")
+    rows = judged.join(known, ["company", "node"], "left").withColumn("listed", F.when(k % 3 == 0, F.concat(F.lit("https://"), F.col("host"))).when(k % 3 == 1, "https://listed.com.tr"))
+    c = {
+        "host": F.col("host"), "excluded": ~F.col("eligible"), "query": F.col("query_source"), "exact_brand": F.col("exact_compound"), "official_query": F.col("query"), "score": F.col("final_score"),
+        "resolution": F.col("resolution"), "role": F.col("role"), "reasons": F.col("reasons"), "intrinsic": F.col("intrinsic"),
+    }
+    return rows.select("company", "node", D.unsupported_search_text(c).alias("unsupported"), D.listed_conflict(F.col("name"), F.col("host"), F.col("listed"), F.col("reasons")).alias("listed_conflict"), D.weak_search_identity(c, F.col("name")).alias("weak"))

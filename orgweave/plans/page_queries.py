@@ -157,3 +157,25 @@ def sitemap_contact_urls(spark, d):
 
     roots, documents = recorded_sites(spark, d)
     return sitemaps.contact_pages(roots, documents, AGENT)
+
+
+@query("""with t as (select page_id, regexp_extract(coalesce(html, ''), '<title>([^<]*)', 1) || ' &lt;A&#252;&#x15F;&gt; &quot;' || page_id || '&quot;&nbsp;&copy' as t from pages),
+u as (select page_id, replace(replace(replace(replace(replace(replace(replace(replace(t, '&lt;', '<'), '&gt;', '>'), '&quot;', '"'), '&nbsp;', chr(160)), '&copy', '©'), '&#252;', 'ü'), '&#x15F;', 'ş'), '&amp;', '&') as t from t)
+select page_id, trim(regexp_replace(regexp_replace(t, '[\\x00-\\x08\\x0B\\x0C\\x0E-\\x1F]', '', 'g'), '[ \\t\\n\\x0B\\f\\r]+', ' ', 'g')) as title from u""")
+def clean_titles(spark, d):
+    """Titles with character references decoded, without control characters, white space as one space."""
+    from orgweave.functions import text as T
+
+    title = F.concat(F.regexp_extract(F.coalesce("html", F.lit("")), "<title>([^<]*)", 1), _S(' &lt;A&#252;&#x15F;&gt; &quot;', F.col("page_id"), "&quot;&nbsp;&copy"))
+    return read(spark, d, "pages").select("page_id", title.alias("t")).select("page_id", T.unescape("t").alias("t")).select("page_id", T.clean("t").alias("title"))
+
+
+@query()
+def national_phone_numbers(spark, d):
+    """National numbers of whole texts by all three patterns; lookarounds are beyond the SQL engine, tests/test_contacts.py holds them against plain Python."""
+    from orgweave.functions import contact as C
+
+    k = F.col("doc_id")
+    written = F.concat(F.coalesce("text", F.lit("")), F.when(k % 4 == 0, _S(" Tel +90 (212) 555 ", F.lpad((k % 10000).cast("string"), 4, "0"))).when(k % 4 == 1, " 444 1 234, 0 444 1 235 or 1444 1 236").otherwise(""))
+    found = read(spark, d, "documents").select("doc_id", C.national_phones(written).alias("phones"))
+    return found.where(F.size("phones") > 0).select("doc_id", F.array_join("phones", ",").alias("phones"))

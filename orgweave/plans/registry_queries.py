@@ -87,16 +87,33 @@ def relationship_edges(spark, d):
     return R.typed_edges(_claims(spark, d))
 
 
-@query("""with c as (select 's' || (l_suppkey % 11) || '.com' as a, 'p' || (l_partkey % 13) || '.com' as b from lineitem where l_suppkey % 11 = l_partkey % 13), h as (select distinct 'x.' || a as a, b from c),
-p as (select distinct s.a, q.b from (select distinct a from h union select distinct substr(a, 3) from h) s, (select distinct b from h union select distinct substr(a, 3) from h) q)
-select p.a, p.b, (list_element(string_split(p.a, '.'), -2) = list_element(string_split(p.b, '.'), -2)) or exists (select 1 from h where h.a = p.a and h.b = p.b) as same from p""")
+@query("""with l as (select distinct 'x.s' || (l_suppkey % 11) || '.com' as a, 'p' || (l_partkey % 13) || '.com' as b, l_suppkey % 11 = l_partkey % 13 as linked from lineitem),
+p as (select a, b, linked from l union select distinct a, substr(a, 3), true from l union select distinct substr(a, 3), b, false from l union select distinct b, 'shop.' || b, true from l) select a, b, bool_or(linked) as same from p group by 1, 2""")
 def official_family(spark, d):
-    """Sites below suppliers' domains and parts' sites that a line joins: family by registrable domain or by component."""
+    """Pairs of sites that lines bring together: one family by registrable domain, or by a component of those that are joined."""
     n, m = F.col("l_suppkey") % 11, F.col("l_partkey") % 13
-    edges = read(spark, d, "lineitem").where(n == m).select(_S("x.s", n, ".com").alias("a"), _S("p", m, ".com").alias("b")).distinct()
-    short = edges.select(F.expr("substr(a, 3)").alias("x"))
-    pairs = edges.select("a").union(short).distinct().join(F.broadcast(edges.select("b").union(short).distinct()))
-    return R.same_family(pairs.select("a", "b"), graph.components(edges))
+    lines = read(spark, d, "lineitem").select(_S("x.s", n, ".com").alias("a"), _S("p", m, ".com").alias("b"), (n == m).alias("linked")).distinct()
+    short = F.expr("substr(a, 3)")
+    pairs = lines.select("a", "b").union(lines.select("a", short)).union(lines.select(short, "b")).union(lines.select("b", _S("shop.", F.col("b")))).distinct()
+    return R.same_family(pairs, graph.components(lines.where("linked").select("a", "b")))
+
+
+_CLASS = "['official_government_registry', 'government_company_registry', 'chamber', 'directory'][(s_suppkey % 4 + 1)::int]"
+
+
+@query(f"""with r as (select *, {_CLASS} as cls, case when s_suppkey % 5 = 0 then 'pending' else 'verified' end as state from supplier), n as (select s_suppkey, unnest([s_name, 'Alias ' || (s_suppkey % 40)]) as name from r where cls in ('official_government_registry', 'government_company_registry') and state = 'verified')
+select c.company, n.s_suppkey as record, 'r' || n.s_suppkey || '.com.tr' as domain, 'mersis:' || n.s_suppkey as identifiers from (select distinct upper('alias ' || (c_custkey % 60)) as company from customer union select s_name from supplier) c join (select distinct s_suppkey, lower(trim(name)) as k from n) n on lower(trim(c.company)) = n.k""")
+def official_registry_records(spark, d):
+    """Records of official registries by exact names; other classes of sources and unverified records say nothing."""
+    k = F.col("s_suppkey")
+    classes = F.array(*map(F.lit, (*R.OFFICIAL_CLASSES, "chamber", "directory")))
+    records = read(spark, d, "supplier").select(
+        k.alias("record"), F.element_at(classes, (k % 4 + 1).cast("int")).alias("source_class"), F.when(k % 5 == 0, "pending").otherwise("verified").alias("verification_status"), F.col("s_name").alias("legal_name"),
+        F.array(_S("Alias ", k % 40)).alias("aliases"), _S("https://www.r", k, ".com.tr/kurumsal").alias("official_domain"), F.array(_S("mersis:", k)).alias("identifiers"),
+    )
+    companies = read(spark, d, "customer").select(F.upper(_S("alias ", F.col("c_custkey") % 60)).alias("company")).union(read(spark, d, "supplier").select("s_name")).distinct()
+    found = R.official_records(companies, records)
+    return found.select("company", "record", "domain", F.array_join("identifiers", ",").alias("identifiers"))
 
 
 @query("""with s as (select user_id, event_id, ts, case event_type when 'purchase' then 'available' when 'error' then 'server_error' when 'view' then 'circuit_open' else 'not_found' end as st from events),

@@ -161,3 +161,38 @@ def test_close_pair_is_settled_by_verdicts(spark):
     got, answers = compare(placed, spark.createDataFrame([(1, 0, "no_match"), (1, 1, "uncertain"), (1, 2, "no_match")], "company long, node long, verdict string"), 2, 3)
     assert answers[1] == ("resolved", 1, P.RESOLVED["exact_domain"]) and got[2][4]
     assert A.arbitrate(placed.limit(0), none, 2)[1].collect() == []
+
+
+def test_identity_guards_of_the_tables(spark, placed):
+    """Every candidate's three guards by plain rules."""
+    from tests.test_evaluation import legal
+
+    d = "/root/testdata/sf0.01"
+    selected = {r.selected: r.resolved_by for r in Q.page_resolution(spark, d).collect() if r.selected is not None}
+    rows = [r.asDict() for r in Q.evaluations(spark, d).collect()]
+    got = {r.node: (r.unsupported, r.listed_conflict, r.weak) for r in Q.identity_guards(spark, d).collect()}
+
+    def plain(e):
+        has = lambda *p: any(r.startswith(p) for r in e["reasons"])
+        resolved = selected.get(e["node"], "").startswith("candidate_resolved_by_")
+        exact = e["exact_compound"] and e["query"] >= 2 and e["final_score"] >= 75
+        authority = bool(e["host"]) and e["eligible"] and (e["query_source"] in ("verified_alias", "verified_entity") or exact)
+        if resolved:
+            unsupported = False
+        elif e["role"] in ("directory", "fair_profile", "news") or (has("structured_identity_unmatched:") and not has("legal_name_ownership_match:")):
+            unsupported = True
+        elif e["role"] == "company_candidate" or authority or e["intrinsic"]:
+            unsupported = False
+        else:
+            unsupported = has("page_identity_missing:") and has("structured_identity_absent", "structured_identity_unmatched:")
+        k = e["node"] // Q.PAGES_A_SITE
+        listed = e["host"] if k % 3 == 0 else "listed.com.tr" if k % 3 == 1 else ""
+        words = len(legal(e["name"]))
+        settled = has("legal_name_full_match:", "legal_name_ownership_match:") or (has("legal_name_phrase_match:") and words >= 2)
+        conflict = bool(listed) and registrable(listed) != registrable(e["host"]) and not settled
+        weak = not resolved and e["query_source"] not in ("fair_listed_website", "verified_alias", "verified_entity") and not has("legal_name_full_match:", "legal_name_phrase_match:", "legal_name_ownership_match:")
+        weak = weak and words >= 2 and "no_context_tokens" in e["reasons"] and has("legal_name_phrase_missing:") and not e["exact_compound"]
+        return unsupported, conflict, weak
+
+    assert got == {e["node"]: plain(e) for e in rows}
+    assert all({v[i] for v in got.values()} == {True, False} for i in range(3))

@@ -234,3 +234,13 @@ def test_evidence_of_the_tables(spark, small):
     for k, rows in by.items():
         gaps, scopes, searches, terminal = plain_analysis(rows[0]["name"], max(r["about"] for r in rows), "Izmir" if k % 3 == 0 else "", status[k], rows)
         assert (got[k].gaps, got[k].scopes, got[k].searches, got[k].terminal) == ("; ".join(gaps), "; ".join(scopes), "; ".join(searches), terminal)
+
+
+def test_national_numbers_of_the_tables(spark, small):
+    from orgweave.plans.page_queries import national_phone_numbers
+    from tests.test_evaluation import phones
+
+    got = {r.doc_id: r.phones for r in national_phone_numbers(spark, small).collect()}
+    more = lambda k: f" Tel +90 (212) 555 {k % 10000:04d}" if k % 4 == 0 else " 444 1 234, 0 444 1 235 or 1444 1 236" if k % 4 == 1 else ""
+    expected = {r.doc_id: ",".join(dict.fromkeys(phones((r.text or "") + more(r.doc_id)))) for r in spark.read.parquet(f"{small}/documents.parquet").select("doc_id", "text").collect()}
+    assert got == {k: v for k, v in expected.items() if v} and len(got) > 50
