@@ -14,6 +14,8 @@ from orgweave.functions import text as T
 from orgweave.functions import url as U
 from orgweave.functions import words as W
 from orgweave.operators.records import last_wins
+from orgweave.operators.state import Ordered
+from orgweave.sources.shared import Scratch, written
 
 # Classes of official registries, kinds of relationships between sites.
 OFFICIAL_CLASSES = ("official_government_registry", "government_company_registry")
@@ -106,16 +108,17 @@ def same_family(pairs: DataFrame, components: DataFrame) -> DataFrame:
 
 def source_health(calls: DataFrame, host: str, order: list[str], status: Column, limit: int = 2) -> DataFrame:
     """calls with each host's state after them: attempts, successes, server errors since the last success, circuit and status."""
-    own = Win.partitionBy(host).orderBy(*order).rowsBetween(Win.unboundedPreceding, 0)
-    marked = calls.withColumn("__s", status)
-    run = marked.withColumn("__run", F.sum((F.col("__s") == "available").cast("int")).over(own))
-    since = Win.partitionBy(host, "__run").orderBy(*order).rowsBetween(Win.unboundedPreceding, 0)
-    state = run.select(
-        *calls.columns, F.sum((F.col("__s") != "circuit_open").cast("int")).over(own).alias("attempts"), F.col("__run").alias("successes"),
-        F.sum((F.col("__s") == "server_error").cast("int")).over(since).alias("server_errors"), "__s",
-    )
-    open_ = F.col("server_errors") >= limit
-    return state.withColumn("circuit_open", open_).withColumn("health", F.when(open_ & (F.col("__s") == "server_error"), "degraded").otherwise(F.col("__s"))).drop("__s")
+    is_ = lambda *states: F.col("__s").isin(*states).cast("int")
+    with Scratch(calls.sparkSession) as scratch:
+        own = Ordered(calls.withColumn("__s", status), host, order, scratch)
+        own.sums(attempts=1 - is_("circuit_open"), successes=is_("available"), __errors=is_("server_error"))
+        # errors never fall, so the last success saw the most of them
+        own.maxima(__before=F.when(F.col("__s") == "available", F.col("__errors").cast("double")))
+        errors = (F.col("__errors") - F.greatest(F.col("__before"), F.lit(0.0))).cast("long")
+        state = own.rows.select(*calls.columns, "attempts", "successes", errors.alias("server_errors"), "__s")
+        open_ = F.col("server_errors") >= limit
+        judged = state.withColumn("circuit_open", open_).withColumn("health", F.when(open_ & (F.col("__s") == "server_error"), "degraded").otherwise(F.col("__s"))).drop("__s")
+        return written(judged, "source-health")
 
 
 def retry_rows(results: DataFrame, statuses: tuple[str, ...], include_all: bool, order: list[Column]) -> DataFrame:

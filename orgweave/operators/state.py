@@ -7,6 +7,7 @@ from pyspark.sql import Window as Win
 from pyspark.sql import functions as F
 
 from orgweave.operators.records import last_wins
+from orgweave.sources.shared import Scratch, written
 
 
 def cache_lookup(requests: DataFrame, entries: DataFrame, keys: list[str], version: int, ttl_s: int, now: Column, created: str = "created_at", stale_ok: bool = False) -> DataFrame:
@@ -58,21 +59,53 @@ def admitted_counts(calls: DataFrame, provider: str, budget: Column) -> DataFram
     return n.select(provider, F.least("__n", budget).alias("n_admitted"), F.greatest(F.col("__n") - budget, F.lit(0)).alias("n_blocked"))
 
 
+class Ordered:
+    """Rows in the order of a key and further columns, cut into ranges of about equal size, for running values over keys of any size.
+
+    A key's rows may lie in several ranges: what a range adds for a key is summed first, carried from range to range
+    (as many rows a key as it has ranges), and added to the running value within the range. The order must be total.
+    """
+
+    def __init__(self, rows: DataFrame, key: str, order: list[str], scratch: Scratch) -> None:
+        self.key, self.order, self.scratch = key, order, scratch
+        self.rows = scratch.written(rows.repartitionByRange(F.col(key), *order).withColumn("__range", F.spark_partition_id()), "ordered")
+
+    def running(self, function, start, join, **values: Column) -> None:
+        """Adds a running aggregate of each value, up to and with its row; `join` puts a carried value and an own one together."""
+        own = {f"__v_{k}": v for k, v in values.items()}
+        valued = self.rows.withColumns(own)
+        each = valued.groupBy(self.key, "__range").agg(*[function(v).alias(f"__s_{k}") for k, v in zip(values, own)])
+        earlier = Win.partitionBy(self.key).orderBy("__range").rowsBetween(Win.unboundedPreceding, -1)
+        carried = each.select(F.col(self.key).alias("__k"), F.col("__range").alias("__r"), *[F.coalesce(function(f"__s_{k}").over(earlier), F.lit(start)).alias(f"__c_{k}") for k in values])
+        within = Win.partitionBy(self.key, "__range").orderBy(*self.order).rowsBetween(Win.unboundedPreceding, 0)
+        met = valued.join(carried, F.col(self.key).eqNullSafe(F.col("__k")) & (F.col("__range") == F.col("__r")))
+        done = met.withColumns({k: join(F.col(f"__c_{k}"), function(f"__v_{k}").over(within)) for k in values})
+        self.rows = self.scratch.written(done.drop("__k", "__r", *own, *[f"__c_{k}" for k in values]), "ordered")
+
+    def sums(self, **values: Column) -> None:
+        self.running(F.sum, 0, lambda a, b: a + b, **values)
+
+    def maxima(self, **values: Column) -> None:
+        self.running(F.max, float("-inf"), lambda a, b: F.greatest(a, b), **values)
+
+
 def schedule(calls: DataFrame, provider: str, order: list[str], seconds: Column, rate: float) -> DataFrame:
     """calls with start_s: no two starts of a provider closer than 1 / rate, in the closed form of the sequential limiter."""
-    own = Win.partitionBy(provider).orderBy(*order)
-    nth = (F.row_number().over(own) - 1).cast("double")
-    with_n = calls.withColumn("__n", nth).withColumn("__slack", seconds - F.col("__n") / rate)
-    start = F.max("__slack").over(own.rowsBetween(Win.unboundedPreceding, 0)) + F.col("__n") / rate
-    return with_n.withColumn("start_s", start).drop("__n", "__slack")
+    with Scratch(calls.sparkSession) as scratch:
+        own = Ordered(calls.withColumn("__t", seconds), provider, order, scratch)
+        own.sums(__n=F.lit(1))
+        own.maxima(__slack=F.col("__t") - (F.col("__n") - 1).cast("double") / rate)
+        start = F.col("__slack") + (F.col("__n") - 1).cast("double") / rate
+        return written(own.rows.withColumn("start_s", start).select(*calls.columns, "start_s"), "scheduled")
 
 
 def failure_runs(calls: DataFrame, provider: str, order: list[str], success: Column, threshold: int) -> DataFrame:
     """Runs of failures between successes: provider, run, first and last call, length, opens (at the threshold)."""
-    own = Win.partitionBy(provider).orderBy(*order)
-    marked = calls.withColumn("__ok", success).withColumn("run", F.sum(success.cast("int")).over(own.rowsBetween(Win.unboundedPreceding, 0)))
-    runs = marked.where(~F.col("__ok")).groupBy(provider, "run").agg(F.min(order[-1]).alias("first_call"), F.max(order[-1]).alias("last_call"), F.count(F.lit(1)).alias("n_failures"))
-    return runs.withColumn("opens", F.col("n_failures") >= threshold)
+    with Scratch(calls.sparkSession) as scratch:
+        own = Ordered(calls.withColumn("__ok", success), provider, order, scratch)
+        own.sums(run=F.col("__ok").cast("int"))
+        runs = own.rows.where(~F.col("__ok")).groupBy(provider, "run").agg(F.min(order[-1]).alias("first_call"), F.max(order[-1]).alias("last_call"), F.count(F.lit(1)).alias("n_failures"))
+        return written(runs.withColumn("opens", F.col("n_failures") >= threshold), "failure-runs")
 
 
 def scaled_budget(n: Column, ratio: float, cap: int) -> Column:

@@ -16,6 +16,8 @@ def limited(calls: DataFrame, budget: int, rate: float, threshold: int, cooldown
     """calls (event_id, provider, t_s, success) with admission, start time and circuit state, in the order of t_s within a batch.
 
     A budget of 0 admits none. The circuit opens for cooldown_s after `threshold` failures on end; a success closes it.
+    A batch's calls of a provider are put in order in one task, in three numbers a call: a stream's batches are bounded
+    by its source, whose limits (such as `maxFilesPerTrigger`) a hot provider calls for.
     """
 
     def step(key: tuple, parts: Iterator[pd.DataFrame], state: GroupState) -> Iterator[pd.DataFrame]:

@@ -172,3 +172,35 @@ def test_sources(spark, tmp_path):
     assert tables.project(df, ["Firma", "missing"]).first().asDict() == {"Firma": " Zümrüt ", "missing": ""}
     parts = tables.artifacts(spark.createDataFrame([("HIGH",), ("REVIEW",), (None,)], "status string"), "status", ("HIGH",))
     assert [parts[k].count() for k in ("published", "review", "failed")] == [1, 1, 1]
+
+
+def test_running_values_of_a_hot_key(spark):
+    """Limiter, circuit and source health of a key that lies in every range, and of a null key, against plain loops."""
+    import random
+
+    from orgweave.operators import registries
+
+    r = random.Random(5)
+    rows = [(i, None if i % 50 == 7 else "hot" if r.random() < 0.8 else f"p{r.randrange(5)}", float(r.randrange(40)), r.choice(("available", "server_error", "server_error", "not_found", "circuit_open"))) for i in range(600)]
+    calls = spark.createDataFrame(rows, "event_id long, provider string, t double, st string")
+    by = {}
+    for row in sorted(rows, key=lambda x: (x[2], x[0])):
+        by.setdefault(row[1], []).append(row)
+    starts, runs, health = {}, {}, {}
+    for key, own in by.items():
+        free, successes, run, attempts, errors = float("-inf"), 0, 0, 0, 0
+        for event, _, t, st in own:
+            starts[event] = max(t, free)
+            free = starts[event] + 0.5
+            run += st == "available"
+            if st != "available":
+                runs[key, run] = runs.get((key, run), 0) + 1
+            attempts, successes, errors = attempts + (st != "circuit_open"), run, 0 if st == "available" else errors + (st == "server_error")
+            health[event] = (attempts, successes, errors, errors >= 2, "degraded" if errors >= 2 and st == "server_error" else st)
+    got = {x.event_id: x.start_s for x in state.schedule(calls, "provider", ["t", "event_id"], F.col("t"), 2.0).collect()}
+    assert got == pytest.approx(starts)
+    found = state.failure_runs(calls, "provider", ["t", "event_id"], F.col("st") == "available", 3).collect()
+    assert {(x.provider, x.run): x.n_failures for x in found} == runs and all(x.opens == (x.n_failures >= 3) for x in found)
+    seen = registries.source_health(calls, "provider", ["t", "event_id"], F.col("st")).collect()
+    assert {x.event_id: (x.attempts, x.successes, x.server_errors, x.circuit_open, x.health) for x in seen} == health
+    assert state.schedule(calls.limit(0), "provider", ["t", "event_id"], F.col("t"), 2.0).collect() == []
