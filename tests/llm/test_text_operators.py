@@ -127,6 +127,62 @@ def test_decontaminate_in_parts(spark, monkeypatch):
     assert {(3, x[1]) for x in whole if x[0] == 3} == {(3, index.ids[i]) for _, i, *_ in found}
 
 
+def test_long_items_against_the_whole_band(monkeypatch):
+    """Passages of long items with edits of all kinds: found by chains exactly where the whole band finds them, with at least its edits."""
+    r = random.Random(9)
+    word = lambda: "".join(r.choice("abcdefghij") for _ in range(r.randint(2, 8)))
+    items = [(i, " ".join(word() for _ in range(n))) for i, n in enumerate((420, 440))] + [(2, "aaaa bbbb " * 20 + " ".join(word() for _ in range(380)))]
+    texts = []
+    for share in (0, 0.04, 0.095, 0.2):
+        for _, item in items:
+            edited = list(item)
+            for _ in range(int(share * len(item))):
+                k, kind = r.randrange(len(edited)), r.random()
+                if kind < 0.4:
+                    edited[k] = r.choice("xyz")
+                elif kind < 0.7:
+                    edited.insert(k, r.choice("xyz "))
+                else:
+                    del edited[k]
+            if share == 0.04:  # a whole stretch is gone, another is new
+                edited[500:560] = list("something else that was never there")
+            texts.append(" ".join([word(), "".join(edited), word(), word()]))
+    raw = [t.encode() for t in texts]
+    data, offsets = np.frombuffer(b"".join(raw), np.uint8), np.concatenate([[0], np.cumsum([len(x) for x in raw])])
+    folded = decontaminate.fold(data, offsets)[:2]
+    chained = {(x[0], x[1]): x for x in decontaminate.Index.build(items).matches(*folded)}
+    monkeypatch.setattr(decontaminate, "LONG", 1 << 30)
+    banded = {(x[0], x[1]): x for x in decontaminate.Index.build(items).matches(*folded)}
+    assert set(chained) == set(banded) and len(banded) >= 8
+    index = decontaminate.Index.build(items)
+    for key, (_, item, start, end, edits) in chained.items():
+        assert banded[key][4] <= edits <= index.edits[item] and abs(start - banded[key][2]) <= index.edits[item] and abs(end - banded[key][3]) <= index.edits[item]
+    monkeypatch.undo()
+    one = "".join(word() for _ in range(60_000))
+    whole = np.frombuffer(("a " + one + " b").encode(), np.uint8)
+    assert decontaminate.Index.build([(1, one)]).matches(*decontaminate.fold(whole, np.array([0, len(whole)]))[:2]) == [(0, 0, 2, 2 + len(one), 0)]
+
+
+@pytest.mark.parametrize("a,b,whole", [("", "", True), ("abc", "abc", True), ("abc", "axcd", True), ("kitten", "sitting", True), ("abc", "xxabcxx", False), ("abc", "abxcyy", False), ("abc", "", False)])
+def test_gap_edits(a, b, whole):
+    def distance(x, y):
+        row = list(range(len(y) + 1))
+        for i, c in enumerate(x, 1):
+            row = _next(row, c, y, i)
+        return row
+
+    def _next(row, c, y, i):
+        out = [i]
+        for j, d in enumerate(y, 1):
+            out.append(min(row[j] + 1, out[-1] + 1, row[j - 1] + (c != d)))
+        return out
+
+    row = distance(a, b)
+    expected = row[-1] if whole else min(row)
+    got, used = decontaminate._edits(np.frombuffer(a.encode(), np.uint8), np.frombuffer(b.encode(), np.uint8), 99, whole)
+    assert got == expected and row[used] == expected
+
+
 def test_decontaminate_in_blocks(spark, monkeypatch):
     monkeypatch.setattr(decontaminate, "BLOCK_BYTES", 60)
     items = [(i, f"item number {i} has some words of its own {i * 7919}") for i in range(6)]
