@@ -6,6 +6,8 @@ slice of rows at a time, so that their memory does not depend on the batch size.
 
 from __future__ import annotations
 
+import ctypes
+import gc
 from collections.abc import Callable, Iterator
 from contextlib import contextmanager
 
@@ -44,8 +46,14 @@ def empties_cache(clear: Callable[[], None]) -> None:
 
 
 def empty_caches() -> None:
+    """Empties them and gives freed memory back to the machine, as far as its C library does that on demand."""
     for clear in _CACHES:
         clear()
+    gc.collect()
+    pa.default_memory_pool().release_unused()
+    trim = getattr(ctypes.CDLL(None), "malloc_trim", None)
+    if trim:
+        trim(0)
 
 
 @contextmanager
