@@ -16,7 +16,6 @@ from pyspark.sql import functions as F
 from orgweave.functions import contact as C
 from orgweave.functions import text as T
 from orgweave.functions import url as U
-from orgweave.functions import words as W
 
 # Priorities of pages, of telephone roles and of e-mail roles, and the least affinity of an address.
 PAGES = {"contact": 6, "locations": 5, "document": 4, "about": 3, "homepage": 2, "legal": 1, "privacy": 0, "other": 1}

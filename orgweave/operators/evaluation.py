@@ -317,7 +317,7 @@ def evaluate(candidates: DataFrame, pages: DataFrame, claims: DataFrame) -> Data
         joined = known.join(seen, ["company", "node"]).join(structured(claims), "node", "left")
         c = F.col
         t, site, claimed, host, name = c("t"), c("site"), c("claimed"), c("host"), c("name")
-        has_email, has_phone = T.text_or_empty("email") != "", T.text_or_empty("phone") != ""
+        has_phone = T.text_or_empty("phone") != ""
         # written once: what follows reads each reason many times
         judged = scratch.written(
             joined.select(

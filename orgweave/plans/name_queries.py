@@ -11,7 +11,6 @@ from pyspark.sql import functions as F
 from orgweave.functions import fuzzy
 from orgweave.functions import names as N
 from orgweave.functions import text as T
-from orgweave.functions import url as U
 from orgweave.functions import words as W
 from orgweave.plans.catalogue import query, read
 from orgweave.sources.shared import written
