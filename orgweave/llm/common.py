@@ -9,7 +9,6 @@ from __future__ import annotations
 import ctypes
 import gc
 from collections.abc import Callable, Iterator
-from contextlib import contextmanager
 
 import numpy as np
 import pyarrow as pa
@@ -56,18 +55,6 @@ def empty_caches() -> None:
         trim(0)
 
 
-@contextmanager
-def small_batches(spark: SparkSession, rows: int = 1000) -> Iterator[None]:
-    """Python functions get at most `rows` rows at once in what is run meanwhile: texts and sets take room on both sides of the exchange."""
-    setting = "spark.sql.execution.arrow.maxRecordsPerBatch"
-    before = spark.conf.get(setting)
-    spark.conf.set(setting, str(min(rows, int(before)) if int(before) > 0 else rows))
-    try:
-        yield
-    finally:
-        spark.conf.set(setting, before)
-
-
 def let(value: Column, body) -> Column:
     """body(value) with value computed once for each row, however often body uses it."""
     return F.element_at(F.transform(F.array(value), body), 1)

@@ -36,7 +36,7 @@ import pyarrow as pa
 from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
-from orgweave.llm.common import LOWER, empty_caches, mix, read, small_batches, span_hashes, text_slices, word_spans
+from orgweave.llm.common import LOWER, empty_caches, mix, read, span_hashes, text_slices, word_spans
 from orgweave.operators.graph import components
 from orgweave.sources.shared import Scratch, written
 
@@ -355,7 +355,7 @@ def _found(docs: DataFrame, percent: int, scratch: Scratch) -> DataFrame:
 
 def near_duplicates(docs: DataFrame, percent: int = PERCENT) -> DataFrame:
     """Per row of docs: doc_id, n_shingles, component_id and kept."""
-    with Scratch(docs.sparkSession) as scratch, small_batches(docs.sparkSession):
+    with Scratch(docs.sparkSession) as scratch:
         return written(_found(docs, percent, scratch), "near-duplicates")
 
 
