@@ -132,7 +132,8 @@ def _walk(node) -> Iterator[dict]:
 FIELDS = {"legalName": "legal_name", "name": "name", "telephone": "phone", "email": "email", "url": "url", "sameAs": "same_as", "taxID": "tax_id", "vatID": "tax_id"}
 OWNERS = {"Organization", "Corporation", "LocalBusiness", "Store", "Manufacturer"}
 IDENTIFIERS = (("mersis", r"(?i)\bmersis\s*(?:no|numaras[ıi])?\s*[:.]?\s*([0-9]{16})\b"), ("tax_id", r"(?i)\bvergi\s*(?:no|numaras[ıi])\s*[:.]?\s*([0-9]{10})\b"), ("registry", r"(?i)\bticaret\s*sicil\s*(?:no|numaras[ıi])?\s*[:.]?\s*([0-9-]{4,12})"))
-LEGAL_NAME = r"((?:[A-ZÇĞİÖŞÜ][\w.&-]*\s+){1,8}(?:A\.?\s?Ş\.?|LTD\.?\s*(?:ŞTİ\.?|STI\.?)|Ltd\.?\s*Şti\.?|GmbH|Inc\.?))"
+# the form of a legal name is a word: "Inch" is none
+LEGAL_NAME = r"((?:[A-ZÇĞİÖŞÜ][\w.&-]*\s+){1,8}(?:A\.?\s?Ş\.?|LTD\.?\s*(?:ŞTİ\.?|STI\.?)|Ltd\.?\s*Şti\.?|GmbH|Inc\.?)(?!\w))"
 
 
 def _claims(url: str | None, html: str | None) -> list[tuple[str, str, str]]:

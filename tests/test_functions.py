@@ -157,3 +157,10 @@ def test_titles_cut_within_a_reference(spark, tmp_path):
     spark.createDataFrame(rows, "page_id long, html string").write.parquet(str(tmp_path / "pages.parquet"))
     found = {r.page_id: r.title.split(" <Aüş>")[0] for r in Q.clean_titles(spark, str(tmp_path)).collect()}
     assert found == dict(enumerate(("a&&amp", "b &am", "c&", "d&lt;", 'e"&quot', "f&gt")))
+
+
+def test_legal_form_is_a_word():
+    """A name ends with a whole legal form, not with the first letters of a word."""
+    named = lambda t: [v for f, v, m in html._claims(None, f"<p>{t}</p>") if m == "text"]
+    assert named("seit. Engest. Inchberchver und") == [] and named("Ada Mavi A Şube") == [] and named("Foo GmbHx") == []
+    assert named("Acme Inc. und") == ["Acme Inc."] and named("Acme Inc") == ["Acme Inc"] and named("Zümrüt Örgü A.Ş., Foo GmbH") == ["Zümrüt Örgü A.Ş.", "Foo GmbH"]
