@@ -19,6 +19,7 @@ from orgweave.functions import words as W
 from orgweave.operators import calibration, candidates, graph, identity, policy, records, state
 from orgweave.plans.catalogue import ORACLE_SQL, QUERIES, query, read  # noqa: F401
 from orgweave.sources import tables
+from orgweave.sources.shared import spread
 
 # ---- SQL parts that several queries share
 _FOLD = f"lower(translate(coalesce({{0}}, ''), '{W.FOLD_FROM}', '{W.FOLD_TO}'))"
@@ -526,7 +527,7 @@ def context_occurrences(spark, d):
 @query()
 def fuzzy_ratio(spark, d):
     """Ratios of each supplier's name with the customers of the same last two digits: a keyed comparison."""
-    customer = read(spark, d, "customer").select(F.col("c_name"), F.expr("right(c_name, 2)").alias("k"))
+    customer = spread(read(spark, d, "customer").select(F.col("c_name"), F.expr("right(c_name, 2)").alias("k")), "c_name")
     supplier = read(spark, d, "supplier").select(F.col("s_name"), F.expr("right(s_name, 2)").alias("k"))
     both = supplier.join(customer, "k")
     return both.select("s_name", "c_name", fuzzy.ratio("s_name", "c_name").alias("ratio"), fuzzy.partial_ratio("s_name", "c_name").alias("partial"), fuzzy.token_set_ratio("s_name", "c_name").alias("token_set"))

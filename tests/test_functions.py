@@ -98,6 +98,16 @@ def test_ratios(a, b):
         assert fuzzy.partial_of(a, b) == 100.0
 
 
+@settings(max_examples=150, deadline=None)
+@given(st.lists(st.tuples(st.text("ab \0ş😀", max_size=9), st.text("ab \0ş😀", max_size=9)), max_size=20), st.text("abc", min_size=58, max_size=70))
+def test_ratios_of_many(pairs, long):
+    """Batches give exactly what single pairs do, at all lengths up to, at and beyond a word's."""
+    pairs = [*pairs * 4, *[(long, long[::-1])] * 5, *[("abcab", long)] * 5]
+    assert fuzzy.ratios(pairs).tolist() == [fuzzy.ratio_of(*p) for p in pairs]
+    assert fuzzy.partial_ratios(pairs).tolist() == [fuzzy.partial_of(*p) for p in pairs]
+    assert fuzzy.token_set_ratios(pairs).tolist() == [fuzzy.token_set_of(*p) for p in pairs]
+
+
 def test_token_set():
     assert fuzzy.token_set_of("alpha beta", "beta alpha gamma") == 100.0
     assert fuzzy.token_set_of("", "a") == 0.0
