@@ -20,7 +20,12 @@ def queries(
     """
     full = F.trim(F.regexp_replace(company, r"\s+", " "))
     words = F.filter(N.primary_brand(company), lambda t: ~t.isin(*CORPORATE))
-    brand = F.coalesce(F.nullif(F.array_join(words, " "), F.lit("")), full)
+    joined = T.let(F.array_join(words, " "), lambda w: F.nullif(w, F.lit("")))
+    named = T.let(full, lambda f: F.struct(f.alias("full"), F.coalesce(joined, f).alias("brand")))
+    return T.let(named, lambda n: _planned(n["full"], n["brand"], gaps, related, brands, representations, city, context, sector))
+
+
+def _planned(full, brand, gaps, related, brands, representations, city, context, sector) -> Column:
     quoted = lambda x, rest: F.concat(F.lit('"'), x, F.lit('"'), F.lit(rest))
 
     def when(*names: str) -> Column:
@@ -61,7 +66,11 @@ def query_key(q: Column) -> Column:
 
 def without(planned: Column, done: Column, limit: int) -> Column:
     """The planned queries that have not run, each once, `limit` at most; case and white space make no difference."""
-    ran = F.transform(done, query_key)
-    keys = F.transform(planned, query_key)
-    first = F.filter(planned, lambda q, i: (F.array_position(keys, query_key(q)) == i + 1) & ~F.array_contains(ran, query_key(q)))
-    return F.slice(first, 1, limit)
+
+    def first(x: Column) -> Column:
+        fresh = lambda q, i: T.let(F.get(x["keys"], i), lambda k: (F.array_position(x["keys"], k) == i + 1) & ~F.array_contains(x["ran"], k))
+        return F.slice(F.filter(x["planned"], fresh), 1, limit)
+
+    # plans and keys once a row: a lambda computes what it does not get by a variable anew for every query
+    keyed = T.let(planned, lambda p: F.struct(p.alias("planned"), F.transform(p, query_key).alias("keys"), F.transform(done, query_key).alias("ran")))
+    return T.let(keyed, first)
