@@ -16,6 +16,7 @@ from pyspark.sql import functions as F
 from orgweave.functions import contact as C
 from orgweave.functions import text as T
 from orgweave.functions import url as U
+from orgweave.sources.shared import written
 
 # Priorities of pages, of telephone roles and of e-mail roles, and the least affinity of an address.
 PAGES = {"contact": 6, "locations": 5, "document": 4, "about": 3, "homepage": 2, "legal": 1, "privacy": 0, "other": 1}
@@ -39,11 +40,16 @@ def together(records: DataFrame, value: Column) -> DataFrame:
     The best source has the best page, then plain http, then the last address.
     """
     url, method = T.text_or_empty("source_url"), F.coalesce("method", F.lit("http"))
-    known = records.select("company", "website", value.alias("value"), url.alias("source_url"), F.coalesce("label", F.lit("general")).alias("label"), method.alias("method")).where("value <> ''")
+    # Equal records change neither a maximum nor a distinct count, so each is read once. Both steps are written: conditions
+    # on a value and on what follows from it would else be computed for every record, with all that the record is made of.
+    once = records.select("company", "website", "value", "source_url", "label", "method").distinct()
+    valued = once.select("company", "website", value.alias("value"), url.alias("source_url"), F.coalesce("label", F.lit("general")).alias("label"), method.alias("method"))
+    known = written(valued, "valued").where("value <> ''")
     scoped = known.withColumn("scope", U.page_scope("source_url"))
     best = F.max(F.struct(priority(F.col("scope"), PAGES).alias("p"), (F.col("method") == "http").cast("int").alias("h"), "source_url", "label", "method", "scope")).alias("b")
     seen = F.count_distinct(F.when(F.col("source_url") != "", F.col("source_url"))).alias("observations")
-    return scoped.groupBy("company", "website", "value").agg(best, seen).select("company", "website", "value", "b.source_url", "b.label", "b.method", "b.scope", "observations")
+    grouped = scoped.groupBy("company", "website", "value").agg(best, seen)
+    return written(grouped.select("company", "website", "value", "b.source_url", "b.label", "b.method", "b.scope", "observations"), "together")
 
 
 def _ranked(rows: DataFrame, keys: list[Column]) -> DataFrame:
