@@ -13,7 +13,7 @@ from orgweave.functions import names as N
 from orgweave.functions import text as T
 from orgweave.functions import words as W
 from orgweave.plans.catalogue import query, read
-from orgweave.sources.shared import written
+from orgweave.sources.shared import spread, written
 
 #: company, host, title, snippet, business name, text; a customer's own word takes the place of a pattern's STEM
 CASES = (
@@ -115,7 +115,7 @@ def spelt(pattern, word):
 def _cases(spark, d):
     """k and the fields of every customer."""
     patterns = spark.createDataFrame([(i, *row) for i, row in enumerate(PATTERNS)], "i long, " + ", ".join(f"{f} string" for f in _FIELDS))
-    rows = read(spark, d, "customer").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % len(CASES)).alias("i"), own_word(F.col("c_custkey")).alias("word"))
+    rows = spread(read(spark, d, "customer").select("c_custkey"), "c_custkey").select(F.col("c_custkey").alias("k"), (F.col("c_custkey") % len(CASES)).alias("i"), own_word(F.col("c_custkey")).alias("word"))
     return rows.join(F.broadcast(patterns), "i").select("k", *[spelt(F.col(f), F.col("word")).alias(f) for f in _FIELDS])
 
 
