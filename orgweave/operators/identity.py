@@ -65,13 +65,13 @@ def bundle_needed(brand: Column, partial_activity: Column) -> Column:
 def semantic_types(texts: DataFrame, keys: list[str], text: str, markers: dict[str, tuple[str, ...]]) -> DataFrame:
     """How many distinct markers of each type stand in a text as words: a row for each type found."""
     padded = F.concat(F.lit(" "), F.array_join(T.tokens(text), " "), F.lit(" "))
-    counts = []
-    for name, words in markers.items():
-        n = F.lit(0)
-        for w in words:
-            n = n + F.contains(padded, F.lit(f" {w} ")).cast("int")
-        counts.append(F.struct(F.lit(name).alias("type"), n.alias("n_markers")))
-    return texts.select(*keys, F.explode(F.array(*counts)).alias("t")).select(*keys, "t.*").where("n_markers > 0")
+
+    def counts(p: Column) -> Column:
+        found = lambda words: sum((F.contains(p, F.lit(f" {w} ")).cast("int") for w in words), F.lit(0))
+        return F.array(*[F.struct(F.lit(name).alias("type"), found(words).alias("n_markers")) for name, words in markers.items()])
+
+    # a text is taken apart once, not for each marker
+    return texts.select(*keys, F.explode(T.let(padded, counts)).alias("t")).select(*keys, "t.*").where("n_markers > 0")
 
 
 def semantic_conflict(expected: Column, found: Column, incompatible: dict[str, tuple[str, ...]]) -> Column:

@@ -565,10 +565,10 @@ e as (select doc_id, found, [case lang when 'en' then 'english' when 'fr' then '
 select doc_id, case when list_has_any(expected, found) then 'match' when list_has_any(expected, ['english']) and list_has_any(found, ['french', 'german', 'spanish']) then 'conflict' else 'unknown' end as verdict from e""")
 def semantic_taxonomy_conflict(spark, d):
     docs = read(spark, d, "documents")
-    types = identity.semantic_types(docs, ["doc_id"], "text", _MARKERS).where("n_markers >= 2").groupBy("doc_id").agg(F.collect_set("type").alias("found"))
+    types = identity.semantic_types(docs, ["doc_id", "lang"], "text", _MARKERS).where("n_markers >= 2").groupBy("doc_id").agg(F.collect_set("type").alias("found"), F.any_value("lang", ignoreNulls=F.lit(True)).alias("lang"))
     expected = F.array(F.when(F.col("lang") == "en", "english").when(F.col("lang") == "fr", "french").when(F.col("lang") == "de", "german").otherwise("spanish"))
     verdict = identity.semantic_conflict(expected, F.col("found"), {"english": ("french", "german", "spanish")})
-    return types.join(docs.select("doc_id", "lang"), "doc_id").select("doc_id", verdict.alias("verdict"))
+    return types.select("doc_id", verdict.alias("verdict"))
 
 
 @query("""with s as (select user_id, case when event_type = 'error' then 'conflict' else 'support' end as polarity, event_type as independence_key, event_type as kind, props as value, value > 200 as strong from events),
