@@ -202,8 +202,10 @@ def merge_family_contacts(rows: DataFrame, family: list[str], order: list[Column
 
 def alias_candidates(links: DataFrame, known: DataFrame, company: str, limit: int) -> DataFrame:
     """(company, domain, place): domains that a company's own pages link to and that are not candidates yet, the most linked first."""
-    usable = links.withColumn("domain", U.host("url")).where(E.is_usable_host(F.col("domain"), W.EXCLUDED_DOMAINS))
-    fresh = usable.groupBy(company, "domain").agg(F.count(F.lit(1)).alias("n")).join(known.select(company, "domain").distinct(), [company, "domain"], "left_anti")
+    # equal links are counted and written before their addresses are read: the conditions would else be computed for every link
+    counted = written(links.groupBy(company, "url").agg(F.count(F.lit(1)).alias("n")), "links")
+    usable = counted.withColumn("domain", U.host("url")).where(E.is_usable_host(F.col("domain"), W.EXCLUDED_DOMAINS))
+    fresh = usable.groupBy(company, "domain").agg(F.sum("n").alias("n")).join(known.select(company, "domain").distinct(), [company, "domain"], "left_anti")
     place = F.row_number().over(Win.partitionBy(company).orderBy(F.desc("n"), "domain"))
     return fresh.withColumn("place", place).where(F.col("place") <= limit).select(company, "domain", "n", "place")
 
