@@ -206,20 +206,25 @@ def _links(url: str | None, html: str | None) -> list[tuple[str, str, int, bool,
     return out
 
 
-def _table(pages: DataFrame, f: Callable, schema: str, kinds: list[pa.DataType]) -> DataFrame:
-    names = ["page_id", "n", *[x.split()[0] for x in schema.split(", ")]]
+#: Pages that are read at once.
+STEP = 64
+
 
-    def run(batches):
-        for batch in batches:
-            rows = [
-                (i, n, *found)
-                for i, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)
-                for n, found in enumerate(f(url, html))
-            ]
-            yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64(), pa.int64(), *kinds])], names=names)
+def _read(batches, f: Callable, names: list[str], kinds: list[pa.DataType]) -> Iterator[pa.RecordBatch]:
+    """f's rows of the pages, a few pages at a time: a whole batch's html and findings would lie in a worker as Python objects."""
+    for batch in (b.slice(k, STEP) for b in batches for k in range(0, b.num_rows, STEP)):
+        rows = [
+            (i, n, *found)
+            for i, url, html in zip(*(batch.column(c).to_pylist() for c in ("page_id", "url", "html")), strict=True)
+            for n, found in enumerate(f(url, html))
+        ]
+        yield pa.RecordBatch.from_arrays([pa.array([r[k] for r in rows], t) for k, t in enumerate([pa.int64(), pa.int64(), *kinds])], names=names)
 
+
+def _table(pages: DataFrame, f: Callable, schema: str, kinds: list[pa.DataType]) -> DataFrame:
+    names = ["page_id", "n", *[x.split()[0] for x in schema.split(", ")]]
     own = pages.select(F.col("page_id").cast("long").alias("page_id"), "url", "html")
-    return own.mapInArrow(run, f"page_id long, n long, {schema}")
+    return own.mapInArrow(lambda batches: _read(batches, f, names, kinds), f"page_id long, n long, {schema}")
 
 
 def organization_claims(pages: DataFrame) -> DataFrame:
