@@ -22,7 +22,7 @@ from orgweave.functions import text as T
 from orgweave.functions import url as U
 from orgweave.functions import words as W
 from orgweave.operators.fingerprint import EXCLUDED_ROLES, FLAGS, STRENGTHS
-from orgweave.sources.shared import Scratch, written
+from orgweave.sources.shared import Scratch, spread, written
 
 PAGE_CHARS = 50_000
 #: Pages of a site whose visible words say what kind of business it is.
@@ -282,7 +282,7 @@ def ambiguous_name(name: Column) -> Column:
 
 def with_ratios(candidates: DataFrame, written=written) -> DataFrame:
     """candidates (name, url) with host and the ratios of their host that the domain rules need, written once."""
-    hosted = candidates.withColumn("host", U.host("url"))
+    hosted = spread(candidates, "name", "url").withColumn("host", U.host("url"))
     pairs = N.ratios_needed("name", F.col("host"))
     pairs = written(hosted.select("*", *[x.alias(f"{k}_{side}") for k, pair in pairs.items() if k != "part" for side, x in zip("ab", pair, strict=True)]), "pairs")
     ratio = lambda k: fuzzy.ratio(F.col(f"{k}_a"), F.col(f"{k}_b")).alias(f"{k}_ratio")
@@ -314,7 +314,8 @@ def evaluate(candidates: DataFrame, pages: DataFrame, claims: DataFrame) -> Data
     with Scratch(candidates.sparkSession) as scratch:
         known = with_ratios(candidates, scratch.written)
         seen = observe(known, pages)
-        joined = known.join(seen, ["company", "node"]).join(structured(claims), "node", "left")
+        # dealt again: a join's few megabytes are one task, and the rules take long for each row
+        joined = spread(known.join(seen, ["company", "node"]).join(structured(claims), "node", "left"), "company", "node")
         c = F.col
         t, site, claimed, host, name = c("t"), c("site"), c("claimed"), c("host"), c("name")
         has_phone = T.text_or_empty("phone") != ""
