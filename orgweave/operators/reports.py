@@ -119,10 +119,10 @@ ARTIFACTS = (
 
 
 def write_artifacts(rows: DataFrame, folder: str) -> dict[str, int]:
-    """All artifacts below `folder`, a partition each, and the report's numbers, in one scan of the rows."""
+    """All artifacts below `folder`, a partition each, as compressed lines, and the report's numbers, in one scan of the rows."""
     seen = Observation("report")
     observed = rows.observe(seen, *[c.alias(k) for k, c in report_counts().items()])
-    artifact_rows(observed).write.partitionBy("artifact").mode("overwrite").text(folder)
+    artifact_rows(observed).write.partitionBy("artifact").mode("overwrite").text(folder, compression="gzip")
     return seen.get
 
 

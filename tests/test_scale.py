@@ -40,3 +40,8 @@ def test_pages_are_read_few_at_a_time():
     parts = list(html._read([batch], html._links, ["page_id", "n", "target", "label", "score", "same_site", "is_document"], [pa.string(), pa.string(), pa.int32(), pa.bool_(), pa.bool_()]))
     assert [p.num_rows for p in parts] == [html.STEP, html.STEP, 1]
     assert [i for p in parts for i in p.column("page_id").to_pylist()] == list(range(n))
+
+
+def test_artifacts_are_compressed(spark, small):
+    files = queries.QUERIES["written_artifacts"](spark, small).inputFiles()
+    assert files and all(f.endswith(".txt.gz") for f in files)
