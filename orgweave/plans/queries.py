@@ -11,15 +11,14 @@ from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
 from orgweave.functions import contact as C
-from orgweave.functions import fuzzy, html
+from orgweave.functions import html
 from orgweave.functions import names as N
 from orgweave.functions import text as T
 from orgweave.functions import url as U
 from orgweave.functions import words as W
-from orgweave.operators import calibration, candidates, graph, identity, policy, records, state
+from orgweave.operators import calibration, candidates, graph, identity, pairs, policy, records, state
 from orgweave.plans.catalogue import ORACLE_SQL, QUERIES, query, read  # noqa: F401
 from orgweave.sources import tables
-from orgweave.sources.shared import spread
 
 # ---- SQL parts that several queries share
 _FOLD = f"lower(translate(coalesce({{0}}, ''), '{W.FOLD_FROM}', '{W.FOLD_TO}'))"
@@ -527,10 +526,8 @@ def context_occurrences(spark, d):
 @query()
 def fuzzy_ratio(spark, d):
     """Ratios of each supplier's name with the customers of the same last two digits: a keyed comparison."""
-    customer = spread(read(spark, d, "customer").select(F.col("c_name"), F.expr("right(c_name, 2)").alias("k")), "c_name")
-    supplier = read(spark, d, "supplier").select(F.col("s_name"), F.expr("right(s_name, 2)").alias("k"))
-    both = supplier.join(customer, "k")
-    return both.select("s_name", "c_name", fuzzy.ratio("s_name", "c_name").alias("ratio"), fuzzy.partial_ratio("s_name", "c_name").alias("partial"), fuzzy.token_set_ratio("s_name", "c_name").alias("token_set"))
+    names = lambda table, c: read(spark, d, table).select(F.expr(f"right({c}, 2)").alias("key"), F.col(c).alias("name"))
+    return pairs.fuzzy_pairs(names("supplier", "s_name"), names("customer", "c_name")).withColumnsRenamed({"l_name": "s_name", "r_name": "c_name"})
 
 
 _STOP = {"legal": (*W.LEGAL_WORDS, *W.JOINING_WORDS), "narrow": (*W.LEGAL_WORDS, *W.SECTOR_WORDS, *W.BUSINESS_WORDS), "wide": W.LEGAL_WORDS}

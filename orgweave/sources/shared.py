@@ -31,10 +31,10 @@ def written(df: DataFrame, name: str = "table", folder: str | None = None, by: t
     return df.sparkSession.read.schema(df.schema).parquet(path)
 
 
-def spread(df: DataFrame, *by: str) -> DataFrame:
-    """df's rows dealt by columns to all cores: a small file is read by one task, however much is computed of each of its rows."""
+def spread(df: DataFrame, *by: str, least: int = 1) -> DataFrame:
+    """df's rows dealt by columns to all cores, `least` tasks or more: a small file is read by one task, however much is computed of each of its rows."""
     spark = df.sparkSession
-    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism)
+    tasks = max(int(spark.conf.get("spark.sql.shuffle.partitions")), 3 * spark.sparkContext.defaultParallelism, least)
     return df.repartition(tasks, *by)
 
 

@@ -1,3 +1,5 @@
+import itertools
+
 import pytest
 from hypothesis import given, settings
 from hypothesis import strategies as st
@@ -108,6 +110,18 @@ def test_ratios_of_many(pairs, long):
     assert fuzzy.token_set_ratios(pairs).tolist() == [fuzzy.token_set_of(*p) for p in pairs]
 
 
+@settings(max_examples=150, deadline=None)
+@given(*[st.lists(st.one_of(st.text("ab \0ş😀", max_size=9), st.text("abc", min_size=29, max_size=34), st.text("abc", min_size=62, max_size=65)), min_size=1, max_size=9)] * 2)
+def test_ratios_of_grids(a, b):
+    """Every pair once, with exactly what single pairs give, at lengths about a word's."""
+    found = {}
+    for i, j, *numbers in fuzzy.grids(a, b):
+        for r, c in itertools.product(range(len(i)), range(len(j))):
+            found[i[r], j[c]] = tuple(x[r, c] for x in numbers)
+    assert found == {(i, j): tuple(f(x, y) for f in (fuzzy.ratio_of, fuzzy.partial_of, fuzzy.token_set_of)) for i, x in enumerate(a) for j, y in enumerate(b)}
+    assert sum(len(i) * len(j) for i, j, *_ in fuzzy.grids(a, b)) == len(a) * len(b)
+
+
 def test_token_set():
     assert fuzzy.token_set_of("alpha beta", "beta alpha gamma") == 100.0
     assert fuzzy.token_set_of("", "a") == 0.0

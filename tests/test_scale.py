@@ -3,7 +3,8 @@
 import pyarrow as pa
 import pytest
 
-from orgweave.functions import html
+from orgweave.functions import fuzzy, html
+from orgweave.operators import pairs
 from orgweave.plans import queries
 
 
@@ -42,6 +43,22 @@ def test_pages_are_read_few_at_a_time():
     assert [i for p in parts for i in p.column("page_id").to_pylist()] == list(range(n))
 
 
+def test_blocks_are_compared(spark, small):
+    """Names meet in bounded blocks; no function is called for each of the pairs."""
+    text = plan(queries.QUERIES["fuzzy_ratio"](spark, small))
+    assert "MapInArrow" in text and "EvalPython" not in text
+
+
+def test_pairs_of_repeated_names(spark, monkeypatch):
+    """One key beyond a block's size, names of several rows beyond a list's, nulls: a row for each pair of rows."""
+    monkeypatch.setattr(pairs, "LEFT", 3), monkeypatch.setattr(pairs, "RIGHT", 5)
+    left = [("k", f"name {i % 7}") for i in range(20)] + [("m", "x"), (None, "x"), ("m", None), ("only left", "y")]
+    right = [("k", f"Name#{i % 11}") for i in range(40)] + [("m", "x y"), ("m", ""), (None, "x")]
+    found = pairs.fuzzy_pairs(*[spark.createDataFrame(rows, "key string, name string") for rows in (left, right)])
+    expected = [(a, b, fuzzy.ratio_of(a, b), fuzzy.partial_of(a, b), fuzzy.token_set_of(a, b)) for k, a in left for j, b in right if k == j is not None and a is not None]
+    assert sorted(map(tuple, found.collect())) == sorted(expected)
+
+
 def test_artifacts_are_compressed(spark, small):
     files = queries.QUERIES["written_artifacts"](spark, small).inputFiles()
     assert files and all(f.endswith(".txt.gz") for f in files)
