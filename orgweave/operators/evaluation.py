@@ -2,8 +2,8 @@
 
 A page is read once for each candidate of its site. What it shows is a small struct of flags and of
 words found, and pages are put together by sums, maxima and sets of these, so a site of any size is
-never gathered in one row. Rules then read one row a candidate. The first PAGE_CHARS characters of
-a page's html are read, as the rules have it; a name must stand on one page, not across two.
+never gathered in one row. Rules then read one row a candidate. A page's whole html is read, where
+the reference reads its first 50,000 characters; a name must stand on one page, not across two.
 
 Defined cases: null html is an empty page; a candidate without pages is unreachable and scores 0; a
 null name has no words and proves nothing; repeated pages count as pages of their own.
@@ -24,7 +24,6 @@ from orgweave.functions import words as W
 from orgweave.operators.fingerprint import EXCLUDED_ROLES, FLAGS, STRENGTHS
 from orgweave.sources.shared import Scratch, spread, written
 
-PAGE_CHARS = 50_000
 #: Pages of a site whose visible words say what kind of business it is.
 KIND_PAGES = 8
 _MARKERS = {m: kind for kind, markers in W.TAXONOMY.items() for m in markers}
@@ -109,10 +108,10 @@ def page_signals(t: Column, html: Column, for_kind: Column) -> Column:
     none = F.array().cast("array<string>")
     asked = (F.size(t["contexts"]) == 0) & (F.size(t["about"]) > 0)
     every = N._listed(sorted({a for aliases in _ALIASES.values() for a in aliases}))
-    start = T.normalize(F.substring(T.text_or_empty(html), 1, PAGE_CHARS))
+    whole = T.normalize(html)
     dialled = F.array_join(F.regexp_extract_all(T.text_or_empty(html), F.lit(r"""(?i)href\s*=\s*["']tel:([^"'?]+)"""), F.lit(1)), " ; ")
     shown = T.let(visible_text(html), lambda v: F.struct((F.size(C.national_phones(F.concat_ws(" ; ", v, dialled))) > 0).alias("phone"), F.when(for_kind, T.let(T.normalize(v), lambda n: business_markers(n, T.tokens(n)))).otherwise(none).alias("markers")))
-    parsed = T.let(start, lambda x: F.struct(x.alias("text"), T.tokens(x).alias("words"), shown.alias("shown")))
+    parsed = T.let(whole, lambda x: F.struct(x.alias("text"), T.tokens(x).alias("words"), shown.alias("shown")))
 
     def derived(p: Column) -> Column:
         words = p["words"]

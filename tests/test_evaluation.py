@@ -382,3 +382,13 @@ def test_memory_takes_what_is_resolved(spark):
     assert {r.company for r in registries.remember(memory, published).collect()} == {"c0", "c1", "c2", "c3", "c4"}
 
 
+
+
+def test_whole_pages_are_read(spark):
+    """What stands behind a page's first 50,000 characters counts like what stands before them."""
+    t = V.target(F.lit("Örnek Metal Profil Gıda"), F.lit("food, metal"))
+    said = "<p>ornek metal profil gida, a brand of ornek metal profil gida, istanbul, celik ve profil, food, drink, restaurant, Tel: 0312 555 20 30</p>"
+    html = F.concat(F.lit("<p>"), F.repeat(F.lit("y"), F.col("n")), F.lit("</p>" + said))
+    first, *others = [r.s for r in spark.createDataFrame([(9,), (60_000,), (2_000_000,)], "n int").coalesce(1).select(V.page_signals(t, html, F.lit(True)).alias("s")).collect()]
+    assert first.full and first.primary and first.owned and first.phrase and first.country and first.phone and first.parts and first.seen
+    assert others == [first, first]
